@@ -1,0 +1,8 @@
+"""The registered queries as DuckDB SQL over the same tables, for the result check."""
+
+from oracle.base import WITH
+from oracle.texts import TEXTS
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: f"{WITH}\n{text.strip()}" for name, text in TEXTS.items()}

@@ -1,0 +1,397 @@
+"""One SELECT per registered query, to follow the common table expressions."""
+
+_DRIFT = "('NATION_2', 'NATION_5', 'NATION_8', 'NATION_13', 'NATION_17', 'NATION_21')"
+_CHRONIC = "('NATION_1', 'NATION_4', 'NATION_9', 'NATION_16')"
+_YEARS = range(1995, 2002)
+_RANKED = """
+SELECT year, country, heading, absorption_gap_meur, absorption_rate_pct, lof_score
+FROM scored WHERE lof_anomaly = 1 ORDER BY lof_score, country, heading, year LIMIT 30
+"""
+_H1 = """
+SELECT country, year, net_position_meur, net_pct_gni, zscore_net, receipts_meur,
+  total_contributions, h1_anomaly, net_position_lag1, net_position_change FROM h1
+"""
+_AUDIT = """
+SELECT 'fixed' AS timestamp, '1.0' AS pipeline_version, '1995-2001' AS data_period,
+  CAST(0 AS BIGINT) AS missing_actual, 'OK' AS missing_heading_status,
+  CAST(total AS BIGINT) AS total, CAST(total - "distinct" AS BIGINT) AS duplicate_count,
+  round(mean, 2) AS mean, round(median, 2) AS median, round(stddev, 2) AS std,
+  round(iqr, 2) AS iqr, outlier_count, overall, status
+FROM wide_fence, copies, quality_row
+"""
+_COMPARED = """
+  count(*) AS n_total, count(*) FILTER (WHERE z_anomaly = 1) AS n_a,
+  count(*) FILTER (WHERE lof_anomaly = 1) AS n_b,
+  count(*) FILTER (WHERE z_anomaly = 1 AND lof_anomaly = 1) AS n_both
+"""
+_SUMMARY = f"""
+SELECT 'fixed' AS timestamp, (SELECT count(*) FROM features) AS feature_rows,
+  (SELECT count(*) FROM h1) AS h1_country_years,
+  (SELECT CAST(sum(h1_anomaly) AS BIGINT) FROM h1) AS h1_anomalies,
+  n_total AS h3_rows_scored, n_a AS h3_if_anomalies, n_b AS h3_lof_anomalies,
+  n_both AS h3_both_agree,
+  round(100.0 * n_both / CAST(greatest(n_a, 1) AS DOUBLE), 1) AS agreement_rate_pct,
+  coalesce(round(100.0 * n_both / CAST(nullif(n_a, 0) AS DOUBLE), 1), 0.0) AS precision_if_vs_lof,
+  'Local Outlier Factor (LOF)' AS baseline_method,
+  (SELECT overall FROM quality_row) AS overall_quality_score
+FROM (SELECT {_COMPARED} FROM scored) q
+"""
+_FEATURE_COLUMNS = (
+    "year country heading actual_meur earmarked_meur is_ngeu is_preliminary receipts_meur "
+    "total_contributions gni_size net_pct_gni net_position_meur absorption_gap_meur "
+    "absorption_rate_pct yoy_change lag1 lag2 lag3 roll_mean_3 year_index zscore_absorption "
+    "zscore_net"
+).split()
+_NULLS = "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS column_name, count(*) - count({c}) AS null_count,
+  round(100.0 * (count(*) - count({c})) / CAST(count(*) AS DOUBLE), 2) AS null_pct,
+  CASE WHEN 100.0 * (count(*) - count({c})) / count(*) < 20 THEN 'OK' ELSE 'WARNING' END AS status
+FROM features"""
+    for c in _FEATURE_COLUMNS
+)
+_RULES = {
+    "year_in_range": "year BETWEEN 1996 AND 2001",
+    "country_in_list": f"country IN {_DRIFT}",
+    "heading_not_null": "heading IS NOT NULL",
+    "actual_not_negative": "actual_meur >= 0",
+    "earmarked_not_negative": "earmarked_meur >= 0",
+    "rate_in_range": "absorption_rate_pct BETWEEN 0 AND 120",
+    "rate_over_100": "absorption_rate_pct <= 100",
+    "net_pct_in_range": "net_pct_gni BETWEEN -10 AND 5",
+}
+_CHECKS = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS rule, count(*) FILTER (WHERE NOT ({rule})) AS violations FROM features"
+    for name, rule in _RULES.items()
+)
+_LOF_ROWS = "SELECT country, heading, year, lof_score, lof_anomaly FROM scored"
+_ENTITIES = """
+FROM total_receipts t LEFT JOIN rev_wide r ON t.year = r.year AND t.country = r.country
+"""
+_FEATURES = "SELECT * FROM features"
+
+TEXTS = {
+    # Sources, ingest, sinks
+    "read_cells": """
+SELECT sheet, count(s) AS n_text, count(n) AS n_number FROM cells GROUP BY sheet
+UNION ALL SELECT 'Notes', CAST(1 AS BIGINT), CAST(0 AS BIGINT)
+""",
+    "select_year_sheets": "SELECT year, count(*) AS record_count FROM cells GROUP BY year",
+    "locate_header": "SELECT sheet, header_row FROM header_row",
+    "column_map": "SELECT sheet, key, col_no FROM columns_of",
+    "section_marker": """
+SELECT sheet, min(row_no) AS marker_row FROM cells WHERE lower(s) LIKE '%nextgenerationeu%' GROUP BY sheet
+""",
+    "section_terminator": """
+SELECT c.sheet, min(row_no) AS end_row FROM cells c JOIN header_row h ON c.sheet = h.sheet
+WHERE col_no < 3 AND upper(trim(s)) = 'REVENUE' AND row_no > header_row GROUP BY c.sheet
+""",
+    "first_mapped_label": """
+SELECT sheet, row_no, s AS heading_raw,
+  CASE WHEN s IN ('ECONOMY', 'STANDARD') THEN 'Core' WHEN s = 'PROMO' THEN 'Recovery'
+    WHEN s = 'SMALL' THEN 'Small' WHEN s = 'MEDIUM' THEN 'Medium' END AS heading
+FROM cells WHERE col_no < 4 AND s IN ('ECONOMY', 'STANDARD', 'PROMO', 'SMALL', 'MEDIUM')
+""",
+    "row_total_guard": """
+SELECT * FROM (SELECT *, max(n) FILTER (WHERE key = '__total__') OVER (PARTITION BY sheet, row_no) AS total
+  FROM keyed) q WHERE total IS NOT NULL AND total <> 0
+""",
+    "row_measure_default": """
+SELECT *, coalesce(max(n) FILTER (WHERE key = '__earmarked__') OVER (PARTITION BY sheet, row_no), 0.0) AS earmarked
+FROM keyed
+""",
+    "unpivot_expenditure": "SELECT * FROM sheet_exp",
+    "first_text_label": """
+SELECT sheet, row_no, min_by(trim(s), col_no) AS label FROM cells
+WHERE col_no < 4 AND trim(s) <> '' GROUP BY sheet, row_no
+""",
+    "unpivot_revenue": "SELECT * FROM sheet_rev",
+    "concat_sheets": """
+SELECT 'expenditure' AS kind, year, count(*) AS record_count FROM sheet_exp GROUP BY year
+UNION ALL SELECT 'revenue', year, count(*) FROM sheet_rev GROUP BY year
+""",
+    "parsed_heading_level": """
+SELECT year, country, heading, CAST(sum(CAST(actual_meur AS DECIMAL(18,4))) AS DOUBLE) AS actual_meur,
+  CAST(sum(CAST(earmarked_meur AS DECIMAL(18,4))) AS DOUBLE) AS earmarked_meur,
+  max(is_ngeu) AS is_ngeu, max(is_preliminary) AS is_preliminary
+FROM sheet_exp GROUP BY year, country, heading
+""",
+    "parsed_revenue_wide": """
+SELECT year, country,
+  max(value_meur) FILTER (WHERE metric = 'total_contributions') AS total_contributions,
+  max(value_meur) FILTER (WHERE metric = 'gni_size') AS gni_size,
+  max(value_meur) FILTER (WHERE metric = 'gni_contribution') AS gni_contribution,
+  max(value_meur) FILTER (WHERE metric = 'vat_contribution') AS vat_contribution,
+  min_by(value_meur, row_no) FILTER (WHERE metric = 'customs') AS customs,
+  CAST(NULL AS DOUBLE) AS total_expenditure
+FROM sheet_rev GROUP BY year, country
+""",
+    "enforce_schema": """
+SELECT year, country, heading_raw, heading, CAST(actual_meur AS DOUBLE) AS actual_meur,
+  CAST(earmarked_meur AS DOUBLE) AS earmarked_meur, is_ngeu, is_preliminary, row_no FROM exp_raw
+""",
+    "cache_table": """
+SELECT is_ngeu, count(*) AS n, CAST(sum(actual_meur) AS DOUBLE) AS total FROM exp_raw GROUP BY is_ngeu
+""",
+    "register_view": """
+SELECT country, min(year) AS first_year, count(*) AS n FROM exp_raw GROUP BY country
+""",
+    "create_or_replace_table_as": "SELECT * FROM total_receipts",
+    "write_features": _FEATURES,
+    "write_scores": "SELECT country, heading, year, lof_score, lof_anomaly, z_anomaly FROM scored",
+    "write_h1": _H1,
+    "write_ranked": _RANKED,
+    "write_audit": _AUDIT,
+    "write_summary": _SUMMARY,
+    # Projections, filters, predicates
+    "project_columns": """
+SELECT year, country, heading, absorption_gap_meur, absorption_rate_pct, lag1, lag2, lag3,
+  roll_mean_3, zscore_absorption FROM features
+""",
+    "select_star_plus": """
+SELECT *, CAST(actual_meur - earmarked_meur AS DOUBLE) AS over_meur, CAST(year - 2000 AS INT) AS idx
+FROM heading_level
+""",
+    "cte_base": "SELECT * FROM base",
+    "exclude_flagged": "SELECT year, country, heading, row_no FROM exp_raw WHERE is_ngeu = 0",
+    "h3_working_set": "SELECT country, heading, year, lag1 FROM h3",
+    "range_outliers": """
+SELECT row_no, CAST(actual_meur AS DOUBLE) AS actual_meur FROM exp_raw, fence
+WHERE CAST(actual_meur AS DOUBLE) < q25 - 0.5 * iqr OR CAST(actual_meur AS DOUBLE) > q75 + 0.5 * iqr
+""",
+    "negative_rows": "SELECT country, heading, year, yoy_change FROM features WHERE yoy_change < 0",
+    "entity_subset": f"SELECT * FROM heading_level WHERE country IN {_DRIFT}",
+    "latest_period": "SELECT * FROM heading_level WHERE year = (SELECT max(year) FROM heading_level)",
+    "flag_split": "SELECT country, heading, year, lof_anomaly FROM scored",
+    "fill_constant": "SELECT country, heading, year, absorption_rate_pct, lag2 FROM h3",
+    "constraint_checks": _CHECKS,
+    "min_records_check": """
+SELECT year, count(*) AS record_count FROM rev_long GROUP BY year HAVING count(*) < 2000
+""",
+    # Joins
+    "join_revenue": "SELECT * FROM heading_level LEFT JOIN rev_wide USING (year, country)",
+    "join_receipts": "SELECT * FROM heading_level LEFT JOIN total_receipts USING (year, country)",
+    "lookup_header_join": "SELECT * FROM keyed",
+    "crosswalk_join": """
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN '1. Agriculture and rural development'
+    WHEN 'STANDARD' THEN 'Sustainable growth: natural resources'
+    WHEN 'PROMO' THEN 'Recovery under NextGenerationEU'
+    WHEN 'SMALL' THEN 'Administration and security and defence'
+    WHEN 'MEDIUM' THEN 'European neighbourhood and the world' ELSE 'Other items' END AS label,
+  CASE p_type WHEN 'ECONOMY' THEN 'Agriculture & Rural Dev' WHEN 'STANDARD' THEN 'Agriculture & Rural Dev'
+    WHEN 'PROMO' THEN 'NGEU Recovery' WHEN 'SMALL' THEN 'Administration'
+    WHEN 'MEDIUM' THEN 'External & Global' END AS heading
+FROM part
+""",
+    # Aggregations
+    "heading_level": "SELECT * FROM heading_level",
+    "total_receipts": "SELECT * FROM total_receipts",
+    "pivot_revenue": "SELECT * FROM rev_wide",
+    "null_profile": _NULLS,
+    "duplicate_profile": """
+SELECT CAST(sum(c) AS BIGINT) AS total, count(*) AS "distinct",
+  CAST(sum(c) - count(*) AS BIGINT) AS duplicate_count,
+  round(100.0 * (sum(c) - count(*)) / CAST(sum(c) AS DOUBLE), 2) AS duplicate_pct,
+  CASE WHEN sum(c) = count(*) THEN 'OK' ELSE 'Review' END AS status
+FROM (SELECT count(*) AS c FROM exp_raw GROUP BY year, country, heading, is_ngeu, earmarked_meur) q
+""",
+    "amount_stats": """
+SELECT mean, round(stddev, 4) AS stddev, "min", "max", q25, median, q75 FROM amounts
+""",
+    "exact_quantiles": """
+SELECT CAST(q AS DOUBLE) AS q, round(v, 6) AS value FROM (
+  SELECT unnest([0.01, 0.05, 0.5, 0.99]) AS q, unnest(quantile_cont(value_meur, [0.01, 0.05, 0.5, 0.99])) AS v
+  FROM rev_long) z
+""",
+    "iqr_outliers": """
+SELECT mean, round(stddev, 4) AS stddev, "min", "max", q25, median, q75, iqr,
+  q25 - 0.5 * iqr AS lower_bound, q75 + 0.5 * iqr AS upper_bound, outlier_count,
+  round(100.0 * outlier_count / CAST(n AS DOUBLE), 4) AS outlier_pct
+FROM (SELECT fence.*, (SELECT count(*) FROM exp_raw WHERE CAST(actual_meur AS DOUBLE) < q25 - 0.5 * iqr
+  OR CAST(actual_meur AS DOUBLE) > q75 + 0.5 * iqr) AS outlier_count FROM fence) q
+""",
+    "country_coverage": """
+SELECT country, min(year) AS first_year, max(year) AS last_year, count(DISTINCT year) AS years_present,
+  100.0 * count(DISTINCT year) / CAST(7 AS DOUBLE) AS coverage_pct FROM exp_raw GROUP BY country
+""",
+    "coverage_summary": """
+SELECT count(*) AS n_entities, count(*) FILTER (WHERE y = 7) AS n_full_coverage
+FROM (SELECT count(DISTINCT year) AS y FROM exp_raw GROUP BY country) q
+""",
+    "heading_distribution": """
+SELECT heading, count(*) AS record_count, CAST(sum(actual_meur) AS DOUBLE) / count(*) AS avg_amount
+FROM exp_raw GROUP BY heading
+""",
+    "temporal_distribution": "SELECT year, count(*) AS record_count FROM exp_raw GROUP BY year",
+    "quality_score": "SELECT * FROM quality_row",
+    "audit_document": _AUDIT,
+    "h1_collapse": """
+SELECT country, year, net_position_meur, net_pct_gni, zscore_net, receipts_meur,
+  total_contributions, h1_anomaly FROM h1
+""",
+    "h1_summary": """
+SELECT count(*) AS country_years, CAST(sum(h1_anomaly) AS BIGINT) AS total_anomalies,
+  count(DISTINCT country) AS unique_countries FROM h1
+""",
+    "method_comparison": f"""
+SELECT n_total, n_a, n_b, n_both,
+  round(100.0 * n_a / CAST(n_total AS DOUBLE), 1) AS pct_a,
+  round(100.0 * n_b / CAST(n_total AS DOUBLE), 1) AS pct_b,
+  round(100.0 * n_both / CAST(nullif(greatest(n_a, n_b), 0) AS DOUBLE), 1) AS agreement_of_larger_pct,
+  round(100.0 * n_both / CAST(greatest(n_a, 1) AS DOUBLE), 1) AS agreement_rate_pct,
+  coalesce(round(100.0 * n_both / CAST(nullif(n_a, 0) AS DOUBLE), 1), 0.0) AS precision_pct
+FROM (SELECT {_COMPARED} FROM scored) q
+""",
+    "run_summary": _SUMMARY,
+    "rows_by_year": """
+SELECT year, count(*) AS record_count, CASE WHEN year BETWEEN 1993 AND 1996 THEN '1993-1996'
+  WHEN year BETWEEN 1997 AND 1999 THEN '1997-1999' WHEN year BETWEEN 2000 AND 2006 THEN '2000-2006' END AS mff_period
+FROM features GROUP BY year
+""",
+    "rows_by_entity_year": "SELECT country, "
+    + ", ".join(f"count(*) FILTER (WHERE year = {y}) AS y{y}" for y in _YEARS)
+    + " FROM exp_raw GROUP BY country",
+    "value_counts": "SELECT heading, count(*) AS record_count FROM exp_raw GROUP BY heading",
+    "total_by_year_bn": """
+SELECT year, CAST(sum(actual_meur) AS DOUBLE) / 1000.0 AS total_bn FROM exp_raw GROUP BY year
+""",
+    "anomaly_grid": "SELECT country, "
+    + ", ".join(
+        f"CAST(coalesce(sum(lof_anomaly) FILTER (WHERE year = {y}), 0) AS BIGINT) AS y{y}"
+        for y in _YEARS
+    )
+    + " FROM scored GROUP BY country",
+    "mean_rate_by_heading": """
+SELECT heading, CAST(sum(CAST(absorption_rate_pct AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS mean_rate_pct
+FROM h3 GROUP BY heading
+""",
+    "anomalies_by_year": """
+SELECT year, CAST(sum(lof_anomaly) AS BIGINT) AS anomaly_count FROM scored GROUP BY year
+""",
+    "unique_headings": "SELECT DISTINCT heading FROM exp_raw ORDER BY heading",
+    # Windows
+    "yoy_change": "SELECT country, heading, year, yoy_change FROM base",
+    "lags_1_2_3": "SELECT country, heading, year, lag1, lag2, lag3 FROM base",
+    "rolling_mean_prev3": "SELECT country, heading, year, roll_mean_3 FROM base",
+    "lags_by_range": """
+SELECT row_no, CAST(lag(actual_meur, 1) OVER w AS DOUBLE) AS lag1,
+  CAST(lag(actual_meur, 2) OVER w AS DOUBLE) AS lag2, CAST(lag(actual_meur, 3) OVER w AS DOUBLE) AS lag3
+FROM exp_raw WINDOW w AS (PARTITION BY country ORDER BY row_no)
+""",
+    "zscore_absorption": "SELECT country, heading, year, zscore_absorption FROM features",
+    "zscore_net": "SELECT country, heading, year, zscore_net FROM features",
+    "zscore_lines": """
+SELECT row_no, round((x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0), 3) AS z
+FROM (SELECT row_no, heading, CAST(actual_meur AS DOUBLE) AS x FROM exp_raw) q
+WINDOW w AS (PARTITION BY heading)
+""",
+    "h1_drift": "SELECT country, year, net_position_lag1, net_position_change FROM h1",
+    # Sorts, limits, top-k, sets
+    "sort_features": "SELECT * FROM features ORDER BY country, heading, year",
+    "ranked_anomalies": _RANKED,
+    "top_k_scores": """
+SELECT country, heading, year, lof_score,
+  country || ' ' || CAST(year AS VARCHAR) || chr(10) || substring(heading, 1, 20) AS label
+FROM scored ORDER BY lof_score DESC, country, heading, year LIMIT 10
+""",
+    "sort_net_position": """
+SELECT country, year, net_position_meur / 1000.0 AS net_position_bn,
+  CASE WHEN net_position_meur > 0 THEN 'receiver' WHEN net_position_meur < 0 THEN 'contributor'
+    WHEN net_position_meur = 0 THEN 'balanced' END AS net_status
+FROM h1 WHERE year = (SELECT max(year) FROM h1) ORDER BY net_position_bn NULLS LAST, country
+""",
+    "distinct_rows": "SELECT DISTINCT year, country, heading, is_ngeu, is_preliminary FROM exp_raw",
+    # Scalar functions
+    "net_position": f"""
+SELECT t.country, t.year, round(receipts_meur - total_contributions, 2) AS net_position_meur {_ENTITIES}
+""",
+    "net_pct_gni": f"""
+SELECT t.country, t.year,
+  round((receipts_meur - total_contributions) / nullif(gni_size, 0) * 100, 4) AS net_pct_gni {_ENTITIES}
+""",
+    "absorption_gap": "SELECT country, heading, year, absorption_gap_meur FROM base",
+    "absorption_rate": "SELECT country, heading, year, absorption_rate_pct FROM base",
+    "year_index": "SELECT row_no, CAST(year - 2000 AS INT) AS year_index FROM exp_raw",
+    "zscore_flag": """
+SELECT country, heading, year, CASE WHEN abs(zscore_absorption) > 1.5 THEN 1 ELSE 0 END AS flag FROM features
+""",
+    "severity_band": """
+SELECT country, heading, year,
+  CASE WHEN abs(zscore_absorption) > 1.5 THEN 'extreme' WHEN abs(zscore_absorption) > 1.0 THEN 'anomaly'
+    WHEN zscore_absorption IS NOT NULL THEN 'normal' END AS z_band,
+  CASE WHEN absorption_rate_pct > 100 THEN 'correction' WHEN absorption_rate_pct = 100 THEN 'full'
+    WHEN absorption_rate_pct < 95 THEN 'under' WHEN absorption_rate_pct IS NOT NULL THEN 'normal' END AS rate_band
+FROM features
+""",
+    "mff_period": """
+SELECT CASE WHEN year BETWEEN 1993 AND 1996 THEN '1993-1996' WHEN year BETWEEN 1997 AND 1999 THEN '1997-1999'
+  WHEN year BETWEEN 2000 AND 2006 THEN '2000-2006' END AS period, count(*) AS record_count
+FROM exp_raw GROUP BY 1
+""",
+    "policy_event": """
+SELECT CASE year WHEN 1996 THEN 'First' WHEN 1998 THEN 'Second' WHEN 2000 THEN 'Third' END AS event,
+  count(*) AS record_count FROM exp_raw GROUP BY 1
+""",
+    "accession_cohort": """
+SELECT CASE WHEN k < 15 THEN 'EU15' WHEN k < 22 THEN 'EU25_ADD' WHEN k < 24 THEN 'EU27_ADD'
+  ELSE 'EU28_ADD' END AS cohort, count(*) AS record_count
+FROM (SELECT CAST(substring(country, 8) AS INT) AS k FROM exp_raw) q GROUP BY 1
+""",
+    "net_status": f"""
+SELECT t.country, t.year, CASE WHEN round(receipts_meur - gni_size * 10.0, 2) > 0 THEN 'receiver'
+  WHEN round(receipts_meur - gni_size * 10.0, 2) < 0 THEN 'contributor'
+  WHEN round(receipts_meur - gni_size * 10.0, 2) = 0 THEN 'balanced' END AS status {_ENTITIES}
+""",
+    "map_heading": """
+SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Agriculture & Rural Dev'
+  WHEN 'STANDARD' THEN 'Agriculture & Rural Dev' WHEN 'PROMO' THEN 'NGEU Recovery'
+  WHEN 'SMALL' THEN 'Administration' WHEN 'MEDIUM' THEN 'External & Global' END AS heading FROM part
+""",
+    "map_metric": """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'total_contributions'
+  WHEN '2-HIGH' THEN 'gni_contribution' WHEN '3-MEDIUM' THEN 'vat_contribution'
+  WHEN '4-NOT SPECIFIED' THEN 'customs' WHEN '5-LOW' THEN 'gni_size' END AS metric FROM orders
+""",
+    "anomaly_label": """
+SELECT row_no, country || ' ' || CAST(year AS VARCHAR) || chr(10) || substring(heading_raw, 1, 20) AS label
+FROM exp_raw
+""",
+    "scale_to_bn": "SELECT country, heading, year, actual_meur / 1000.0 AS actual_bn FROM heading_level",
+    "percent_of": """
+SELECT country, heading, year, actual_meur * 100.0 / nullif(earmarked_meur, 0) AS pct FROM heading_level
+""",
+    "to_json_document": """
+SELECT row_no, CAST(to_json({'year': year, 'country': country, 'heading': heading,
+  'is_ngeu': is_ngeu, 'is_preliminary': is_preliminary}) AS VARCHAR) AS document FROM exp_raw
+""",
+    "elementary": """
+SELECT row_no, lower(heading_raw) AS lower_text, '  X' || upper(heading_raw) || ' ' AS upper_text,
+  heading_raw AS stripped, heading_raw LIKE '%MO%' AS has_mo,
+  TRY_CAST(substring(country, 8, 2) AS INT) AS parsed, TRY_CAST(heading_raw AS INT) AS not_parsed,
+  abs(CAST(-actual_meur AS DOUBLE)) AS size, round(CAST(actual_meur AS DOUBLE), 1) AS rounded,
+  nullif(is_ngeu, 0) AS nullif_zero FROM exp_raw
+""",
+    # Anomaly detection
+    "feature_matrix": """
+SELECT country, heading, year, f1 AS absorption_gap_meur, f2 AS absorption_rate_pct, f3 AS lag1,
+  f4 AS roll_mean_3 FROM h3
+""",
+    "local_outlier_factor": _LOF_ROWS,
+    "contamination_threshold": """
+SELECT round(quantile_cont(CAST(actual_meur AS DOUBLE), 0.05), 6) AS threshold FROM exp_raw
+""",
+    "zscore_baseline": "SELECT country, year, zscore_net, h1_anomaly FROM h1 WHERE h1_anomaly = 1",
+    "features": _FEATURES,
+    # Chart tables
+    "net_drift_series": f"""
+SELECT country, year, net_position_meur / 1000.0 AS net_position_bn FROM h1 WHERE country IN {_DRIFT}
+""",
+    "policy_timeline": """
+SELECT year, CAST(sum(lof_anomaly) AS BIGINT) AS anomaly_count,
+  CASE year WHEN 1996 THEN 'First' WHEN 1998 THEN 'Second' WHEN 2000 THEN 'Third' END AS policy_event
+FROM scored GROUP BY year
+""",
+    "chronic_points": f"""
+SELECT country, year, heading, absorption_rate_pct,
+  CASE WHEN lof_anomaly = 1 THEN 'anomaly' ELSE 'normal' END AS mark FROM scored WHERE country IN {_CHRONIC}
+""",
+}
