@@ -273,9 +273,9 @@ SELECT year, CAST(sum(lof_anomaly) AS BIGINT) AS anomaly_count FROM scored GROUP
     "lags_1_2_3": "SELECT country, heading, year, lag1, lag2, lag3 FROM base",
     "rolling_mean_prev3": "SELECT country, heading, year, roll_mean_3 FROM base",
     "lags_by_range": """
-SELECT row_no, CAST(lag(actual_meur, 1) OVER w AS DOUBLE) AS lag1,
-  CAST(lag(actual_meur, 2) OVER w AS DOUBLE) AS lag2, CAST(lag(actual_meur, 3) OVER w AS DOUBLE) AS lag3
-FROM exp_raw WINDOW w AS (PARTITION BY country ORDER BY row_no)
+SELECT country, row_no, lag(x, 1) OVER w AS lag1, lag(x, 2) OVER w AS lag2, lag(x, 3) OVER w AS lag3
+FROM (SELECT country, row_no, CAST(sum(actual_meur) AS DOUBLE) AS x FROM exp_raw GROUP BY country, row_no) q
+WINDOW w AS (PARTITION BY country ORDER BY row_no)
 """,
     "zscore_absorption": "SELECT country, heading, year, zscore_absorption FROM features",
     "zscore_net": "SELECT country, heading, year, zscore_net FROM features",

@@ -93,5 +93,6 @@ def crosswalk_join(
     ordered = checked.select(F.when(F.col("n") <= max_rules, F.col("rules")).otherwise(too_many))
     ordered = ordered.scalar()
     low = F.lower(F.col(label))
-    hits = F.filter(ordered, lambda rule: low.contains(rule["key"]))
-    return df.withColumn(out, F.try_element_at(hits, F.lit(1))["value"])
+    hits = F.filter("_rules", lambda rule: low.contains(rule["key"]))
+    found = F.try_element_at(hits, F.lit(1))["value"]
+    return df.withColumn("_rules", ordered).withColumn(out, found).drop("_rules")

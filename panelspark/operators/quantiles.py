@@ -1,25 +1,26 @@
 """Exact quantiles of a column that is too large for one task.
 
-A global ``percentile`` merges every distinct value in one task.  Here the value
-axis is narrowed instead: each pass counts rows per slot of an order-preserving
+A global ``percentile`` merges every distinct value in one task, which is fine up
+to a checked number of rows.  Beyond it the value axis is narrowed instead: each pass counts rows per slot of an order-preserving
 slot number, partial sums first, and keeps the slot that holds the wanted rank.
-After the logarithmic slots and two linear refinements a slot spans at most a
-few thousand neighbouring doubles, which the last pass counts one by one.  Every
-pass moves at most (number of quantiles) x (number of slots) partial counts,
-whatever the number of rows and however many of them share a value.
+After the logarithmic slots and one linear refinement a slot spans at most 2^22
+neighbouring doubles, which the last pass counts one by one.  Every pass moves at
+most (number of quantiles) x (number of slots) counts into a task, whatever the
+number of rows and however many of them share a value.
 """
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-_PER_OCTAVE = 32
-_SLOTS = 1 << 18
+ONE_TASK_ROWS = 1_000_000
+_PER_OCTAVE = 1024
+_SLOTS = 1 << 20
 _LOWEST_EXPONENT = 1075.0
 
 
 def _log_slot(v: Column) -> Column:
-    """Monotone slot number: 32 slots per power of two, mirrored for negatives."""
+    """Monotone slot number: 1024 slots per power of two, mirrored for negatives."""
     size = F.floor((F.log2(F.abs(v)) + F.lit(_LOWEST_EXPONENT)) * F.lit(float(_PER_OCTAVE))) + 1
     slot = F.when(v > 0, size).when(v < 0, -size).otherwise(0)
     return slot.cast("long")
@@ -64,7 +65,7 @@ def _reached(counts: DataFrame) -> DataFrame:
 def _first_pass(values: DataFrame, qs: Sequence[float], interpolate: bool) -> DataFrame:
     """Count all rows per logarithmic slot and pick the slots of the wanted ranks.
 
-    There are at most 2 * 32 * 2100 slots, so their running count fits one task.
+    There are at most 2 * 1024 * 2100 slots, so their running count fits one task.
     """
     counts = values.groupBy("s0").agg(
         F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high")
@@ -74,9 +75,8 @@ def _first_pass(values: DataFrame, qs: Sequence[float], interpolate: bool) -> Da
         {"upto": F.sum("c").over(running), "n": F.sum("c").over(Window.partitionBy())}
     )
     ranked = counts.select("*", _ranks(qs, interpolate).alias("w")).select("*", "w.*")
-    return _reached(ranked.withColumn("rank", F.explode("ranks"))).select(
-        "qi", "q", "share", F.col("rank").alias("id"), "rank", "s0", "low", "high"
-    )
+    ranked = ranked.withColumn("id", F.explode("ranks")).withColumn("rank", F.col("id"))
+    return _reached(ranked).select("qi", "q", "share", "id", "rank", "s0", "low", "high")
 
 
 def _next_pass(values: DataFrame, wanted: DataFrame, slot: Column) -> DataFrame:
@@ -96,22 +96,39 @@ def _next_pass(values: DataFrame, wanted: DataFrame, slot: Column) -> DataFrame:
     return _reached(counts).drop("slot", "c", "upto")
 
 
+def _in_one_task(values: DataFrame, qs: Sequence[float], interpolate: bool) -> DataFrame:
+    """The built-in exact percentile, for a checked number of rows."""
+    form = "percentile(v, {})" if interpolate else "percentile_disc({}) WITHIN GROUP (ORDER BY v)"
+    pairs = [
+        F.struct(F.lit(float(q)).alias("q"), F.expr(form.format(f"{float(q)!r}D")).alias("value"))
+        for q in qs
+    ]
+    found = values.agg(F.array(*pairs).alias("found")).select(F.inline("found"))
+    return found.where(F.col("value").isNotNull())
+
+
 def exact_quantiles(
-    df: DataFrame, col: str, qs: Sequence[float], interpolate: bool = False
+    df: DataFrame,
+    col: str,
+    qs: Sequence[float],
+    interpolate: bool = False,
+    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row (q, value) per quantile, NULL and NaN left out.
 
     Without interpolation the value is an element of the column.  ``df`` is
-    scanned four times for one column, so write an expensive input down first.
+    counted, then scanned up to three times for one column, so it should be a
+    stored table.
     """
     v = F.col(col).cast("double")
     values = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    if df.count() <= one_task_rows:
+        return _in_one_task(values, qs, interpolate)
     values = values.withColumn("s0", _log_slot(F.col("v")))
 
     wanted = _first_pass(values, qs, interpolate)
     linear = _linear_slot(F.col("v"), F.col("low"), F.col("high"))
     wanted = _next_pass(values, wanted, linear)
-    wanted = _next_pass(values, wanted, linear)
     exact = _next_pass(values, wanted, F.col("v"))
 
     lower, upper = F.min("low"), F.max("low")

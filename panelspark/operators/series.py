@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.exprs import MONEY, round_mul, safe_ratio
+from panelspark.functions.exprs import DIGITS, money_units, round_mul, safe_ratio
 
 
 def attach(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -109,11 +109,11 @@ def yoy_change(
 
 
 def mean_of(names: Sequence[str], digits: int = 2) -> Column:
-    """Mean of the non-null columns, summed as decimals."""
-    zero = F.lit(0).cast(MONEY)
-    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(c).cast(MONEY), zero) for c in names])
-    count = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in names])
-    return round_mul(safe_ratio(total.cast("double"), count), digits)
+    """Mean of the non-null columns; the amounts are added as whole units."""
+    units = [F.coalesce(money_units(c), F.lit(0)) for c in names]
+    present = [F.col(c).isNotNull().cast("int") for c in names]
+    total = reduce(lambda a, b: a + b, units).cast("double") / F.lit(float(10**DIGITS))
+    return round_mul(safe_ratio(total, reduce(lambda a, b: a + b, present)), digits)
 
 
 def rolling_mean_prev(

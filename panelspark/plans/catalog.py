@@ -445,7 +445,8 @@ def amount_stats(spark, folder):
 
 @query
 def exact_quantiles_(spark, folder):
-    found = exact_quantiles(rev(spark, folder), "value_meur", [0.01, 0.05, 0.5, 0.99], True)
+    rows = materialize(rev(spark, folder).select("value_meur"), "amounts")
+    found = exact_quantiles(rows, "value_meur", [0.01, 0.05, 0.5, 0.99], True, one_task_rows=0)
     return found.select("q", exprs.round_mul("value", 6).alias("value"))
 
 
@@ -611,10 +612,11 @@ def rolling_mean_prev3(spark, folder):
 
 @query
 def lags_by_range(spark, folder):
-    """Lags within the line items of a nation, its series cut into ranges of rows."""
-    raw = materialize(exp(spark, folder).select("country", "row_no", "actual_meur"), "lines")
-    found = series.lags(raw, "actual_meur", ["country"], "row_no", chunk=20_000)
-    return found.select("row_no", *[F.col(f"lag{i}").cast("double") for i in (1, 2, 3)])
+    """Lags along the line items of a nation, its series cut into ranges of rows."""
+    lines = exp(spark, folder).groupBy("country", "row_no")
+    lines = materialize(lines.agg(exprs.exact_sum("actual_meur").alias("actual_meur")), "lines")
+    found = series.lags(lines, "actual_meur", ["country"], "row_no", chunk=20_000)
+    return found.select("country", "row_no", "lag1", "lag2", "lag3")
 
 
 @query

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.functions.exprs import (
-    MONEY,
     absorption_gap,
     absorption_rate,
+    exact_sum,
+    exact_sum_decimal,
     net_pct_gni,
     net_position,
     round_mul,
@@ -13,7 +14,7 @@ from panelspark.functions.exprs import (
     year_index,
 )
 from panelspark.operators.aggregates import pivot_revenue
-from panelspark.operators.series import lags, mean_of, zscore_over
+from panelspark.operators.series import lags, mean_of, zscore, zscore_over
 from panelspark.schemas import FEATURES
 from panelspark.session import materialize
 
@@ -26,13 +27,13 @@ def heading_base(exp: DataFrame) -> DataFrame:
     Next to the heading sums it keeps the part of the sum that counts as receipts,
     so receipts need no second pass over the raw rows.
     """
-    amount = F.col("actual_meur").cast(MONEY)
+    counted = F.when(F.col("is_ngeu") == 0, F.col("actual_meur"))
     return exp.groupBy("year", *SERIES).agg(
-        F.sum(amount).cast("double").alias("actual_meur"),
-        F.sum(F.col("earmarked_meur").cast(MONEY)).cast("double").alias("earmarked_meur"),
+        exact_sum("actual_meur").alias("actual_meur"),
+        exact_sum("earmarked_meur").alias("earmarked_meur"),
         F.max("is_ngeu").alias("is_ngeu"),
         F.max("is_preliminary").alias("is_preliminary"),
-        F.sum(F.when(F.col("is_ngeu") == 0, amount)).alias("_receipts"),
+        exact_sum_decimal(counted).alias("_receipts"),
     )
 
 
@@ -101,8 +102,6 @@ def build_features(
         z = zscore_over("absorption_gap_meur", SERIES)
         scored = series.withColumn("zscore_absorption", z)
     else:
-        from panelspark.operators.series import zscore
-
         scored = zscore(
             materialize(series, "series"), "absorption_gap_meur", SERIES, "zscore_absorption"
         )

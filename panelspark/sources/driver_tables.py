@@ -7,7 +7,7 @@ order priorities for revenue metrics.
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.crosswalk import map_heading
-from panelspark.functions.exprs import MONEY
+from panelspark.functions.exprs import exact_sum, exact_sum_decimal, money
 from panelspark.session import materialize
 
 HEADING_RULES = [
@@ -43,8 +43,23 @@ HEADER_KEYS = ("NATION_0", "NATION_1", "Total")
 PRELIMINARY_YEAR = 2001
 
 
+# Declared, so that opening a table starts no job to read file footers.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def choose(col, values: dict[str, str], default=None):
@@ -67,7 +82,7 @@ def _orders_by_nation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Line items with year, nation, part type and exact amounts."""
+    """Line items with year, nation, part type and amounts of four digits."""
     part = table(spark, folder, "part").select("p_partkey", "p_type")
     amount = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     flagged = (
@@ -85,8 +100,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
             "n_name",
             "n_nationkey",
             "p_type",
-            amount.cast(MONEY).alias("actual"),
-            F.col("l_extendedprice").cast(MONEY).alias("earmarked"),
+            money(amount).alias("actual"),
+            money("l_extendedprice").alias("earmarked"),
             F.when(flagged, 1).otherwise(0).alias("is_ngeu"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
         )
@@ -146,7 +161,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     sums = materialize(
         _lines(spark, folder)
         .groupBy("year", "n_nationkey", "p_type", "is_ngeu")
-        .agg(F.sum("actual").alias("v"), F.sum("earmarked").alias("e")),
+        .agg(exact_sum_decimal("actual").alias("v"), exact_sum_decimal("earmarked").alias("e")),
         "sums",
     )
     place = Window.partitionBy("year", "is_ngeu").orderBy("p_type")
@@ -158,7 +173,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     money = materialize(
         _orders_by_nation(spark, folder)
         .groupBy("year", "n_nationkey", "o_orderpriority")
-        .agg(F.sum(F.col("o_totalprice").cast(MONEY)).cast("double").alias("v")),
+        .agg(exact_sum("o_totalprice").alias("v")),
         "money",
     )
     revenue_row = 42 + F.substring("o_orderpriority", 1, 1).cast("int")
