@@ -147,8 +147,8 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table[n].to_numpy() for n in names]
 
 
-def _points(table: pa.Table) -> np.ndarray:
-    return np.stack(table["x"].to_numpy(zero_copy_only=False))
+def _points(table: pa.Table, name: str = "x") -> np.ndarray:
+    return np.stack(table[name].to_numpy(zero_copy_only=False))
 
 
 def _by_id(table: pa.Table) -> pa.Table:
@@ -204,9 +204,9 @@ def _answer_asks(k: int):
             empty = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
             return pa.table([pa.array([], t) for t in empty], names=names)
         points = _by_id(points)
-        ids, r = _columns(asks, "id", "r")
+        ids, r = _columns(asks, "ask", "r")
         pid, m = _columns(points, "id", "m")
-        blocks = list(_nearest(_points(asks), ids, _points(points), pid, m, k))
+        blocks = list(_nearest(_points(asks, "at"), ids, _points(points), pid, m, k))
         row, col, dist, w = (np.concatenate(part) for part in zip(*blocks))
         near = dist <= r[row]
         row, col = row[near], col[near]
@@ -266,9 +266,12 @@ def neighbour_graph(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> Da
     asks = found.where(crossing).select("id", "x", "r", F.explode("others").alias("leaf"))
     parts = F.ceil(F.count("*") / F.lit(leaf_rows)).cast("int")
     loads = asks.groupBy("leaf").agg(parts.alias("parts"))
-    asks = asks.join(loads, "leaf").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    copies = found.select("id", "x", "m", "leaf").join(loads, "leaf").select("*", part)
+    chosen = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+    asks = asks.join(loads, "leaf").select(
+        F.col("leaf").alias("leaf"), chosen, F.col("id").alias("ask"), F.col("x").alias("at"), "r"
+    )
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    copies = found.join(loads, "leaf").select("leaf", each, "id", "x", "m")
     answers = (
         asks.groupBy("leaf", "part")
         .cogroup(copies.groupBy("leaf", "part"))
