@@ -381,6 +381,7 @@ SELECT round(quantile_cont(CAST(actual_meur AS DOUBLE), 0.05), 6) AS threshold F
 """,
     "zscore_baseline": "SELECT country, year, zscore_net, h1_anomaly FROM h1 WHERE h1_anomaly = 1",
     "features": _FEATURES,
+    "features_by_range": _FEATURES,
     # Chart tables
     "net_drift_series": f"""
 SELECT country, year, net_position_meur / 1000.0 AS net_position_bn FROM h1 WHERE country IN {_DRIFT}

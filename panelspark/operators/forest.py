@@ -107,7 +107,7 @@ def forest_score(nodes: DataFrame, cols: Sequence[str]) -> Column:
     The node table has at most 2 * trees * sample rows, whatever the input: it is
     read once and travels with the scoring function.
     """
-    table = nodes.orderBy("tree", "node").toPandas()
+    table = nodes.toPandas().sort_values(["tree", "node"])
     parts = [part for _, part in table.groupby("tree", sort=True)]
     forest = [
         tuple(part[c].to_numpy() for c in ("feature", "cut", "left", "right", "length"))

@@ -23,7 +23,7 @@ from panelspark.session import materialize
 LEAF_ROWS = 4096
 _SAMPLE_PER_LEAF = 32
 _MAX_SAMPLE = 2_000_000
-_BLOCK = 2_000_000  # distances held at once in a task
+_BLOCK = 200_000  # distances held at once in a task; they stay in the cache
 
 _EDGE = "nbr bigint, d double, w bigint"
 _FOUND = f"id bigint, leaf int, x array<double>, m bigint, r double, nbrs array<struct<{_EDGE}>>, others array<int>"
@@ -245,7 +245,7 @@ def grow_tree(points: DataFrame, leaf_rows: int) -> Tree:
 
 
 def neighbour_graph(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Edges (id, nbr, d, w) to the k nearest rows of every point."""
+    """Edges (id, nbr, d, w) to the k nearest rows of every point, as a stored table."""
     tree = grow_tree(points, leaf_rows)
 
     @pandas_udf("int")
@@ -281,7 +281,7 @@ def neighbour_graph(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> Da
     nearer = Window.partitionBy("id").orderBy("d", "nbr").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("w").over(nearer), F.lit(0))
     taken = pooled.withColumn("w", F.least(F.col("w"), F.lit(k) - before)).where(F.col("w") > 0)
-    return settled.unionByName(taken)
+    return materialize(settled.unionByName(taken), "edges")
 
 
 def outlier_factors(edges: DataFrame) -> DataFrame:
@@ -317,8 +317,8 @@ def local_outlier_factor(
     order of their vectors.  ``df`` is read twice.
     """
     points = distinct_points(df, cols)
-    edges = materialize(neighbour_graph(points, k, leaf_rows), "edges")
-    scores = points.join(outlier_factors(edges), "id", "left").select("x", "lof")
+    factors = outlier_factors(neighbour_graph(points, k, leaf_rows))
+    scores = points.join(factors, "id", "left").select("x", "lof")
     scores = scores.withColumnsRenamed({"x": "_x", "lof": "lof_score"})
     x = F.array(*filled(cols))
     scored = df.withColumn("_x", x).join(scores, "_x", "left").drop("_x")

@@ -98,7 +98,7 @@ def keyed(cells: DataFrame) -> DataFrame:
 
 def parsed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return parse_sheets(
-        tables.cells(spark, folder),
+        materialize(tables.cells(spark, folder), "grid"),
         entities=tables.NATIONS,
         heading_rules=tables.HEADING_RULES,
         keys=tables.HEADER_KEYS,
@@ -239,7 +239,8 @@ def create_or_replace_table_as(spark, folder):
     return sinks.create_or_replace_table_as(
         raw,
         "panelspark_receipts",
-        "SELECT year, country, CAST(sum(actual_meur) AS DOUBLE) AS receipts_meur "
+        "SELECT year, country, "
+        "CAST(sum(CAST(actual_meur AS DECIMAL(18, 4))) AS DOUBLE) AS receipts_meur "
         "FROM panelspark_exp_ctas WHERE is_ngeu = 0 GROUP BY year, country",
     )
 
@@ -864,6 +865,12 @@ def features(spark, folder):
     return feats(spark, folder)
 
 
+@query
+def features_by_range(spark, folder):
+    """The same table with the series cut into ranges of two years."""
+    return build_features(exp(spark, folder), rev(spark, folder), chunk=2)
+
+
 # Chart tables ----------------------------------------------------------------------
 
 

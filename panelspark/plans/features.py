@@ -1,6 +1,6 @@
 """The feature table: heading level, entity level, series features, z-scores."""
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.exprs import (
     absorption_gap,
@@ -14,7 +14,7 @@ from panelspark.functions.exprs import (
     year_index,
 )
 from panelspark.operators.aggregates import pivot_revenue
-from panelspark.operators.series import lags, mean_of, zscore, zscore_over
+from panelspark.operators.series import attach, lags, mean_of, zscore, zscore_over
 from panelspark.schemas import FEATURES
 from panelspark.session import materialize
 
@@ -37,12 +37,22 @@ def heading_base(exp: DataFrame) -> DataFrame:
     )
 
 
-def entity_level(headings: DataFrame, rev_wide: DataFrame) -> DataFrame:
+def _per_country(df: DataFrame, measures: dict[str, Column], in_window: bool) -> DataFrame:
+    """Add aggregates per country: over a window, or grouped and joined back."""
+    if in_window:
+        country = Window.partitionBy("country")
+        return df.withColumns({name: agg.over(country) for name, agg in measures.items()})
+    stats = df.groupBy("country").agg(*[agg.alias(name) for name, agg in measures.items()])
+    return attach(df, stats, ["country"])
+
+
+def entity_level(headings: DataFrame, rev_wide: DataFrame, in_window: bool = True) -> DataFrame:
     """One row per (year, country): receipts, contributions, net position, z-score.
 
     The z-score of the net position averages over heading rows, so each year is
-    weighted by its number of headings.  Done here, the windows see one row per
-    year and country; on heading rows a country would be one large group.
+    weighted by its number of headings.  Done here, a country has one row per year
+    and fits a window; on heading rows it would be one large group.  With fine
+    periods pass ``in_window=False``.
     """
     receipts = headings.groupBy("year", "country").agg(
         F.sum("_receipts").cast("double").alias("receipts_meur"),
@@ -55,21 +65,21 @@ def entity_level(headings: DataFrame, rev_wide: DataFrame) -> DataFrame:
             "net_position_meur": net_position("receipts_meur", "total_contributions"),
         }
     )
-    country = Window.partitionBy("country")
+    if not in_window:
+        measured = materialize(measured, "entities")
     x = F.col("net_pct_gni")
     w = F.when(x.isNotNull(), F.col("_weight"))
-    n = F.sum(w).over(country)
-    # The rounded percentages are decimals, so the weighted mean is exact.
-    weighted = F.sum(x.cast("decimal(22,4)") * w.cast("decimal(12,0)")).over(country)
-    spread = F.max(x).over(country) - F.min(x).over(country)
-    with_mean = measured.withColumns(
-        {"_n": n, "_mean": safe_ratio(weighted, n), "_spread": spread}
-    )
-    squares = F.sum(w * (x - F.col("_mean")) * (x - F.col("_mean"))).over(country)
-    variance = safe_ratio(squares, F.col("_n") - 1)
-    std = F.when(F.col("_spread") > 0, F.sqrt(variance))
-    z = round_mul(safe_ratio(x - F.col("_mean"), std), 3)
-    return with_mean.withColumn("zscore_net", z).drop("_n", "_mean", "_spread", "_weight")
+    # The rounded percentages are decimals, so the weighted sum is exact.
+    weighted = F.sum(x.cast("decimal(22,4)") * w.cast("decimal(12,0)"))
+    sums = {"_n": F.sum(w), "_sum": weighted, "_low": F.min(x), "_high": F.max(x)}
+    known = _per_country(measured, sums, in_window)
+    known = known.withColumn("_mean", safe_ratio("_sum", "_n"))
+    gap = x - F.col("_mean")
+    known = _per_country(known, {"_squares": F.sum(w * gap * gap)}, in_window)
+    std = F.when(F.col("_high") > F.col("_low"), F.sqrt(safe_ratio("_squares", F.col("_n") - 1)))
+    z = round_mul(safe_ratio(gap, std), 3)
+    helpers = ["_weight", "_n", "_sum", "_low", "_high", "_mean", "_squares"]
+    return known.withColumn("zscore_net", z).drop(*helpers)
 
 
 def build_features(
@@ -82,7 +92,7 @@ def build_features(
     splits long series, see ``operators.series``.
     """
     headings = materialize(heading_base(exp), "headings")
-    entities = entity_level(headings, pivot_revenue(rev))
+    entities = entity_level(headings, pivot_revenue(rev), in_window=chunk is None)
     base = headings.drop("_receipts").join(entities, ["year", "country"], "left")
     base = base.withColumns(
         {
