@@ -332,8 +332,8 @@ SELECT CASE year WHEN 1996 THEN 'First' WHEN 1998 THEN 'Second' WHEN 2000 THEN '
   count(*) AS record_count FROM exp_raw GROUP BY 1
 """,
     "accession_cohort": """
-SELECT CASE WHEN k < 15 THEN 'EU15' WHEN k < 22 THEN 'EU25_ADD' WHEN k < 24 THEN 'EU27_ADD'
-  ELSE 'EU28_ADD' END AS cohort, count(*) AS record_count
+SELECT CASE WHEN k < 15 THEN 'EU15' WHEN k < 22 THEN 'EU25' WHEN k < 24 THEN 'EU27'
+  ELSE 'EU28' END AS cohort, count(*) AS record_count
 FROM (SELECT CAST(substring(country, 8) AS INT) AS k FROM exp_raw) q GROUP BY 1
 """,
     "net_status": f"""

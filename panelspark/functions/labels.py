@@ -7,9 +7,9 @@ from panelspark.functions.exprs import column
 # Countries by accession cohort.
 COHORTS = [
     ("EU15", ["BE", "DK", "DE", "EL", "ES", "FR", "IE", "IT", "LU", "NL", "AT", "PT", "FI", "SE", "UK"]),
-    ("EU25_ADD", ["CY", "CZ", "EE", "HU", "LT", "LV", "MT", "PL", "SI", "SK"]),
-    ("EU27_ADD", ["BG", "RO"]),
-    ("EU28_ADD", ["HR"]),
+    ("EU25", ["CY", "CZ", "EE", "HU", "LT", "LV", "MT", "PL", "SI", "SK"]),
+    ("EU27", ["BG", "RO"]),
+    ("EU28", ["HR"]),
 ]
 COUNTRIES = [country for _, members in COHORTS for country in members]
 

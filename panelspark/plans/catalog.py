@@ -31,9 +31,9 @@ QUERIES: dict[str, Query] = {}
 YEARS = list(range(1995, 2002))
 COHORTS = [
     ("EU15", [f"NATION_{i}" for i in range(15)]),
-    ("EU25_ADD", [f"NATION_{i}" for i in range(15, 22)]),
-    ("EU27_ADD", ["NATION_22", "NATION_23"]),
-    ("EU28_ADD", ["NATION_24"]),
+    ("EU25", [f"NATION_{i}" for i in range(15, 22)]),
+    ("EU27", ["NATION_22", "NATION_23"]),
+    ("EU28", ["NATION_24"]),
 ]
 PERIODS = [(1993, 1996, "1993-1996"), (1997, 1999, "1997-1999"), (2000, 2006, "2000-2006")]
 EVENTS = [(1996, "First"), (1998, "Second"), (2000, "Third")]

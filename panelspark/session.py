@@ -41,7 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/panelspark/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the application's own folder, which can go when it ends."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/panelspark/{run}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:

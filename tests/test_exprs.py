@@ -74,7 +74,7 @@ def test_flags_and_bands(spark):
         None, "2000-2006", "2007-2013", "2014-2020", "2021-2027"]
     assert _one(spark, labels.policy_event("y"), y=2008.0) == "Financial Crisis (2008)"
     assert [_one(spark, labels.accession_cohort("c"), c=c) for c in ("DE", "PL", "RO", "HR", "XX")] == [
-        "EU15", "EU25_ADD", "EU27_ADD", "EU28_ADD", None]
+        "EU15", "EU25", "EU27", "EU28", None]
     assert len(labels.COUNTRIES) == len(set(labels.COUNTRIES)) == 28
     text = labels.anomaly_label("c", F.lit(2010), "h")
     assert _one(spark, text, c="PL", h="Internal / Single Market") == "PL 2010\nInternal / Single Ma"
