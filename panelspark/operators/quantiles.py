@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ONE_TASK_ROWS = 1_000_000
+ONE_TASK_ROWS = 50_000
 _PER_OCTAVE = 1024
 _SLOTS = 1 << 20
 _LOWEST_EXPONENT = 1075.0

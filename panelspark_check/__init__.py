@@ -1,7 +1,7 @@
 """The registered queries as DuckDB SQL over the same tables, for the result check."""
 
-from oracle.base import WITH
-from oracle.texts import TEXTS
+from panelspark_check.base import WITH
+from panelspark_check.texts import TEXTS
 
 
 def oracle_sql() -> dict[str, str]:
