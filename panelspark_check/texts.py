@@ -280,9 +280,10 @@ WINDOW w AS (PARTITION BY country ORDER BY row_no)
     "zscore_absorption": "SELECT country, heading, year, zscore_absorption FROM features",
     "zscore_net": "SELECT country, heading, year, zscore_net FROM features",
     "zscore_lines": """
-SELECT row_no, round((x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0), 3) AS z
-FROM (SELECT row_no, heading, CAST(actual_meur AS DOUBLE) AS x FROM exp_raw) q
-WINDOW w AS (PARTITION BY heading)
+SELECT row_no, CASE WHEN z = 0 THEN 0.0 ELSE z END AS z FROM (
+  SELECT row_no, round((x - avg(x) OVER w) / nullif(stddev_samp(x) OVER w, 0), 3) AS z
+  FROM (SELECT row_no, heading, CAST(actual_meur AS DOUBLE) AS x FROM exp_raw) q
+  WINDOW w AS (PARTITION BY heading)) r
 """,
     "h1_drift": "SELECT country, year, net_position_lag1, net_position_change FROM h1",
     # Sorts, limits, top-k, sets
