@@ -82,37 +82,39 @@ def entity_level(headings: DataFrame, rev_wide: DataFrame, in_window: bool = Tru
     return known.withColumn("zscore_net", z).drop(*helpers)
 
 
-def build_features(
-    exp: DataFrame, rev: DataFrame, base_year: int = 2000, chunk: int | None = None
-) -> DataFrame:
-    """The 22-column feature table, one row per (year, country, heading).
+def series_level(headings: DataFrame, base_year: int, chunk: int | None) -> DataFrame:
+    """Absorption, earlier values and the z-score of the gap, per (country, heading).
 
-    The heading level is written down once: the raw rows are scanned once, and
-    both the entity level and the series features read the small result.  ``chunk``
-    splits long series, see ``operators.series``.
+    All of it needs the heading columns only, so it comes before the entity columns
+    are joined: the one shuffle carries narrow rows.
     """
-    headings = materialize(heading_base(exp), "headings")
-    entities = entity_level(headings, pivot_revenue(rev), in_window=chunk is None)
-    base = headings.drop("_receipts").join(entities, ["year", "country"], "left")
-    base = base.withColumns(
+    series = lags(headings, "actual_meur", SERIES, "year", 3, chunk=chunk).withColumns(
         {
             "absorption_gap_meur": absorption_gap("earmarked_meur", "actual_meur"),
             "absorption_rate_pct": absorption_rate("actual_meur", "earmarked_meur"),
             "year_index": year_index("year", base_year),
-        }
-    )
-    series = lags(base, "actual_meur", SERIES, "year", 3, chunk=chunk)
-    series = series.withColumns(
-        {
             "yoy_change": round_mul(F.col("actual_meur") - F.col("lag1"), 2),
             "roll_mean_3": mean_of(["lag1", "lag2", "lag3"]),
         }
     )
     if chunk is None:
         z = zscore_over("absorption_gap_meur", SERIES)
-        scored = series.withColumn("zscore_absorption", z)
-    else:
-        scored = zscore(
-            materialize(series, "series"), "absorption_gap_meur", SERIES, "zscore_absorption"
-        )
-    return scored.select(*[F.col(f.name).cast(f.dataType) for f in FEATURES.fields])
+        return series.withColumn("zscore_absorption", z)
+    stored = materialize(series, "series")
+    return zscore(stored, "absorption_gap_meur", SERIES, "zscore_absorption")
+
+
+def build_features(
+    exp: DataFrame, rev: DataFrame, base_year: int = 2000, chunk: int | None = None
+) -> DataFrame:
+    """The 22-column feature table, one row per (year, country, heading).
+
+    The heading level is written down once: the raw rows are scanned once, and
+    both the entity level and the series features read the small result.  ``chunk``
+    splits long series, see ``operators.series``.
+    """
+    headings = materialize(heading_base(exp), "headings")
+    entities = entity_level(headings, pivot_revenue(rev), in_window=chunk is None)
+    series = series_level(headings.drop("_receipts"), base_year, chunk)
+    found = series.join(entities, ["year", "country"], "left")
+    return found.select(*[F.col(f.name).cast(f.dataType) for f in FEATURES.fields])
