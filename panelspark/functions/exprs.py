@@ -35,7 +35,7 @@ def percent_of(part: Column | str, total: Column | str) -> Column:
 def money_units(c: Column | str) -> Column:
     """The amount as a whole number of 0.0001, rounded half away from zero.
 
-    An amount too large for that fails the job instead of wrapping around.
+    In ANSI mode, the default, an amount too large for that fails the job.
     """
     scaled = column(c).cast("double") * F.lit(float(10**DIGITS))
     half = F.when(scaled < 0, -0.5).otherwise(0.5)
@@ -52,7 +52,7 @@ def exact_sum_decimal(c: Column | str) -> Column:
 
     Units are summed as two integers, the high and the low bits.  That keeps the
     aggregation on primitive buffers, several times faster in a trial than a decimal
-    sum, and leaves room for 2^43 rows in a group; an overflow fails the job.
+    sum, and leaves room for 2^43 rows in a group; in ANSI mode an overflow fails the job.
     """
     units = money_units(c)
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
