@@ -68,6 +68,42 @@ def sorted_groups(
         yield held_key, pa.Table.from_batches(held)
 
 
+def sorted_runs(
+    batches: Iterator[pa.RecordBatch], keys: list[str], values: list[str]
+) -> Iterator[list[np.ndarray]]:
+    """Like ``sorted_groups`` for number columns: the value arrays of each run of two rows or more."""
+    held: list[list[np.ndarray]] = []
+    held_key: tuple = ()
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(x) for x in zip(*held, strict=True)]
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        arrays = [batch.column(v).to_numpy(zero_copy_only=False) for v in values]
+        change = np.zeros(n, dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        if held and held_key != tuple(c[0] for c in columns):
+            yield from [run for run in [joined()] if len(run[0]) > 1]
+            held = []
+        for a, b in zip(cuts[:-2], cuts[1:-1], strict=True):
+            if held:
+                held.append([x[a:b] for x in arrays])
+                yield joined()
+                held = []
+            elif b - a > 1:
+                yield [x[a:b] for x in arrays]
+        held.append([x[cuts[-2] :] for x in arrays])
+        held_key = tuple(c[-1] for c in columns)
+    if held:
+        yield from [run for run in [joined()] if len(run[0]) > 1]
+
+
 def text_batches(
     batches: Iterator[pa.RecordBatch], column: str = "text"
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import sorted_groups, text_batches
+from panelspark.llm.common import sorted_runs, text_batches
 from panelspark.llm.components import component_roots
 from panelspark.session import materialize
 
@@ -100,45 +100,46 @@ def _stars(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
-def links(fps: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
-    """Links (u, v) between distinct fingerprints that connect all within ``bits``.
+def _dealt(rows: DataFrame, bits: int, blocks: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` (with fp) once for every block key that another row shares, and the group keys.
 
-    Values that share a block key are compared in one group; a group over ``CHUNK``
-    values is dealt into chunks, and each pair of chunks is a group of its own.  So no
-    task gets an unbounded group and no list of all pairs is made.
+    A group of more than ``CHUNK`` rows is dealt into chunks and each pair of chunks is a
+    group of its own, so no task gets an unbounded group.
     """
     if not 0 <= bits < blocks <= 64:
         raise ValueError("bits must be below blocks")
-    masks = _masks(bits, blocks)
-    keyed = fps.select(
-        "fp",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
-                    for i, m in enumerate(masks)
-                ]
-            )
-        ).alias("k"),
-    ).select("fp", "k.t", "k.key")
+    keys = [
+        F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"))
+        for i, m in enumerate(_masks(bits, blocks))
+    ]
+    keyed = rows.withColumn("k", F.explode(F.array(*keys))).select(*rows.columns, "k.t", "k.key")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
     dealt = (
         keyed.join(shared, ["t", "key"])
         .withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64(*rows.columns), F.col("m")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("t", "key", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), "fp")
+        .select("t", "key", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), *rows.columns)
     )
-    keys = ["t", "key", "a", "b"]
+    names = ["t", "key", "a", "b"]
+    return dealt.repartition(*names).sortWithinPartitions(*names), names
+
+
+def links(fps: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
+    """Links (u, v) between distinct fingerprints that connect all within ``bits``.
+
+    Values that share a block key are compared in one group; what is connected in a group
+    is linked to its smallest value, so no list of all pairs is made.
+    """
+    dealt, names = _dealt(fps.select("fp"), bits, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in sorted_groups(batches, keys):
-            u, v = _stars(rows.column("fp").to_numpy(), bits)
+        for (values,) in sorted_runs(batches, names, ["fp"]):
+            u, v = _stars(values, bits)
             if len(u):
                 yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    found = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
-    return found.distinct()
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: int = 6) -> DataFrame:
@@ -161,13 +162,121 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: in
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: int = 6) -> DataFrame:
-    """One document of each component: all columns of the row with the smallest doc_id.
+def _near(fps: np.ndarray, i: int, j: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, distance) of the pairs within ``bits`` between rows i to j and all."""
+    far = np.bitwise_count((fps[i:j, None] ^ fps[None, :]).view(np.uint64))
+    row, column = np.nonzero(far <= bits)
+    return row + i, column, far[row, column]
+
+
+def _proposals(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(u, v) with u > v: for each id of a group its smallest and its closest smaller partner."""
+    dealt, names = _dealt(rows, bits, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, ids in sorted_runs(batches, names, ["fp", "id"]):
+            order = np.argsort(ids)
+            fps, ids = fps[order], ids[order]
+            step = max(1, 1_000_000 // len(ids))
+            for i in range(0, len(ids), step):
+                row, column, far = _near(fps, i, i + step, bits)
+                below = column < row
+                row, column, far = row[below], column[below], far[below]
+                if not len(row):
+                    continue
+                heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                nearest = np.minimum.reduceat(far.astype(np.int64) * len(ids) + column, heads) % len(ids)
+                u = np.repeat(ids[row[heads]], 2)
+                v = ids[np.stack((column[heads], nearest), axis=1).ravel()]
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _crossing(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+    """(u, v) with u > v: all pairs of a group that different labels keep apart."""
+    dealt, names = _dealt(rows, bits, blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for fps, ids, labels in sorted_runs(batches, names, ["fp", "id", "label"]):
+            if (labels == labels[0]).all():
+                continue
+            step = max(1, 1_000_000 // len(ids))
+            for i in range(0, len(ids), step):
+                row, column, _ = _near(fps, i, i + step, bits)
+                apart = (labels[row] != labels[column]) & (ids[row] > ids[column])
+                if apart.any():
+                    yield pa.record_batch([pa.array(ids[row[apart]]), pa.array(ids[column[apart]])], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of ids whose word shingle sets have the similarity ``percent``.
+
+    Sets are compared by 32-bit hashes; two texts without words are alike.
+    """
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in text_batches(batches):
+            sets = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in found]
+            yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = (np.frombuffer(s.as_buffer(), "<u4") for s in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    sets = materialize(texts.join(needed, "id").mapInArrow(shorten, "id long, set binary"), "shingle-sets")
+    left, right = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, bits: int = 6, blocks: int = 8) -> DataFrame:
+    """(doc_id, component_id): groups of texts whose shingle sets are ``percent`` alike.
+
+    Fingerprints are those of a text's set of words, in which near copies differ by few
+    bits and unrelated texts by many; candidates within ``bits`` are verified on sets of
+    ``shingle`` words.  Equal texts are one.  First each text is compared with its smallest
+    and its closest smaller candidate, then all candidates that are not in one group by
+    then, so that every link counts and no list of all pairs of a group is made.  Rows
+    without a doc_id are left out; null text is empty.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in text_batches(batches):
+            fps = [fingerprint(np.unique(shingle_hashes(t, 1))) for t in texts]
+            same = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
+
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    marked = materialize(rows.mapInArrow(mark, "doc_id long, fp long, same binary"), "fingerprints")
+    firsts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "texts")
+    texts = rows.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    one = firsts.select("id", "fp")
+    tried = materialize(_proposals(one, bits, blocks), "candidates")
+    found = materialize(_verified(tried, texts, shingle, percent), "links")
+    roots = component_roots(found)
+    labelled = one.join(roots, one["id"] == roots["u"], "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
+    rest = materialize(_crossing(materialize(labelled, "labels"), bits, blocks).join(tried, ["u", "v"], "left_anti"), "candidates")
+    more = materialize(_verified(rest, texts, shingle, percent), "links")
+    roots = component_roots(found.union(more))
+    named = firsts.join(roots, firsts["id"] == roots["u"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
+    return marked.join(named, "same").select("doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, bits: int = 6, blocks: int = 8) -> DataFrame:
+    """One document of each group of near copies: all columns of the row with the smallest doc_id.
 
     Of repeated rows with that doc_id one stays; rows without a doc_id stay as they are.
     """
-    marked = near_duplicates(docs, shingle, bits, blocks)
-    dropped = marked.filter("doc_id != component_id").select("doc_id").distinct()
+    groups = near_copies(docs, shingle, percent, bits, blocks)
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     named = docs.filter("doc_id IS NOT NULL")
-    kept = named.join(dropped.withColumnRenamed("doc_id", "__dropped"), F.col("doc_id") == F.col("__dropped"), "left_anti")
+    kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))
