@@ -21,15 +21,16 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.bwt import shared_windows
 from panelspark.llm.common import arrow_schema, record, sorted_groups
+from panelspark.session import materialize
 
 WIDTH = 50
 SEED = 8
 #: Bytes of text that are cut together in a map task.
-CUT_BYTES = 4_000_000
+CUT_BYTES = 1_500_000
 #: Bytes of text for which there is a bucket.
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 1_500_000
 #: Strings of one collection, unless a single seed has more.
-COLLECTION = 60_000
+COLLECTION = 30_000
 _SHORT = 24  # low bits of a window's key: its place
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -151,7 +152,7 @@ def _pieces(docs: DataFrame, buckets: int) -> DataFrame:
                 continue
             head = np.array([len(rows)], "<i8").tobytes()
             meta = b"".join(
-                (np.diff(owner[rows], prepend=0).astype("<i8").tobytes(), at[rows].astype("<i8").tobytes(), length[rows].astype(np.uint8).tobytes(), anchor[rows].astype(np.uint8).tobytes())
+                (np.diff(owner[rows], prepend=0).astype("<i8").tobytes(), np.diff(at[rows], prepend=0).astype("<i8").tobytes(), length[rows].astype(np.uint8).tobytes(), anchor[rows].astype(np.uint8).tobytes())
             )
             named.append(int(bucket[rows[0]]))
             packed.append(press.compress(head + meta + _gather(data, start[rows], length[rows]).tobytes()))
@@ -165,7 +166,7 @@ def _pieces(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = text.as_buffer()
-                size = len(raw) if raw is not None else 0
+                size = len(raw) if raw is not None and doc is not None else 0
                 for a in range(0, max(1, size - WIDTH + 1), CUT_BYTES):
                     part = bytes(raw[a : a + CUT_BYTES + WIDTH - 1]) if size >= WIDTH else b""
                     if part:
@@ -177,8 +178,9 @@ def _pieces(docs: DataFrame, buckets: int) -> DataFrame:
         if units:
             yield from portion(units)
 
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, _PIECES)
+    # rows without an id or a text are passed over in the task: a filter here would keep
+    # Spark from using the shuffle of the texts again
+    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
 
 
 def _unpack(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
@@ -191,7 +193,7 @@ def _unpack(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
         parts.append(
             (
                 np.cumsum(np.frombuffer(raw, "<i8", n, 8)),
-                np.frombuffer(raw, "<i8", n, 8 + 8 * n),
+                np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n)),
                 np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64),
                 np.frombuffer(raw, np.uint8, n, 8 + 17 * n).astype(np.int64),
                 np.frombuffer(raw, np.uint8, offset=8 + 18 * n),
@@ -274,14 +276,21 @@ def _judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield _spans(owner[rows], at[rows] + run_at[which], run_len[which])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copy): true for documents whose whole text a smaller document has too, by MD5."""
+    marked = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("long"), F.unhex(F.md5("text")).alias("h"))
+    firsts = marked.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = marked.join(firsts, "h").filter("doc_id > first").select("doc_id", F.lit(True).alias("copy"))
+    return materialize(copies.distinct(), "copies")
+
+
+def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     """(doc_id, span): stretches, start * 128 + length, covered by windows of smaller documents.
 
     They overlap and come in no order; together they cover exactly the bytes that lie in a
     ``WIDTH``-byte window which also starts in a document with a smaller doc_id.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(total // BUCKET_BYTES))
+    buckets = max(8, int(total_bytes // BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in sorted_groups(batches, ["bucket"]):
@@ -306,7 +315,8 @@ def remove_repeats(docs: DataFrame, derive, schema: str) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, ...) a row of ``docs``; ``derive(kept bytes)`` gives the rest.
 
     Null text is empty.  A doc_id names one text: repeated rows with it are the same
-    document and lose the same bytes.  Rows without a doc_id lose nothing.
+    document and lose the same bytes.  Rows without a doc_id lose nothing.  Exact copies of
+    a smaller document fall as a whole and are not cut.
     """
     full = f"doc_id long, n_bytes long, n_removed long, n_spans long, {schema}"
     target = arrow_schema(full)
@@ -314,10 +324,13 @@ def remove_repeats(docs: DataFrame, derive, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), strict=True):
+            columns = (batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans"), batch.column("copy").to_pylist())
+            for doc, text, spans, copy in zip(*columns, strict=True):
                 raw = (text.as_buffer() or b"") if text.is_valid else b""
                 size, kept, removed, n = len(raw), bytes(raw), 0, 0
-                if spans.is_valid:
+                if copy and size >= WIDTH:
+                    kept, removed, n = b"", size, 1
+                elif spans.is_valid:
                     starts, stops = covered(spans.values.to_numpy(), size)
                     removed, n = int((stops - starts).sum()), len(starts)
                     cuts = zip([0, *stops.tolist()], [*starts.tolist(), size], strict=True)
@@ -326,6 +339,9 @@ def remove_repeats(docs: DataFrame, derive, schema: str) -> DataFrame:
             if out:
                 yield record(out, target)
 
-    spans = repeated_spans(docs).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(spans, "doc_id", "left")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, full)
+    # both branches shuffle the texts by doc_id in the same way, so that happens once
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(exact_copies(docs), "doc_id", "left")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    spans = repeated_spans(texts.filter("copy IS NULL"), total).groupBy("doc_id").agg(F.collect_list("span").alias("spans"))
+    rows = texts.join(spans, "doc_id", "left")
+    return rows.select("doc_id", "text", "spans", "copy").mapInArrow(run, full)
