@@ -26,7 +26,7 @@ from panelspark.session import materialize
 WIDTH = 50
 SEED = 8
 #: Bytes of text that are cut together in a map task.
-CUT_BYTES = 1_500_000
+CUT_BYTES = 2_500_000
 #: Bytes of text for which there is a bucket.
 BUCKET_BYTES = 1_500_000
 #: Strings of one collection, unless a single seed has more.
@@ -78,13 +78,15 @@ def cut(data: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data) - WIDTH + 1
     at = np.arange(len(data) - SEED + 1)
     seeds = hasher(at, at + SEED)
-    low = (seeds & ~np.uint64((1 << _SHORT) - 1)) | at.astype(np.uint64)
+    low = (seeds & ~np.uint64((1 << _SHORT) - 1)) | at.view(np.uint64)
+    del at
     span, covered = WIDTH - SEED + 1, 1
     while 2 * covered <= span:
         low = np.minimum(low[:-covered], low[covered:])
         covered *= 2
     low = np.minimum(low[:n], low[span - covered : span - covered + n])
-    place = (low & np.uint64((1 << _SHORT) - 1)).astype(np.int64)
+    place = (low & np.uint64((1 << _SHORT) - 1)).astype(np.int32)
+    del low
     starts = np.concatenate(([0], unit_ends[:-1]))
     last = np.repeat(unit_ends - WIDTH, unit_ends - starts)[:n]
     valid = np.arange(n) <= last
@@ -111,6 +113,17 @@ def _string_keys(hasher: _Hasher, start: np.ndarray, length: np.ndarray, anchor:
     return hasher(start, start + length) ^ (anchor.astype(np.uint64) << np.uint64(8))
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Differences of 64-bit integers, their first bytes first: what is zero packs to nothing."""
+    gaps = np.diff(values, prepend=0).astype("<i8")
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
 def _spans(docs: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(docs, pa.int64()), pa.array(start * 128 + length, pa.int64())], ["doc_id", "span"])
 
@@ -139,20 +152,22 @@ def _pieces(docs: DataFrame, buckets: int) -> DataFrame:
         bucket = (_scramble(seed) % np.uint64(buckets)).astype(np.int32)
         if falls.any():
             m = int(falls.sum())
+            # these need no bucket of their own; by document they spread evenly
+            spread = (_scramble(owner[falls].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[falls]), pa.array(owner[falls]), pa.array(at[falls] * 128 + length[falls]), pa.nulls(m, pa.binary())], schema=_PIECE_SCHEMA
+                [pa.array(spread), pa.array(owner[falls]), pa.array(at[falls] * 128 + length[falls]), pa.nulls(m, pa.binary())], schema=_PIECE_SCHEMA
             )
         stays = np.flatnonzero(~falls)
         stays = stays[np.argsort(bucket[stays], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[stays])) + 1
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         named, packed = [], []
         for rows in np.split(stays, cuts):
             if not len(rows):
                 continue
             head = np.array([len(rows)], "<i8").tobytes()
             meta = b"".join(
-                (np.diff(owner[rows], prepend=0).astype("<i8").tobytes(), np.diff(at[rows], prepend=0).astype("<i8").tobytes(), length[rows].astype(np.uint8).tobytes(), anchor[rows].astype(np.uint8).tobytes())
+                (_planes(owner[rows]), _planes(at[rows]), length[rows].astype(np.uint8).tobytes(), anchor[rows].astype(np.uint8).tobytes())
             )
             named.append(int(bucket[rows[0]]))
             packed.append(press.compress(head + meta + _gather(data, start[rows], length[rows]).tobytes()))
@@ -192,8 +207,8 @@ def _unpack(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         parts.append(
             (
-                np.cumsum(np.frombuffer(raw, "<i8", n, 8)),
-                np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n)),
+                _from_planes(raw, n, 8),
+                _from_planes(raw, n, 8 + 8 * n),
                 np.frombuffer(raw, np.uint8, n, 8 + 16 * n).astype(np.int64),
                 np.frombuffer(raw, np.uint8, n, 8 + 17 * n).astype(np.int64),
                 np.frombuffer(raw, np.uint8, offset=8 + 18 * n),
