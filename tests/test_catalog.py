@@ -5,10 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+import panelspark_check
 from compare import connect, differences
+from panelspark.plans import catalog
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, TEXTS = contract.queries(), contract.oracle_sql()
+QUERIES, TEXTS = catalog.QUERIES, panelspark_check.oracle_sql()
 ROWS_ONLY = {"isolation_forest", "absorption_anomalies", "format_now"}
 
 
@@ -20,6 +22,8 @@ def con():
 def test_all_but_the_forest_and_the_clock_are_checked():
     assert set(QUERIES) - set(TEXTS) == ROWS_ONLY
     assert set(TEXTS) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
 def test_entry(spark):
