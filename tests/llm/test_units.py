@@ -25,7 +25,7 @@ def test_escapes_round_trip(text):
 
 
 @given(st.lists(st.tuples(TEXT, TEXT), max_size=100))
-@settings(max_examples=30)
+@settings(max_examples=30, deadline=None)
 def test_windows_render_like_the_whole(turns):
     found = list(chat.format_stream(chat.marked_turns, iter(turns)))
     assert "".join(s for _, _, s in found) == chat.marked_turns(turns)
@@ -80,7 +80,7 @@ def test_cut_holds_every_window_once():
 
 
 @given(st.text(max_size=60), st.integers(1, 5))
-@settings(max_examples=60)
+@settings(max_examples=60, deadline=None)
 def test_fingerprints(text, size):
     assert fingerprint(shingle_hashes(text, size)) & (1 << 64) - 1 == brute.fingerprint(text, size)
 
@@ -98,7 +98,7 @@ def test_masks_leave_close_pairs_a_key():
 
 
 def test_stars_connect_chains():
-    values = np.array([0, 0b111, 0b111111, 1 << 40], np.int64)
+    values = np.array([0, 0b111, 0b111111, 0b1111 << 40], np.int64)
     u, v = _stars(values, 3)
     assert sorted(zip(u.tolist(), v.tolist(), strict=True)) == [(0b111, 0), (0b111111, 0)]
 
@@ -114,7 +114,7 @@ def test_bitmaps_round_trip():
 
 
 @given(st.text(max_size=80))
-@settings(max_examples=150)
+@settings(max_examples=150, deadline=None)
 def test_piecewise_encoding_equals_the_library(text):
     from tokenizers import Tokenizer
 
