@@ -232,7 +232,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = materialize(texts.join(needed, "id").mapInArrow(shorten, "id long, set binary"), "shingle-sets")
+    # repeated rows go after the join, when they are few: before it all texts would move
+    sets = texts.join(needed, "id").mapInArrow(shorten, "id long, set binary").dropDuplicates(["id"])
+    sets = materialize(sets, "shingle-sets")
     left, right = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
@@ -257,7 +259,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, bits: int
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     marked = materialize(rows.mapInArrow(mark, "doc_id long, fp long, same binary"), "fingerprints")
     firsts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "texts")
-    texts = rows.select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    texts = rows.select(F.col("doc_id").alias("id"), "text")
     one = firsts.select("id", "fp")
     tried = materialize(_proposals(one, bits, blocks), "candidates")
     found = materialize(_verified(tried, texts, shingle, percent), "links")
