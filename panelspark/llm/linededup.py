@@ -154,6 +154,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, derive, schema: str) -> D
     """(doc_id, n_lines, n_dropped, ...) a row of ``docs``; ``derive(kept text)`` gives the rest.
 
     Null or empty text is one empty line.  If all lines fall, the kept text is empty.
+    The bitmaps grow with the documents, so both sides are always sorted and merged.
     """
     full = f"doc_id long, n_lines long, n_dropped long, {schema}"
     target = arrow_schema(full)
@@ -169,5 +170,5 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, derive, schema: str) -> D
                 out.append((doc, n, n - int(bits.sum()) if keep else 0, *derive(text)))
             yield record(out, target)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(bitmaps, "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(bitmaps.hint("merge"), "doc_id", "left")
     return rows.select("doc_id", "text", "keep").mapInArrow(run, full)
