@@ -4,9 +4,9 @@ from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
-# Amounts carry four digits after the point.
-DIGITS = 4
 _LOW_BITS = 20
+# Up to here a double times a power of ten finds its whole number again.
+_EXACT_UNITS = 2e15
 
 
 def column(c: Column | str) -> Column:
@@ -32,42 +32,56 @@ def percent_of(part: Column | str, total: Column | str) -> Column:
     return safe_ratio(column(part).cast("double") * F.lit(100.0), total)
 
 
-def money_units(c: Column | str) -> Column:
-    """The amount as a whole number of 0.0001, rounded half away from zero.
-
-    In ANSI mode, the default, an amount too large for that fails the job.
-    """
-    scaled = column(c).cast("double") * F.lit(float(10**DIGITS))
-    half = F.when(scaled < 0, -0.5).otherwise(0.5)
-    return (scaled + half).cast("bigint")
+def _units(v: Column, digits: int) -> Column:
+    half = F.when(v < 0, -0.5).otherwise(0.5)
+    return (v * F.lit(float(10**digits)) + half).cast("bigint")
 
 
-def money(c: Column | str) -> Column:
-    """The amount rounded to four digits, as a double."""
-    return money_units(c).cast("double") / F.lit(float(10**DIGITS))
+def round_amount(c: Column | str, digits: int) -> Column:
+    """The amount rounded half away from zero to ``digits``, for values below 9.2e18 units."""
+    return _units(column(c).cast("double"), digits).cast("double") / F.lit(float(10**digits))
 
 
-def exact_sum_decimal(c: Column | str) -> Column:
-    """Sum of amounts as a decimal: exact, whatever order the tasks finish in.
+def exact_sum_decimal(c: Column | str, digits: int) -> Column:
+    """Sum of values with at most ``digits`` (0 to 6) decimals: exact in any task order.
 
-    Units are summed as two integers, the high and the low bits.  That keeps the
-    aggregation on primitive buffers, several times faster in a trial than a decimal
-    sum, and leaves room for 2^43 rows in a group; in ANSI mode an overflow fails the job.
+    Nothing is rounded: a value with further decimals fails the job.  Values whose units
+    a double holds exactly are added as two integers, the high and the low bits, which keeps
+    the aggregation on primitive buffers; larger ones are added as decimals of 38 digits.
     """
-    units = money_units(c)
+    if not 0 <= digits <= 6:
+        raise ValueError("digits must lie between 0 and 6")
+    v = column(c).cast("double")
+    kind = f"decimal(38,{digits})"
+    off_grid = F.raise_error(F.concat(F.lit(f"more than {digits} decimals: "), v.cast("string")))
+    small = F.abs(v) < F.lit(_EXACT_UNITS / 10**digits)
+    whole = F.when(small, _units(v, digits))
+    same = whole.cast("double") / F.lit(float(10**digits)) == v
+    units = F.when(small, F.when(same, whole).otherwise(off_grid.cast("bigint")))
+    wide = F.when(~small, v.cast(kind))
+    rest = F.sum(F.when(~small, F.when(wide.cast("double") == v, wide).otherwise(off_grid.cast(kind))))
     high = F.sum(F.shiftright(units, _LOW_BITS)).cast("decimal(19,0)")
     low = F.sum(units.bitwiseAND(F.lit((1 << _LOW_BITS) - 1))).cast("decimal(19,0)")
-    total = high * F.lit(Decimal(1 << _LOW_BITS)) + low
-    return (total * F.lit(Decimal(1).scaleb(-DIGITS))).cast(f"decimal(32,{DIGITS})")
+    total = (high * F.lit(Decimal(1 << _LOW_BITS)) + low) * F.lit(Decimal(1).scaleb(-digits))
+    both = F.when(rest.isNull(), total).when(total.isNull(), rest).otherwise(total + rest)
+    return both.cast(kind)
+
+
+def exact_sum(c: Column | str, digits: int) -> Column:
+    return exact_sum_decimal(c, digits).cast("double")
 
 
-def exact_sum(c: Column | str) -> Column:
-    return exact_sum_decimal(c).cast("double")
+def total_of(c: Column | str, digits: int | None = None) -> Column:
+    """Sum as a double: plain, or exact where the caller declares the decimals."""
+    return F.sum(column(c).cast("double")) if digits is None else exact_sum(c, digits)
 
 
-def exact_avg(c: Column | str) -> Column:
+def mean_of_rows(c: Column | str, digits: int | None = None) -> Column:
+    """Mean as a double: plain, or from the exact sum where the decimals are declared."""
     c = column(c)
-    return exact_sum(c) / F.nullif(F.count(c).cast("double"), F.lit(0.0))
+    if digits is None:
+        return F.avg(c.cast("double"))
+    return exact_sum(c, digits) / F.nullif(F.count(c).cast("double"), F.lit(0.0))
 
 
 def net_position(receipts: Column | str, contributions: Column | str) -> Column:

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.crosswalk import METRICS
-from panelspark.functions.exprs import exact_avg, exact_sum, percent_of
+from panelspark.functions.exprs import mean_of_rows, percent_of, total_of
 
 HEADING_KEYS = ("year", "country", "heading")
 ENTITY_KEYS = ("year", "country")
@@ -16,9 +16,13 @@ def heading_level(
     keys: Sequence[str] = HEADING_KEYS,
     measures: Sequence[str] = ("actual_meur", "earmarked_meur"),
     flags: Sequence[str] = ("is_ngeu", "is_preliminary"),
+    digits: int | None = None,
 ) -> DataFrame:
-    """Sum the measures and take the maximum of the flags per key."""
-    sums = [exact_sum(c).alias(c) for c in measures]
+    """Sum the measures and take the maximum of the flags per key.
+
+    With ``digits``, the decimals of the measures, sums are exact and order-free.
+    """
+    sums = [total_of(c, digits).alias(c) for c in measures]
     tops = [F.max(c).alias(c) for c in flags]
     return exp.groupBy(*keys).agg(*sums, *tops)
 
@@ -33,9 +37,10 @@ def total_receipts(
     flag: str = "is_ngeu",
     value: str = "actual_meur",
     out: str = "receipts_meur",
+    digits: int | None = None,
 ) -> DataFrame:
     """Sum of the rows that do not carry the flag themselves."""
-    return exclude_flagged(exp, flag).groupBy(*keys).agg(exact_sum(value).alias(out))
+    return exclude_flagged(exp, flag).groupBy(*keys).agg(total_of(value, digits).alias(out))
 
 
 def pivot_first(
@@ -94,10 +99,13 @@ def coverage_summary(coverage: DataFrame) -> DataFrame:
 
 
 def heading_distribution(
-    df: DataFrame, heading: str = "heading", value: str = "actual_meur"
+    df: DataFrame,
+    heading: str = "heading",
+    value: str = "actual_meur",
+    digits: int | None = None,
 ) -> DataFrame:
     return df.groupBy(heading).agg(
-        F.count("*").alias("record_count"), exact_avg(value).alias("avg_amount")
+        F.count("*").alias("record_count"), mean_of_rows(value, digits).alias("avg_amount")
     )
 
 
@@ -120,13 +128,19 @@ def min_records_check(df: DataFrame, period: str = "year", n: int = 50) -> DataF
 
 
 def total_by_year_bn(
-    df: DataFrame, period: str = "year", value: str = "actual_meur", out: str = "total_bn"
+    df: DataFrame,
+    period: str = "year",
+    value: str = "actual_meur",
+    out: str = "total_bn",
+    digits: int | None = None,
 ) -> DataFrame:
-    return df.groupBy(period).agg((exact_sum(value) / F.lit(1000.0)).alias(out))
+    return df.groupBy(period).agg((total_of(value, digits) / F.lit(1000.0)).alias(out))
 
 
-def mean_by(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    return df.groupBy(key).agg(exact_avg(value).alias(out))
+def mean_by(
+    df: DataFrame, key: str, value: str, out: str, digits: int | None = None
+) -> DataFrame:
+    return df.groupBy(key).agg(mean_of_rows(value, digits).alias(out))
 
 
 def sum_flag_by(df: DataFrame, flag: str, *keys: str, out: str = "anomaly_count") -> DataFrame:

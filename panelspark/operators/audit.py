@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from panelspark.functions.exprs import exact_avg, percent_of, round_mul
+from panelspark.functions.exprs import mean_of_rows, percent_of, round_mul
 from panelspark.operators.quantiles import exact_quantiles
 
 Rule = tuple[str, Column]
@@ -73,10 +73,12 @@ def quartiles(df: DataFrame, col: str, accuracy: int | None = None) -> DataFrame
     )
 
 
-def amount_stats(df: DataFrame, col: str, accuracy: int | None = None) -> DataFrame:
+def amount_stats(
+    df: DataFrame, col: str, accuracy: int | None = None, digits: int | None = None
+) -> DataFrame:
     """One row: mean, sample stddev, min, max, q25, median, q75."""
     moments = df.agg(
-        exact_avg(col).alias("mean"),
+        mean_of_rows(col, digits).alias("mean"),
         F.stddev_samp(col).alias("stddev"),
         F.min(col).cast("double").alias("min"),
         F.max(col).cast("double").alias("max"),
@@ -101,13 +103,17 @@ def fences(stats: DataFrame, k: float = 3.0) -> DataFrame:
 
 
 def iqr_outliers(
-    df: DataFrame, col: str, k: float = 3.0, accuracy: int | None = None
+    df: DataFrame,
+    col: str,
+    k: float = 3.0,
+    accuracy: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """One row: the stats, the fences, and the rows outside them.
 
     The fences reach the scan as one scalar subquery: a filter, no join.
     """
-    bounds = fences(amount_stats(df, col, accuracy), k)
+    bounds = fences(amount_stats(df, col, accuracy, digits), k)
     fence = bounds.select(F.struct(*bounds.columns)).scalar()
     outside = (F.col(col) < fence["lower_bound"]) | (F.col(col) > fence["upper_bound"])
     counts = df.agg(F.count_if(outside).alias("outlier_count"), F.count("*").alias("_n"))

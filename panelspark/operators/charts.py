@@ -49,14 +49,14 @@ def anomaly_grid(scored: DataFrame, flag: str, years: Sequence[int]) -> DataFram
     return period_grid(scored, "country", "year", years, value=flag)
 
 
-def mean_rate_by_heading(scored: DataFrame) -> DataFrame:
-    return mean_by(scored, "heading", "absorption_rate_pct", "mean_rate_pct")
+def mean_rate_by_heading(scored: DataFrame, digits: int | None = None) -> DataFrame:
+    return mean_by(scored, "heading", "absorption_rate_pct", "mean_rate_pct", digits)
 
 
 def top_anomalies(
     scored: DataFrame, score: str, n: int = 10, ascending: bool = True
 ) -> DataFrame:
-    """The ``n`` most abnormal rows with the label the chart shows."""
+    """The ``n`` most abnormal rows with the label the chart shows; descending, the most normal."""
     best = top_k_scores(scored, score, n, ascending)
     return best.select(*KEYS, score, anomaly_label("country", "year", "heading").alias("label"))
 

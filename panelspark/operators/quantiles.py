@@ -1,8 +1,8 @@
-"""Exact quantiles of a column that is too large for one task.
+"""Exact quantiles of a column of any size, by one method.
 
-A global ``percentile`` merges every distinct value in one task, which is fine up
-to a checked number of rows.  Beyond it the value axis is narrowed instead: each pass counts rows per slot of an order-preserving
-slot number, partial sums first, and keeps the slot that holds the wanted rank.
+A global ``percentile`` merges every distinct value in one task.  Here the value axis is
+narrowed instead: each pass counts rows per slot of an order-preserving slot number,
+partial sums first, and keeps the slot that holds the wanted rank.
 After the logarithmic slots and one linear refinement a slot spans at most 2^22
 neighbouring doubles, which the last pass counts one by one.  Every pass moves at
 most (number of quantiles) x (number of slots) counts into a task, whatever the
@@ -13,23 +13,27 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-ONE_TASK_ROWS = 50_000
 _PER_OCTAVE = 1024
 _SLOTS = 1 << 20
 _LOWEST_EXPONENT = 1075.0
+_END_SLOT = 1 << 22
 
 
 def _log_slot(v: Column) -> Column:
-    """Monotone slot number: 1024 slots per power of two, mirrored for negatives."""
+    """Monotone slot number: 1024 slots per power of two, mirrored for negatives.
+
+    The infinities have a slot each at the ends.
+    """
     size = F.floor((F.log2(F.abs(v)) + F.lit(_LOWEST_EXPONENT)) * F.lit(float(_PER_OCTAVE))) + 1
+    size = F.when(F.abs(v) == F.lit(float("inf")), _END_SLOT).otherwise(size)
     slot = F.when(v > 0, size).when(v < 0, -size).otherwise(0)
     return slot.cast("long")
 
 
 def _linear_slot(v: Column, low: Column, high: Column) -> Column:
     """Monotone slot number between the smallest and largest value of a slot."""
-    share = (v - low) / F.nullif(high - low, F.lit(0.0))
-    return F.floor(F.coalesce(share, F.lit(0.0)) * F.lit(float(_SLOTS))).cast("long")
+    share = F.when(high > low, (v - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.0)
+    return F.floor(share * F.lit(float(_SLOTS))).cast("long")
 
 
 def _ranks(qs: Sequence[float], interpolate: bool) -> Column:
@@ -96,34 +100,20 @@ def _next_pass(values: DataFrame, wanted: DataFrame, slot: Column) -> DataFrame:
     return _reached(counts).drop("slot", "c", "upto")
 
 
-def _in_one_task(values: DataFrame, qs: Sequence[float], interpolate: bool) -> DataFrame:
-    """The built-in exact percentile, for a checked number of rows."""
-    form = "percentile(v, {})" if interpolate else "percentile_disc({}) WITHIN GROUP (ORDER BY v)"
-    pairs = [
-        F.struct(F.lit(float(q)).alias("q"), F.expr(form.format(f"{float(q)!r}D")).alias("value"))
-        for q in qs
-    ]
-    found = values.agg(F.array(*pairs).alias("found")).select(F.inline("found"))
-    return found.where(F.col("value").isNotNull())
-
-
 def exact_quantiles(
     df: DataFrame,
     col: str,
     qs: Sequence[float],
     interpolate: bool = False,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """One row (q, value) per quantile, NULL and NaN left out.
 
-    Without interpolation the value is an element of the column.  ``df`` is
-    counted, then scanned up to three times for one column, so it should be a
-    stored table.
+    Without interpolation the value is an element of the column; with it, a step
+    from one infinity to the other is NaN.  ``df`` is scanned three times for one
+    column, so it should be a stored table.
     """
     v = F.col(col).cast("double")
     values = df.select(v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    if df.count() <= one_task_rows:
-        return _in_one_task(values, qs, interpolate)
     values = values.withColumn("s0", _log_slot(F.col("v")))
 
     wanted = _first_pass(values, qs, interpolate)

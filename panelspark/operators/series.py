@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelspark.functions.exprs import DIGITS, money_units, round_mul, safe_ratio
+from panelspark.functions.exprs import round_mul, safe_ratio
 
 
 def attach(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -108,11 +108,12 @@ def yoy_change(
     return found.withColumn(out, round_mul(F.col(value) - F.col("_prev"), digits)).drop("_prev")
 
 
-def mean_of(names: Sequence[str], digits: int = 2) -> Column:
-    """Mean of the non-null columns; the amounts are added as whole units."""
-    units = [F.coalesce(money_units(c), F.lit(0)) for c in names]
+def mean_of(names: Sequence[str], digits: int = 2, decimals: int | None = None) -> Column:
+    """Mean of the non-null columns; with ``decimals`` they are added as decimals, exactly."""
+    kind = "double" if decimals is None else f"decimal(34,{decimals})"
+    values = [F.coalesce(F.col(c).cast(kind), F.lit(0).cast(kind)) for c in names]
     present = [F.col(c).isNotNull().cast("int") for c in names]
-    total = reduce(lambda a, b: a + b, units).cast("double") / F.lit(float(10**DIGITS))
+    total = reduce(lambda a, b: a + b, values).cast("double")
     return round_mul(safe_ratio(total, reduce(lambda a, b: a + b, present)), digits)
 
 
@@ -125,11 +126,12 @@ def rolling_mean_prev(
     out: str = "roll_mean_3",
     digits: int = 2,
     chunk: int | None = None,
+    decimals: int | None = None,
 ) -> DataFrame:
     """Mean of up to ``n`` earlier rows, the current one left out."""
     names = [f"_prev{i}" for i in range(1, n + 1)]
     found = previous_values(df, value, by, period, names, chunk)
-    return found.withColumn(out, mean_of(names, digits)).drop(*names)
+    return found.withColumn(out, mean_of(names, digits, decimals)).drop(*names)
 
 
 def zscore_over(value: Column | str, by: Sequence[str], digits: int = 3) -> Column:

@@ -28,6 +28,7 @@ from panelspark.sources.cells import read_cells, select_year_sheets
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+DIGITS = tables.DIGITS
 YEARS = list(range(1995, 2002))
 COHORTS = [
     ("EU15", [f"NATION_{i}" for i in range(15)]),
@@ -60,11 +61,11 @@ def rev(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def headings(spark: SparkSession, folder: str) -> DataFrame:
-    return aggregates.heading_level(exp(spark, folder))
+    return aggregates.heading_level(exp(spark, folder), digits=DIGITS)
 
 
 def feats(spark: SparkSession, folder: str) -> DataFrame:
-    return build_features(exp(spark, folder), rev(spark, folder))
+    return build_features(exp(spark, folder), rev(spark, folder), digits=DIGITS)
 
 
 def h1(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +202,7 @@ def concat_sheets(spark, folder):
 @query
 def parsed_heading_level(spark, folder):
     spending, _ = parsed(spark, folder)
-    return aggregates.heading_level(spending)
+    return aggregates.heading_level(spending, digits=DIGITS)
 
 
 @query
@@ -220,7 +221,7 @@ def enforce_schema_(spark, folder):
 def cache_table(spark, folder):
     kept = sinks.cache_table(exp(spark, folder))
     return kept.groupBy("is_ngeu").agg(
-        F.count("*").alias("n"), exprs.exact_sum("actual_meur").alias("total")
+        F.count("*").alias("n"), exprs.exact_sum("actual_meur", DIGITS).alias("total")
     )
 
 
@@ -327,7 +328,7 @@ def h3_working_set(spark, folder):
 @query
 def range_outliers(spark, folder):
     rows = materialize(exp(spark, folder).select("row_no", "actual_meur"), "amounts")
-    bounds = audit.fences(audit.amount_stats(rows, "actual_meur"), 0.5)
+    bounds = audit.fences(audit.amount_stats(rows, "actual_meur", digits=DIGITS), 0.5)
     fence = bounds.select(F.struct("lower_bound", "upper_bound")).scalar()
     found = audit.range_outliers(rows, "actual_meur", fence["lower_bound"], fence["upper_bound"])
     return found.select("row_no", F.col("actual_meur").cast("double").alias("actual_meur"))
@@ -387,7 +388,7 @@ def join_revenue(spark, folder):
 def join_receipts(spark, folder):
     raw = exp(spark, folder)
     return aggregates.join_receipts(
-        aggregates.heading_level(raw), aggregates.total_receipts(raw)
+        aggregates.heading_level(raw, digits=DIGITS), aggregates.total_receipts(raw, digits=DIGITS)
     )
 
 
@@ -415,7 +416,7 @@ def heading_level(spark, folder):
 
 @query
 def total_receipts(spark, folder):
-    return aggregates.total_receipts(exp(spark, folder))
+    return aggregates.total_receipts(exp(spark, folder), digits=DIGITS)
 
 
 @query
@@ -440,21 +441,41 @@ def amounts(spark, folder) -> DataFrame:
 
 @query
 def amount_stats(spark, folder):
-    found = audit.amount_stats(amounts(spark, folder), "actual_meur")
+    found = audit.amount_stats(amounts(spark, folder), "actual_meur", digits=DIGITS)
     return found.withColumn("stddev", exprs.round_mul("stddev", 4))
 
 
+@query
+def fine_sums(spark, folder):
+    """Charged prices have six decimals: sums and means finer than the panel's amounts."""
+    charge = F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    lines = tables.table(spark, folder, "lineitem").select(
+        "l_returnflag", exprs.round_amount(charge, 6).alias("charge"), (charge / 1e9).alias("share")
+    )
+    return lines.groupBy("l_returnflag").agg(
+        exprs.exact_sum("charge", 6).alias("total"),
+        exprs.mean_of_rows("charge", 6).alias("mean"),
+        exprs.round_mul(exprs.total_of("share"), 6).alias("share_total"),
+    )
+
+
+@query
+def discrete_quantiles(spark, folder):
+    rows = materialize(rev(spark, folder).select("value_meur"), "amounts")
+    return exact_quantiles(rows, "value_meur", [0.01, 0.05, 0.5, 0.99])
+
+
 @query
 def exact_quantiles_(spark, folder):
     rows = materialize(rev(spark, folder).select("value_meur"), "amounts")
-    found = exact_quantiles(rows, "value_meur", [0.01, 0.05, 0.5, 0.99], True, one_task_rows=0)
+    found = exact_quantiles(rows, "value_meur", [0.01, 0.05, 0.5, 0.99], True)
     return found.select("q", exprs.round_mul("value", 6).alias("value"))
 
 
 
 @query
 def iqr_outliers(spark, folder):
-    found = audit.iqr_outliers(amounts(spark, folder), "actual_meur", 0.5)
+    found = audit.iqr_outliers(amounts(spark, folder), "actual_meur", 0.5, digits=DIGITS)
     return found.withColumns(
         {
             "stddev": exprs.round_mul("stddev", 4),
@@ -475,7 +496,7 @@ def coverage_summary(spark, folder):
 
 @query
 def heading_distribution(spark, folder):
-    return aggregates.heading_distribution(exp(spark, folder))
+    return aggregates.heading_distribution(exp(spark, folder), digits=DIGITS)
 
 
 @query
@@ -495,7 +516,9 @@ def quality_score(spark, folder):
 @query
 def audit_document(spark, folder):
     stored = materialize(exp(spark, folder), "expenditure")
-    found = documents.audit_document(stored, stamp=F.lit("fixed"), period="1995-2001")
+    found = documents.audit_document(
+        stored, stamp=F.lit("fixed"), period="1995-2001", digits=DIGITS
+    )
     missing = F.col("missing_values")
     outliers, copies, scores = (F.col(c) for c in ("outliers", "duplicates", "quality_scores"))
     return found.select(
@@ -565,7 +588,7 @@ def value_counts(spark, folder):
 
 @query
 def total_by_year_bn(spark, folder):
-    return aggregates.total_by_year_bn(exp(spark, folder))
+    return aggregates.total_by_year_bn(exp(spark, folder), digits=DIGITS)
 
 
 @query
@@ -575,7 +598,7 @@ def anomaly_grid(spark, folder):
 
 @query
 def mean_rate_by_heading(spark, folder):
-    return charts.mean_rate_by_heading(anomalies.absorption_set(feats(spark, folder)))
+    return charts.mean_rate_by_heading(anomalies.absorption_set(feats(spark, folder)), digits=2)
 
 
 @query
@@ -607,7 +630,9 @@ def lags_1_2_3(spark, folder):
 
 @query
 def rolling_mean_prev3(spark, folder):
-    found = series.rolling_mean_prev(headings(spark, folder), "actual_meur", SERIES, "year")
+    found = series.rolling_mean_prev(
+        headings(spark, folder), "actual_meur", SERIES, "year", decimals=DIGITS
+    )
     return found.select(*ranking.KEYS, "roll_mean_3")
 
 
@@ -615,7 +640,7 @@ def rolling_mean_prev3(spark, folder):
 def lags_by_range(spark, folder):
     """Lags along the line items of a nation, its series cut into ranges of rows."""
     lines = exp(spark, folder).groupBy("country", "row_no")
-    lines = materialize(lines.agg(exprs.exact_sum("actual_meur").alias("actual_meur")), "lines")
+    lines = materialize(lines.agg(exprs.exact_sum("actual_meur", DIGITS).alias("actual_meur")), "lines")
     found = series.lags(lines, "actual_meur", ["country"], "row_no", chunk=20_000)
     return found.select("country", "row_no", "lag1", "lag2", "lag3")
 
@@ -664,6 +689,11 @@ def ranked_anomalies(spark, folder):
 
 @query
 def top_k_scores(spark, folder):
+    return charts.top_anomalies(scored(spark, folder), "lof_score", 10)
+
+
+@query
+def most_normal_scores(spark, folder):
     return charts.top_anomalies(scored(spark, folder), "lof_score", 10, ascending=False)
 
 
@@ -685,7 +715,7 @@ def distinct_rows(spark, folder):
 def with_entities(spark, folder) -> DataFrame:
     raw = exp(spark, folder)
     wide = aggregates.pivot_revenue(rev(spark, folder))
-    return aggregates.join_revenue(aggregates.total_receipts(raw), wide)
+    return aggregates.join_revenue(aggregates.total_receipts(raw, digits=DIGITS), wide)
 
 
 @query
@@ -868,7 +898,7 @@ def features(spark, folder):
 @query
 def features_by_range(spark, folder):
     """The same table with the series cut into ranges of two years."""
-    return build_features(exp(spark, folder), rev(spark, folder), chunk=2)
+    return build_features(exp(spark, folder), rev(spark, folder), chunk=2, digits=DIGITS)
 
 
 # Chart tables ----------------------------------------------------------------------

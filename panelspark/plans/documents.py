@@ -8,14 +8,19 @@ from panelspark.operators.ranking import method_comparison
 from panelspark.plans.anomalies import h1_summary
 
 
-def audit_profiles(exp: DataFrame, amount: str = "actual_meur", accuracy: int | None = None):
+def audit_profiles(
+    exp: DataFrame,
+    amount: str = "actual_meur",
+    accuracy: int | None = None,
+    digits: int | None = None,
+):
     """Null, duplicate and outlier profile, and quality score of a written table.
 
     ``exp`` is read several times, so it should be a stored or cached table.
     """
     nulls = audit.null_profile(exp)
     copies = audit.duplicate_profile(exp)
-    outliers = audit.iqr_outliers(exp, amount, accuracy=accuracy)
+    outliers = audit.iqr_outliers(exp, amount, accuracy=accuracy, digits=digits)
     latest = exp.agg(F.max("year").alias("max_year"))
     score = audit.quality_score(nulls, copies, outliers, latest)
     return nulls, copies, outliers, score
@@ -28,9 +33,10 @@ def audit_document(
     stamp: Column | None = None,
     version: str = "1.0",
     period: str = "2000-2024",
+    digits: int | None = None,
 ) -> DataFrame:
     """One row: profile sections as nested values, ready for ``write_document``."""
-    nulls, copies, outliers, score = audit_profiles(exp, amount, accuracy)
+    nulls, copies, outliers, score = audit_profiles(exp, amount, accuracy, digits)
     entry = F.struct(
         F.col("null_count").alias("count"), F.col("null_pct").alias("pct"), F.col("status")
     )

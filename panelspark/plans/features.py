@@ -5,12 +5,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelspark.functions.exprs import (
     absorption_gap,
     absorption_rate,
-    exact_sum,
     exact_sum_decimal,
     net_pct_gni,
     net_position,
     round_mul,
     safe_ratio,
+    total_of,
     year_index,
 )
 from panelspark.operators.aggregates import pivot_revenue
@@ -21,19 +21,21 @@ from panelspark.session import materialize
 SERIES = ("country", "heading")
 
 
-def heading_base(exp: DataFrame) -> DataFrame:
+def heading_base(exp: DataFrame, digits: int | None = None) -> DataFrame:
     """Everything the raw rows are needed for, in one scan and one shuffle.
 
     Next to the heading sums it keeps the part of the sum that counts as receipts,
-    so receipts need no second pass over the raw rows.
+    so receipts need no second pass over the raw rows.  ``digits`` are the decimals of
+    the amounts: with them all sums are exact.
     """
     counted = F.when(F.col("is_ngeu") == 0, F.col("actual_meur"))
+    receipts = F.sum(counted.cast("double")) if digits is None else exact_sum_decimal(counted, digits)
     return exp.groupBy("year", *SERIES).agg(
-        exact_sum("actual_meur").alias("actual_meur"),
-        exact_sum("earmarked_meur").alias("earmarked_meur"),
+        total_of("actual_meur", digits).alias("actual_meur"),
+        total_of("earmarked_meur", digits).alias("earmarked_meur"),
         F.max("is_ngeu").alias("is_ngeu"),
         F.max("is_preliminary").alias("is_preliminary"),
-        exact_sum_decimal(counted).alias("_receipts"),
+        receipts.alias("_receipts"),
     )
 
 
@@ -82,7 +84,9 @@ def entity_level(headings: DataFrame, rev_wide: DataFrame, in_window: bool = Tru
     return known.withColumn("zscore_net", z).drop(*helpers)
 
 
-def series_level(headings: DataFrame, base_year: int, chunk: int | None) -> DataFrame:
+def series_level(
+    headings: DataFrame, base_year: int, chunk: int | None, digits: int | None = None
+) -> DataFrame:
     """Absorption, earlier values and the z-score of the gap, per (country, heading).
 
     All of it needs the heading columns only, so it comes before the entity columns
@@ -94,7 +98,7 @@ def series_level(headings: DataFrame, base_year: int, chunk: int | None) -> Data
             "absorption_rate_pct": absorption_rate("actual_meur", "earmarked_meur"),
             "year_index": year_index("year", base_year),
             "yoy_change": round_mul(F.col("actual_meur") - F.col("lag1"), 2),
-            "roll_mean_3": mean_of(["lag1", "lag2", "lag3"]),
+            "roll_mean_3": mean_of(["lag1", "lag2", "lag3"], decimals=digits),
         }
     )
     if chunk is None:
@@ -105,16 +109,21 @@ def series_level(headings: DataFrame, base_year: int, chunk: int | None) -> Data
 
 
 def build_features(
-    exp: DataFrame, rev: DataFrame, base_year: int = 2000, chunk: int | None = None
+    exp: DataFrame,
+    rev: DataFrame,
+    base_year: int = 2000,
+    chunk: int | None = None,
+    digits: int | None = None,
 ) -> DataFrame:
     """The 22-column feature table, one row per (year, country, heading).
 
     The heading level is written down once: the raw rows are scanned once, and
     both the entity level and the series features read the small result.  ``chunk``
-    splits long series, see ``operators.series``.
+    splits long series, see ``operators.series``; ``digits`` are the decimals of the
+    amounts and make their sums exact.
     """
-    headings = materialize(heading_base(exp), "headings")
+    headings = materialize(heading_base(exp, digits), "headings")
     entities = entity_level(headings, pivot_revenue(rev), in_window=chunk is None)
-    series = series_level(headings.drop("_receipts"), base_year, chunk)
+    series = series_level(headings.drop("_receipts"), base_year, chunk, digits)
     found = series.join(entities, ["year", "country"], "left")
     return found.select(*[F.col(f.name).cast(f.dataType) for f in FEATURES.fields])

@@ -7,7 +7,7 @@ order priorities for revenue metrics.
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.functions.crosswalk import map_heading
-from panelspark.functions.exprs import exact_sum, exact_sum_decimal, money
+from panelspark.functions.exprs import exact_sum, exact_sum_decimal, round_amount
 from panelspark.session import materialize
 
 HEADING_RULES = [
@@ -41,6 +41,8 @@ LABEL_OF_TYPE = {
 NATIONS = [f"NATION_{i}" for i in range(25)]
 HEADER_KEYS = ("NATION_0", "NATION_1", "Total")
 PRELIMINARY_YEAR = 2001
+# Decimals of the amounts these tables hold.
+DIGITS = 4
 
 
 # Declared, so that opening a table starts no job to read file footers.
@@ -100,8 +102,8 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
             "n_name",
             "n_nationkey",
             "p_type",
-            money(amount).alias("actual"),
-            money("l_extendedprice").alias("earmarked"),
+            round_amount(amount, DIGITS).alias("actual"),
+            round_amount("l_extendedprice", DIGITS).alias("earmarked"),
             F.when(flagged, 1).otherwise(0).alias("is_ngeu"),
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_no"),
         )
@@ -161,7 +163,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     sums = materialize(
         _lines(spark, folder)
         .groupBy("year", "n_nationkey", "p_type", "is_ngeu")
-        .agg(exact_sum_decimal("actual").alias("v"), exact_sum_decimal("earmarked").alias("e")),
+        .agg(exact_sum_decimal("actual", DIGITS).alias("v"), exact_sum_decimal("earmarked", DIGITS).alias("e")),
         "sums",
     )
     place = Window.partitionBy("year", "is_ngeu").orderBy("p_type")
@@ -173,7 +175,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     money = materialize(
         _orders_by_nation(spark, folder)
         .groupBy("year", "n_nationkey", "o_orderpriority")
-        .agg(exact_sum("o_totalprice").alias("v")),
+        .agg(exact_sum("o_totalprice", DIGITS).alias("v")),
         "money",
     )
     revenue_row = 42 + F.substring("o_orderpriority", 1, 1).cast("int")

@@ -196,6 +196,18 @@ FROM (SELECT count(*) AS c FROM exp_raw GROUP BY year, country, heading, is_ngeu
 """,
     "amount_stats": """
 SELECT mean, round(stddev, 4) AS stddev, "min", "max", q25, median, q75 FROM amounts
+""",
+    "fine_sums": """
+SELECT l_returnflag, CAST(sum(charge) AS DOUBLE) AS total, CAST(sum(charge) AS DOUBLE) / count(*) AS mean,
+  round(sum(share), 6) AS share_total
+FROM (SELECT l_returnflag, l_extendedprice * (1 - l_discount) * (1 + l_tax) / 1e9 AS share,
+  CAST(l_extendedprice * (1 - l_discount) * (1 + l_tax) AS DECIMAL(18,6)) AS charge FROM lineitem) q
+GROUP BY l_returnflag
+""",
+    "discrete_quantiles": """
+SELECT CAST(q AS DOUBLE) AS q, v AS value FROM (
+  SELECT unnest([0.01, 0.05, 0.5, 0.99]) AS q, unnest(quantile_disc(value_meur, [0.01, 0.05, 0.5, 0.99])) AS v
+  FROM rev_long) z
 """,
     "exact_quantiles": """
 SELECT CAST(q AS DOUBLE) AS q, round(v, 6) AS value FROM (
@@ -292,6 +304,11 @@ SELECT row_no, CASE WHEN z = 0 THEN 0.0 ELSE z END AS z FROM (
     "top_k_scores": """
 SELECT country, heading, year, lof_score,
   country || ' ' || CAST(year AS VARCHAR) || chr(10) || substring(heading, 1, 20) AS label
+FROM scored ORDER BY lof_score, country, heading, year LIMIT 10
+""",
+    "most_normal_scores": """
+SELECT country, heading, year, lof_score,
+  country || ' ' || CAST(year AS VARCHAR) || chr(10) || substring(heading, 1, 20) AS label
 FROM scored ORDER BY lof_score DESC, country, heading, year LIMIT 10
 """,
     "sort_net_position": """

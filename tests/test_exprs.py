@@ -45,20 +45,28 @@ def test_sign_of_net_position(spark):
 
 def test_sums_are_exact_and_order_free(spark):
     random.seed(1)
-    values = [round(random.uniform(-1e9, 1e9), 4) for _ in range(4000)] + [1e13, -1e13, 0.0001]
+    values = [round(random.uniform(-1e9, 1e9), 4) for _ in range(4000)] + [1e13, -1e13, 4e15, 1e16, 0.0001]
     want = float(sum(Decimal(repr(v)) for v in values))
     for parts in (1, 7):
         random.shuffle(values)
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(parts)
-        row = df.agg(exprs.exact_sum("v").alias("s"), exprs.exact_avg("v").alias("a")).first()
+        row = df.agg(exprs.exact_sum("v", 4).alias("s"), exprs.mean_of_rows("v", 4).alias("a")).first()
         assert row.s == want and row.a == want / len(values)
-    empty = spark.createDataFrame([(None,)], "v double").agg(exprs.exact_sum("v").alias("s"))
+    empty = spark.createDataFrame([(None,)], "v double").agg(exprs.exact_sum("v", 4).alias("s"))
     assert empty.first().s is None
 
 
 def test_amount_out_of_range_fails(spark):
     with pytest.raises(PySparkException):
-        spark.createDataFrame([(1e300,)], "v double").agg(exprs.exact_sum("v")).collect()
+        spark.createDataFrame([(1e300,)], "v double").agg(exprs.exact_sum("v", 4)).collect()
+
+
+def test_sums_do_not_round_their_input(spark):
+    fine = spark.range(100_000).select(F.lit(0.00003).alias("v"))
+    row = fine.agg(exprs.total_of("v").alias("s"), exprs.mean_of_rows("v").alias("a"), exprs.exact_sum("v", 5).alias("e")).first()
+    assert row.s == pytest.approx(3.0) and row.a == pytest.approx(3e-5) and row.e == 3.0
+    with pytest.raises(PySparkException):
+        fine.agg(exprs.exact_sum("v", 4)).collect()
 
 
 def test_flags_and_bands(spark):

@@ -26,14 +26,13 @@ def _frame(spark, values):
     return spark.createDataFrame(rows, "x double").repartition(5)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 1_000_000])
 @pytest.mark.parametrize("name", list(_samples()))
-def test_quantiles_match_sorting(spark, name, one_task_rows):
+def test_quantiles_match_sorting(spark, name):
     values = np.sort(_samples()[name])
     df = _frame(spark, values)
     n = len(values)
-    disc = {r.q: r.value for r in exact_quantiles(df, "x", QS, False, one_task_rows).collect()}
-    cont = {r.q: r.value for r in exact_quantiles(df, "x", QS, True, one_task_rows).collect()}
+    disc = {r.q: r.value for r in exact_quantiles(df, "x", QS).collect()}
+    cont = {r.q: r.value for r in exact_quantiles(df, "x", QS, True).collect()}
     assert set(disc) == set(cont) == set(QS)
     for q in QS:
         assert disc[q] == values[max(int(n - np.floor(n - q * n)), 1) - 1]
@@ -43,13 +42,20 @@ def test_quantiles_match_sorting(spark, name, one_task_rows):
         assert cont[q] == pytest.approx(low * (1 - share) + high * share, rel=1e-12, abs=5e-324)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 1_000_000])
-def test_no_values(spark, one_task_rows):
+def test_no_values(spark):
     df = spark.createDataFrame([(None,)], "x double")
-    assert exact_quantiles(df, "x", [0.5], False, one_task_rows).count() == 0
+    assert exact_quantiles(df, "x", [0.5]).count() == 0
     assert contamination_threshold(df, "x").count() == 0
 
 
+def test_infinities_have_their_place(spark):
+    df = _frame(spark, [float("-inf"), *range(50), float("inf"), float("inf")])
+    disc = {r.q: r.value for r in exact_quantiles(df, "x", [0.0, 0.5, 1.0]).collect()}
+    assert disc == {0.0: float("-inf"), 0.5: 25.0, 1.0: float("inf")}
+    cont = {r.q: r.value for r in exact_quantiles(df, "x", [0.5, 0.97], True).collect()}
+    assert cont == {0.5: 25.0, 0.97: float("inf")}
+
+
 def test_flag_below_is_strict_and_skips_missing(spark):
     df = _frame(spark, np.arange(101, dtype=float))
     flags = {r.x: r.f for r in flag_below(df.where("NOT isnan(x) OR x IS NULL"), "x", "f", 0.05).collect()}
