@@ -23,12 +23,11 @@ MIN_LEFT_PERCENT = 30
 def _repeated_words(ws: Column) -> Column:
     """How many of the words lie in a 3-word window that occurs twice or more.
 
-    Windows of a text are compared by their 64-bit hash and sorted with their places.
+    Windows of a text are compared by their 64-bit hash.  Most texts repeat none, which a
+    set of the hashes tells; those of the rest are sorted with their places.
     """
-    places = F.sequence(F.lit(0), F.size(ws) - 3)
-    hashed = F.transform(
-        places, lambda i: F.struct(F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i"))
-    )
+    starts = F.sequence(F.lit(0), F.size(ws) - 3)
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)))
 
     def twice(s: Column) -> Column:
         kept = F.filter(
@@ -42,8 +41,12 @@ def _repeated_words(ws: Column) -> Column:
         gaps = F.transform(at, lambda p, k: F.coalesce(F.least(F.lit(3), p - F.get(at, k - 1)), F.lit(3)))
         return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
 
-    found = let(F.sort_array(hashed), lambda s: let(twice(s), covered))
-    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(found)
+    def found(hs: Column) -> Column:
+        placed = F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        repeated = let(F.sort_array(placed), lambda s: let(twice(s), covered))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(repeated)
+
+    return F.when(F.size(ws) < 4, F.lit(0)).otherwise(let(hashes, found))
 
 
 def base_columns(text: Column) -> dict[str, Column]:
