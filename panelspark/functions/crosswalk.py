@@ -76,23 +76,25 @@ def map_metric(label: Column | str, rules: Rules = METRIC_RULES) -> Column:
     return ordered_map(label, rules)
 
 
-def crosswalk_join(
-    df: DataFrame, label: str, rules: DataFrame, out: str = "heading", max_rules: int = 10_000
-) -> DataFrame:
-    """The same mapping with the rules in a table (ordinal, key, value).
-
-    The rule table is folded into one ordered array, read as a scalar subquery:
-    no row is paired with a rule by a join, so nothing is shuffled.  The job fails
-    if the table has more than ``max_rules`` rows, as it is then no rule table.
+def crosswalk_join(df: DataFrame, label: str, rules: DataFrame, out: str = "heading") -> DataFrame:
+    """The same mapping with any number of rules in a table (ordinal, key, value).
+
+    Each distinct label is cut into its pieces of the lengths that keys have, pieces meet
+    keys by equality, and the first rule found is joined back by label.  A NULL label and a
+    NULL key meet nothing; an empty key meets every label.
     """
-    entry = F.struct("ordinal", F.lower("key").alias("key"), "value")
-    checked = rules.limit(max_rules + 1).agg(
-        F.sort_array(F.collect_list(entry)).alias("rules"), F.count("*").alias("n")
-    )
-    too_many = F.raise_error(F.lit(f"more than {max_rules} crosswalk rules"))
-    ordered = checked.select(F.when(F.col("n") <= max_rules, F.col("rules")).otherwise(too_many))
-    ordered = ordered.scalar()
-    low = F.lower(F.col(label))
-    hits = F.filter("_rules", lambda rule: low.contains(rule["key"]))
-    found = F.try_element_at(hits, F.lit(1))["value"]
-    return df.withColumn("_rules", ordered).withColumn(out, found).drop("_rules")
+    keys = rules.select("ordinal", F.lower("key").alias("_key"), F.col("value").alias(out))
+    first = keys.groupBy("_key").agg(F.min_by(out, "ordinal").alias(out), F.min("ordinal").alias("_ord"))
+    sizes = keys.agg(F.collect_set(F.length("_key"))).scalar()
+    names = df.select(F.col(label).alias("_label")).where("_label IS NOT NULL").distinct()
+    names = names.withColumns({"_low": F.lower("_label"), "_sizes": sizes})
+
+    def of_size(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length("_low") - size + 1)
+        return F.transform(starts, lambda at: F.substring(F.col("_low"), at, size))
+
+    fitting = F.filter("_sizes", lambda size: size <= F.length("_low"))
+    pieces = F.array_distinct(F.flatten(F.transform(fitting, of_size)))
+    cut = names.select("_label", F.explode(pieces).alias("_key"))
+    hits = cut.join(first, "_key").groupBy("_label").agg(F.min_by(out, "_ord").alias(out))
+    return df.join(hits, F.col(label) == F.col("_label"), "left").drop("_label")

@@ -112,8 +112,9 @@ def scale_to_bn(c: Column | str) -> Column:
     return column(c).cast("double") / F.lit(1000.0)
 
 
-def format_now(pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    return F.date_format(F.current_timestamp(), pattern)
+def format_now(pattern: str = "yyyy-MM-dd HH:mm:ss", at: Column | str | None = None) -> Column:
+    """The clock as text, or the given time."""
+    return F.date_format(F.current_timestamp() if at is None else column(at), pattern)
 
 
 def to_json_document(*cols: Column | str) -> Column:

@@ -18,10 +18,10 @@ from panelspark.operators.neighbours import local_outlier_factor
 from panelspark.operators.quantiles import exact_quantiles
 from panelspark.operators.thresholds import contamination_threshold
 from panelspark.plans import anomalies, documents
-from panelspark.plans.features import build_features
+from panelspark.plans.features import build_features, heading_base
 from panelspark.plans.ingest import parse_sheets
 from panelspark.schemas import EXPENDITURE, FEATURES, NET_POSITION, enforce_schema
-from panelspark.session import materialize, new_path
+from panelspark.session import materialize, new_name, new_path
 from panelspark.sources import driver_tables as tables, sinks
 from panelspark.sources.cells import read_cells, select_year_sheets
 
@@ -167,12 +167,14 @@ def row_measure_default(spark, folder):
 
 @query
 def unpivot_expenditure(spark, folder):
+    cells = sheets(spark, folder)
     return ingest.unpivot_expenditure(
-        sheets(spark, folder),
+        cells,
         tables.NATIONS,
         tables.HEADING_RULES,
         tables.PRELIMINARY_YEAR,
         tables.HEADER_KEYS,
+        materialize(ingest.text_cells(cells), "text"),
     ).drop("sheet", "row_no")
 
 
@@ -219,30 +221,33 @@ def enforce_schema_(spark, folder):
 
 @query
 def cache_table(spark, folder):
-    kept = sinks.cache_table(exp(spark, folder))
-    return kept.groupBy("is_ngeu").agg(
-        F.count("*").alias("n"), exprs.exact_sum("actual_meur", DIGITS).alias("total")
-    )
+    """Two aggregates of one cached table, stored before its blocks are released."""
+    with sinks.cached(exp(spark, folder).select("is_ngeu", "year", "actual_meur")) as kept:
+        sums = [F.count("*").alias("n"), exprs.exact_sum("actual_meur", DIGITS).alias("total")]
+        found = [
+            kept.groupBy(F.lit(by).alias("by"), F.col(by).cast("int").alias("value")).agg(*sums)
+            for by in ("is_ngeu", "year")
+        ]
+        return materialize(found[0].unionByName(found[1]), "cached")
 
 
 @query
 def register_view(spark, folder):
-    sinks.register_view(exp(spark, folder), "panelspark_exp_raw")
+    name = new_name("exp_raw")
+    sinks.register_view(exp(spark, folder), name)
     return spark.sql(
-        "SELECT country, min(year) AS first_year, count(*) AS n "
-        "FROM panelspark_exp_raw GROUP BY country"
+        f"SELECT country, min(year) AS first_year, count(*) AS n FROM {name} GROUP BY country"
     )
 
 
 @query
 def create_or_replace_table_as(spark, folder):
-    raw = sinks.register_view(exp(spark, folder), "panelspark_exp_ctas")
     return sinks.create_or_replace_table_as(
-        raw,
-        "panelspark_receipts",
+        exp(spark, folder),
+        new_name("receipts"),
         "SELECT year, country, "
         "CAST(sum(CAST(actual_meur AS DECIMAL(18, 4))) AS DOUBLE) AS receipts_meur "
-        "FROM panelspark_exp_ctas WHERE is_ngeu = 0 GROUP BY year, country",
+        "FROM {df} WHERE is_ngeu = 0 GROUP BY year, country",
     )
 
 
@@ -280,9 +285,9 @@ def write_ranked(spark, folder):
 @query
 def write_audit(spark, folder):
     path = new_path(spark, "audit")
-    document = audit_document(spark, folder)
+    document = nested_audit(spark, folder)
     sinks.write_document(document, path)
-    return spark.read.schema(document.schema).json(path)
+    return flat_audit(spark.read.schema(document.schema).json(path))
 
 
 @query
@@ -354,14 +359,19 @@ def latest_period(spark, folder):
 @query
 def flag_split(spark, folder):
     flagged, normal = ranking.flag_split(scored(spark, folder), "lof_anomaly")
-    cols = [*ranking.KEYS, "lof_anomaly"]
-    return flagged.select(*cols).unionByName(normal.select(*cols))
+    halves = [
+        half.select(*ranking.KEYS, F.lit(side).alias("side"))
+        for half, side in ((flagged, "anomaly"), (normal, "normal"))
+    ]
+    return halves[0].unionByName(halves[1])
 
 
 @query
 def fill_constant(spark, folder):
-    rows = anomalies.absorption_set(feats(spark, folder))
-    return rows.select(*ranking.KEYS, "absorption_rate_pct", "lag2")
+    """The first rows of a series have no earlier values, which are filled."""
+    rows = series.lags(headings(spark, folder), "actual_meur", SERIES, "year")
+    found = ranking.fill_constant(rows, {"lag1": 0.0, "lag2": -1.0})
+    return found.select(*ranking.KEYS, "lag1", "lag2", "lag3")
 
 
 @query
@@ -386,10 +396,12 @@ def join_revenue(spark, folder):
 
 @query
 def join_receipts(spark, folder):
-    raw = exp(spark, folder)
-    return aggregates.join_receipts(
-        aggregates.heading_level(raw, digits=DIGITS), aggregates.total_receipts(raw, digits=DIGITS)
+    """Both grains from one scan and one shuffle of the raw rows."""
+    base = materialize(heading_base(exp(spark, folder), DIGITS), "headings")
+    receipts = base.groupBy("year", "country").agg(
+        F.sum("_receipts").cast("double").alias("receipts_meur")
     )
+    return aggregates.join_receipts(base.drop("_receipts"), receipts)
 
 
 @query
@@ -513,12 +525,14 @@ def quality_score(spark, folder):
     return quality(spark, folder)
 
 
-@query
-def audit_document(spark, folder):
+def nested_audit(spark, folder) -> DataFrame:
     stored = materialize(exp(spark, folder), "expenditure")
-    found = documents.audit_document(
+    return documents.audit_document(
         stored, stamp=F.lit("fixed"), period="1995-2001", digits=DIGITS
     )
+
+
+def flat_audit(found: DataFrame) -> DataFrame:
     missing = F.col("missing_values")
     outliers, copies, scores = (F.col(c) for c in ("outliers", "duplicates", "quality_scores"))
     return found.select(
@@ -539,6 +553,11 @@ def audit_document(spark, folder):
     )
 
 
+@query
+def audit_document(spark, folder):
+    return flat_audit(nested_audit(spark, folder))
+
+
 @query
 def h1_collapse(spark, folder):
     return anomalies.h1_collapse(feats(spark, folder))
@@ -662,7 +681,7 @@ def zscore_net(spark, folder):
 def zscore_lines(spark, folder):
     """z-score of every line item within its heading, a group of unbounded size."""
     raw = exp(spark, folder).select("row_no", "heading", F.col("actual_meur").cast("double"))
-    found = series.zscore(raw, "actual_meur", ["heading"], "z", 3)
+    found = series.zscore(materialize(raw, "lines"), "actual_meur", ["heading"], "z", 3)
     return found.select("row_no", "z")
 
 
@@ -705,8 +724,11 @@ def sort_net_position(spark, folder):
 
 @query
 def distinct_rows(spark, folder):
-    rows = exp(spark, folder).select("year", "country", "heading", "is_ngeu", "is_preliminary")
-    return aggregates.distinct_rows(rows)
+    """Whole rows, of a table that has each row of the flagged section twice."""
+    raw = exp(spark, folder).withColumns(
+        {c: F.col(c).cast("double") for c in ("actual_meur", "earmarked_meur")}
+    )
+    return aggregates.distinct_rows(raw.unionByName(raw.where("is_ngeu = 1")))
 
 
 # Scalar functions ----------------------------------------------------------------
@@ -826,9 +848,10 @@ def to_json_document(spark, folder):
 
 @query
 def format_now(spark, folder):
-    return rev(spark, folder).groupBy("year").agg(
-        F.count("*").alias("n"), F.max(exprs.format_now()).alias("stamp")
-    )
+    """The stamp of a given time; the clock is only the default."""
+    orders = tables.table(spark, folder, "orders")
+    stamp = exprs.format_now(at=F.col("o_orderdate").cast("timestamp"))
+    return orders.groupBy(stamp.alias("stamp")).agg(F.count("*").alias("n"))
 
 
 @query

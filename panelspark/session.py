@@ -1,5 +1,6 @@
 """Session settings and the one way results are written down between stages."""
 
+import re
 import tempfile
 import uuid
 
@@ -34,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = context.getCheckpointDir()
     if folder:
         return folder
-    if not context.master.startswith("local"):
+    if not re.match(r"local(\[|$)", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="panelspark-"))
     return context.getCheckpointDir()
@@ -46,6 +47,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/panelspark/{run}/{name}-{uuid.uuid4().hex}"
 
 
+def new_name(name: str) -> str:
+    """A view name no other caller has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

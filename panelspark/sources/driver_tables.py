@@ -223,7 +223,7 @@ def cells(spark: SparkSession, folder: str) -> DataFrame:
     grid = parts[0]
     for other in parts[1:]:
         grid = grid.unionByName(other)
-    note = years.limit(1).select(
+    note = spark.range(1).select(
         F.lit("Notes").alias("sheet"),
         F.lit(0).alias("row_no"),
         F.lit(0).alias("col_no"),

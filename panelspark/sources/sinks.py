@@ -1,8 +1,13 @@
 """Writers: Parquet and CSV tables, one-row JSON documents, and SQL views."""
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from panelspark.session import materialize
+
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Write every partition in parallel; CSV files get a header line."""
@@ -32,6 +37,16 @@ def cache_table(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """A cached table for several reads; its blocks are released at the end."""
+    kept = cache_table(df)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Expose a table to SQL."""
     df.createOrReplaceTempView(name)
@@ -39,7 +54,9 @@ def register_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def create_or_replace_table_as(df: DataFrame, name: str, sql: str) -> DataFrame:
-    """Name the result of a query: ``CREATE OR REPLACE TEMP VIEW name AS sql``."""
-    spark = df.sparkSession
-    spark.sql(f"CREATE OR REPLACE TEMP VIEW {name} AS {sql}")
-    return spark.table(name)
+    """Store the result of a query over ``{df}`` and give it a name for later SQL.
+
+    The rows are written once to the shared folder: reads of the name see that
+    snapshot, whatever becomes of the inputs.
+    """
+    return register_view(materialize(df.sparkSession.sql(sql, df=df), name), name)

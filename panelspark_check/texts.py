@@ -130,7 +130,9 @@ SELECT year, country, heading_raw, heading, CAST(actual_meur AS DOUBLE) AS actua
   CAST(earmarked_meur AS DOUBLE) AS earmarked_meur, is_ngeu, is_preliminary, row_no FROM exp_raw
 """,
     "cache_table": """
-SELECT is_ngeu, count(*) AS n, CAST(sum(actual_meur) AS DOUBLE) AS total FROM exp_raw GROUP BY is_ngeu
+SELECT 'is_ngeu' AS by, is_ngeu AS value, count(*) AS n, CAST(sum(actual_meur) AS DOUBLE) AS total
+FROM exp_raw GROUP BY is_ngeu
+UNION ALL SELECT 'year', year, count(*), CAST(sum(actual_meur) AS DOUBLE) FROM exp_raw GROUP BY year
 """,
     "register_view": """
 SELECT country, min(year) AS first_year, count(*) AS n FROM exp_raw GROUP BY country
@@ -161,8 +163,12 @@ WHERE CAST(actual_meur AS DOUBLE) < q25 - 0.5 * iqr OR CAST(actual_meur AS DOUBL
     "negative_rows": "SELECT country, heading, year, yoy_change FROM features WHERE yoy_change < 0",
     "entity_subset": f"SELECT * FROM heading_level WHERE country IN {_DRIFT}",
     "latest_period": "SELECT * FROM heading_level WHERE year = (SELECT max(year) FROM heading_level)",
-    "flag_split": "SELECT country, heading, year, lof_anomaly FROM scored",
-    "fill_constant": "SELECT country, heading, year, absorption_rate_pct, lag2 FROM h3",
+    "flag_split": """
+SELECT country, heading, year, CASE lof_anomaly WHEN 1 THEN 'anomaly' WHEN 0 THEN 'normal' END AS side FROM scored
+""",
+    "fill_constant": """
+SELECT country, heading, year, coalesce(lag1, 0.0) AS lag1, coalesce(lag2, -1.0) AS lag2, lag3 FROM base
+""",
     "constraint_checks": _CHECKS,
     "min_records_check": """
 SELECT year, count(*) AS record_count FROM rev_long GROUP BY year HAVING count(*) < 2000
@@ -317,7 +323,11 @@ SELECT country, year, net_position_meur / 1000.0 AS net_position_bn,
     WHEN net_position_meur = 0 THEN 'balanced' END AS net_status
 FROM h1 WHERE year = (SELECT max(year) FROM h1) ORDER BY net_position_bn NULLS LAST, country
 """,
-    "distinct_rows": "SELECT DISTINCT year, country, heading, is_ngeu, is_preliminary FROM exp_raw",
+    "distinct_rows": """
+SELECT year, country, heading_raw, heading, CAST(actual_meur AS DOUBLE) AS actual_meur,
+  CAST(earmarked_meur AS DOUBLE) AS earmarked_meur, is_ngeu, is_preliminary, row_no
+FROM (SELECT * FROM exp_raw UNION SELECT * FROM exp_raw WHERE is_ngeu = 1) q
+""",
     # Scalar functions
     "net_position": f"""
 SELECT t.country, t.year, round(receipts_meur - total_contributions, 2) AS net_position_meur {_ENTITIES}
@@ -376,6 +386,9 @@ FROM exp_raw
     "scale_to_bn": "SELECT country, heading, year, actual_meur / 1000.0 AS actual_bn FROM heading_level",
     "percent_of": """
 SELECT country, heading, year, actual_meur * 100.0 / nullif(earmarked_meur, 0) AS pct FROM heading_level
+""",
+    "format_now": """
+SELECT strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS stamp, count(*) AS n FROM orders GROUP BY 1
 """,
     "to_json_document": """
 SELECT row_no, CAST(to_json({'year': year, 'country': country, 'heading': heading,

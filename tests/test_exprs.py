@@ -109,5 +109,15 @@ def test_crosswalk_first_rule_wins(spark):
     df = spark.createDataFrame([(k,) for k in LABELS] + [(None,)], "label string")
     got = {r.label: r.heading for r in crosswalk_join(df, "label", rules).collect()}
     assert got == {**LABELS, None: None}
-    with pytest.raises(Exception, match="more than 3 crosswalk rules"):
-        crosswalk_join(df, "label", rules, max_rules=3).collect()
+
+
+def test_crosswalk_of_many_rules(spark):
+    rules = spark.range(30_000).selectExpr("CAST(id AS INT) AS ordinal", "concat('Key', id) AS key", "id AS value")
+    rows = [("a KEY29999 b",), ("key12 and key7",), ("key",), ("",), (None,), ("x key5",), ("x key5",)]
+    df = spark.createDataFrame(rows, "label string")
+    got = sorted((r.label or "-", r.heading) for r in crosswalk_join(df, "label", rules).collect() if r.heading is not None)
+    # key2 is a piece of key29999 and comes first, as key1 of key12
+    assert got == [("a KEY29999 b", 2), ("key12 and key7", 1), ("x key5", 5), ("x key5", 5)]
+    assert crosswalk_join(df, "label", rules).count() == len(rows)
+    every = spark.createDataFrame([(0, "", 9)], "ordinal int, key string, value int")
+    assert [r.heading for r in crosswalk_join(df, "label", every).where("label = ''").collect()] == [9]
