@@ -3,6 +3,9 @@
 Fingerprints are cut into blocks; two that differ in at most ``bits`` positions agree on
 at least ``blocks - bits`` whole blocks, so each choice of that many blocks is a join
 key, and every candidate pair under a key is verified by its Hamming distance.
+
+Near copies by their shingle sets (the pipeline's stage) need no fingerprint: alike sets
+share one of their rarest shingles, which is the join key.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import sorted_runs, text_batches
+from panelspark.llm.common import arrow_schema, record, sorted_runs, text_batches
 from panelspark.llm.components import component_roots
 from panelspark.session import materialize
 
@@ -24,6 +27,9 @@ from panelspark.session import materialize
 _FOLD = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
 #: Fingerprints of one block value are compared in chunks of about so many.
 CHUNK = 2048
+#: Texts of the sample that tells frequent shingles, and how many of them are told.
+SAMPLE, FREQUENT = 20_000, 200_000
+PARITIES = [f"b{i}" for i in range(8)]
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
@@ -100,12 +106,30 @@ def _stars(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _dealt(rows: DataFrame, bits: int, blocks: int) -> tuple[DataFrame, list[str]]:
-    """``rows`` (with fp) once for every block key that another row shares, and the group keys.
+def _shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key another row has too, with the number n of its rows."""
+    shared = keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return keyed.join(shared, keys)
+
+
+def _dealt(shared: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows of ``_shared`` sorted into groups, and the columns that name a group.
 
     A group of more than ``CHUNK`` rows is dealt into chunks and each pair of chunks is a
     group of its own, so no task gets an unbounded group.
     """
+    dealt = (
+        shared.withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
+        .withColumn("c", F.pmod(F.xxhash64(*columns), F.col("m")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+        .select(*keys, F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), *columns)
+    )
+    names = [*keys, "a", "b"]
+    return dealt.repartition(*names).sortWithinPartitions(*names), names
+
+
+def _blocks(rows: DataFrame, bits: int, blocks: int) -> tuple[DataFrame, list[str]]:
+    """``rows`` (with fp) once for every block key that another row shares, and the group keys."""
     if not 0 <= bits < blocks <= 64:
         raise ValueError("bits must be below blocks")
     keys = [
@@ -113,16 +137,7 @@ def _dealt(rows: DataFrame, bits: int, blocks: int) -> tuple[DataFrame, list[str
         for i, m in enumerate(_masks(bits, blocks))
     ]
     keyed = rows.withColumn("k", F.explode(F.array(*keys))).select(*rows.columns, "k.t", "k.key")
-    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = (
-        keyed.join(shared, ["t", "key"])
-        .withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
-        .withColumn("c", F.pmod(F.xxhash64(*rows.columns), F.col("m")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-        .select("t", "key", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), *rows.columns)
-    )
-    names = ["t", "key", "a", "b"]
-    return dealt.repartition(*names).sortWithinPartitions(*names), names
+    return _dealt(_shared(keyed, ["t", "key"]), ["t", "key"], rows.columns)
 
 
 def links(fps: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
@@ -131,7 +146,7 @@ def links(fps: DataFrame, bits: int = 3, blocks: int = 6) -> DataFrame:
     Values that share a block key are compared in one group; what is connected in a group
     is linked to its smallest value, so no list of all pairs is made.
     """
-    dealt, names = _dealt(fps.select("fp"), bits, blocks)
+    dealt, names = _blocks(fps.select("fp"), bits, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (values,) in sorted_runs(batches, names, ["fp"]):
@@ -162,30 +177,81 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: in
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def _near(fps: np.ndarray, i: int, j: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, distance) of the pairs within ``bits`` between rows i to j and all."""
-    far = np.bitwise_count((fps[i:j, None] ^ fps[None, :]).view(np.uint64))
-    row, column = np.nonzero(far <= bits)
+def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes in order, counts) of the shingles that a bounded sample of texts repeats most.
+
+    They only order the shingles of all texts, so no result depends on the sample.
+    """
+    step = max(1, rows.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in text_batches(batches):
+            found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+
+    part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
+    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def prefix(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first of a set's hashes in an order that is one for all sets, rare ones first.
+
+    Two sets that are ``percent`` alike have at least ``percent`` of each in common, so the
+    first of their common hashes is behind at most the rest in either: both prefixes hold it.
+    """
+    known, counts = frequent
+    often = np.zeros(len(hashes), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        often = np.where(known[at] == hashes, counts[at], 0)
+    n = len(hashes)
+    return hashes[np.lexsort((hashes, often))[: n - (percent * n + 99) // 100 + 1]]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of 512 classes of hashes whether a set has an odd number, as eight longs.
+
+    Two sets differ in at least as many hashes as their parities differ in bits.
+    """
+    odd = np.bincount((hashes & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _possible(sizes: np.ndarray, bits: list[np.ndarray], i: int, j: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, least difference) of the pairs between rows i to j and all that may be alike.
+
+    Left out are only pairs whose sizes or parities prove that too many shingles differ.
+    """
+    far = np.abs(sizes[i:j, None] - sizes[None, :])
+    odd = np.zeros(far.shape, np.int64)
+    for b in bits:
+        odd += np.bitwise_count((b[i:j, None] ^ b[None, :]).view(np.uint64))
+    far = np.maximum(far, odd)
+    row, column = np.nonzero((100 + percent) * far <= (100 - percent) * (sizes[i:j, None] + sizes[None, :]))
     return row + i, column, far[row, column]
 
 
-def _proposals(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
+def _proposals(shared: DataFrame, percent: int) -> DataFrame:
     """(u, v) with u > v: for each id of a group its smallest and its closest smaller partner."""
-    dealt, names = _dealt(rows, bits, blocks)
+    dealt, names = _dealt(shared, ["key"], ["id", "size", *PARITIES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps, ids in sorted_runs(batches, names, ["fp", "id"]):
-            order = np.argsort(ids)
-            fps, ids = fps[order], ids[order]
+        for values in sorted_runs(batches, names, ["id", "size", *PARITIES]):
+            order = np.argsort(values[0])
+            ids, sizes, *bits = (v[order] for v in values)
             step = max(1, 1_000_000 // len(ids))
             for i in range(0, len(ids), step):
-                row, column, far = _near(fps, i, i + step, bits)
-                below = column < row
+                row, column, far = _possible(sizes, bits, i, i + step, percent)
+                below = ids[column] < ids[row]
                 row, column, far = row[below], column[below], far[below]
                 if not len(row):
                     continue
                 heads = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                nearest = np.minimum.reduceat(far.astype(np.int64) * len(ids) + column, heads) % len(ids)
+                nearest = np.minimum.reduceat(far * len(ids) + column, heads) % len(ids)
                 u = np.repeat(ids[row[heads]], 2)
                 v = ids[np.stack((column[heads], nearest), axis=1).ravel()]
                 yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
@@ -193,17 +259,17 @@ def _proposals(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _crossing(rows: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(u, v) with u > v: all pairs of a group that different labels keep apart."""
-    dealt, names = _dealt(rows, bits, blocks)
+def _crossing(shared: DataFrame, percent: int) -> DataFrame:
+    """(u, v) with u > v: all pairs of a group that may be alike and have different labels."""
+    dealt, names = _dealt(shared, ["key"], ["id", "label", "size", *PARITIES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for fps, ids, labels in sorted_runs(batches, names, ["fp", "id", "label"]):
+        for ids, labels, sizes, *bits in sorted_runs(batches, names, ["id", "label", "size", *PARITIES]):
             if (labels == labels[0]).all():
                 continue
             step = max(1, 1_000_000 // len(ids))
             for i in range(0, len(ids), step):
-                row, column, _ = _near(fps, i, i + step, bits)
+                row, column, _ = _possible(sizes, bits, i, i + step, percent)
                 apart = (labels[row] != labels[column]) & (ids[row] > ids[column])
                 if apart.any():
                     yield pa.record_batch([pa.array(ids[row[apart]]), pa.array(ids[column[apart]])], ["u", "v"])
@@ -239,45 +305,56 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, bits: int = 6, blocks: int = 8) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingle sets are ``percent`` alike.
 
-    Fingerprints are those of a text's set of words, in which near copies differ by few
-    bits and unrelated texts by many; candidates within ``bits`` are verified on sets of
-    ``shingle`` words.  Equal texts are one.  First each text is compared with its smallest
+    Candidates share a shingle of their prefixes, which all alike pairs do, and are verified
+    on the whole sets.  Equal texts are one.  First each text is compared with its smallest
     and its closest smaller candidate, then all candidates that are not in one group by
     then, so that every link counts and no list of all pairs of a group is made.  Rows
     without a doc_id are left out; null text is empty.
     """
+    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    frequent = frequent_shingles(rows, shingle)
+    ddl = "doc_id long, same binary, keys array<long>, size long, " + ", ".join(f"{b} long" for b in PARITIES)
+    schema = arrow_schema(ddl)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
-            fps = [fingerprint(np.unique(shingle_hashes(t, 1))) for t in texts]
-            same = [xxhash.xxh3_128_digest(t.encode()) for t in texts]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(same, pa.binary())], ["doc_id", "fp", "same"])
-
-    rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    marked = materialize(rows.mapInArrow(mark, "doc_id long, fp long, same binary"), "fingerprints")
-    firsts = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")), "texts")
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                # texts without words meet under a key of their own
+                keys = prefix(hashes, percent, frequent) if len(hashes) else np.zeros(1, np.uint64)
+                out.append((doc, xxhash.xxh3_128_digest(text.encode()), keys.view(np.int64), len(hashes), *parities(hashes).tolist()))
+            yield record(out, schema)
+
+    marked = rows.mapInArrow(mark, ddl).withColumn("row", F.monotonically_increasing_id())
+    marked = materialize(marked, "shingle-prefixes")
+    firsts = marked.groupBy("same").agg(F.min(F.struct("doc_id", "row")).alias("f"))
+    firsts = materialize(firsts.select("same", F.col("f.doc_id").alias("id"), F.col("f.row").alias("row")), "texts")
+    one = marked.join(firsts.select("row", "id"), "row")
+    keyed = one.select("id", F.explode("keys").alias("key"))
+    sized = one.select("id", "size", *PARITIES)
+    shared = materialize(_shared(keyed, ["key"]).join(sized, "id"), "shared-shingles")
     texts = rows.select(F.col("doc_id").alias("id"), "text")
-    one = firsts.select("id", "fp")
-    tried = materialize(_proposals(one, bits, blocks), "candidates")
+    tried = materialize(_proposals(shared, percent), "candidates")
     found = materialize(_verified(tried, texts, shingle, percent), "links")
     roots = component_roots(found)
-    labelled = one.join(roots, one["id"] == roots["u"], "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
-    rest = materialize(_crossing(materialize(labelled, "labels"), bits, blocks).join(tried, ["u", "v"], "left_anti"), "candidates")
+    labelled = shared.join(roots, shared["id"] == roots["u"], "left").withColumn("label", F.coalesce("root", "id"))
+    rest = materialize(_crossing(labelled, percent).join(tried, ["u", "v"], "left_anti"), "candidates")
     more = materialize(_verified(rest, texts, shingle, percent), "links")
     roots = component_roots(found.union(more))
     named = firsts.join(roots, firsts["id"] == roots["u"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, "same").select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80, bits: int = 6, blocks: int = 8) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies: all columns of the row with the smallest doc_id.
 
     Of repeated rows with that doc_id one stays; rows without a doc_id stay as they are.
     """
-    groups = near_copies(docs, shingle, percent, bits, blocks)
+    groups = near_copies(docs, shingle, percent)
     gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     named = docs.filter("doc_id IS NOT NULL")
     kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti")

@@ -242,3 +242,17 @@ def test_pipeline(spark, docs, none, items, tmp_path):
                 assert rows.columns == before.columns
         ids = {r["doc_id"] for r in rows.collect()}
         assert ids <= {None, 1, 3, 8, 10, 11} and (name == "none") == (not ids)
+
+
+def test_near_copies_with_contiguous_edits(spark):
+    draw = random.Random(11)
+    rows = []
+    for g in range(60):
+        base, other = prose(9000 + g, 200).split(), prose(7000 + g, 200).split()
+        n = draw.choice([8, 16, 30, 40, 46])
+        edits = (base + other[:n], base[: 200 - min(n, 38)], base[:90] + other[:n] + base[90:])
+        rows += [(4 * g + k, " ".join(words), "en", "a") for k, words in enumerate((base, *edits))]
+    marks = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t, *_ in rows}
+    alike = [(a, b) for a in marks for b in marks if a > b and 100 * len(marks[a] & marks[b]) >= 80 * len(marks[a] | marks[b])]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, rows)).collect()}
+    assert len(alike) > 150 and got == brute.components(sorted(marks), alike)
