@@ -1,7 +1,8 @@
 """Quality rules from DataFrame functions only: base rules and cross-document lines.
 
 Lines are normalised and hashed, distinct documents are counted per host and line, lines
-above the limits are taken out, and documents that lose most of their words are rejected.
+above the limits are taken out of the texts, and documents that lose most of their words
+are rejected.
 """
 
 from __future__ import annotations
@@ -71,12 +72,15 @@ def base_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     return counted.withColumn("base_failed", failed)
 
 
+def _tidy(line: Column) -> Column:
+    return F.trim(F.regexp_replace(lower_ascii(line), SPACES, " "))
+
+
 def document_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, host, h, n): the lines with a word of each row, hashed, with their words."""
 
     def hashed(line: Column) -> Column:
-        tidy = F.trim(F.regexp_replace(lower_ascii(line), SPACES, " "))
-        return let(tidy, lambda t: F.struct(F.xxhash64(t).alias("h"), (F.length(t) - F.length(F.translate(t, " ", "")) + 1).alias("n"), (t != "").alias("full")))
+        return let(_tidy(line), lambda t: F.struct(F.xxhash64(t).alias("h"), (F.length(t) - F.length(F.translate(t, " ", "")) + 1).alias("n"), (t != "").alias("full")))
 
     lines = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), hashed)
     rows = docs.select("doc_id", "host", F.explode(F.filter(lines, lambda x: x["full"])).alias("l"))
@@ -98,18 +102,38 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: int =
     return above.filter(100 * F.col("n_docs") > max_percent * F.col("n_host")).select("host", "h", "first_doc")
 
 
-def depleted(
+def line_losses(
     docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT
 ) -> DataFrame:
-    """doc_id of (doc_id, host, text) rows of whose words too few are left."""
+    """(doc_id, depleted, gone) of (doc_id, host, text) rows with a line with a word.
+
+    ``gone`` has (host, h) of the document's lines that are frequent in its host and stay in
+    another document; ``depleted`` tells that too few of its words are left without them.
+    """
     above = frequent_lines(docs, max_docs, max_percent).select(
         F.col("host").alias("__host"), F.col("h").alias("__h"), "first_doc"
     )
     lines = document_lines(docs.filter("doc_id IS NOT NULL"))
     lost = (F.col("__h").isNotNull()) & (F.col("first_doc") != F.col("doc_id"))
     marked = lines.join(above, F.col("host").eqNullSafe(F.col("__host")) & (F.col("h") == F.col("__h")), "left")
-    sums = marked.groupBy("doc_id").agg(F.sum("n").alias("all"), F.sum(F.when(~lost, F.col("n")).otherwise(0)).alias("left"))
-    return sums.filter(100 * F.col("left") < min_left_percent * F.col("all")).select("doc_id")
+    sums = marked.groupBy("doc_id").agg(
+        F.sum("n").alias("all"),
+        F.sum(F.when(~lost, F.col("n")).otherwise(0)).alias("left"),
+        F.collect_set(F.when(lost, F.struct("host", "h"))).alias("gone"),
+    )
+    return sums.select("doc_id", (100 * F.col("left") < min_left_percent * F.col("all")).alias("depleted"), "gone")
+
+
+def surviving_text(text: Column, host: Column, gone: Column) -> Column:
+    """The text's lines, as they are and in order, that ``gone`` of ``line_losses`` doesn't name."""
+    own = F.transform(F.filter(gone, lambda g: g["host"].eqNullSafe(host)), lambda g: g["h"])
+
+    def stays(hashes: Column) -> Column:
+        # the hash of a blank line is none of a line with a word
+        lines = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, F.xxhash64(_tidy(line))))
+        return F.array_join(lines, "\n")
+
+    return let(own, stays)
 
 
 def judge(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -119,18 +143,30 @@ def judge(docs: DataFrame, host: str = "source") -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), "text")
     based = base_rules(rows).drop("text", "host")
-    bad = depleted(rows).select(F.col("doc_id").alias("__bad"))
+    bad = line_losses(rows).filter("depleted").select(F.col("doc_id").alias("__bad"))
     joined = based.join(bad, F.col("doc_id") == F.col("__bad"), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__bad")
 
 
 def keep_good(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of ``docs`` that pass the base rules and are not depleted, with all columns."""
+    """The rows of ``docs`` that pass the base rules and are not depleted, with all columns.
+
+    Their text is without the frequent lines that stay in another document of the host, and
+    n_chars, where there is one, counts what is left.  The base rules see the whole text.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), "text")
-    bad = depleted(rows).select(F.col("doc_id").alias("__bad"))
-    kept = docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    losses = line_losses(rows).filter("depleted OR size(gone) > 0").select(
+        F.col("doc_id").alias("__lost_doc"), F.col("depleted").alias("__lost_all"), F.col("gone").alias("__lost_lines")
+    )
 
     def passes(ws: Column) -> Column:
         return (F.size(ws) >= 50) & (100 * _repeated_words(ws) <= 50 * F.size(ws))
 
-    return kept.filter(let(words(F.col("text")), passes))
+    good = docs.filter(let(words(F.col("text")), passes))
+    kept = good.join(losses, good["doc_id"] == losses["__lost_doc"], "left").filter("__lost_all IS NULL OR NOT __lost_all")
+    lost = F.col("__lost_lines").isNotNull()
+    kept = kept.withColumn("text", F.when(lost, surviving_text(F.col("text"), F.col(host), F.col("__lost_lines"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        count = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(lost, count).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)

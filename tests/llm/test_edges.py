@@ -256,3 +256,18 @@ def test_near_copies_with_contiguous_edits(spark):
     alike = [(a, b) for a in marks for b in marks if a > b and 100 * len(marks[a] & marks[b]) >= 80 * len(marks[a] | marks[b])]
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, rows)).collect()}
     assert len(alike) > 150 and got == brute.components(sorted(marks), alike)
+
+
+def test_quality_takes_frequent_lines_out(spark):
+    banner = "All  rights of THIS banner\tare reserved"
+    rows = [(i, f"{prose(3000 + i, 60)}\n\n{banner}\n tail {i} ", "en", "host" if i % 2 else None) for i in range(260)]
+    rows += [(500, f"{prose(9, 60)}\n{banner}", "en", "other"), (None, f"{prose(8, 60)}\n{banner}", "en", "host")]
+    docs = table(spark, rows).withColumn("n_chars", F.length("text").cast("long"))
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()}
+    assert len(found) == len(rows)
+    for doc, text, *_ in rows:
+        # the smallest document of each host keeps the line, as do other hosts and rows without an id
+        want = text if doc in (0, 1, 500, None) else text.replace(f"\n{banner}", "")
+        assert found[doc] == (want, len(want))
