@@ -9,6 +9,7 @@ along the diagonal, and an overlap that is long and alike enough is a leak.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import arrow_schema, record, text_batches
 from panelspark.session import materialize
 
-#: 1 is looked at, 0 ignored; any two substitutions in a window miss one mask at least
-#: often, and runs of about eight equal tokens hit the last one.
-MASKS = ("1101100101011", "1011010011101", "11111111")
+#: 1 is looked at, 0 ignored.  Any overlap of 13 tokens or more of which 80 % are equal
+#: holds a window of one of them that is equal where it is looked at: enumerated in a test
+#: for 13 to 25 tokens, and a longer one has a half that is as much alike.
+MASKS = ("1111011", "1101000111", "1110001101", "1011111")
 #: Tokens that an overlap must have, or the whole item if that is shorter.
 MIN_OVERLAP = 13
-#: Items below this many tokens are too short to tell a leak from chance.
+#: Items below this many tokens must be there as they are.
 MIN_ITEM = 8
 #: Equal tokens of an overlap, in percent.
 MIN_EQUAL_PERCENT = 80
@@ -49,22 +51,71 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each byte whether it is in a CJK character, and whether it is in a punctuation
+    mark or space outside ASCII."""
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    lengths = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    single = (points >= 0x2E80) & (points < 0xA000) | (points >= 0xF900) & (points < 0xFB00)
+    single |= (points >= 0xFF66) & (points < 0xFFA0) | (points >= 0x20000) & (points < 0x32400)
+    apart = (points >= 0x2000) & (points < 0x2070) | (points >= 0x3000) & (points < 0x3005) | (points >= 0x3008) & (points < 0x3021)
+    apart |= (points == 0x3030) | (points == 0x303D) | (points == 0x30FB) | (points >= 0xFE30) & (points < 0xFE70)
+    apart |= (points >= 0xFF00) & (points < 0xFF66) & ~(
+        (points >= 0xFF10) & (points < 0xFF1A) | (points >= 0xFF21) & (points < 0xFF3B) | (points >= 0xFF41) & (points < 0xFF5B)
+    )
+    return np.repeat(single, lengths), np.repeat(apart, lengths)
+
+
 def token_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each token: runs of ASCII letters and digits or other non-ASCII
-    characters, lower-cased from A-Z; punctuation and white space part tokens."""
+    characters, lower-cased from A-Z; punctuation and white space part tokens.  A Chinese or
+    Japanese character is a token of its own."""
     raw = _LOWER[np.frombuffer(text.encode(), np.uint8)]
     inside = (raw >= 128) | ((raw >= 97) & (raw <= 122)) | ((raw >= 48) & (raw <= 57))
-    edge = np.diff(np.concatenate(([False], inside, [False])).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    first, last = inside.copy(), inside.copy()
+    single = None
+    if len(raw) and raw.max() >= 0xE2:
+        single, apart = _marks(text)
+        inside &= ~apart
+        first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    if single is not None and single.any():
+        single &= inside
+        lead = single & ((raw & 0xC0) != 0x80)
+        # a CJK character begins a token, as does what comes behind one
+        first |= lead
+        first[1:] |= inside[1:] & ~single[1:] & single[:-1]
+        last[:-1] |= inside[:-1] & first[1:]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
         return np.empty(0, np.uint64)
     # Horner sums of each token: bytes times the power of their distance to the token's end
-    token = np.cumsum(edge[:-1] == 1) - 1
+    token = np.cumsum(first) - 1
     weight = _powers(int((ends - starts).max()))[(ends[token] - np.arange(len(raw)) - 1) * inside]
     value = (raw.astype(np.uint64) + np.uint64(1)) * weight * inside
     return _scramble(np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64))
 
 
+def whole_masks(n: int, percent: int = MIN_EQUAL_PERCENT) -> list[str]:
+    """Masks of ``n`` tokens for items of ``n``: an overlap begins and ends with equal tokens,
+    and wherever those between differ that may, some mask ignores them all."""
+    wrong = n * (100 - percent) // 100 if n >= MIN_ITEM else 0
+    if not wrong:
+        return ["1" * n]
+    left, out = set(combinations(range(1, n - 1), wrong)), []
+    while left:
+        hidden = max(combinations(range(1, n - 1), n - 6), key=lambda h: len(left & set(combinations(h, wrong))))
+        left -= set(combinations(hidden, wrong))
+        out.append("".join("0" if i in hidden else "1" for i in range(n)))
+    return out
+
+
+def all_masks(masks: tuple[str, ...]) -> list[tuple[int, str]]:
+    """(item length, mask): those of short items, and with length zero those of all others."""
+    return [(0, m) for m in masks] + [(n, m) for n in range(1, MIN_OVERLAP) for m in whole_masks(n)]
+
+
 def window_hashes(tokens: np.ndarray, mask: str) -> np.ndarray:
     """The hash of the looked-at tokens of every window, by its first position."""
     n = len(tokens) - len(mask) + 1
@@ -83,15 +134,16 @@ def _slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def benchmark_windows(items: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(item_id, pos, mask, hash) of the benchmark; null text and short items have none."""
+    """(item_id, pos, mask, hash) of the benchmark; texts without a token have none."""
+    known = all_masks(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             for item, text in zip(batch.column("item_id").to_pylist(), texts, strict=True):
                 tokens = token_hashes(text)
-                if len(tokens) < MIN_ITEM:
-                    continue
-                for m, mask in enumerate(masks):
+                for m, (length, mask) in enumerate(known):
+                    if length != (len(tokens) if len(tokens) < MIN_OVERLAP else 0):
+                        continue
                     h = window_hashes(tokens, mask).view(np.int64)
                     n = len(h)
                     yield pa.record_batch(
@@ -121,14 +173,15 @@ def filter_table(windows: DataFrame) -> np.ndarray:
     return table
 
 
-def _hits(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> DataFrame:
+def _hits(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...], used: list[int]) -> DataFrame:
     """Stretches of the documents around windows that the filter lets through.
 
     (doc_id, cluster, first, tokens, at, masks, hashes): windows whose surroundings touch
-    share a stretch.  ``cluster`` tells rows of one doc_id apart.
+    share a stretch.  ``used`` are the masks the benchmark has windows of; ``cluster`` tells rows of one doc_id apart.
     """
     ddl = "doc_id long, cluster string, first int, tokens binary, at array<int>, mask array<int>, hash array<long>"
     schema = arrow_schema(ddl)
+    known = all_masks(masks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -138,7 +191,8 @@ def _hits(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> DataFra
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
                 tokens = token_hashes(text)
                 at, which, hashes = [], [], []
-                for m, mask in enumerate(masks):
+                for m in used:
+                    length, mask = known[m]
                     h = window_hashes(tokens, mask)
                     if not len(h):
                         continue
@@ -146,6 +200,9 @@ def _hits(docs: DataFrame, table: np.ndarray, masks: tuple[str, ...]) -> DataFra
                     for slot in _slots(h):
                         ok &= (table[slot >> 6] >> (slot & 63) & 1).astype(bool)
                     found = np.flatnonzero(ok)
+                    if 0 < length < MIN_ITEM:
+                        # of equal stretches the first stands for all
+                        found = found[np.sort(np.unique(h[found], return_index=True)[1])]
                     at.append(found)
                     which.append(np.full(len(found), m))
                     hashes.append(h[found].view(np.int64))
@@ -204,7 +261,8 @@ def find_leaks(
     items = items.filter("item_id IS NOT NULL").groupBy("text").agg(F.min("item_id").alias("item_id"))
     windows = materialize(benchmark_windows(items, masks), "benchmark-windows")
     table = filter_table(windows)
-    clusters = materialize(_hits(docs.filter("doc_id IS NOT NULL"), table, masks), "spaced-seed-hits")
+    used = sorted(r["mask"] for r in windows.select("mask").distinct().collect())
+    clusters = materialize(_hits(docs.filter("doc_id IS NOT NULL"), table, masks, used), "spaced-seed-hits")
     hits = clusters.select("cluster", F.explode(F.arrays_zip("at", "mask", "hash")).alias("w"))
     hits = hits.select("cluster", F.col("w.at").alias("at"), F.col("w.mask").alias("mask"), F.col("w.hash").alias("hash"))
     pairs = hits.join(windows, ["mask", "hash"]).select("cluster", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"))

@@ -271,3 +271,17 @@ def test_quality_takes_frequent_lines_out(spark):
         # the smallest document of each host keeps the line, as do other hosts and rows without an id
         want = text if doc in (0, 1, 500, None) else text.replace(f"\n{banner}", "")
         assert found[doc] == (want, len(want))
+
+
+def test_short_and_changed_benchmark_items(spark):
+    def changed(words, *at):
+        return " ".join("other" if i in at else w for i, w in enumerate(words))
+
+    texts = {1: prose(1, 9), 2: prose(2, 10), 3: prose(3, 12), 4: prose(4, 13), 5: prose(5, 15), 6: prose(6, 3), 7: "東京は日本の首都である。人口は多い"}
+    w = {i: t.split() for i, t in texts.items()}
+    leaks = {1: changed(w[1], 4), 2: changed(w[2], 3, 6), 3: changed(w[3], 4, 8), 4: changed(w[4], 4, 8), 5: changed(w[5], 3, 7, 11), 6: texts[6], 7: "、東京は日本の首都である！人口は少い"}
+    rows = [(i, f"{prose(50 + i)} {t} {prose(80 + i)}", "en", "a") for i, t in leaks.items()]
+    rows += [(16, f"{prose(56)} {changed(w[6], 1)} {prose(86)}", "en", "a"), (12, f"{prose(57)} {changed(w[2], 2, 5, 7)}", "en", "a")]
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    found = decontaminate.find_leaks(table(spark, rows), items).select("doc_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(i, i) for i in range(1, 8)]

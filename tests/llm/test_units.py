@@ -164,3 +164,24 @@ def test_extraction_leaves_boilerplate_out():
     assert extract.main_blocks("plain, text") == ["plain, text"]
     assert extract.main_blocks("<p>a<p>b &lt; c") == ["a", "b < c"]
     assert extract.main_blocks("<div>" * 5000 + "deep") == ["deep"]
+
+
+def test_masks_hit_every_overlap_that_passes():
+    from itertools import combinations
+
+    def missed(masks, n, wrong, ends):
+        places = [sum(1 << p + i for i, c in enumerate(m) if c == "1") for m in masks for p in range(n - len(m) + 1)]
+        inner = range(1, n - 1) if ends else range(n)
+        return sum(all(sum(1 << i for i in x) & p for p in places) for x in combinations(inner, wrong))
+
+    # an overlap of 26 tokens or more has a half of 13 or more that passes
+    assert not any(missed(decontaminate.MASKS, n, n // 5, False) for n in range(13, 26))
+    for n in range(1, 13):
+        wrong = n // 5 if n >= decontaminate.MIN_ITEM else 0
+        assert not missed(decontaminate.whole_masks(n), n, wrong, True)
+
+
+def test_cjk_text_is_parted_by_character():
+    a, b = decontaminate.token_hashes("今日は、良い天気。ABC１２ 東京"), decontaminate.token_hashes("今 日 は 良 い 天 気 abc１２ 東 京")
+    assert a.tolist() == b.tolist() and len(a) == 10
+    assert len(decontaminate.token_hashes("“naïve” – русский")) == 2
