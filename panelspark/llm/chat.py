@@ -5,10 +5,10 @@ The prefixes of a conversation are rendered one after the other, and what a long
 adds behind the shorter one's text is the span of its last turn.  A template whose longer
 rendering does not start with the shorter one rewrites history and is reported.
 
-Long conversations are rendered in windows: each starts with the last turn of the one
-before, whose rendering is cut off again.  A template that needs more than that to
-render a turn shows in the first window's seam and the conversation is then rendered from
-its start, prefix by prefix.
+Every prefix is rendered from the true start, and of the earlier one only its length and
+hash are kept.  A template that the caller declares local, one that renders each turn from
+the turn and the one before alone, is rendered in windows instead: each starts with the
+last turn of the one before, whose rendering is cut off again.
 """
 
 from __future__ import annotations
@@ -61,12 +61,18 @@ def marked_turns(turns: Turns) -> str:
 def turn_segments(template: Template, turns: Turns, seen: int = 0) -> Iterator[str]:
     """What each turn after the first ``seen`` adds to the rendering of those before it."""
     before = template(turns[:seen]) if seen else ""
+    length, digest = len(before), _digest(before)
+    del before
     for k in range(seen + 1, len(turns) + 1):
         after = template(turns[:k])
-        if not after.startswith(before):
+        if len(after) < length or _digest(after[:length]) != digest:
             raise RewritesHistory(f"turn {k - 1} changes the text of earlier turns")
-        yield after[len(before) :]
-        before = after
+        yield after[length:]
+        length, digest = len(after), _digest(after)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest()
 
 
 def content_span(segment: str) -> tuple[int, int, int]:
@@ -82,29 +88,27 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape_role(segment[a : b - 1]), unescape(segment[b:c])
 
 
-def _local(template: Template, turns: Turns) -> bool:
-    """Whether the template renders turns alike behind a window's seam and in full."""
-    half = len(turns) // 2
-    seam = "".join(turn_segments(template, turns[half - 1 :], 1))
-    return template(turns) == template(turns[:half]) + seam
+def format_stream(template: Template, turns: Iterator[tuple[str, str]], local: bool | None = None) -> Iterator[tuple[str, str, str]]:
+    """(role, text, segment) of each turn of one conversation.
 
-
-def format_stream(template: Template, turns: Iterator[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
-    """(role, text, segment) of each turn of one conversation, holding a window of it."""
+    A local template's turns are held a window at a time; any other one needs them all, and
+    time that grows with the square of the conversation.  By default only ``marked_turns``
+    is local.
+    """
+    if not (template is marked_turns if local is None else local):
+        whole = list(turns)
+        for t, s in zip(whole, turn_segments(template, whole), strict=True):
+            yield (*t, s)
+        return
     window: Turns = []
-    chars, first = 0, True
-    seen = 0
+    chars = seen = 0
     for turn in turns:
         window.append(turn)
         chars += len(turn[1])
         if len(window) - seen >= WINDOW_TURNS or (chars >= WINDOW_CHARS and len(window) > seen + 1):
-            if first and len(window) > 3 and not _local(template, window):
-                # every turn needs all those before it
-                window.extend(turns)
-                break
             for t, s in zip(window[seen:], turn_segments(template, window, seen), strict=True):
                 yield (*t, s)
-            window, seen, chars, first = window[-1:], 1, 0, False
+            window, seen, chars = window[-1:], 1, 0
     for t, s in zip(window[seen:], turn_segments(template, window, seen), strict=True):
         yield (*t, s)
 
@@ -132,7 +136,7 @@ def _ordered(turns: DataFrame) -> DataFrame:
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def format_turns(turns: DataFrame, template: Template = marked_turns, loss_role: str = LOSS_ROLE) -> DataFrame:
+def format_turns(turns: DataFrame, template: Template = marked_turns, loss_role: str = LOSS_ROLE, local: bool | None = None) -> DataFrame:
     """(conv_id, turn_no, segment, content_start, content_end, loss) for every turn, in order.
 
     The formatted conversation is its segments one after the other; ``content_start`` and
@@ -140,8 +144,11 @@ def format_turns(turns: DataFrame, template: Template = marked_turns, loss_role:
     model is trained on.  Turns are ordered by turn, role and text, nulls first; null role
     or text is empty; rows with a null conv_id are one conversation; repeated rows are turns
     of their own.  Rows of a conversation stay together and in order in their partition.
-    A conversation may be long: its turns are streamed through a window.
+    A conversation may be long: the turns of a ``local`` template, as ``marked_turns`` is, are
+    streamed through a window.
     """
+    # told here: a task's copy of the function is another object
+    local = template is marked_turns if local is None else local
     ddl = "conv_id long, turn_no long, segment string, content_start long, content_end long, loss boolean"
     schema = arrow_schema(ddl)
 
@@ -149,7 +156,7 @@ def format_turns(turns: DataFrame, template: Template = marked_turns, loss_role:
         stream, rows, chars = _Stream(batches), [], 0
         while stream.next is not None:
             conv = stream.next[0]
-            for no, (role, _, segment) in enumerate(format_stream(template, stream.conversation())):
+            for no, (role, _, segment) in enumerate(format_stream(template, stream.conversation(), local)):
                 _, a, b = content_span(segment)
                 rows.append((conv, no, segment, a, b, role == loss_role))
                 chars += len(segment)

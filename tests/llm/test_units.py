@@ -185,3 +185,22 @@ def test_cjk_text_is_parted_by_character():
     a, b = decontaminate.token_hashes("今日は、良い天気。ABC１２ 東京"), decontaminate.token_hashes("今 日 は 良 い 天 気 abc１２ 東 京")
     assert a.tolist() == b.tolist() and len(a) == 10
     assert len(decontaminate.token_hashes("“naïve” – русский")) == 2
+
+
+def test_late_rewriting_is_detected():
+    def forgets(turns):
+        return chat.marked_turns(turns if len(turns) <= 40 else turns[-20:])
+
+    def counts_late(turns):
+        return chat.marked_turns(turns) if len(turns) < 50 else f"{len(turns)} turns\n" + chat.marked_turns(turns)
+
+    for template in (forgets, counts_late):
+        with pytest.raises(chat.RewritesHistory):
+            list(chat.format_stream(template, iter([("user", str(i)) for i in range(100)])))
+
+    def numbered(turns):
+        return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+
+    # windows that end by their characters with few turns
+    turns = [("user", "x" * 150_000 + str(i)) for i in range(6)]
+    assert "".join(s for _, _, s in chat.format_stream(numbered, iter(turns))) == numbered(turns)
