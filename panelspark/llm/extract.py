@@ -25,6 +25,9 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = ("script", "style", "textarea", "template", "noscript", "iframe", "svg", "math", "object", "title", "xmp", "noembed", "noframes")
+#: Of these, elements that '/>' ends.
+_FOREIGN = frozenset(("iframe", "svg", "math", "object"))
+_UNQUOTED_SLASH = re.compile(r"=\s*[^\s\"'][^\s]*/$")
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -54,34 +57,38 @@ _IMPLIED = {
 _SPACE = re.compile(r"\s+")
 #: Share of the best container's points that a sibling needs.
 SIBLING_SHARE = 0.2
+#: Share of a container's text that may be in links if it is taken for its text alone.
+LINK_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "points", "link", "size", "linked")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "points", "link", "size", "linked")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        self.named = False
         self.parts: list = []
         self.points = 0.0
         self.size = self.linked = 0
 
 
-def _unwanted(tag: str, attributes: str) -> bool:
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is never main text, and whether its class or id says so."""
     if tag in _DROPPED:
-        return True
+        return True, False
+    named = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            if tag not in ("html", "body", "article", "main") and _NAMES.search(value):
-                return True
+            named = named or bool(tag not in ("html", "body", "article", "main") and _NAMES.search(value))
         elif name == "role":
             if value in _ROLES:
-                return True
+                return True, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+    return False, named
 
 
 def parse(page: str) -> _Node:
@@ -124,11 +131,15 @@ def parse(page: str) -> _Node:
                 if up.tag in closed:
                     node = up.parent
                 up = up.parent
+        if tag in _FOREIGN and attributes.rstrip().endswith("/") and not _UNQUOTED_SLASH.search(attributes.rstrip()):
+            continue
         if tag in _RAW:
             close = _RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
-        child = _Node(tag, node, node.dropped or _unwanted(tag, attributes))
+        never, named = _unwanted(tag, attributes)
+        child = _Node(tag, node, node.dropped or never)
+        child.named = named
         node.parts.append(child)
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
             node = child
@@ -195,15 +206,61 @@ def _inside(node: _Node, container: _Node) -> bool:
     return False
 
 
+def _points(text: str, linked: int) -> float:
+    points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
+    return points * (1 - linked / len(text))
+
+
+def _drop_named(blocks: list[tuple[_Node, str, int]]) -> bool:
+    """Drops the elements whose class or id names them, and tells whether there are any.
+
+    A wrapper may bear such a name too: what holds over half of the page's points stays,
+    unless what is left without it has a heading or article of its own and a tenth of the points.
+    """
+    inside: dict[_Node, float] = {}
+    chains = []
+    for node, text, linked in blocks:
+        chain, article, up = [], node.tag == "h1", node
+        while up is not None:
+            article = article or up.tag in ("article", "main")
+            if up.named:
+                chain.append(up)
+            up = up.parent
+        points = _points(text, linked)
+        chains.append((set(chain), points, article))
+        for n in chain:
+            inside[n] = inside.get(n, 0) + points
+    half = sum(p for _, p, _ in chains) / 2
+    spared: set[_Node] = set()
+    # wrappers hold no less than what they wrap, so they come first
+    for node in sorted((n for n in inside if inside[n] > half), key=lambda n: (-inside[n], _depth(n))):
+        rest = [(p, article) for chain, p, article in chains if node not in chain and chain <= spared]
+        outside = sum(p for p, _ in rest)
+        if inside[node] > 9 * outside or not any(article for _, article in rest):
+            spared.add(node)
+    for node in inside:
+        node.dropped = node not in spared
+    return len(inside) > len(spared)
+
+
+def _depth(node: _Node) -> int:
+    depth = 0
+    while node.parent is not None:
+        node, depth = node.parent, depth + 1
+    return depth
+
+
 def main_blocks(page: str) -> list[str]:
     """The blocks of the main text in page order."""
-    blocks = _blocks(parse(page))
+    root = parse(page)
+    blocks = _blocks(root)
+    if _drop_named(blocks):
+        blocks = _blocks(root)
     if not blocks:
         return []
     touched: dict[int, _Node] = {}
     for node, text, linked in blocks:
-        points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
-        points *= 1 - linked / len(text)
+        points = _points(text, linked)
         # a paragraph's own container gets all its points, each step up half as many
         up = node.parent if node.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "blockquote") and node.parent else node
         share = 1.0
@@ -223,12 +280,22 @@ def main_blocks(page: str) -> list[str]:
     # lists, tables and quotations are parts of the container that holds them
     while best.parent is not None and best.tag in ("ul", "ol", "dl", "li", "table", "tbody", "tr", "td", "blockquote", "figure", "p", "pre"):
         best = best.parent
+    # an article is one whole, however its text is split
+    up = best
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.parent
+    if up is not None and up.linked <= LINK_SHARE * up.size:
+        best = up
+    held = set()
+    for node, _, _ in blocks:
+        if node.tag in ("p", "pre", "blockquote") and node.parent is not None:
+            held.add(node.parent)
     chosen = [best]
     if best.parent is not None and best.tag not in ("article", "main", "body", "html"):
         least = SIBLING_SHARE * score(best)
         for part in best.parent.parts:
             if isinstance(part, _Node) and part is not best and not part.dropped:
-                if id(part) in touched and score(part) >= least:
+                if id(part) in touched and (score(part) >= least or (part in held and part.linked <= LINK_SHARE * part.size)):
                     chosen.append(part)
                 elif part.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
                     chosen.append(part)

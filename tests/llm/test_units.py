@@ -204,3 +204,19 @@ def test_late_rewriting_is_detected():
     # windows that end by their characters with few turns
     turns = [("user", "x" * 150_000 + str(i)) for i in range(6)]
     assert "".join(s for _, _, s in chat.format_stream(numbered, iter(turns))) == numbered(turns)
+
+
+def test_extraction_keeps_split_and_wrapped_articles():
+    long = [f"Paragraph {i}, which has some length, and commas, to be found, and kept, as it is text." for i in range(10)]
+    body = "".join(f"<p>{t}</p>" for t in long)
+    for tag in ("svg", "math", "object", "iframe"):
+        assert extract.main_blocks(f'<div><p>{long[0]}</p><{tag} a="b"/><p>{long[1]}</p></div>') == long[:2]
+    for name in ("content-sidebar-wrap", "has-sidebar", "with-toc"):
+        page = f'<body><div class="{name}"><div>{body}</div><div class="sidebar"><p>Popular, posts.</p></div></div></body>'
+        assert extract.main_blocks(page) == long
+    short = "One short end."
+    assert extract.main_blocks(f"<article><div>{body}</div><div><p>{short}</p></div></article>") == [*long, short]
+    assert extract.main_blocks(f"<body><div><section>{body}</section><section><p>{short}</p></section></div></body>") == [*long, short]
+    # more comments than text stay out
+    page = f'<body><div><h1>Title</h1>{"".join(f"<p>{t}</p>" for t in long[:3])}</div><div id="comments">{body}{body}</div></body>'
+    assert extract.main_blocks(page) == ["Title", *long[:3]]
