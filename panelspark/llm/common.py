@@ -120,6 +120,15 @@ def text_batches(
             start = stop
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary of this worker process, kept between batches and tasks."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_panelspark_worker", types.ModuleType("_panelspark_worker"))
+    return held.__dict__.setdefault(name, {})
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string; on the driver, as parsing needs the session."""
     from pyspark.sql.pandas.types import to_arrow_schema
