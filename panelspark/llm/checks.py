@@ -129,9 +129,81 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns,
 FROM formatted GROUP BY conv_id
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every matching document of every item is scored; the best ten are kept.
+OP11 = f"""
+WITH held AS (
+    SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS t FROM documents) GROUP BY doc_id, t
+), sizes AS (
+    SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM held GROUP BY doc_id
+), whole AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), weights AS (
+    SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM held, whole GROUP BY t
+), asked AS (
+    SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t
+), scored AS (
+    SELECT item_id, h.doc_id,
+        CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN held h USING (t) JOIN weights USING (t) JOIN sizes s ON s.doc_id = h.doc_id, whole
+    GROUP BY item_id, h.doc_id
+)
+SELECT item_id, CAST(place AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0)
+WHERE place <= 10
+"""
+
+#: The failed letters of each document as a string; every step of every order looked up in it.
+OP13 = rf"""
+WITH docs AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents
+), firsts AS (
+    SELECT text, min(doc_id) AS least FROM docs GROUP BY text
+), marks AS (
+    SELECT doc_id, coalesce(max(quality) = 1, false) AS good, coalesce(max(toxic) = 1, false) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(d.text) - length(regexp_replace(d.text, '[A-Z]', '', 'g'))) > 10 * length(d.text) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+    FROM docs d JOIN firsts f ON d.text = f.text LEFT JOIN marks USING (doc_id)
+), classes AS (
+    SELECT part, good, toxic, fails, count(*) AS n FROM failed GROUP BY ALL
+), letters(x) AS (
+    VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+    SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+    SELECT filter_order, CAST(s AS INT) AS step, substring(filter_order, s, 1) AS letter, substring(filter_order, 1, s - 1) AS before
+    FROM orders, range(1, 6) AS r(s)
+), met AS (
+    SELECT part, filter_order, step, letter, n, good, toxic, contains(fails, letter) AS now,
+        length(translate(fails, before, '')) < length(fails) AS earlier, fails = letter AS alone
+    FROM steps, classes
+), summed AS (
+    SELECT part, filter_order, step, letter,
+        CAST(coalesce(sum(n) FILTER (NOT now AND NOT earlier), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (now AND NOT earlier), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (now AND earlier), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (alone), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(n) FILTER (now AND NOT earlier AND good), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(n) FILTER (now AND NOT earlier AND toxic), 0) AS BIGINT) AS toxic_lost
+    FROM met GROUP BY part, filter_order, step, letter
+)
+SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM summed
+"""
+
 SQL: dict[str, str] = {
     "op1_chat_format": OP1,
     "op2_quality_rules": OP2,
     "op3_mixing": _mixing(),
     "op7_line_dedup": OP7,
+    "op11_lexical_search": OP11,
+    "op13_filter_audit": OP13,
 }

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import chat, decontaminate, extract, licence, linededup, mixing, quality, simhash, suffixdedup, tokenbin
+from panelspark.llm import audit, chat, decontaminate, extract, licence, linededup, lmscore, mixing, quality, search, simhash, suffixdedup, tokenbin
 from panelspark.llm.common import table
 
 
@@ -80,6 +80,20 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_token_files(manifest, checksum, "ids_crc32 long")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item, against all documents."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bigram model of four fifths of the documents, which scores all of them."""
+    return lmscore.score(table(spark, sf_dir, "documents"), order=2)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_simhash,
         op10_token_ids,
+        op11_lexical_search,
+        op12_lm_score,
+        op13_filter_audit,
     )
 }
