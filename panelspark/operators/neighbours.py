@@ -1,110 +1,35 @@
-"""Exact k nearest neighbours in space partitions, and the Local Outlier Factor.
+"""k nearest neighbours in space partitions, exact or by random projections, and the Local Outlier Factor.
 
 Copies of a point are collapsed first, so a location shared by a third of the rows
-is one point with a weight.  The points are cut into leaves of similar size by a
-k-d tree grown on a sample; each leaf finds neighbours among its own points, which
-bounds the distance to the true ones, and only points whose ball crosses into
-other leaves ask there.  No pair of rows is formed outside a leaf.
+is one point with a weight.  The points are cut into leaves of similar size, level by
+level: one grouped pass gives every cell its bounding box and an approximate median per
+dimension, and cells that are too large are halved along their widest side.  The cells
+are a table; nothing of the size of the points reaches the driver.
+
+A leaf finds neighbours among its own points, which bounds the distance to the true ones.
+Points whose ball meets the bounding box of other leaves first ask the nearest of these,
+which shrinks the ball, and then all that it still meets.  No pair of rows is formed
+outside a leaf.
 """
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
 
 from panelspark.operators.matrix import filled
 from panelspark.operators.thresholds import flag_below
 from panelspark.session import materialize
 
 LEAF_ROWS = 4096
-_SAMPLE_PER_LEAF = 32
-_MAX_SAMPLE = 2_000_000
 _BLOCK = 200_000  # distances held at once in a task; they stay in the cache
+_ACCURACY = 200  # of the medians: they only decide where cells are cut
+_TOP_LEVELS = 12  # of the tree of cells, whose boxes travel with a function
+_FIRST = 2  # leaves asked in the first round
 
 _EDGE = "nbr bigint, d double, w bigint"
-_FOUND = f"id bigint, leaf int, x array<double>, m bigint, r double, nbrs array<struct<{_EDGE}>>, others array<int>"
-
-
-@dataclass(frozen=True)
-class Tree:
-    """Cuts of a k-d tree; a leaf has dim -1 and its number in ``leaf``."""
-
-    dim: np.ndarray
-    cut: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    leaf: np.ndarray
-
-    @staticmethod
-    def grow(sample: np.ndarray, rows: int, leaf_rows: int) -> "Tree":
-        """Halve the widest side until a leaf stands for ``leaf_rows`` rows."""
-        nodes: list[list] = [[-1, 0.0, -1, -1, -1]]
-        todo = [(0, np.arange(len(sample)))]
-        leaves = 0
-        while todo:
-            at, part = todo.pop()
-            spread = np.ptp(sample[part], axis=0) if len(part) else np.zeros(1)
-            if len(part) * rows <= leaf_rows * max(len(sample), 1) or not spread.max() > 0:
-                nodes[at][4] = leaves
-                leaves += 1
-                continue
-            dim = int(spread.argmax())
-            values = np.sort(sample[part, dim])
-            cut = values[len(values) // 2]
-            if cut == values[0]:
-                cut = values[np.searchsorted(values, cut, side="right")]
-            low = sample[part, dim] < cut
-            left, right = len(nodes), len(nodes) + 1
-            nodes[at][:4] = [dim, float(cut), left, right]
-            nodes.extend([[-1, 0.0, -1, -1, -1], [-1, 0.0, -1, -1, -1]])
-            todo.extend([(left, part[low]), (right, part[~low])])
-        dim, cut, left, right, leaf = (np.array(c) for c in zip(*nodes))
-        return Tree(dim, cut, left, right, leaf)
-
-    @property
-    def leaves(self) -> int:
-        return int(self.leaf.max()) + 1
-
-    def place(self, x: np.ndarray) -> np.ndarray:
-        """Leaf of each point."""
-        node = np.zeros(len(x), dtype="int64")
-        every = np.arange(len(x))
-        inner = self.dim[node] >= 0
-        while inner.any():
-            side = x[every, np.maximum(self.dim[node], 0)] < self.cut[node]
-            node = np.where(inner, np.where(side, self.left[node], self.right[node]), node)
-            inner = self.dim[node] >= 0
-        return self.leaf[node]
-
-    def reached(self, x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (point, leaf) with the leaf's box within distance ``r`` of the point.
-
-        The box distance is built like the point distance, term by term, so that
-        rounding keeps it at or below the distance to any point of the box.
-        """
-        points, leaves = [], []
-        low = np.full(x.shape[1], -np.inf)
-        todo = [(0, np.arange(len(x)), low, -low)]
-        while todo:
-            at, rows, low, high = todo.pop()
-            near = x[rows]
-            gap = np.maximum(np.maximum(low - near, near - high), 0.0)
-            rows = rows[_norm(gap.T) <= r[rows]]
-            if not len(rows):
-                continue
-            if self.dim[at] < 0:
-                points.append(rows)
-                leaves.append(np.full(len(rows), self.leaf[at]))
-                continue
-            dim, cut = self.dim[at], self.cut[at]
-            upper, lower = high.copy(), low.copy()
-            upper[dim], lower[dim] = cut, cut
-            todo.extend([(self.left[at], rows, low, upper), (self.right[at], rows, lower, high)])
-        return np.concatenate(points), np.concatenate(leaves)
+_NBRS = f"array<struct<{_EDGE}>>"
 
 
 def _norm(differences) -> np.ndarray:
@@ -155,39 +80,21 @@ def _by_id(table: pa.Table) -> pa.Table:
     return table.sort_by("id")
 
 
-def _search_leaf(tree: Tree, k: int):
+def _edges(ids: np.ndarray, n: int, row: np.ndarray, nbr: np.ndarray, d: np.ndarray, w: np.ndarray) -> pa.Table:
+    """(id, nbrs) from neighbours in the order of their rows."""
+    edges = pa.StructArray.from_arrays([pa.array(nbr), pa.array(d), pa.array(w.astype("int64"))], names=["nbr", "d", "w"])
+    return pa.table({"id": pa.array(ids), "nbrs": pa.ListArray.from_arrays(_offsets(row, n), edges)})
+
+
+def _search_leaf(k: int):
+    """(id, nbrs) within one leaf."""
+
     def search(table: pa.Table) -> pa.Table:
         table = _by_id(table)
         ids, m = _columns(table, "id", "m")
-        x, n = _points(table), table.num_rows
-        blocks = list(_nearest(x, ids, x, ids, m, k))
-        row, col, dist, w = (np.concatenate(part) for part in zip(*blocks))
-        found = np.bincount(row, weights=w, minlength=n)
-        furthest = np.zeros(n)
-        np.maximum.at(furthest, row, dist)
-        r = np.where(found >= k, furthest, np.inf)
-        leaf = table["leaf"][0].as_py()
-        point, other = tree.reached(x, r)
-        point, other = point[other != leaf], other[other != leaf]
-        order = np.lexsort((other, point))
-        point, other = point[order], other[order]
-        edges = pa.StructArray.from_arrays(
-            [pa.array(ids[col]), pa.array(dist), pa.array(w.astype("int64"))],
-            names=["nbr", "d", "w"],
-        )
-        return pa.table(
-            {
-                "id": table["id"],
-                "leaf": table["leaf"],
-                "x": table["x"],
-                "m": table["m"],
-                "r": pa.array(r),
-                "nbrs": pa.ListArray.from_arrays(_offsets(row, n), edges),
-                "others": pa.ListArray.from_arrays(
-                    _offsets(point, n), pa.array(other.astype("int32"))
-                ),
-            }
-        )
+        x = _points(table)
+        row, col, dist, w = (np.concatenate(part) for part in zip(*_nearest(x, ids, x, ids, m, k)))
+        return _edges(ids, len(ids), row, ids[col], dist, w)
 
     return search
 
@@ -198,6 +105,8 @@ def _offsets(row: np.ndarray, n: int) -> pa.Array:
 
 
 def _answer_asks(k: int):
+    """(id, nbr, d, w) for points that ask a leaf, within their radius."""
+
     def answer(asks: pa.Table, points: pa.Table) -> pa.Table:
         names = ["id", "nbr", "d", "w"]
         if not asks.num_rows or not points.num_rows:
@@ -210,15 +119,8 @@ def _answer_asks(k: int):
         row, col, dist, w = (np.concatenate(part) for part in zip(*blocks))
         near = dist <= r[row]
         row, col = row[near], col[near]
-        return pa.table(
-            [
-                pa.array(ids[row]),
-                pa.array(pid[col]),
-                pa.array(dist[near]),
-                pa.array(w[near].astype("int64")),
-            ],
-            names=names,
-        )
+        found = [ids[row], pid[col], dist[near], w[near].astype("int64")]
+        return pa.table([pa.array(c) for c in found], names=names)
 
     return answer
 
@@ -234,54 +136,243 @@ def distinct_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return materialize(in_order.withColumn("id", F.monotonically_increasing_id()), "points")
 
 
-def grow_tree(points: DataFrame, leaf_rows: int) -> Tree:
-    """k-d tree from a sample of bounded size, chosen by a hash of the vectors."""
-    n = points.count()
-    wanted = min(n, _MAX_SAMPLE, _SAMPLE_PER_LEAF * -(-n // leaf_rows))
-    if n <= leaf_rows:
-        return Tree.grow(np.zeros((0, 1)), 0, leaf_rows)
-    drawn = F.pmod(F.xxhash64("x"), F.lit(n)) < wanted
-    return Tree.grow(_points(points.where(drawn).select("x").toArrow()), n, leaf_rows)
-
-
-def neighbour_graph(points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """Edges (id, nbr, d, w) to the k nearest rows of every point, as a stored table."""
-    tree = grow_tree(points, leaf_rows)
-
-    @pandas_udf("int")
-    def place(x: pd.Series) -> pd.Series:
-        return pd.Series(tree.place(np.stack(x.to_numpy())).astype("int32"))
-
-    leaf = place("x") if tree.leaves > 1 else F.lit(0)
-    placed = points.withColumn("leaf", leaf)
-    found = placed.groupBy("leaf").applyInArrow(_search_leaf(tree, k), _FOUND)
-    found = materialize(found, "leaves")
-    crossing = F.size("others") > 0
-    settled = found.where(~crossing).select("id", F.inline("nbrs"))
-    if tree.leaves == 1:
-        return settled
-
-    # Many points may ask the same leaf: its asks are split into parts of at most
-    # about ``leaf_rows``, and each part meets a copy of the leaf.
-    asks = found.where(crossing).select("id", "x", "r", F.explode("others").alias("leaf"))
+def cut_cells(points: DataFrame, dims: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Points with their leaf, and the leaves (leaf, size, low, high) with their bounding boxes.
+
+    Cells are numbered like a heap: the halves of cell c are 2c and 2c + 1.
+    """
+    placed = points.withColumn("leaf", F.lit(1).cast("bigint"))
+    at = [F.col("x")[j] for j in range(dims)]
+    while True:
+        found = placed.groupBy("leaf").agg(
+            F.count("*").alias("size"),
+            F.array(*[F.min(v) for v in at]).alias("low"),
+            F.array(*[F.max(v) for v in at]).alias("high"),
+            F.array(*[F.percentile_approx(v, 0.5, F.lit(_ACCURACY)) for v in at]).alias("middle"),
+        )
+        cells = materialize(found, "cells")
+        # distinct points have a side of some width, unless a width is infinite or no number
+        sides = [F.struct((F.col("high")[j] - F.col("low")[j]).alias("width"), F.lit(-j).alias("j")) for j in range(dims)]
+        widest = cells.where(F.col("size") > leaf_rows).withColumn("side", F.greatest(*sides) if dims > 1 else sides[0])
+        cuts = widest.where("side.width > 0").select(
+            F.col("leaf").alias("cell"),
+            (-F.col("side.j")).alias("dim"),
+            F.get("middle", -F.col("side.j")).alias("cut"),
+            (F.get("middle", -F.col("side.j")) == F.get("low", -F.col("side.j"))).alias("lowest"),
+        )
+        if cuts.isEmpty():
+            return placed, cells.drop("middle")
+        value = F.get("x", F.col("dim"))
+        # a median at the lower end goes to the lower half, else to the upper
+        upper = F.when(F.col("lowest"), value > F.col("cut")).otherwise(value >= F.col("cut"))
+        half = F.when(F.col("cell").isNull(), F.col("leaf")).otherwise(2 * F.col("leaf") + upper.cast("bigint"))
+        joined = placed.join(cuts, F.col("leaf") == F.col("cell"), "left")
+        placed = materialize(joined.select("id", "x", "m", half.alias("leaf")), "placed")
+
+
+def _gap(low: Column, high: Column, dims: int) -> Column:
+    """Distance of the point x to a box, built like the distance of two points.
+
+    Term by term it is at or below the distance to any point of the box, also when rounded.
+    """
+    total = None
+    for j in range(dims):
+        off = F.greatest(F.get(low, F.lit(j)) - F.get("x", F.lit(j)), F.get("x", F.lit(j)) - F.get(high, F.lit(j)), F.lit(0.0))
+        total = off * off if total is None else total + off * off
+    return F.sqrt(total)
+
+
+def _tops(leaves: DataFrame, dims: int) -> tuple[list[tuple], DataFrame]:
+    """At most 2^_TOP_LEVELS cells (cell, low, high) that hold all leaves, and the leaves with theirs."""
+    above = f"greatest(length(bin(leaf)) - 1 - {_TOP_LEVELS}, 0)"
+    named = leaves.withColumn("top", F.expr(f"shiftright(leaf, {above})"))
+    boxes = named.groupBy("top").agg(
+        F.array(*[F.min(F.col("low")[j]) for j in range(dims)]).alias("low"),
+        F.array(*[F.max(F.col("high")[j]) for j in range(dims)]).alias("high"),
+    )
+    return [tuple(r) for r in boxes.collect()], named
+
+
+def reached(found: DataFrame, leaves: DataFrame, dims: int) -> DataFrame:
+    """(id, x, r, leaf, gap): the other leaves whose box the ball of radius r around a point meets.
+
+    The boxes of a bounded number of upper cells travel with the function; the leaves below
+    those that a ball meets are joined.
+    """
+    tops, named = _tops(leaves, dims)
+    cells = np.array([t[0] for t in tops], "int64")
+    low, high = (np.array([t[i] for t in tops], "float64").reshape(-1, dims) for i in (1, 2))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, 4_000_000 // len(cells))
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                x, r = _points(part), part.column("r").to_numpy()
+                gap = _norm(np.maximum(np.maximum(low[None, :, j] - x[:, None, j], x[:, None, j] - high[None, :, j]), 0.0) for j in range(dims))
+                row, col = np.nonzero(gap <= r[:, None])
+                taken = part.take(pa.array(row))
+                yield pa.record_batch([*[taken.column(c) for c in ("id", "own", "x", "r")], pa.array(cells[col])], ["id", "own", "x", "r", "top"])
+
+    met = found.select("id", F.col("leaf").alias("own"), "x", "r").mapInArrow(meet, "id long, own long, x array<double>, r double, top long")
+    below = met.join(named.select("top", "leaf", "low", "high"), "top").where("leaf != own")
+    gap = _gap(F.col("low"), F.col("high"), dims)
+    return below.select("id", "x", "r", "leaf", gap.alias("gap")).where("gap <= r")
+
+
+def _answers(asks: DataFrame, placed: DataFrame, k: int, leaf_rows: int) -> DataFrame:
+    """(id, nbr, d, w): what the asked leaves know.
+
+    Many points may ask the same leaf: its asks are split into parts of at most
+    about ``leaf_rows``, and each part meets a copy of the leaf.
+    """
     parts = F.ceil(F.count("*") / F.lit(leaf_rows)).cast("int")
     loads = asks.groupBy("leaf").agg(parts.alias("parts"))
     chosen = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    asks = asks.join(loads, "leaf").select(
-        F.col("leaf").alias("leaf"), chosen, F.col("id").alias("ask"), F.col("x").alias("at"), "r"
-    )
+    asks = asks.join(loads, "leaf").select("leaf", chosen, F.col("id").alias("ask"), F.col("x").alias("at"), "r")
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    copies = found.join(loads, "leaf").select("leaf", each, "id", "x", "m")
-    answers = (
+    copies = placed.join(loads, "leaf").select("leaf", each, "id", "x", "m")
+    return (
         asks.groupBy("leaf", "part")
         .cogroup(copies.groupBy("leaf", "part"))
         .applyInArrow(_answer_asks(k), f"id bigint, {_EDGE}")
     )
-    pooled = found.where(crossing).select("id", F.inline("nbrs")).unionByName(answers)
+
+
+def _nearest_of(pooled: DataFrame, k: int) -> DataFrame:
+    """Of each point's edges the nearest whose weights add up to k."""
     nearer = Window.partitionBy("id").orderBy("d", "nbr").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("w").over(nearer), F.lit(0))
-    taken = pooled.withColumn("w", F.least(F.col("w"), F.lit(k) - before)).where(F.col("w") > 0)
-    return materialize(settled.unionByName(taken), "edges")
+    return pooled.withColumn("w", F.least(F.col("w"), F.lit(k) - before)).where(F.col("w") > 0)
+
+
+def _radii(edges: DataFrame, k: int) -> DataFrame:
+    """(id, r): the distance of the k-th neighbour, infinite while there are fewer."""
+    full = F.when(F.sum("w") >= k, F.max("d")).otherwise(float("inf"))
+    return edges.groupBy("id").agg(full.alias("r"))
+
+
+def neighbour_graph(
+    points: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, report: dict | None = None
+) -> DataFrame:
+    """Edges (id, nbr, d, w) to the k nearest rows of every point, as a stored table.
+
+    ``report`` receives the number of leaves and of asks.
+    """
+    first = points.first()
+    if first is None:
+        return points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d"), F.col("m").alias("w"))
+    dims = len(first.x)
+    placed, leaves = cut_cells(points, dims, leaf_rows)
+    inside = placed.groupBy("leaf").applyInArrow(_search_leaf(k), f"id bigint, nbrs {_NBRS}")
+    edges = materialize(inside.select("id", F.inline("nbrs")), "inside")
+    n_leaves = leaves.count()
+    if report is not None:
+        report.update(leaves=n_leaves, asks=0)
+    if n_leaves == 1:
+        return edges
+
+    asked = None
+    for only in (_FIRST, None):
+        radii = placed.select("id", "x", "leaf").join(_radii(edges, k), "id", "left").fillna({"r": float("inf")})
+        asks = reached(radii, leaves, dims)
+        if only is not None:
+            near = Window.partitionBy("id").orderBy("gap", "leaf")
+            asks = asks.withColumn("place", F.row_number().over(near)).where(F.col("place") <= only).drop("place")
+        else:
+            asks = asks.join(asked, ["id", "leaf"], "left_anti")
+        asks = materialize(asks, "asks")
+        if report is not None:
+            report["asks"] += asks.count()
+        asked = asks.select("id", "leaf")
+        pooled = edges.unionByName(_answers(asks, placed, k, leaf_rows))
+        edges = materialize(_nearest_of(pooled, k), "edges")
+    return edges
+
+
+def _windows(batches: Iterator[pa.RecordBatch], keys: Sequence[str], half: int) -> Iterator[pa.Table]:
+    """Of each run of equal keys in a sorted stream, windows of two halves that overlap by one.
+
+    Rows at most ``half`` places apart share a window; two windows are held at a time.
+    """
+    held, name = None, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, dtype=bool)
+        for key in keys:
+            column = batch.column(key).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), n]
+        for a, b in zip(cuts, cuts[1:]):
+            run = tuple(batch.column(key)[a].as_py() for key in keys)
+            part = pa.Table.from_batches([batch.slice(a, b - a)])
+            if run != name:
+                if held is not None:
+                    yield held
+                held, name = part, run
+            else:
+                held = pa.concat_tables([held, part])
+            while held.num_rows > 3 * half:
+                yield held.slice(0, 2 * half)
+                held = held.slice(half)
+    if held is not None:
+        yield held
+
+
+def approximate_graph(
+    points: DataFrame, k: int, tables: int = 12, bucket_rows: int = 256, seed: int = 42
+) -> DataFrame:
+    """Edges like those of ``neighbour_graph``, by random projections: most, not all of them.
+
+    In each of ``tables`` tables the points are projected on three random lines (each column
+    scaled by its spread).  Quantiles on the first two cut them into cells that hold the
+    same share of each line; in a cell the points are sorted along the third, and those
+    within about ``bucket_rows`` places of each other are candidates, whose distances are
+    exact.  A large cell is streamed, so ties and clusters cost no memory.
+    """
+    first = points.first()
+    if first is None:
+        return neighbour_graph(points, k)
+    dims = len(first.x)
+    at = [F.col("x")[j] for j in range(dims)]
+    n, *spreads = points.agg(F.count("*"), *[F.stddev_samp(v) for v in at]).first()
+    scale = np.array([s if s and np.isfinite(s) else 1.0 for s in spreads])
+    lines = np.random.default_rng(seed).normal(size=(tables, 3, dims)) / scale
+    slots = max(1, round((n / bucket_rows) ** (1 / 3)))
+    shares = F.array(*[F.lit(i / slots) for i in range(1, slots)])
+
+    def place(line: Sequence[float]) -> Column:
+        return sum((F.lit(float(c)) * v for c, v in zip(line[1:], at[1:])), F.lit(float(line[0])) * at[0])
+
+    edges = np.empty((tables, 2, slots - 1))
+    if slots > 1:
+        sketches = [F.percentile_approx(place(lines[t, i]), shares, F.lit(10 * slots)) for t in range(tables) for i in (0, 1)]
+        edges = np.array(points.agg(*sketches).first(), dtype="float64").reshape(tables, 2, slots - 1)
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _points(batch)
+            for t in range(tables):
+                on = [sum(c * x[:, j] for j, c in enumerate(line)) for line in lines[t]]
+                cell = np.searchsorted(edges[t, 0], on[0]) * slots + np.searchsorted(edges[t, 1], on[1])
+                numbers = [pa.array(np.full(len(x), t, "int32")), pa.array(cell.astype("int64")), pa.array(on[2])]
+                yield pa.record_batch([*[batch.column(c) for c in ("id", "x", "m")], *numbers], ["id", "x", "m", "t", "cell", "place"])
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _windows(batches, ["t", "cell"], bucket_rows):
+            yield from _search_leaf(k)(table).to_batches()
+
+    ddl = "id long, x array<double>, m long, t int, cell long, place double"
+    projected = points.select("id", "x", F.col("m").cast("bigint").alias("m")).mapInArrow(project, ddl)
+    dealt = projected.repartition("t", "cell").sortWithinPartitions("t", "cell", "place", "id")
+    found = dealt.mapInArrow(search, f"id bigint, nbrs {_NBRS}").select("id", F.inline("nbrs"))
+    # one edge found several times is one; a window without the point's copies knows fewer
+    found = found.groupBy("id", "nbr").agg(F.min("d").alias("d"), F.max("w").alias("w"))
+    return materialize(_nearest_of(found, k), "edges")
 
 
 def outlier_factors(edges: DataFrame) -> DataFrame:
@@ -310,14 +401,19 @@ def local_outlier_factor(
     k: int = 20,
     contamination: float = 0.05,
     leaf_rows: int = LEAF_ROWS,
+    method: str = "exact",
 ) -> DataFrame:
     """Add lof_score (lower is more abnormal) and lof_anomaly.
 
     Missing values count as 0.0.  Neighbours at equal distance are taken in the
-    order of their vectors.  ``df`` is read twice.
+    order of their vectors.  ``method`` is ``exact`` or ``lsh``, where neighbours come
+    from random projections and some are missed.  ``df`` is read twice.
     """
+    if method not in ("exact", "lsh"):
+        raise ValueError("method must be exact or lsh")
     points = distinct_points(df, cols)
-    factors = outlier_factors(neighbour_graph(points, k, leaf_rows))
+    graph = neighbour_graph(points, k, leaf_rows) if method == "exact" else approximate_graph(points, k)
+    factors = outlier_factors(graph)
     scores = points.join(factors, "id", "left").select("x", "lof")
     scores = scores.withColumnsRenamed({"x": "_x", "lof": "lof_score"})
     x = F.array(*filled(cols))

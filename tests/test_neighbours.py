@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators.neighbours import (
-    Tree,
+    approximate_graph,
+    cut_cells,
     distinct_points,
     local_outlier_factor,
     neighbour_graph,
+    reached,
 )
 
 COLS = ["a", "b", "c", "d"]
@@ -22,6 +24,8 @@ def _data(kind: str, n: int = 900) -> np.ndarray:
     if kind == "copies":  # a third of the rows in one place, and lattice ties
         x = np.round(x, 0)
         x[: n // 3] = [1.0, 0.0, -1.0, 2.0]
+    if kind == "line":  # three columns without any spread
+        x[:, 1:] = 0.0
     return x
 
 
@@ -45,8 +49,7 @@ def _brute(x: np.ndarray, k: int):
     return -density[near].mean(axis=1) / density, kdist
 
 
-@pytest.mark.parametrize("kind", ["normal", "tails", "copies"])
-@pytest.mark.parametrize("leaf_rows", [40, 100_000])
+@pytest.mark.parametrize("kind, leaf_rows", [("normal", 40), ("tails", 40), ("copies", 40), ("line", 40), ("copies", 100_000)])
 def test_scores_match_brute_force(spark, kind, leaf_rows):
     x = _data(kind)
     df = _frame(spark, x).repartition(3)
@@ -62,7 +65,7 @@ def test_scores_match_brute_force(spark, kind, leaf_rows):
 def test_graph_weights_and_distances(spark):
     x = _data("copies", 400)
     points = distinct_points(_frame(spark, x), COLS)
-    edges = neighbour_graph(points, 20, leaf_rows=30)
+    edges = neighbour_graph(points, 20, leaf_rows=15)
     per = edges.groupBy("id").agg(F.sum("w").alias("w"), F.max("d").alias("kdist"))
     rows = points.join(per, "id").collect()
     _, kdist = _brute(x, 20)
@@ -85,24 +88,71 @@ def test_far_point_is_most_abnormal(spark):
 
 
 def test_few_rows_and_missing_values(spark):
-    df = spark.createDataFrame([(0, None, 1.0, 1.0, 1.0)], "id int, a double, b double, c double, d double")
+    schema = "id int, a double, b double, c double, d double"
+    df = spark.createDataFrame([(0, None, 1.0, 1.0, 1.0)], schema)
     row = local_outlier_factor(df, COLS).first()
     assert row.lof_score is None and row.lof_anomaly == 0
     three = _frame(spark, np.zeros((3, 4)))
     assert [r.lof_score for r in local_outlier_factor(three, COLS).collect()] == [-1.0] * 3
+    for method in ("exact", "lsh"):
+        assert local_outlier_factor(spark.createDataFrame([], schema), COLS, method=method).count() == 0
+    with pytest.raises(ValueError):
+        local_outlier_factor(df, COLS, method="other")
 
 
-def test_tree_covers_and_reaches():
-    rng = np.random.default_rng(1)
-    x = np.exp(2 * rng.normal(0, 1, (3000, 4)))
-    tree = Tree.grow(x, len(x), 100)
-    leaf = tree.place(x)
-    counts = np.bincount(leaf, minlength=tree.leaves)
-    assert counts.max() <= 100 and counts.min() > 0
-    q = x[:50]
-    r = np.full(50, 0.8)
-    point, other = tree.reached(q, r)
-    pairs = set(zip(point.tolist(), other.tolist()))
-    for i in range(50):
-        near = np.sqrt(((x - q[i]) ** 2).sum(axis=1)) <= 0.8
-        assert {(i, int(v)) for v in leaf[near]} <= pairs
+def _stored(spark, x):
+    return distinct_points(_frame(spark, x).repartition(4), COLS)
+
+
+def test_cells_hold_all_points_in_true_boxes(spark):
+    x = _data("tails", 3000)
+    placed, leaves = cut_cells(_stored(spark, x), 4, 100)
+    boxes = {r.leaf: r for r in leaves.collect()}
+    rows = placed.collect()
+    assert len(rows) == len(x) and 30 <= len(boxes) <= 80
+    held: dict = {}
+    for r in rows:
+        held.setdefault(r.leaf, []).append(list(r.x))
+    assert held.keys() == boxes.keys()
+    for leaf, inside in held.items():
+        inside = np.array(inside)
+        assert boxes[leaf]["size"] == len(inside) <= 100
+        assert boxes[leaf].low == inside.min(axis=0).tolist() and boxes[leaf].high == inside.max(axis=0).tolist()
+
+
+@pytest.mark.parametrize("levels", [12, 3])
+def test_balls_reach_the_leaves_of_all_points_inside(spark, monkeypatch, levels):
+    monkeypatch.setattr("panelspark.operators.neighbours._TOP_LEVELS", levels)
+    x = _data("tails", 1500)
+    placed, leaves = cut_cells(_stored(spark, x), 4, 40)
+    found = placed.withColumn("r", F.lit(0.8))
+    got = {(r.id, r.leaf) for r in reached(found, leaves, 4).select("id", "leaf").collect()}
+    rows = placed.collect()
+    at, leaf = np.array([r.x for r in rows]), np.array([r.leaf for r in rows])
+    for i, r in enumerate(rows[:200]):
+        near = set(leaf[np.sqrt(((at - at[i]) ** 2).sum(axis=1)) <= 0.8].tolist()) - {r.leaf}
+        assert {(r.id, v) for v in near} <= got
+
+
+def test_asks_stay_flat_as_leaves_multiply(spark):
+    asks = {}
+    for n in (64 * 48, 256 * 48):
+        report: dict = {}
+        edges = neighbour_graph(_stored(spark, _data("tails", n)), 5, leaf_rows=64, report=report)
+        assert edges.agg(F.sum("w")).first()[0] == 5 * n
+        assert report["leaves"] >= n // 64
+        asks[n] = report["asks"] / n
+    few, many = asks.values()
+    assert many < 1.4 * few
+
+
+@pytest.mark.parametrize("kind", ["tails", "copies"])
+def test_random_projections_find_most_neighbours(spark, kind):
+    points = _stored(spark, _data(kind, 4000))
+    exact = {(r.id, r.nbr) for r in neighbour_graph(points, 20).collect()}
+    found = approximate_graph(points, 20, bucket_rows=128).collect()
+    assert len(exact & {(r.id, r.nbr) for r in found}) >= 0.9 * len(exact)
+    per: dict = {}
+    for r in found:
+        per[r.id] = per.get(r.id, 0) + r.w
+    assert max(per.values()) <= 20
