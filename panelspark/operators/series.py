@@ -6,6 +6,10 @@ A window keeps a series in one task.  On a table with one row per period that is
 bounded by the number of periods, which for calendar years is a few hundred.  For
 fine periods pass ``chunk``: a series is then cut into ranges of ``chunk`` periods
 that are handled in parallel, and each range receives the last rows before it.
+
+These come from a segmented scan.  The last rows of each range go up a tree, ``FAN``
+ranges a node; then every node hands down to its children what came before them.  Each
+window of it holds at most ``FAN`` rows, so no task holds all ranges of a series.
 """
 
 from collections.abc import Sequence
@@ -14,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.exprs import round_mul, safe_ratio
+from panelspark.session import materialize
 
 
 def attach(df: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -34,15 +39,54 @@ def _with_earlier(
     return df.withColumns(cols)
 
 
+#: Children of a node in the tree of ranges.
+FAN = 64
+
+
+def _last(rows: Column, n: int) -> Column:
+    return F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), F.lit(n))
+
+
+def _carries(tails: DataFrame, by: Sequence[str], n: int, fan: int) -> DataFrame:
+    """(by, _chunk, _carry): the last ``n`` rows before each range, oldest first.
+
+    ``tails`` has (by, _chunk, _tail), the last ``n`` rows of each range that has any; it
+    should be a stored table.
+    """
+    span = tails.agg(F.max("_chunk") - F.min("_chunk")).first()[0] or 0
+    levels = [tails]
+    while span >= fan:
+        span = -(-span // fan)
+        parts = F.sort_array(F.collect_list(F.struct("_chunk", "_tail")))
+        joined = F.flatten(F.transform(parts, lambda p: p["_tail"]))
+        up = levels[-1].groupBy(*by, F.floor(F.col("_chunk") / fan).cast("long").alias("_parent"))
+        levels.append(materialize(up.agg(_last(joined, n).alias("_tail")).withColumnRenamed("_parent", "_chunk"), "tails"))
+
+    def before(ranges) -> Column:
+        """The tails of the ranges before, within the same parent."""
+        none = F.slice("_tail", 1, 0)
+        return F.concat(*[F.coalesce(F.lag("_tail", i).over(ranges), none) for i in range(n, 0, -1)])
+
+    top = Window.partitionBy(*by).orderBy("_chunk")
+    carries = levels[-1].select(*by, "_chunk", _last(before(top), n).alias("_carry"))
+    for tails in reversed(levels[:-1]):
+        placed = tails.withColumn("_parent", F.floor(F.col("_chunk") / fan).cast("long"))
+        inside = Window.partitionBy(*by, "_parent").orderBy("_chunk")
+        placed = placed.select(*by, "_parent", "_chunk", before(inside).alias("_near"))
+        handed = carries.withColumnsRenamed({"_chunk": "_parent", "_carry": "_far"})
+        met = attach(placed, handed, [*by, "_parent"])
+        carries = met.select(*by, "_chunk", _last(F.concat("_far", "_near"), n).alias("_carry"))
+    return carries
+
+
 def _with_earlier_chunked(
-    df: DataFrame, value: str, by: Sequence[str], period: str, names: Sequence[str], chunk: int
+    df: DataFrame, value: str, by: Sequence[str], period: str, names: Sequence[str], chunk: int, fan: int
 ) -> DataFrame:
     n = len(names)
     keys = [*by, "_chunk"]
     cut = df.withColumn("_chunk", F.floor(F.col(period) / F.lit(chunk)).cast("long"))
 
-    # The last n rows of every range, then for each range the last n rows before
-    # it: they come from at most n earlier ranges, as none of those is empty.
+    # The last n rows of every range go up and down the tree of ranges.
     latest = Window.partitionBy(*keys).orderBy(F.col(period).desc())
     tails = (
         cut.select(*keys, period, F.col(value).alias("_v"))
@@ -51,10 +95,7 @@ def _with_earlier_chunked(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(period, "_v"))).alias("_tail"))
     )
-    ranges = Window.partitionBy(*by).orderBy("_chunk")
-    none = F.slice("_tail", 1, 0)
-    before = [F.coalesce(F.lag("_tail", i).over(ranges), none) for i in range(n, 0, -1)]
-    carry = tails.select(*keys, F.concat(*before).alias("_carry"))
+    carry = _carries(materialize(tails, "tails"), by, n, fan)
 
     inside = Window.partitionBy(*keys).orderBy(period)
     joined = attach(cut, carry, keys)
@@ -79,7 +120,7 @@ def previous_values(
     """Add the value 1, 2, ... rows earlier in the series, one column per name."""
     if chunk is None:
         return _with_earlier(df, value, by, period, names)
-    return _with_earlier_chunked(df, value, by, period, names, chunk)
+    return _with_earlier_chunked(df, value, by, period, names, chunk, FAN)
 
 
 def lags(

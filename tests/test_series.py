@@ -27,8 +27,9 @@ def test_lags_count_rows_over_gaps(spark, chunk):
     assert [r.yoy_change for r in rows] == [None, 1.0, 1.0, 6.0]
 
 
-@pytest.mark.parametrize("chunk", [1, 2, 7, 50])
-def test_ranges_equal_plain_windows(spark, chunk):
+@pytest.mark.parametrize("chunk, fan", [(1, 64), (1, 2), (2, 3), (7, 2), (50, 64)])
+def test_ranges_equal_plain_windows(spark, monkeypatch, chunk, fan):
+    monkeypatch.setattr(series, "FAN", fan)
     random.seed(chunk)
     rows = []
     for country in ("A", "B", None):
@@ -60,3 +61,18 @@ def test_zscore_without_spread_is_null(spark):
     df = _panel(spark, rows)
     assert [r.z for r in series.zscore(df, "v", BY, "z").collect()] == [None] * 5
     assert [r.z for r in df.select(series.zscore_over("v", BY).alias("z")).collect()] == [None] * 5
+
+
+def test_no_window_holds_all_ranges_of_a_series(spark):
+    """One series of 2,000 ranges with four children a node: windows see four rows at most."""
+    rows = [(y, float(y)) for y in range(0, 4000, 2)]
+    tails = spark.createDataFrame(rows, "_chunk long, v double").select(
+        F.lit("A").alias("country"), "_chunk", F.array(F.struct(F.col("_chunk").alias("year"), F.col("v").alias("_v"))).alias("_tail")
+    )
+    found = series._carries(tails, ["country"], 3, 4)
+    got = {r._chunk: [v._v for v in r._carry] for r in found.collect()}
+    assert got == {y: [float(x) for x in range(max(0, y - 6), y, 2)] for y in range(0, 4000, 2)}
+    # every level is a stored table of a quarter of the rows, and only the top is one window
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    keys = [line.split("], [")[-2] for line in text.split("\n") if "Window [" in line]
+    assert len(keys) >= 5 and sum("_parent" not in k for k in keys) == 1
