@@ -1,11 +1,13 @@
 """Data-quality profiles.  Each is one aggregate over the table, or a few for quantiles."""
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from panelspark.functions.exprs import mean_of_rows, percent_of, round_mul
 from panelspark.operators.quantiles import exact_quantiles
+from panelspark.session import materialize
 
 Rule = tuple[str, Column]
 
@@ -34,7 +36,12 @@ def null_profile(df: DataFrame, warn_pct: float = 20.0) -> DataFrame:
     """(column_name, null_count, null_pct, status) per column."""
     names = df.columns
     counts = [F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names]
-    long = _long(df.agg(F.count("*").alias("_n"), *counts), names, "column_name", "null_count")
+    return _null_rows(df.agg(F.count("*").alias("_n"), *counts), names, warn_pct)
+
+
+def _null_rows(counts: DataFrame, names: Sequence[str], warn_pct: float) -> DataFrame:
+    """The rows of ``null_profile`` from one row of counts and the number ``_n`` of rows."""
+    long = _long(counts, names, "column_name", "null_count")
     pct = percent_of("null_count", "_n")
     return long.select(
         "column_name",
@@ -86,6 +93,83 @@ def amount_stats(
     return with_one_row(moments, quartiles(df, col, accuracy))
 
 
+@dataclass(frozen=True)
+class Scan:
+    """What one scan of a table leaves behind.
+
+    ``metrics`` is one row: rows, a count of nulls per column (nulls0, nulls1, ...), mean,
+    stddev, min, max, negative and max_period.  ``narrow`` is a stored table with the
+    amount (``amount``) and two 64-bit hashes of the whole row (``h1``, ``h2``); ``stored``
+    is the whole table where it was to be written anyway.
+    """
+
+    columns: list[str]
+    metrics: DataFrame
+    narrow: DataFrame
+    stored: DataFrame | None = None
+
+    def null_profile(self, warn_pct: float = 20.0) -> DataFrame:
+        named = [F.col(f"nulls{i}").alias(c) for i, c in enumerate(self.columns)]
+        return _null_rows(self.metrics.select(F.col("rows").alias("_n"), *named), self.columns, warn_pct)
+
+    def duplicate_profile(self) -> DataFrame:
+        """As of whole rows, told apart by 128 bits of hash."""
+        return duplicate_profile(self.narrow.select("h1", "h2"))
+
+    def amount_stats(self, accuracy: int | None = None) -> DataFrame:
+        moments = self.metrics.select("mean", "stddev", "min", "max")
+        return with_one_row(moments, quartiles(self.narrow, "amount", accuracy))
+
+    def iqr_outliers(self, k: float = 3.0, accuracy: int | None = None) -> DataFrame:
+        return _outside(self.narrow, "amount", fences(self.amount_stats(accuracy), k))
+
+    def negative_count(self) -> DataFrame:
+        return self.metrics.select("negative")
+
+    def max_period(self) -> DataFrame:
+        return self.metrics.select("max_period")
+
+
+def profile_scan(
+    df: DataFrame, amount: str, period: str = "year", digits: int | None = None, whole: bool = False
+) -> Scan:
+    """Reads ``df`` once: all counts and moments are observed while its narrow form is written.
+
+    With ``whole`` the table itself is what is written, and the narrow form is read from it
+    with its columns pruned.  The observed node stands directly below the write, so a
+    retried task is counted once.
+    """
+    spark, names = df.sparkSession, df.columns
+    v = F.col(f"`{amount}`").cast("double")
+    seen = Observation()
+    gathered = df.observe(
+        seen,
+        F.count("*").alias("rows"),
+        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls{i}") for i, c in enumerate(names)],
+        mean_of_rows(v, digits).alias("mean"),
+        F.stddev_samp(v).alias("stddev"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.count_if(v < 0).alias("negative"),
+        F.max(F.col(f"`{period}`").cast("long")).alias("max_period"),
+    )
+    cols = [F.col(f"`{c}`") for c in names]
+    # hashes pass over nulls, so where they are counts as a value
+    missing = F.concat_ws("", *[c.isNull().cast("int").cast("string") for c in cols])
+    narrow = [v.alias("amount"), F.xxhash64(missing, *cols).alias("h1"), F.xxhash64(*cols[::-1], missing).alias("h2")]
+    if whole:
+        stored = materialize(gathered, "profiled")
+        found = stored.select(*narrow)
+    else:
+        stored, found = None, materialize(gathered.select(*narrow), "profile")
+    got = seen.get
+    kinds = {"mean": "double", "stddev": "double", "min": "double", "max": "double"}
+    order = ["rows", *[f"nulls{i}" for i in range(len(names))], "mean", "stddev", "min", "max", "negative", "max_period"]
+    ddl = ", ".join(f"{c} {kinds.get(c, 'long')}" for c in order)
+    metrics = spark.createDataFrame([tuple(got[c] for c in order)], ddl)
+    return Scan(names, metrics, found, stored)
+
+
 def range_outliers(df: DataFrame, col: str, low: Column, high: Column) -> DataFrame:
     return df.where((F.col(col) < low) | (F.col(col) > high))
 
@@ -113,7 +197,11 @@ def iqr_outliers(
 
     The fences reach the scan as one scalar subquery: a filter, no join.
     """
-    bounds = fences(amount_stats(df, col, accuracy, digits), k)
+    return _outside(df, col, fences(amount_stats(df, col, accuracy, digits), k))
+
+
+def _outside(df: DataFrame, col: str, bounds: DataFrame) -> DataFrame:
+    """The one row of bounds with the number and share of rows outside them."""
     fence = bounds.select(F.struct(*bounds.columns)).scalar()
     outside = (F.col(col) < fence["lower_bound"]) | (F.col(col) > fence["upper_bound"])
     counts = df.agg(F.count_if(outside).alias("outlier_count"), F.count("*").alias("_n"))

@@ -13,16 +13,18 @@ def audit_profiles(
     amount: str = "actual_meur",
     accuracy: int | None = None,
     digits: int | None = None,
+    scan: audit.Scan | None = None,
 ):
-    """Null, duplicate and outlier profile, and quality score of a written table.
+    """Null, duplicate and outlier profile, and quality score.
 
-    ``exp`` is read several times, so it should be a stored or cached table.
+    ``exp`` is read once, or not at all where a ``scan`` of it is given; what follows
+    reads the narrow table of the scan.
     """
-    nulls = audit.null_profile(exp)
-    copies = audit.duplicate_profile(exp)
-    outliers = audit.iqr_outliers(exp, amount, accuracy=accuracy, digits=digits)
-    latest = exp.agg(F.max("year").alias("max_year"))
-    score = audit.quality_score(nulls, copies, outliers, latest)
+    scan = scan or audit.profile_scan(exp, amount, digits=digits)
+    nulls = scan.null_profile()
+    copies = scan.duplicate_profile()
+    outliers = scan.iqr_outliers(accuracy=accuracy)
+    score = audit.quality_score(nulls, copies, outliers, scan.max_period())
     return nulls, copies, outliers, score
 
 
@@ -34,9 +36,10 @@ def audit_document(
     version: str = "1.0",
     period: str = "2000-2024",
     digits: int | None = None,
+    scan: audit.Scan | None = None,
 ) -> DataFrame:
     """One row: profile sections as nested values, ready for ``write_document``."""
-    nulls, copies, outliers, score = audit_profiles(exp, amount, accuracy, digits)
+    nulls, copies, outliers, score = audit_profiles(exp, amount, accuracy, digits, scan)
     entry = F.struct(
         F.col("null_count").alias("count"), F.col("null_pct").alias("pct"), F.col("status")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.crosswalk import HEADING_RULES, METRIC_RULES, Rules
 from panelspark.functions.labels import COUNTRIES
+from panelspark.operators.audit import profile_scan
 from panelspark.operators.ranking import ranked_anomalies
 from panelspark.plans import anomalies, documents
 from panelspark.plans.features import build_features
@@ -58,10 +59,11 @@ def run_pipeline(
     raw, income = parse_sheets(
         cells, entities, heading_rules, metric_rules, keys, preliminary_year=preliminary_year
     )
-    raw = materialize(raw, "expenditure")
-    audit = materialize(
-        documents.audit_document(raw, stamp=stamp, period=period, digits=digits), "audit"
-    )
+    # the audit's counts are taken while the parsed table is written
+    scan = profile_scan(raw, "actual_meur", digits=digits, whole=True)
+    raw = scan.stored
+    document = documents.audit_document(raw, stamp=stamp, period=period, digits=digits, scan=scan)
+    audit = materialize(document, "audit")
     sinks.write_document(audit, f"{out}/audit")
 
     features = build_features(raw, income, base_year, digits=digits)
