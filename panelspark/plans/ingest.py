@@ -8,7 +8,7 @@ from panelspark.functions.crosswalk import HEADING_RULES, METRIC_RULES, Rules
 from panelspark.functions.labels import COUNTRIES
 from panelspark.operators.ingest import (
     concat_sheets,
-    text_cells,
+    layout_of,
     unpivot_expenditure,
     unpivot_revenue,
 )
@@ -28,12 +28,12 @@ def parse_sheets(
 ) -> tuple[DataFrame, DataFrame]:
     """(expenditure, revenue) of all year sheets.
 
-    The few text cells are written down once, as seven branches read them; the
-    number cells are scanned once per block.
+    The text cells are scanned once for the layout of all sheets, the number cells once
+    per block.
     """
     sheets = select_year_sheets(cells)
-    text = materialize(text_cells(sheets), "text")
-    exp = unpivot_expenditure(sheets, entities, heading_rules, preliminary_year, keys, text)
-    rev = unpivot_revenue(sheets, entities, metric_rules, revenue_after, keys, text)
+    parts = layout_of(sheets, entities, heading_rules, keys, revenue_after)
+    exp = unpivot_expenditure(sheets, entities, heading_rules, preliminary_year, keys, parts)
+    rev = unpivot_revenue(sheets, entities, metric_rules, revenue_after, keys, parts)
     exp, rev = concat_sheets(materialize(exp, "expenditure"), rev)
     return enforce_schema(exp, EXPENDITURE), enforce_schema(rev, REVENUE)

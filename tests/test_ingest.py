@@ -3,6 +3,9 @@
 import pytest
 from pyspark.errors import PySparkException
 
+from panelspark.functions.crosswalk import HEADING_RULES
+from panelspark.functions.labels import COUNTRIES
+from panelspark.operators import ingest
 from panelspark.plans.ingest import parse_sheets
 from panelspark.schemas import CELL, EXPENDITURE, REVENUE, enforce_schema
 from panelspark.session import new_path
@@ -111,3 +114,19 @@ def test_schema_is_enforced(spark):
     bad = spark.createDataFrame([(None, *rows[0][1:])], schema)
     with pytest.raises(PySparkException):
         enforce_schema(bad, EXPENDITURE).collect()
+
+
+def test_one_scan_of_texts_one_of_numbers(spark):
+    cells = _cells(spark, {str(y): _year_sheet() for y in range(2000, 2004)})
+    path = new_path(spark, "cells")
+    write_table(cells, path)
+    cells = select_year_sheets(read_cells(spark, path))
+    keys = ("BE", "DE", "Total")
+    facts, layout = ingest.layout_of(cells, COUNTRIES, HEADING_RULES, keys)
+    assert layout.count() == 4
+    plan = ingest.row_facts(cells, COUNTRIES, HEADING_RULES, keys)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    found = ingest.unpivot_expenditure(cells, COUNTRIES, HEADING_RULES, keys=keys, parts=(facts, layout))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # the cells, the facts and the layout twice; with the two of the layout at most four exchanges
+    assert plan.count("FileScan") == 4 and plan.count("Exchange hashpartitioning") <= 2
