@@ -12,17 +12,21 @@ from panelspark.functions.crosswalk import (
     map_heading,
     map_metric,
 )
-from panelspark.operators import aggregates, audit, charts, forest, ingest, ranking, series
+from panelspark.operators import aggregates, audit, charts, forest, ingest, ranking, series, sketches
+from panelspark.operators.audit import profile_scan
+from panelspark.operators.intervals import interval_label
 from panelspark.operators.matrix import feature_matrix
 from panelspark.operators.neighbours import local_outlier_factor
 from panelspark.operators.quantiles import exact_quantiles
+from panelspark.operators.quarantine import part_rows
 from panelspark.operators.thresholds import contamination_threshold
 from panelspark.plans import anomalies, documents
 from panelspark.plans.features import build_features, heading_base
 from panelspark.plans.ingest import parse_sheets
+from panelspark.plans.run import ranked_table
 from panelspark.schemas import EXPENDITURE, FEATURES, NET_POSITION, enforce_schema
 from panelspark.session import materialize, new_name, new_path
-from panelspark.sources import driver_tables as tables, sinks
+from panelspark.sources import driver_tables as tables, sinks, tables as catalog_tables
 from panelspark.sources.cells import read_cells, select_year_sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,16 +169,28 @@ def row_measure_default(spark, folder):
     return ingest.row_measure_default(keyed(sheets(spark, folder)))
 
 
+@query
+def sheet_layout(spark, folder):
+    """The layout of every sheet, its map of columns as text."""
+    facts = ingest.row_facts(sheets(spark, folder), tables.NATIONS, tables.HEADING_RULES, tables.HEADER_KEYS)
+    found = ingest.sheet_layout(facts)
+
+    def listed(columns: str):
+        entries = F.transform(F.map_entries(columns), lambda e: F.struct(e["value"], e["key"]))
+        parts = F.transform(F.sort_array(entries), lambda e: F.concat(e["value"], F.lit("="), e["key"].cast("string")))
+        return F.array_join(parts, ",").alias(columns)
+
+    return found.select("sheet", "header_row", listed("columns"), "marker_row", "end_row", "revenue_row", listed("revenue_columns"))
+
+
 @query
 def unpivot_expenditure(spark, folder):
-    cells = sheets(spark, folder)
     return ingest.unpivot_expenditure(
-        cells,
+        sheets(spark, folder),
         tables.NATIONS,
         tables.HEADING_RULES,
         tables.PRELIMINARY_YEAR,
         tables.HEADER_KEYS,
-        materialize(ingest.text_cells(cells), "text"),
     ).drop("sheet", "row_no")
 
 
@@ -251,6 +267,34 @@ def create_or_replace_table_as(spark, folder):
     )
 
 
+@query
+def replace_table_as(spark, folder):
+    """A table of the catalog, made twice; the second time from its own old rows."""
+    name = new_name("receipts")
+    catalog_tables.replace_table_as(
+        exp(spark, folder).where("is_ngeu = 0"),
+        name,
+        "SELECT year, country, CAST(actual_meur AS DECIMAL(18, 4)) AS amount FROM {df}",
+    )
+    return catalog_tables.replace_table_as(
+        spark.newSession().table(name),
+        name,
+        "SELECT year, country, CAST(sum(amount) AS DOUBLE) AS receipts_meur FROM {df} GROUP BY year, country",
+    )
+
+
+@query
+def write_bucketed_features(spark, folder):
+    """Lags and z-scores from the bucketed table, whose windows need no exchange."""
+    columns = [*SERIES, "year", "actual_meur", "absorption_gap_meur"]
+    stored = catalog_tables.write_bucketed(
+        feats(spark, folder).select(*columns), new_name("features"), SERIES, ["year"], 8
+    )
+    found = series.lags(stored, "actual_meur", SERIES, "year")
+    z = series.zscore_over("absorption_gap_meur", SERIES)
+    return found.select(*ranking.KEYS, "lag1", "lag2", "lag3", z.alias("zscore_absorption"))
+
+
 @query
 def write_features(spark, folder):
     path = new_path(spark, "features")
@@ -380,6 +424,26 @@ def constraint_checks(spark, folder):
     return audit.constraint_checks(feats(spark, folder), rules)
 
 
+@query
+def quarantine_rows(spark, folder):
+    """The rows that break a rule, with the rules they break."""
+    rules = audit.standard_rules(DRIFT, 1996, 2001)
+    _, bad, _ = part_rows(feats(spark, folder), rules, new_path(spark, "parted"))
+    return bad.select(*ranking.KEYS, F.array_join("broken", ",").alias("broken"))
+
+
+@query
+def quarantine_counts(spark, folder):
+    """Rows kept, rows set aside, and the breaches of each rule, from one pass."""
+    rules = audit.standard_rules(DRIFT, 1996, 2001)
+    clean, bad, counts = part_rows(feats(spark, folder), rules, new_path(spark, "parted"))
+    sizes = [
+        part.agg(F.lit(name).alias("rule"), F.count("*").alias("violations"))
+        for name, part in (("kept", clean), ("set aside", bad))
+    ]
+    return counts.unionByName(sizes[0]).unionByName(sizes[1])
+
+
 @query
 def min_records_check(spark, folder):
     return aggregates.min_records_check(rev(spark, folder), "year", 2000)
@@ -485,6 +549,18 @@ def exact_quantiles_(spark, folder):
 
 
 
+@query
+def sketched_quartiles(spark, folder):
+    """Whether quantiles from the merged sketches of all years lie within the stated rank error."""
+    rows = materialize(exp(spark, folder).select("year", F.col("actual_meur").cast("double")), "amounts")
+    found = sketches.merged_quantiles(sketches.period_sketches(rows, "actual_meur"), [0.05, 0.25, 0.5, 0.75, 0.95])
+    found = materialize(found, "quantiles")
+    met = rows.join(F.broadcast(found), F.col("actual_meur") <= F.col("value"))  # five rows
+    share = F.count("*") / rows.agg(F.count("*")).scalar()
+    ranks = met.groupBy("q").agg(share.alias("share"))
+    return ranks.select("q", (F.abs(F.col("share") - F.col("q")) <= 2 * sketches.rank_error()).alias("within"))
+
+
 @query
 def iqr_outliers(spark, folder):
     found = audit.iqr_outliers(amounts(spark, folder), "actual_meur", 0.5, digits=DIGITS)
@@ -517,7 +593,7 @@ def temporal_distribution(spark, folder):
 
 
 def quality(spark, folder) -> DataFrame:
-    return documents.audit_profiles(materialize(exp(spark, folder), "expenditure"))[3]
+    return documents.audit_profiles(tables.expenditure_with_gaps(spark, folder), digits=DIGITS)[3]
 
 
 @query
@@ -526,10 +602,8 @@ def quality_score(spark, folder):
 
 
 def nested_audit(spark, folder) -> DataFrame:
-    stored = materialize(exp(spark, folder), "expenditure")
-    return documents.audit_document(
-        stored, stamp=F.lit("fixed"), period="1995-2001", digits=DIGITS
-    )
+    raw = tables.expenditure_with_gaps(spark, folder)
+    return documents.audit_document(raw, stamp=F.lit("fixed"), period="1995-2001", digits=DIGITS)
 
 
 def flat_audit(found: DataFrame) -> DataFrame:
@@ -541,6 +615,8 @@ def flat_audit(found: DataFrame) -> DataFrame:
         "data_period",
         missing["actual_meur"]["count"].alias("missing_actual"),
         missing["heading"]["status"].alias("missing_heading_status"),
+        missing["earmarked_meur"]["pct"].alias("missing_earmarked_pct"),
+        missing["earmarked_meur"]["status"].alias("missing_earmarked_status"),
         copies["total"].alias("total"),
         copies["duplicate_count"].alias("duplicate_count"),
         outliers["mean"].alias("mean"),
@@ -553,6 +629,15 @@ def flat_audit(found: DataFrame) -> DataFrame:
     )
 
 
+@query
+def audit_scan(spark, folder):
+    """What is observed in the one scan of the audit, null counts as columns."""
+    raw = tables.expenditure_with_gaps(spark, folder)
+    found = profile_scan(raw, "actual_meur", digits=DIGITS)
+    nulls = {f"nulls{i}": f"no_{c}" for i, c in enumerate(found.columns)}
+    return found.metrics.withColumnsRenamed(nulls)
+
+
 @query
 def audit_document(spark, folder):
     return flat_audit(nested_audit(spark, folder))
@@ -655,15 +740,25 @@ def rolling_mean_prev3(spark, folder):
     return found.select(*ranking.KEYS, "roll_mean_3")
 
 
-@query
-def lags_by_range(spark, folder):
-    """Lags along the line items of a nation, its series cut into ranges of rows."""
+def lagged_lines(spark, folder, chunk: int) -> DataFrame:
     lines = exp(spark, folder).groupBy("country", "row_no")
     lines = materialize(lines.agg(exprs.exact_sum("actual_meur", DIGITS).alias("actual_meur")), "lines")
-    found = series.lags(lines, "actual_meur", ["country"], "row_no", chunk=20_000)
+    found = series.lags(lines, "actual_meur", ["country"], "row_no", chunk=chunk)
     return found.select("country", "row_no", "lag1", "lag2", "lag3")
 
 
+@query
+def lags_by_range(spark, folder):
+    """Lags along the line items of a nation, its series cut into ranges of rows."""
+    return lagged_lines(spark, folder, 20_000)
+
+
+@query
+def lags_by_short_range(spark, folder):
+    """The same over ranges of a few rows, which pass their tails up and down a tree."""
+    return lagged_lines(spark, folder, 250)
+
+
 @query
 def zscore_absorption(spark, folder):
     gap = exprs.absorption_gap("earmarked_meur", "actual_meur")
@@ -782,6 +877,44 @@ def severity_band(spark, folder):
     return feats(spark, folder).select(*ranking.KEYS, band, rate)
 
 
+def band_table(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "start double, end double, label string, ordinal int")
+
+
+@query
+def mff_period_table(spark, folder):
+    """The periods from a table instead of a fixed chain."""
+    periods = band_table(spark, [(float(a), float(b), name) for a, b, name in PERIODS])
+    found = interval_label(exp(spark, folder).select("year"), "year", periods, "period")
+    return aggregates.count_by(found, "period")
+
+
+@query
+def severity_band_table(spark, folder):
+    """Bands with open ends, the end left to the next one, over the size of the z-score."""
+    bands = band_table(spark, [(None, 1.0, "normal"), (1.0, 1.5, "anomaly"), (1.5, None, "extreme")])
+    rows = feats(spark, folder).withColumn("size", F.abs("zscore_absorption"))
+    found = interval_label(rows, "size", bands, "z_band", closed="left")
+    return found.select(*ranking.KEYS, "z_band")
+
+
+@query
+def price_bands(spark, folder):
+    """Ten thousand bands of a price, some of them overlapped by a wide one of lower rank."""
+    steps = spark.range(10_000).select(
+        (F.col("id") * 50.0).alias("start"),
+        (F.col("id") * 50.0 + 50.0).alias("end"),
+        F.concat(F.lit("b"), F.col("id").cast("string")).alias("label"),
+        (F.col("id") + 1).alias("ordinal"),
+    )
+    wide = spark.range(1).select(
+        F.lit(100_000.0).alias("start"), F.lit(120_000.0).alias("end"), F.lit("wide").alias("label"), F.col("id").alias("ordinal")
+    )
+    orders = tables.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    found = interval_label(orders, "o_totalprice", steps.unionByName(wide), "band", closed="left")
+    return found.select("o_orderkey", "band")
+
+
 @query
 def mff_period(spark, folder):
     period = labels.mff_period("year", PERIODS).alias("period")
@@ -885,7 +1018,52 @@ def feature_matrix_(spark, folder):
 def isolation_forest(spark, folder):
     rows = materialize(anomalies.absorption_set(feats(spark, folder)), "absorption")
     found = forest.isolation_forest(rows, anomalies.MODEL_COLS, list(ranking.KEYS))
-    return found.select(*ranking.KEYS, "if_score", "if_anomaly")
+    return found.select(*ranking.KEYS, exprs.round_mul("if_score", 6).alias("if_score"), "if_anomaly")
+
+
+def both_models(spark, folder) -> DataFrame:
+    """The H3 rows with both scores, rounded for comparison."""
+    found = anomalies.absorption_anomalies(feats(spark, folder))
+    return found.withColumns({c: exprs.round_mul(c, 6) for c in ("if_score", "lof_score")})
+
+
+@query
+def forest_ranked(spark, folder):
+    """The published ranking: by the forest, the outlier factor beside it."""
+    return ranked_table(both_models(spark, folder))
+
+
+@query
+def forest_top_k(spark, folder):
+    return charts.top_anomalies(both_models(spark, folder), "if_score", 10)
+
+
+@query
+def forest_grid(spark, folder):
+    return charts.anomaly_grid(both_models(spark, folder), "if_anomaly", YEARS)
+
+
+@query
+def forest_by_year(spark, folder):
+    return aggregates.sum_flag_by(both_models(spark, folder), "if_anomaly", "year")
+
+
+@query
+def forest_comparison(spark, folder):
+    return ranking.method_comparison(both_models(spark, folder), "if_anomaly", "lof_anomaly")
+
+
+@query
+def forest_summary(spark, folder):
+    """The run summary as published: the forest against the outlier factor."""
+    features = materialize(feats(spark, folder), "features")
+    return documents.run_summary(
+        features,
+        anomalies.net_positions(features),
+        materialize(anomalies.absorption_anomalies(features), "scores"),
+        quality(spark, folder),
+        stamp=F.lit("fixed"),
+    )
 
 
 @query
@@ -893,6 +1071,26 @@ def local_outlier_factor_(spark, folder):
     return scored(spark, folder).select(*ranking.KEYS, "lof_score", "lof_anomaly")
 
 
+CUSTOMER_COLS = ["c_acctbal", "n_orders", "largest", "smallest"]
+
+
+def customer_points(spark, folder) -> DataFrame:
+    return materialize(tables.customer_orders(spark, folder), "customers")
+
+
+@query
+def lof_over_leaves(spark, folder):
+    """Outlier factor of every customer, over many small leaves."""
+    found = local_outlier_factor(customer_points(spark, folder), CUSTOMER_COLS, k=10, leaf_rows=24)
+    return found.select("c_custkey", exprs.round_mul("lof_score", 6).alias("lof_score"), "lof_anomaly")
+
+
+@query
+def lof_by_projections(spark, folder):
+    """The approximate form; its neighbours are held against the exact ones in a test."""
+    found = local_outlier_factor(customer_points(spark, folder), CUSTOMER_COLS, k=10, method="lsh")
+    return found.select("c_custkey", "lof_score", "lof_anomaly")
+
 
 @query
 def contamination_threshold_(spark, folder):
@@ -910,7 +1108,7 @@ def zscore_baseline(spark, folder):
 
 @query
 def absorption_anomalies(spark, folder):
-    return anomalies.absorption_anomalies(feats(spark, folder))
+    return both_models(spark, folder)
 
 
 @query

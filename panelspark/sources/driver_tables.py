@@ -31,13 +31,47 @@ LABEL_OF_PRIORITY = {
     "4-NOT SPECIFIED": "Customs duties",
     "5-LOW": "Gross National Income",
 }
-LABEL_OF_TYPE = {
-    "ECONOMY": "1. Agriculture and rural development",
-    "STANDARD": "Sustainable growth: natural resources",
-    "PROMO": "Recovery under NextGenerationEU",
-    "SMALL": "Administration and security and defence",
-    "MEDIUM": "European neighbourhood and the world",
-}
+# Texts as sheets word them: every rule of the crosswalks, two rules at once, and none.
+HEADING_LABELS = [
+    "1. Agriculture and rural development",
+    "Preservation and management of resources",
+    "NATURAL RESOURCES and environment",
+    "2. Structural actions",
+    "1. Sustainable growth",
+    "1.1 Smart and inclusive growth",
+    "2. Cohesion, resilience and values",
+    "3. Internal policies",
+    "1. Single Market, Innovation and Digital",
+    "4. External actions",
+    "4. EU as a global player",
+    "Global Europe",
+    "6. Neighbourhood and the world",
+    "7. European public administration",
+    "3. Citizenship, freedom, security and justice",
+    "3. Security and citizenship",
+    "4. Migration and border management",
+    "5. Security and defence",
+    "7. Pre-accession strategy",
+    "of which NextGenerationEU",
+    "Sustainable growth: natural resources",
+    "Administration and security and defence",
+    "Other items",
+]
+METRIC_LABELS = [
+    "TOTAL national contribution (1)",
+    "total national contributions",
+    "GNP-based own resource",
+    "GNI-based own resource",
+    "Own resources based on GNI",
+    "VAT-based own resource",
+    "own resources based on VAT",
+    "Traditional own resources (TOR)",
+    "Customs duties",
+    "Gross National Income",
+    "Total expenditure",
+    "Customs duties and GNI-based own resource",
+    "Rebate",
+]
 NATIONS = [f"NATION_{i}" for i in range(25)]
 HEADER_KEYS = ("NATION_0", "NATION_1", "Total")
 PRELIMINARY_YEAR = 2001
@@ -126,6 +160,16 @@ def expenditure(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def expenditure_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows as a sheet may leave them: some without amounts, some without a heading."""
+    gap = F.when(F.col("row_no") % 11 != 3, F.col("actual_meur")).alias("actual_meur")
+    plan = F.when(F.col("row_no") % 3 != 1, F.col("earmarked_meur")).alias("earmarked_meur")
+    name = F.when(F.col("row_no") % 50 != 2, F.col("heading")).alias("heading")
+    changed = {"actual_meur": gap, "earmarked_meur": plan, "heading": name}
+    rows = expenditure(spark, folder)
+    return rows.select(*[changed.get(c, F.col(c)) for c in rows.columns])
+
+
 def revenue(spark: SparkSession, folder: str) -> DataFrame:
     priorities = dict(METRIC_OF_PRIORITY)
     default = priorities.pop("5-LOW")
@@ -138,18 +182,29 @@ def revenue(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts with a heading text as a budget sheet words it; some map to nothing."""
-    return table(spark, folder, "part").select(
-        "p_partkey", choose("p_type", LABEL_OF_TYPE, "Other items").alias("label")
+def customer_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Per customer the balance and the number, largest and smallest of the orders."""
+    orders = table(spark, folder, "orders").groupBy("o_custkey").agg(
+        F.count("*").cast("double").alias("n_orders"),
+        F.max("o_totalprice").alias("largest"),
+        F.min("o_totalprice").alias("smallest"),
     )
+    customer = table(spark, folder, "customer").select("c_custkey", "c_acctbal")
+    return customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").drop("o_custkey")
+
+
+def _one_of(texts: list[str], key: str):
+    return F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col(key) % len(texts) + 1).cast("int"))
+
+
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts with a heading text each; one of them maps to nothing."""
+    return table(spark, folder, "part").select("p_partkey", _one_of(HEADING_LABELS, "p_partkey").alias("label"))
 
 
 def metric_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders with a revenue text as a budget sheet words it."""
-    return table(spark, folder, "orders").select(
-        "o_orderkey", choose("o_orderpriority", LABEL_OF_PRIORITY).alias("label")
-    )
+    """Orders with a revenue text each; one of them maps to nothing."""
+    return table(spark, folder, "orders").select("o_orderkey", _one_of(METRIC_LABELS, "o_orderkey").alias("label"))
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:

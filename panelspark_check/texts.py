@@ -1,5 +1,40 @@
 """One SELECT per registered query, to follow the common table expressions."""
 
+from panelspark_check.base import RAW_COLUMNS
+
+# Which heading each text of the label table stands for, in its order, as read from the definitions.
+_LABELS = [
+    "1. Agriculture and rural development", "Preservation and management of resources", "NATURAL RESOURCES and environment",
+    "2. Structural actions", "1. Sustainable growth", "1.1 Smart and inclusive growth", "2. Cohesion, resilience and values",
+    "3. Internal policies", "1. Single Market, Innovation and Digital",
+    "4. External actions", "4. EU as a global player", "Global Europe", "6. Neighbourhood and the world",
+    "7. European public administration",
+    "3. Citizenship, freedom, security and justice", "3. Security and citizenship", "4. Migration and border management", "5. Security and defence",
+    "7. Pre-accession strategy", "of which NextGenerationEU",
+    "Sustainable growth: natural resources", "Administration and security and defence", "Other items",
+]
+_HEADINGS = (
+    ["Agriculture & Rural Dev"] * 3
+    + ["Structural & Cohesion"] * 4
+    + ["Internal / Single Market"] * 2
+    + ["External & Global"] * 4
+    + ["Administration"]
+    + ["Security & Citizenship"] * 4
+    + ["Pre-Accession", "NGEU Recovery", "Agriculture & Rural Dev", "Administration", None]
+)
+_METRICS = (
+    ["total_contributions"] * 2
+    + ["gni_contribution"] * 3
+    + ["vat_contribution"] * 2
+    + ["customs"] * 2
+    + ["gni_size", "total_expenditure", "gni_contribution", None]
+)
+
+
+def _listed(values: list) -> str:
+    return "[" + ", ".join("NULL" if v is None else f"'{v}'" for v in values) + "]"
+
+
 _DRIFT = "('NATION_2', 'NATION_5', 'NATION_8', 'NATION_13', 'NATION_17', 'NATION_21')"
 _CHRONIC = "('NATION_1', 'NATION_4', 'NATION_9', 'NATION_16')"
 _YEARS = range(1995, 2002)
@@ -13,11 +48,20 @@ SELECT country, year, net_position_meur, net_pct_gni, zscore_net, receipts_meur,
 """
 _AUDIT = """
 SELECT 'fixed' AS timestamp, '1.0' AS pipeline_version, '1995-2001' AS data_period,
-  CAST(0 AS BIGINT) AS missing_actual, 'OK' AS missing_heading_status,
+  (SELECT null_count FROM gap_shares WHERE column_name = 'actual_meur') AS missing_actual,
+  (SELECT status FROM gap_shares WHERE column_name = 'heading') AS missing_heading_status,
+  (SELECT round(pct, 2) FROM gap_shares WHERE column_name = 'earmarked_meur') AS missing_earmarked_pct,
+  (SELECT status FROM gap_shares WHERE column_name = 'earmarked_meur') AS missing_earmarked_status,
   CAST(total AS BIGINT) AS total, CAST(total - "distinct" AS BIGINT) AS duplicate_count,
   round(mean, 2) AS mean, round(median, 2) AS median, round(stddev, 2) AS std,
   round(iqr, 2) AS iqr, outlier_count, overall, status
-FROM wide_fence, copies, quality_row
+FROM gap_fence, gap_copies, quality_row
+"""
+_SCAN = f"""
+SELECT count(*) AS rows, {', '.join(f'count(*) - count({c}) AS no_{c}' for c in RAW_COLUMNS)},
+  any_value(mean) AS mean, any_value(stddev) AS stddev, any_value("min") AS "min", any_value("max") AS "max",
+  count(*) FILTER (actual_meur < 0) AS negative, CAST(max(year) AS BIGINT) AS max_period
+FROM gappy, gap_amounts
 """
 _COMPARED = """
   count(*) AS n_total, count(*) FILTER (WHERE z_anomaly = 1) AS n_a,
@@ -177,17 +221,8 @@ SELECT year, count(*) AS record_count FROM rev_long GROUP BY year HAVING count(*
     "join_revenue": "SELECT * FROM heading_level LEFT JOIN rev_wide USING (year, country)",
     "join_receipts": "SELECT * FROM heading_level LEFT JOIN total_receipts USING (year, country)",
     "lookup_header_join": "SELECT * FROM keyed",
-    "crosswalk_join": """
-SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN '1. Agriculture and rural development'
-    WHEN 'STANDARD' THEN 'Sustainable growth: natural resources'
-    WHEN 'PROMO' THEN 'Recovery under NextGenerationEU'
-    WHEN 'SMALL' THEN 'Administration and security and defence'
-    WHEN 'MEDIUM' THEN 'European neighbourhood and the world' ELSE 'Other items' END AS label,
-  CASE p_type WHEN 'ECONOMY' THEN 'Agriculture & Rural Dev' WHEN 'STANDARD' THEN 'Agriculture & Rural Dev'
-    WHEN 'PROMO' THEN 'NGEU Recovery' WHEN 'SMALL' THEN 'Administration'
-    WHEN 'MEDIUM' THEN 'External & Global' END AS heading
-FROM part
-""",
+    "crosswalk_join": f"SELECT p_partkey, ({_listed(_LABELS)})[p_partkey % {len(_LABELS)} + 1] AS label, "
+    f"({_listed(_HEADINGS)})[p_partkey % {len(_HEADINGS)} + 1] AS heading FROM part",
     # Aggregations
     "heading_level": "SELECT * FROM heading_level",
     "total_receipts": "SELECT * FROM total_receipts",
@@ -242,6 +277,7 @@ FROM exp_raw GROUP BY heading
     "temporal_distribution": "SELECT year, count(*) AS record_count FROM exp_raw GROUP BY year",
     "quality_score": "SELECT * FROM quality_row",
     "audit_document": _AUDIT,
+    "audit_scan": _SCAN,
     "h1_collapse": """
 SELECT country, year, net_position_meur, net_pct_gni, zscore_net, receipts_meur,
   total_contributions, h1_anomaly FROM h1
@@ -369,16 +405,8 @@ SELECT t.country, t.year, CASE WHEN round(receipts_meur - gni_size * 10.0, 2) >
   WHEN round(receipts_meur - gni_size * 10.0, 2) < 0 THEN 'contributor'
   WHEN round(receipts_meur - gni_size * 10.0, 2) = 0 THEN 'balanced' END AS status {_ENTITIES}
 """,
-    "map_heading": """
-SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Agriculture & Rural Dev'
-  WHEN 'STANDARD' THEN 'Agriculture & Rural Dev' WHEN 'PROMO' THEN 'NGEU Recovery'
-  WHEN 'SMALL' THEN 'Administration' WHEN 'MEDIUM' THEN 'External & Global' END AS heading FROM part
-""",
-    "map_metric": """
-SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'total_contributions'
-  WHEN '2-HIGH' THEN 'gni_contribution' WHEN '3-MEDIUM' THEN 'vat_contribution'
-  WHEN '4-NOT SPECIFIED' THEN 'customs' WHEN '5-LOW' THEN 'gni_size' END AS metric FROM orders
-""",
+    "map_heading": f"SELECT p_partkey, ({_listed(_HEADINGS)})[p_partkey % {len(_HEADINGS)} + 1] AS heading FROM part",
+    "map_metric": f"SELECT o_orderkey, ({_listed(_METRICS)})[o_orderkey % {len(_METRICS)} + 1] AS metric FROM orders",
     "anomaly_label": """
 SELECT row_no, country || ' ' || CAST(year AS VARCHAR) || chr(10) || substring(heading_raw, 1, 20) AS label
 FROM exp_raw
@@ -427,3 +455,95 @@ SELECT country, year, heading, absorption_rate_pct,
   CASE WHEN lof_anomaly = 1 THEN 'anomaly' ELSE 'normal' END AS mark FROM scored WHERE country IN {_CHRONIC}
 """,
 }
+
+_CUSTOMERS = """
+, cust AS (
+  SELECT c_custkey AS id, coalesce(any_value(c_acctbal), 0.0) AS f1, CAST(count(o_orderkey) AS DOUBLE) AS f2,
+    coalesce(max(o_totalprice), 0.0) AS f3, coalesce(min(o_totalprice), 0.0) AS f4
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+), cust_near AS (
+  SELECT id, nbr, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, f1, f2, f3, f4, nbr) AS place FROM (
+      SELECT a.id, b.id AS nbr, b.f1, b.f2, b.f3, b.f4,
+        sqrt((a.f1-b.f1)*(a.f1-b.f1) + (a.f2-b.f2)*(a.f2-b.f2)
+           + (a.f3-b.f3)*(a.f3-b.f3) + (a.f4-b.f4)*(a.f4-b.f4)) AS d
+      FROM cust a JOIN cust b ON a.id <> b.id) q) r
+  WHERE place <= 10
+), cust_reach AS (
+  SELECT id, max(d) AS kdist FROM cust_near GROUP BY id
+), cust_density AS (
+  SELECT n.id, 1.0 / (avg(greatest(kdist, d)) + 1e-10) AS lrd
+  FROM cust_near n JOIN cust_reach r ON n.nbr = r.id GROUP BY n.id
+), cust_lof AS (
+  SELECT n.id, -avg(o.lrd) / max(p.lrd) AS score
+  FROM cust_near n JOIN cust_density o ON n.nbr = o.id JOIN cust_density p ON n.id = p.id GROUP BY n.id
+)
+SELECT id AS c_custkey, round(score, 6) AS lof_score,
+  CASE WHEN score < (SELECT quantile_cont(score, 0.05) FROM cust_lof) THEN 1 ELSE 0 END AS lof_anomaly
+FROM cust_lof
+"""
+TEXTS["lof_over_leaves"] = _CUSTOMERS
+
+TEXTS["lags_by_short_range"] = TEXTS["lags_by_range"]
+
+TEXTS["replace_table_as"] = TEXTS["create_or_replace_table_as"]
+TEXTS["write_bucketed_features"] = "SELECT country, heading, year, lag1, lag2, lag3, zscore_absorption FROM features"
+_BROKEN = " || ".join(f"CASE WHEN NOT ({rule}) THEN ',{name}' ELSE '' END" for name, rule in _RULES.items())
+_PARTED = f"(SELECT country, heading, year, substring({_BROKEN}, 2) AS broken FROM features) parted"
+TEXTS["quarantine_rows"] = f"SELECT * FROM {_PARTED} WHERE broken <> ''"
+TEXTS["quarantine_counts"] = f"""
+{_CHECKS}
+UNION ALL SELECT 'kept', count(*) FILTER (broken = '') FROM {_PARTED}
+UNION ALL SELECT 'set aside', count(*) FILTER (broken <> '') FROM {_PARTED}
+"""
+TEXTS["mff_period_table"] = TEXTS["mff_period"]
+TEXTS["severity_band_table"] = """
+SELECT country, heading, year, CASE WHEN abs(zscore_absorption) >= 1.5 THEN 'extreme'
+  WHEN abs(zscore_absorption) >= 1.0 THEN 'anomaly' WHEN zscore_absorption IS NOT NULL THEN 'normal' END AS z_band
+FROM features
+"""
+TEXTS["price_bands"] = """
+SELECT o_orderkey, CASE WHEN o_totalprice >= 100000 AND o_totalprice < 120000 THEN 'wide'
+  WHEN o_totalprice >= 0 AND o_totalprice < 500000 THEN 'b' || CAST(CAST(floor(o_totalprice / 50) AS BIGINT) AS VARCHAR) END AS band
+FROM orders
+"""
+TEXTS["sketched_quartiles"] = "SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q, true AS within"
+
+TEXTS["sheet_layout"] = """
+, headers AS (
+  SELECT sheet, row_no FROM cells WHERE trim(s) IN ('NATION_0', 'NATION_1', 'Total')
+  GROUP BY sheet, row_no HAVING count(DISTINCT trim(s)) = 3
+), chosen AS (
+  SELECT sheet, min(row_no) AS header_row, coalesce(min(row_no) FILTER (row_no >= 40), min(row_no)) AS revenue_row
+  FROM headers GROUP BY sheet
+), named AS (
+  SELECT sheet, row_no, key, max(col_no) AS col_no FROM (
+    SELECT sheet, row_no, col_no, CASE WHEN trim(s) LIKE 'NATION_%' THEN trim(s)
+      WHEN trim(s) = 'Total' THEN '__total__' WHEN lower(s) LIKE '%earmarked%' THEN '__earmarked__' END AS key
+    FROM cells) q
+  WHERE key IS NOT NULL GROUP BY ALL
+), listed AS (
+  SELECT sheet, row_no, string_agg(key || '=' || col_no, ',' ORDER BY key, col_no) AS columns FROM named GROUP BY ALL
+)
+SELECT c.sheet, header_row, a.columns AS columns,
+  (SELECT min(row_no) FROM cells x WHERE x.sheet = c.sheet AND lower(s) LIKE '%nextgenerationeu%') AS marker_row,
+  (SELECT min(row_no) FROM cells x WHERE x.sheet = c.sheet AND row_no > header_row AND col_no < 3 AND upper(trim(s)) = 'REVENUE') AS end_row,
+  revenue_row, b.columns AS revenue_columns
+FROM chosen c JOIN listed a ON a.sheet = c.sheet AND a.row_no = header_row
+JOIN listed b ON b.sheet = c.sheet AND b.row_no = revenue_row
+"""
+
+#: The texts that need the forest.
+FOREST_TEXTS = {
+    "isolation_forest": "SELECT country, heading, year, if_score, if_anomaly FROM h3 JOIN forest USING (id)",
+    "absorption_anomalies": "SELECT * FROM both",
+    "forest_ranked": """
+SELECT year, country, heading, absorption_gap_meur, absorption_rate_pct, if_score, lof_anomaly, lof_score
+FROM both WHERE if_anomaly = 1 ORDER BY if_score, country, heading, year LIMIT 30
+""",
+    "forest_top_k": TEXTS["top_k_scores"].replace("lof_score", "if_score").replace("scored", "both"),
+    "forest_grid": TEXTS["anomaly_grid"].replace("lof_anomaly", "if_anomaly").replace("scored", "both"),
+    "forest_by_year": TEXTS["anomalies_by_year"].replace("lof_anomaly", "if_anomaly").replace("scored", "both"),
+    "forest_comparison": TEXTS["method_comparison"].replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both"),
+    "forest_summary": _SUMMARY.replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both"),
+}
