@@ -635,7 +635,7 @@ def audit_scan(spark, folder):
     raw = tables.expenditure_with_gaps(spark, folder)
     found = profile_scan(raw, "actual_meur", digits=DIGITS)
     nulls = {f"nulls{i}": f"no_{c}" for i, c in enumerate(found.columns)}
-    return found.metrics.withColumnsRenamed(nulls)
+    return found.metrics.withColumnsRenamed(nulls).withColumn("stddev", exprs.round_mul("stddev", 4))
 
 
 @query

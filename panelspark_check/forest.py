@@ -42,7 +42,7 @@ def _step(d: int) -> str:
 
 
 #: To follow the common table expressions; ends with ``forest`` (id, if_score, if_anomaly) and
-#: ``both``, the scored rows with both models.
+#: ``both_models``, the scored rows with both models.
 FOREST = f"""
 , points AS (
   SELECT id, country, heading, year, [f1, f2, f3, f4] AS x,
@@ -73,7 +73,7 @@ FOREST = f"""
   SELECT id, round(score, 6) AS if_score,
     CASE WHEN score < (SELECT quantile_cont(score, 0.05) FROM forest_scores) THEN 1 ELSE 0 END AS if_anomaly
   FROM forest_scores
-), both AS (
+), both_models AS (
   SELECT h3.* EXCLUDE (id, f1, f2, f3, f4), if_score, if_anomaly, round(lof.score, 6) AS lof_score,
     CASE WHEN lof.score < (SELECT quantile_cont(score, 0.05) FROM lof) THEN 1 ELSE 0 END AS lof_anomaly
   FROM h3 LEFT JOIN forest ON h3.id = forest.id LEFT JOIN lof ON h3.id = lof.id

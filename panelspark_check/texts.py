@@ -59,7 +59,7 @@ FROM gap_fence, gap_copies, quality_row
 """
 _SCAN = f"""
 SELECT count(*) AS rows, {', '.join(f'count(*) - count({c}) AS no_{c}' for c in RAW_COLUMNS)},
-  any_value(mean) AS mean, any_value(stddev) AS stddev, any_value("min") AS "min", any_value("max") AS "max",
+  any_value(mean) AS mean, round(any_value(stddev), 4) AS stddev, any_value("min") AS "min", any_value("max") AS "max",
   count(*) FILTER (actual_meur < 0) AS negative, CAST(max(year) AS BIGINT) AS max_period
 FROM gappy, gap_amounts
 """
@@ -536,14 +536,14 @@ JOIN listed b ON b.sheet = c.sheet AND b.row_no = revenue_row
 #: The texts that need the forest.
 FOREST_TEXTS = {
     "isolation_forest": "SELECT country, heading, year, if_score, if_anomaly FROM h3 JOIN forest USING (id)",
-    "absorption_anomalies": "SELECT * FROM both",
+    "absorption_anomalies": "SELECT * FROM both_models",
     "forest_ranked": """
 SELECT year, country, heading, absorption_gap_meur, absorption_rate_pct, if_score, lof_anomaly, lof_score
-FROM both WHERE if_anomaly = 1 ORDER BY if_score, country, heading, year LIMIT 30
+FROM both_models WHERE if_anomaly = 1 ORDER BY if_score, country, heading, year LIMIT 30
 """,
-    "forest_top_k": TEXTS["top_k_scores"].replace("lof_score", "if_score").replace("scored", "both"),
-    "forest_grid": TEXTS["anomaly_grid"].replace("lof_anomaly", "if_anomaly").replace("scored", "both"),
-    "forest_by_year": TEXTS["anomalies_by_year"].replace("lof_anomaly", "if_anomaly").replace("scored", "both"),
-    "forest_comparison": TEXTS["method_comparison"].replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both"),
-    "forest_summary": _SUMMARY.replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both"),
+    "forest_top_k": TEXTS["top_k_scores"].replace("lof_score", "if_score").replace("scored", "both_models"),
+    "forest_grid": TEXTS["anomaly_grid"].replace("lof_anomaly", "if_anomaly").replace("scored", "both_models"),
+    "forest_by_year": TEXTS["anomalies_by_year"].replace("lof_anomaly", "if_anomaly").replace("scored", "both_models"),
+    "forest_comparison": TEXTS["method_comparison"].replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both_models"),
+    "forest_summary": _SUMMARY.replace("z_anomaly", "if_anomaly").replace("FROM scored", "FROM both_models"),
 }
