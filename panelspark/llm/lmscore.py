@@ -21,95 +21,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.arrays import map_array, write_arrays
-from panelspark.llm.common import arrow_schema, sorted_groups, worker_cache
+from panelspark.llm.arrays import mapped, write_arrays
+from panelspark.llm.common import arrow_schema, sorted_groups
+from panelspark.llm.counted import Counted, count_values, planes, share
+from panelspark.llm.hashing import mix, pieces, word_hashes
 from panelspark.session import materialize, new_path
 
 #: Text bytes of the corpus per shard of n-grams and per shard of the vocabulary.
 SHARD_BYTES, VOCABULARY_BYTES = 16_000_000, 96_000_000
-#: n-grams a task gathers before it counts them and sends them on; text scored at once.
-GATHERED, PIECE = 4_000_000, 3_000_000
+#: n-grams a task gathers before it counts them and sends them on.
+GATHERED = 4_000_000
 #: A context is frequent if each of its words makes up over 1 / (SPREAD x shards) of all tokens.
 SPREAD = 4
 _LOW = np.uint64(0xFFFFFFFF)
 _BUCKETS = 12
-#: Shards whose maps a worker keeps open; where files are read instead, that many are held.
-_OPEN, _READ = 2048, 8
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64 bits that spreads every bit (public splitmix constants)."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _byte_values() -> np.ndarray:
-    """A random number for every byte; A-Z as a-z, white space 0."""
-    values = _mix(np.arange(256))
-    values[65:91] = values[97:123]
-    values[[32, *range(9, 14)]] = 0
-    return values
-
-
-def _place_factors(n: int) -> np.ndarray:
-    """An odd random number for every place in a word."""
-    return _mix(np.arange(1 << 10, (1 << 10) + n)) | np.uint64(1)
-
-
-_VALUES, _FACTORS = _byte_values(), _place_factors(256)
 #: The end of a text as a token.
-_END = _mix(np.array([0x5EED]))[0]
-
-
-def word_hashes(raw: np.ndarray, cuts: np.ndarray, step: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words, words per text) of texts that lie in ``raw`` between ``cuts``.
-
-    A hash is the sum over the word's bytes of byte number times place number, mixed.
-    Words are taken ``step`` bytes at a time, so a very long text costs no wide arrays.
-    """
-    full = np.ones(256, bool)
-    full[[32, *range(9, 14)]] = False
-    full = full[raw]
-    starts = full.copy()
-    starts[1:] &= ~full[:-1]
-    heads = cuts[:-1][cuts[:-1] < cuts[1:]]
-    starts[heads] = full[heads]
-    at = np.flatnonzero(starts)
-    per_text = np.diff(np.searchsorted(at, cuts))
-    found = np.empty(len(at), np.uint64)
-    begin = 0
-    while begin < len(at):
-        stop = max(begin + 1, int(np.searchsorted(at, at[begin] + step)))
-        low, high = at[begin], at[stop] if stop < len(at) else len(raw)
-        part = at[begin:stop] - low
-        place = np.arange(high - low) - np.repeat(part, np.diff(np.append(part, high - low)))
-        used = int(place[full[low:high]].max()) + 1
-        factors = _FACTORS if used <= len(_FACTORS) else _place_factors(used)
-        products = _VALUES[raw[low:high]] * factors[np.minimum(place, len(factors) - 1)]
-        lengths = np.add.reduceat(full[low:high], part, dtype=np.uint64)
-        found[begin:stop] = _mix(np.add.reduceat(products, part) + lengths)
-        begin = stop
-    return found, per_text
-
-
-def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes of their texts, cuts between them), some MB at a time; null is empty."""
-    for batch in batches:
-        text = batch.column("text").cast(pa.large_binary()).fill_null(b"")
-        lengths = pa.compute.binary_length(text).to_numpy(zero_copy_only=False)
-        ends, start = np.cumsum(lengths), 0
-        while start < batch.num_rows:
-            base = int(ends[start - 1]) if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + size, "right")))
-            part = text.slice(start, stop - start)
-            raw = np.frombuffer(b"".join(part.to_pylist()), np.uint8)
-            yield batch.slice(start, stop - start), raw, np.append(0, np.cumsum(lengths[start:stop])).astype(np.int64)
-            start = stop
+_END = mix(np.array([0x5EED]))[0]
 
 
 def tokens(raw: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,15 +93,11 @@ def combine(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tupl
     return out[::-1], counts.astype(np.int64)
 
 
-def _planes(values: np.ndarray) -> bytes:
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
 def pack(columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Ascending rows as byte planes, the first column as differences, compressed."""
     first = np.diff(columns[0], prepend=np.uint32(0)).astype("<u4")
-    planes = [_planes(c) for c in (first, *[c.astype("<u4") for c in columns[1:]], counts.astype("<u8"))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    parts = [planes(c) for c in (first, *[c.astype("<u4") for c in columns[1:]], counts.astype("<u8"))]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack(blob: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -190,7 +116,7 @@ def unpack(blob: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
 def context_hash(context: list[np.ndarray]) -> np.ndarray:
     value = np.full(len(context[0]), len(context), np.uint64)
     for column in context:
-        value = _mix(value ^ column)
+        value = mix(value ^ column)
     return value
 
 
@@ -199,11 +125,6 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(32) & np.uint64((1 << _BUCKETS) - 1)).astype(np.int64)
 
 
-def _share(hashes: np.ndarray, shards: int) -> np.ndarray:
-    """Shard by the upper half of a hash, evenly and in its order."""
-    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
-
-
 class Layout:
     """What every task must know: shards, vocabulary size, start mark, frequent words."""
 
@@ -222,7 +143,7 @@ class Layout:
         if len(columns) == 1:
             return (columns[0].astype(np.uint64) * np.uint64(self.shards) // np.uint64(max(self.size, 1))).astype(np.int32)
         value = context_hash(columns[:-1])
-        return _share(np.where(self.hot(columns[:-1]), _mix(value ^ columns[-1]), value), self.shards)
+        return share(np.where(self.hot(columns[:-1]), mix(value ^ columns[-1]), value), self.shards)
 
     def blobs(self, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
         """(shard, packed rows) of distinct ascending rows."""
@@ -234,99 +155,23 @@ class Layout:
             yield s, pack([c[rows] for c in columns], counts[rows])
 
 
-class Vocabulary:
-    """Sorted hashes and counts of all training tokens, by shards of hash ranges."""
-
-    def __init__(self, paths: list[str], sizes: list[int]):
-        self.paths, self.bases = paths, np.append(0, np.cumsum(sizes)).astype(np.int64)
-
-    def maps(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        return _mapped(self.paths[s], ("hash", "<u8"), ("count", "<u8"))
-
-    def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, counts) of tokens; an unknown one has the vocabulary's size and 0."""
-        wanted, inverse = np.unique(hashes, return_inverse=True)
-        ids = np.full(len(wanted), self.bases[-1], np.uint32)
-        counts = np.zeros(len(wanted), np.int64)
-        cuts = np.searchsorted(_share(wanted, len(self.paths)), np.arange(len(self.paths) + 1))
-        for s in np.flatnonzero(np.diff(cuts)).tolist():
-            known, number = self.maps(s)
-            if not len(known):
-                continue
-            part = wanted[cuts[s] : cuts[s + 1]]
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            met = np.flatnonzero(known[at] == part)
-            ids[cuts[s] + met] = self.bases[s] + at[met]
-            counts[cuts[s] + met] = number[at[met]]
-        return ids[inverse], counts[inverse]
-
-
-def _mapped(path: str, *kinds: tuple[str, str]) -> tuple[np.ndarray, ...]:
-    """A shard's arrays, kept between batches: maps of files, or a few shards that were read."""
-    known = worker_cache("maps")
-    if path not in known:
-        if len(known) >= (_OPEN if path.startswith(("file:", "/")) else _READ):
-            known.clear()
-        known[path] = tuple(map_array(f"{path}.{suffix}", kind) for suffix, kind in kinds)
-    return known[path]
-
-
-def _ids(vocabulary: Vocabulary, batches: Iterator[pa.RecordBatch], order: int, start: int) -> Iterator[list[np.ndarray]]:
+def _ids(vocabulary: Counted, batches: Iterator[pa.RecordBatch], order: int, start: int) -> Iterator[list[np.ndarray]]:
     for _, raw, cuts in pieces(batches):
         hashes, ends = tokens(raw, cuts)
-        yield windows(vocabulary.look_up(hashes)[0], ends, order, start)
+        yield windows(vocabulary.look_up(hashes)[0].astype(np.uint32), ends, order, start)
 
 
-def _count_words(train: DataFrame, shards: int) -> tuple[Vocabulary, int]:
-    """The stored vocabulary and the number of tokens."""
-    spark = train.sparkSession
-    folder = new_path(spark, "vocabulary")
-    ddl = "shard int, h long, n long"
+def _count_words(train: DataFrame, shards: int) -> Counted:
+    """The training tokens and their numbers of uses."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, raw, cuts in pieces(batches):
+            yield tokens(raw, cuts)[0]
 
-        def out() -> pa.RecordBatch:
-            hashes, counts = _summed(held)
-            columns = [pa.array(_share(hashes, shards)), pa.array(hashes.view(np.int64)), pa.array(counts)]
-            return pa.record_batch(columns, ["shard", "h", "n"])
+    return count_values(train, found, shards, name="vocabulary")
 
-        for _, raw, cuts in pieces(batches):
-            held.append(np.unique(tokens(raw, cuts)[0], return_counts=True))
-            if sum(len(h) for h, _ in held) > GATHERED:
-                held = [_summed(held)]
-                if len(held[0][0]) > GATHERED // 2:
-                    yield out()
-                    held = []
-        if held:
-            yield out()
 
-    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (shard,), table in sorted_groups(batches, ["shard"]):
-            h, n = (table.column(c).to_numpy() for c in ("h", "n"))
-            hashes, counts = _summed([(h.view(np.uint64), n)])
-            path = write_arrays(folder, f"words-{shard:06d}", {"hash": hashes.astype("<u8"), "count": counts.astype("<u8")})
-            columns = [pa.array([x]) for x in (shard, path, len(hashes), int(counts.sum()))]
-            yield pa.record_batch([columns[0].cast(pa.int32()), *columns[1:]], ["shard", "path", "size", "total"])
-
-    rows = train.mapInArrow(count, ddl).repartition(shards, "shard").sortWithinPartitions("shard")
-    stored = materialize(rows.mapInArrow(store, "shard int, path string, size long, total long"), "vocabulary-shards")
-    found = {r.shard: r for r in stored.collect()}  # a row per shard
-    empty = write_arrays(folder, "none", {"hash": np.empty(0, "<u8"), "count": np.empty(0, "<u8")}) if len(found) < shards else ""
-    paths = [found[s].path if s in found else empty for s in range(shards)]
-    sizes = [found[s]["size"] if s in found else 0 for s in range(shards)]
-    return Vocabulary(paths, sizes), sum(r.total for r in found.values())
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    hashes = np.concatenate([h for h, _ in held])
-    order = np.argsort(hashes)
-    hashes, counts = hashes[order], np.concatenate([n for _, n in held])[order]
-    heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, int)
-    return hashes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
-
-
-def _frequent(spark, vocabulary: Vocabulary, least: float) -> np.ndarray:
+def _frequent(spark: SparkSession, vocabulary: Counted, least: float) -> np.ndarray:
     """Ids of the words with over ``least`` occurrences: fewer than all tokens / ``least``."""
     shards = spark.range(len(vocabulary.paths)).select(F.col("id").cast("int").alias("shard"))
 
@@ -436,7 +281,7 @@ def discounts(n: list[int]) -> list[float]:
 class Model:
     """Paths and numbers of a stored model; workers map its arrays as they meet them."""
 
-    def __init__(self, order: int, layout: Layout, vocabulary: Vocabulary, tokens_n: int):
+    def __init__(self, order: int, layout: Layout, vocabulary: Counted, tokens_n: int):
         self.order, self.layout, self.vocabulary, self.tokens_n = order, layout, vocabulary, tokens_n
         self.paths: dict[int, dict[int, str]] = {}
         self.lows: dict[int, int] = {}
@@ -467,7 +312,7 @@ class Model:
         cuts = np.searchsorted(self.layout.shard([known]), np.arange(self.layout.shards + 1))
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             if s in self.paths[1]:
-                (dense,) = _mapped(self.paths[1][s], ("count", "<u8"))
+                (dense,) = mapped(self.paths[1][s], ("count", "<u8"))
                 counts[cuts[s] : cuts[s + 1]] = dense[known[cuts[s] : cuts[s + 1]].astype(np.int64) - self.lows[s]]
         taken = self.discounts[1][np.minimum(counts, 3)]
         return ((counts - taken) / total + uniform)[inverse]
@@ -492,7 +337,7 @@ class Model:
             if s not in self.paths[order]:
                 continue
             rows = place[cuts[s] : cuts[s + 1]]
-            known, edges, small, large, value, context, total, *types = _mapped(
+            known, edges, small, large, value, context, total, *types = mapped(
                 self.paths[order][s], ("key", "<u8"), ("bucket", "<u4"), ("count", "<u1"), ("large", "<u4"), ("value", "<u8"),
                 ("context", "<u8"), ("total", "<u8"), ("types1", "<u4"), ("types2", "<u4"), ("types3", "<u4"),
             )
@@ -560,8 +405,8 @@ def train_model(texts: DataFrame, order: int) -> Model:
     spark = texts.sparkSession
     texts = texts.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    vocabulary, total = _count_words(texts, max(1, -(-size // VOCABULARY_BYTES)))
-    known = int(vocabulary.bases[-1])
+    vocabulary = _count_words(texts, max(1, -(-size // VOCABULARY_BYTES)))
+    known, total = vocabulary.size, vocabulary.total
     if known + 2 >= 1 << 32:
         raise ValueError("word ids have 32 bits")
     shards = max(1, -(-size // SHARD_BYTES))
@@ -615,7 +460,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             size = ends - begins
             known = np.add.reduceat((counts > 0).astype(np.int64), begins)
             base = np.add.reduceat(np.log10((counts + 0.5) / (n + 0.5 * (v + 1))), begins)
-            score = np.add.reduceat(model.log10(ids, ends), begins)
+            score = np.add.reduceat(model.log10(ids.astype(np.uint32), ends), begins)
             columns = [size, known, np.full(len(size), n, np.int64), base, score, 10.0 ** (-score / size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *[pa.array(c) for c in columns]], schema=schema)
 

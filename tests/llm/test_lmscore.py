@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from panelspark.llm import lmscore
+from panelspark.llm import counted, hashing, lmscore
 
 DDL = "doc_id long, text string, shard string, score string, held_out string, h string"
 
@@ -43,8 +43,9 @@ def test_against_dictionaries(spark, order):
 @pytest.mark.parametrize("order", [2, 3])
 def test_many_shards_and_frequent_contexts(spark, monkeypatch, order):
     rows = corpus(120, 5) + [(1000 + i, "the " * 40 + f"w{i}") for i in range(20)] + [(2000 + i, "one") for i in range(300)]
-    for name, value in (("SHARD_BYTES", 2000), ("VOCABULARY_BYTES", 5000), ("GATHERED", 300), ("PIECE", 500)):
+    for name, value in (("SHARD_BYTES", 2000), ("VOCABULARY_BYTES", 5000), ("GATHERED", 300)):
         monkeypatch.setattr(lmscore, name, value)
+    monkeypatch.setattr(counted, "GATHERED", 300)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = lmscore.train_model(df.filter(~lmscore.held_out_of(df.doc_id)), order)
     assert model.layout.shards > 5 and len(model.vocabulary.paths) > 2
@@ -92,7 +93,7 @@ def test_word_hashes_follow_the_words():
     buffer = np.frombuffer(b"".join(raw), np.uint8)
     want = [[brute.fold(w) for w in brute.WORD.findall(t)] for t in texts]
     for step in (1, 7, 10_000):
-        hashes, per_text = lmscore.word_hashes(buffer, cuts, step)
+        hashes, per_text = hashing.word_hashes(buffer, cuts, step)
         assert per_text.tolist() == [len(w) for w in want]
         flat = [w for ws in want for w in ws]
         assert len(hashes) == len(flat)
@@ -113,5 +114,5 @@ def test_packed_rows_come_back():
 
 def test_pieces_cut_between_texts():
     batch = pa.record_batch([pa.array(["abc", None, "", "defgh", "i"])], ["text"]).slice(1)
-    parts = list(lmscore.pieces(iter([batch]), 5))
+    parts = list(hashing.pieces(iter([batch]), 5))
     assert [(p.num_rows, r.tobytes(), c.tolist()) for p, r, c in parts] == [(3, b"defgh", [0, 0, 0, 5]), (1, b"i", [0, 1])]
