@@ -9,6 +9,8 @@ of a shard, the number of ids before it, comes from prefix sums over the manifes
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,69 +20,211 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import arrow_schema, record, text_batches
+from panelspark.llm.common import arrow_schema, record, text_batches, worker_cache
+from panelspark.llm.hashing import mix
 from panelspark.session import new_path
 
 #: How a null doc_id is stored.
 NULL_ID = -(1 << 63)
-#: Pieces whose ids are remembered at most; then memory is started anew.
-REMEMBERED = 300_000
+#: Memory of a worker for the ids of words it has met; then it starts anew.
+CACHE_BYTES = 64_000_000
+#: Bytes of text that are looked up at once, and characters the library encodes in one call.
+_STEP, _CALL = 1_000_000, 30_000
 
 _MANIFEST = "shard long, path string, width int, n_docs long, n_tokens long"
-#: Characters for which every Unicode version has the same letter, digit and space classes.
-_PLAIN = r"[\t\n\r\x20-\x7e\xa1-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞€ぁ-ゖァ-ヺ一-龥]*"
-#: The published splitting pattern of byte-level BPE.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: White space beyond ASCII that touches ASCII white space: there a run is no cut.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \t-\r]")
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[32, *range(9, 14)]] = True
+_BYTES, _PLACES = mix(np.arange(1 << 13, (1 << 13) + 256)), mix(np.arange(1 << 14, (1 << 14) + 256)) | np.uint64(1)
 
 
-def load_encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids as the tokenizers library gives them.
+def _piece_hashes(raw: np.ndarray, starts: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Hashes of the pieces of ``raw`` that begin at ``starts``, a bounded number of bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    stops = np.append(starts[1:], len(raw))
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + _STEP)))
+        low, high = starts[begin], stops[end - 1]
+        sizes = stops[begin:end] - starts[begin:end]
+        part = starts[begin:end] - low
+        place = np.arange(high - low) - np.repeat(part, sizes)
+        longest = int(sizes.max())
+        factors = _PLACES if longest <= len(_PLACES) else mix(np.arange(1 << 14, (1 << 14) + longest)) | np.uint64(1)
+        sums = np.add.reduceat(_BYTES[raw[low:high]] * factors[place], part)
+        out[begin:end] = mix(sums + sizes.astype(np.uint64) * np.uint64(2) + head[begin:end])
+        begin = end
+    return out
 
-    For byte-level BPE the library encodes each distinct piece (word with its space)
-    once; the ids of a text are those of its pieces.  A text with an added token or with
-    a character outside ``_PLAIN`` is encoded by the library as a whole, and so is every
-    text of another kind of tokenizer.
+
+class _Known:
+    """Ids of pieces by their hash, as sorted arrays: a large set and the latest additions."""
+
+    def __init__(self, kind: np.dtype) -> None:
+        self.ids, self.used = np.empty(1 << 16, kind), 0
+        self.sets = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
+
+    @property
+    def held(self) -> int:
+        return self.ids.nbytes + sum(x.nbytes for s in self.sets for x in s)
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the ids, their number) of each hash, -1 where it is new."""
+        at, size = np.full(len(wanted), -1, np.int64), np.zeros(len(wanted), np.int64)
+        for hashes, places, sizes in self.sets:
+            if len(hashes):
+                i = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
+                met = np.flatnonzero(hashes[i] == wanted)
+                at[met], size[met] = places[i[met]], sizes[i[met]]
+        return at, size
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
+        self.ids[self.used : self.used + len(ids)] = ids
+        places = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+        def merged(a: tuple, b: tuple) -> tuple:
+            both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+            order = np.argsort(both[0], kind="stable")
+            return tuple(x[order] for x in both)
+
+        large, late = self.sets
+        late = merged(late, (hashes, places, sizes))
+        if len(late[0]) > 20_000 + len(large[0]) // 4:
+            large, late = merged(large, late), tuple(x[:0] for x in late)
+        self.sets = [large, late]
+
+
+class Encoder:
+    """Ids of texts as the tokenizers library gives them, with the ids of words kept.
+
+    Byte-level BPE splits a text into pieces first, and the first of a run of white space
+    always begins one.  So a text is cut there, the library encodes each distinct part (a
+    word with the white space before it) once, many in one call, and the ids of a text are
+    those of its parts.  Parts are told apart by 64 bits of hash.  Texts with an added token
+    or with white space beyond ASCII next to other white space are encoded by the library as
+    a whole, as are all texts of another tokenizer.
     """
-    import regex
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    added = [t["content"] for t in spec.get("added_tokens", [])]
-    pre = spec.get("pre_tokenizer") or {}
-    by_piece = (
-        spec.get("normalizer") is None
-        and pre.get("type") == "ByteLevel"
-        and not pre.get("add_prefix_space", True)
-        and pre.get("use_regex", True)
-        and spec.get("truncation") is None
-        and spec.get("padding") is None
-    )
-    kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-
-    def whole(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype=kind)
-
-    if not by_piece:
-        return whole
-    plain, split = regex.compile(_PLAIN), regex.compile(_SPLIT)
-    known: dict[str, bytes] = {}
-
-    def encode(text: str) -> np.ndarray:
-        if any(a in text for a in added) or plain.fullmatch(text) is None:
-            return whole(text)
-        pieces = split.findall(text)
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [p for p in set(pieces) if p not in known]
-        for i in range(0, len(new), 1024):
-            part = new[i : i + 1024]
-            for piece, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, dtype=kind).tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=kind)
-
-    return encode
+
+    def __init__(self, path: str):
+        # a task has one core; threads of the library would hold memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        pre = spec.get("pre_tokenizer") or {}
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.by_word = (
+            spec.get("normalizer") is None
+            and pre.get("type") == "ByteLevel"
+            and not pre.get("add_prefix_space", True)
+            and pre.get("use_regex", True)
+            and spec.get("truncation") is None
+            and spec.get("padding") is None
+        )
+        mark = self._whole(["\n"])[0] if self.by_word else np.empty(0)
+        # a line feed before a space is a piece of its own, which parts words in one call
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.known = _Known(self.kind)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.kind) for e in found]
+
+    def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each) of words of one space and no other white space."""
+        lines, line, size = [], [], 0
+        for word in words:
+            line.append(word)
+            size += len(word)
+            if size > _CALL:
+                lines.append("\n" + "\n".join(line))
+                line, size = [], 0
+        if line:
+            lines.append("\n" + "\n".join(line))
+        ids = np.concatenate([x for line in lines for x in self._whole([line])])
+        marks = np.flatnonzero(ids == self.mark)
+        return np.delete(ids, marks), np.diff(np.append(marks, len(ids))) - 1
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
+        """Adds new words; ``plain`` ones have one space, in front."""
+        easy, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+        if len(easy):
+            self.known.add(hashes[easy], *self._spaced([words[i].decode() for i in easy]))
+        for i in range(0, len(other), 1024):
+            part = other[i : i + 1024]
+            found = self._whole([words[j].decode() for j in part])
+            self.known.add(hashes[part], np.concatenate(found), np.array([len(f) for f in found]))
+
+    def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        cuts = np.cumsum([0, *map(len, texts)])
+        space = _IS_SPACE[raw]
+        first = space.copy()
+        first[1:] &= ~space[:-1]
+        begins = cuts[:-1][cuts[:-1] < cuts[1:]]
+        first[begins] = True
+        starts = np.flatnonzero(first)
+        head = np.zeros(len(starts), bool)
+        head[np.searchsorted(starts, begins)] = ~space[begins]
+        hashes, which, inverse = np.unique(_piece_hashes(raw, starts, head), return_index=True, return_inverse=True)
+        at, size = self.known.find(hashes)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if self.known.held > CACHE_BYTES:
+                self.known, new = _Known(self.kind), np.arange(len(hashes))
+            rows = which[new]
+            view = raw.tobytes()
+            words = [view[a:b] for a, b in zip(starts[rows].tolist(), np.append(starts[1:], len(raw))[rows].tolist(), strict=True)]
+            spaces = np.add.reduceat(space, starts, dtype=np.int64)[rows]
+            self._learn(hashes[new], words, (spaces == 1) & (raw[starts[rows]] == 32) & ~head[rows] & (self.mark is not None))
+            at, size = self.known.find(hashes)
+        at, size = at[inverse], size[inverse]
+        ends = np.cumsum(size)
+        ids = self.known.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(at - (ends - size), size)]
+        edges = np.append(0, ends)[np.searchsorted(starts, cuts)]
+        return [ids[a:b] for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list[np.ndarray] = [np.empty(0, self.kind)] * len(texts)
+        group: list[tuple[int, bytes]] = []
+        rest: list[int] = []
+
+        def look_up() -> None:
+            for (i, _), ids in zip(group, self._by_words([t for _, t in group]), strict=True):
+                out[i] = ids
+            group.clear()
+
+        for i, text in enumerate(texts):
+            if not self.by_word or any(a in text for a in self.added) or _ODD.search(text):
+                rest.append(i)
+                continue
+            group.append((i, text.encode()))
+            if sum(len(t) for _, t in group[-64:]) > _STEP or len(group) >= 4096:
+                look_up()
+        if group:
+            look_up()
+        for j in range(0, len(rest), 64):
+            part = rest[j : j + 64]
+            for i, ids in zip(part, self._whole([texts[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder of a tokenizer file, kept between tasks."""
+    kept = worker_cache("encoders")
+    if path not in kept:
+        kept.clear()  # one at a time
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
@@ -101,16 +245,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) ->
         fs.create_dir(root, recursive=True)
         shard = TaskContext.get().partitionId()
         base = f"shard-{shard:06d}-{uuid.uuid4().hex}"
-        encode, docs_n, total, width = None, 0, 0, 0
+        coder, docs_n, total, width = None, 0, 0, 0
         streams = []
         for batch, texts in text_batches(batches):
-            if encode is None:
-                encode = load_encoder(tokenizer_path)
+            if coder is None:
+                coder = encoder(tokenizer_path)
                 streams = [fs.open_output_stream(f"{root}/{base}.{x}") for x in ("ids", "off", "doc")]
                 streams[1].write(np.zeros(1, "<u8").tobytes())
             ids, sizes = [], []
-            for text in texts:
-                found = encode(text)
+            for found in coder.encode(texts):
                 ids += [found, np.array([end_id], found.dtype)]
                 sizes.append(len(found) + 1)
             width = ids[0].dtype.itemsize
