@@ -3,7 +3,10 @@
 Paragraphs give points for their length and commas to their ancestors, halved at each
 step; a container's points are discounted by the share of its text that is in links.
 The best container and those of its siblings that score well are kept, without what is
-marked as menu, form, advert, notice or comment.
+marked as menu, form, advert, notice or comment, by its name or by its shape.
+
+All sums run once over the nodes in page order or against it, so a page costs time in
+proportion to its length, however deep it nests.
 """
 
 from __future__ import annotations
@@ -42,6 +45,17 @@ _NAMES = re.compile(
     r"|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|pagination|pager|toolbar|widget|skip|tags|toc)(?:$|[\s_-])",
     re.I,
 )
+#: Words that say nothing by themselves in a class or id; with a telling word they make a whole name.
+_FILLERS = frozenset(
+    "list lists box block blocks bar area section sections container wrapper wrap holder group row column col inner outer content links link items item button buttons icons icon"
+    " bottom top left right main site page post posts primary secondary global sub mini form title heading count thread".split()
+)
+_PARTS = re.compile(r"[\s_-]+")
+#: What a heading above reader comments says, and what the entries below it have.
+_COMMENT_HEAD = re.compile(r"(?:\d+\s+|reader\s+|your\s+|all\s+|leave\s+a\s+|post\s+a\s+)*(?:comments?|responses?|repl(?:y|ies)|discussion|thoughts)(?:\s*\(\d+\)|\s+on\b.*)?:?", re.I)
+_COMMENT_MARK = re.compile(
+    r"^.{1,60}?\b(?:says|wrote|said|commented|replied|writes)\b\s*:|^.{0,80}\b\d+\s+(?:seconds?|minutes?|hours?|days?|weeks?|months?|years?)\s+ago\b|\breply\s*$", re.I | re.S
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 _CLOSES_P = _BLOCKS - {"option", "optgroup", "html", "body"}
 #: An open element that a start tag of the key closes, up to one of the stops.
@@ -62,38 +76,54 @@ LINK_SHARE = 0.2
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "named", "points", "link", "size", "linked")
+    __slots__ = ("tag", "parent", "parts", "dropped", "named", "above", "held", "points", "size", "linked", "inside")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
-        self.named = False
+        # named: its class or id tells what it is; above: the nearest such node; held: lies in an article
+        self.named = self.inside = False
+        self.above = parent and (parent if parent.named else parent.above)
+        self.held = parent is not None and (parent.held or parent.tag in ("article", "main"))
         self.parts: list = []
         self.points = 0.0
         self.size = self.linked = 0
 
 
-def _unwanted(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is never main text, and whether its class or id says so."""
+def _whole_name(value: str) -> bool:
+    """Whether one of the names consists of telling words and fillers alone."""
+    for name in value.split():
+        parts = [p for p in _PARTS.split(name) if p and not p.isdigit()]
+        telling = [bool(_NAMES.fullmatch(p)) for p in parts]
+        if any(telling) and all(t or p in _FILLERS for t, p in zip(telling, parts, strict=True)):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element is never main text, and whether a part or the whole of its name says so."""
     if tag in _DROPPED:
-        return True, False
-    named = False
+        return True, False, False
+    named = whole = False
     for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), (a or b or c).lower()
         if name in ("class", "id"):
-            named = named or bool(tag not in ("html", "body", "article", "main") and _NAMES.search(value))
+            if tag not in ("html", "body", "article", "main") and _NAMES.search(value):
+                named, whole = True, whole or _whole_name(value)
         elif name == "role":
             if value in _ROLES:
-                return True, False
+                return True, False, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True, False
+            return True, False, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
-    return False, named
+            return True, False, False
+    return False, named, whole
 
 
-def parse(page: str) -> _Node:
-    """The tree of a page; tags that are left open or closed twice do no harm."""
-    root = node = _Node("", None, False)
+def parse(page: str) -> list[_Node]:
+    """The nodes of a page in its order, the root first; tags that are left open or closed
+    twice do no harm."""
+    node = _Node("", None, False)
+    nodes = [node]
     at, end = 0, len(page)
     match = _TOKEN.search
     while at < end:
@@ -137,13 +167,15 @@ def parse(page: str) -> _Node:
             close = _RAW_END[tag].search(page, at)
             at = close.end() if close else end
             continue
-        never, named = _unwanted(tag, attributes)
+        never, named, whole = _unwanted(tag, attributes)
         child = _Node(tag, node, node.dropped or never)
-        child.named = named
+        # within an article only a whole name counts: its parts may be the article's subject
+        child.named = whole if child.held else named
+        nodes.append(child)
         node.parts.append(child)
         if tag not in _VOID and not attributes.rstrip().endswith("/"):
             node = child
-    return root
+    return nodes
 
 
 def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
@@ -198,14 +230,6 @@ def _blocks(root: _Node) -> list[tuple[_Node, str, int]]:
     return out
 
 
-def _inside(node: _Node, container: _Node) -> bool:
-    while node is not None:
-        if node is container:
-            return True
-        node = node.parent
-    return False
-
-
 def _points(text: str, linked: int) -> float:
     points = 1 + text.count(",") + text.count("،") + text.count("、") + min(len(text) / 100, 3)
     return points * (1 - linked / len(text))
@@ -220,12 +244,10 @@ def _drop_named(blocks: list[tuple[_Node, str, int]]) -> bool:
     inside: dict[_Node, float] = {}
     chains = []
     for node, text, linked in blocks:
-        chain, article, up = [], node.tag == "h1", node
+        chain, article, up = [], node.held or node.tag in ("h1", "article", "main"), node if node.named else node.above
         while up is not None:
-            article = article or up.tag in ("article", "main")
-            if up.named:
-                chain.append(up)
-            up = up.parent
+            chain.append(up)
+            up = up.above
         points = _points(text, linked)
         chains.append((set(chain), points, article))
         for n in chain:
@@ -250,33 +272,86 @@ def _depth(node: _Node) -> int:
     return depth
 
 
+def _drop_comments(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> bool:
+    """Drops reader comments that no name tells: what follows a heading that announces them,
+    and lists whose every entry has a comment's marks; never over half of the page's points."""
+    texts: dict[_Node, list[str]] = {}
+    points: dict[_Node, float] = {}
+    total = 0.0
+    for node, text, linked in blocks:
+        texts.setdefault(node, []).append(text)
+        points[node] = points.get(node, 0.0) + _points(text, linked)
+        total += _points(text, linked)
+    sums = dict(points)
+    for node in reversed(nodes):
+        if node in sums and node.parent is not None:
+            sums[node.parent] = sums.get(node.parent, 0.0) + sums[node]
+
+    def told(node: _Node) -> str:
+        """The text of an entry, by its parts in order."""
+        out, stack = [], [node]
+        while stack:
+            part = stack.pop()
+            out += texts.get(part, [])
+            stack += [p for p in reversed(part.parts) if isinstance(p, _Node) and p in sums]
+        return " ".join(out)
+
+    gone = False
+    for node in nodes:
+        if node not in sums or node.dropped:
+            continue
+        children = [p for p in node.parts if isinstance(p, _Node) and not p.dropped]
+        for i, child in enumerate(children):
+            if child.tag in ("h2", "h3", "h4", "h5", "h6") and _COMMENT_HEAD.fullmatch(" ".join(texts.get(child, []))):
+                rest = children[i:]
+                if 2 * sum(sums.get(c, 0.0) for c in rest) < total:
+                    for c in rest:
+                        c.dropped = gone = True
+                break
+        entries = [c for c in children if c in sums and not c.dropped]
+        if len(entries) >= 2 and len({c.tag for c in entries}) == 1 and entries[0].tag in ("li", "div", "article", "section", "dd") and 2 * sums[node] < total:
+            if all(_COMMENT_MARK.search(told(c)) for c in entries):
+                node.dropped = gone = True
+    for node in nodes:
+        if node.parent is not None and node.parent.dropped:
+            node.dropped = True
+    return gone
+
+
 def main_blocks(page: str) -> list[str]:
     """The blocks of the main text in page order."""
-    root = parse(page)
+    nodes = parse(page)
+    root = nodes[0]
     blocks = _blocks(root)
     if _drop_named(blocks):
         blocks = _blocks(root)
+    if _drop_comments(nodes, blocks):
+        blocks = _blocks(root)
     if not blocks:
         return []
-    touched: dict[int, _Node] = {}
+    touched: dict[_Node, None] = {}
     for node, text, linked in blocks:
         points = _points(text, linked)
         # a paragraph's own container gets all its points, each step up half as many
         up = node.parent if node.tag in ("p", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dd", "dt", "td", "blockquote") and node.parent else node
+        up.size += len(text)
+        up.linked += linked
         share = 1.0
-        while up is not None:
-            touched[id(up)] = up
-            if share > 0.01:
-                up.points += points * share
-            up.size += len(text)
-            up.linked += linked
+        while up is not None and share > 0.01:
+            touched[up] = None
+            up.points += points * share
             share /= 2
             up = up.parent
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.size += node.size
+            node.parent.linked += node.linked
+
     def score(node: _Node) -> float:
         bonus = 1.5 if node.tag in ("article", "main") else 1.0
         return bonus * node.points * (1 - node.linked / max(1, node.size))
 
-    best = max(touched.values(), key=score)
+    best = max(touched, key=score)
     # lists, tables and quotations are parts of the container that holds them
     while best.parent is not None and best.tag in ("ul", "ol", "dl", "li", "table", "tbody", "tr", "td", "blockquote", "figure", "p", "pre"):
         best = best.parent
@@ -290,16 +365,18 @@ def main_blocks(page: str) -> list[str]:
     for node, _, _ in blocks:
         if node.tag in ("p", "pre", "blockquote") and node.parent is not None:
             held.add(node.parent)
-    chosen = [best]
+    best.inside = True
     if best.parent is not None and best.tag not in ("article", "main", "body", "html"):
         least = SIBLING_SHARE * score(best)
         for part in best.parent.parts:
             if isinstance(part, _Node) and part is not best and not part.dropped:
-                if id(part) in touched and (score(part) >= least or (part in held and part.linked <= LINK_SHARE * part.size)):
-                    chosen.append(part)
+                if part.size and (score(part) >= least or (part in held and part.linked <= LINK_SHARE * part.size)):
+                    part.inside = True
                 elif part.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"):
-                    chosen.append(part)
-    return [text for node, text, linked in blocks if any(_inside(node, c) for c in chosen)]
+                    part.inside = True
+    for node in nodes:
+        node.inside = node.inside or (node.parent is not None and node.parent.inside)
+    return [text for node, text, linked in blocks if node.inside]
 
 
 def main_text(pages: DataFrame) -> DataFrame:
