@@ -248,6 +248,19 @@ def best_overlap(doc: np.ndarray, item: np.ndarray, diagonal: int, least: int, p
     return best if best[1] >= least else (0, 0, 0)
 
 
+def _questions(met: DataFrame, items: DataFrame) -> DataFrame:
+    """(cluster, asked): a row per stretch, with the items to compare it with.
+
+    ``met`` has (cluster, item_id, at, pos) of equal windows.  All diagonals of a stretch and an
+    item are one entry, so neither a stretch nor an item is copied for each of them, however
+    repetitive both are.
+    """
+    diagonals = F.collect_set((F.col("at") - F.col("pos")).cast("long")).alias("diagonals")
+    grouped = met.groupBy("cluster", "item_id").agg(diagonals)
+    named = grouped.join(items.select("item_id", F.col("text").alias("item")), "item_id")
+    return named.groupBy("cluster").agg(F.collect_list(F.struct("item_id", "item", "diagonals")).alias("asked"))
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, masks: tuple[str, ...] = MASKS, min_overlap: int = MIN_OVERLAP, min_equal_percent: int = MIN_EQUAL_PERCENT
 ) -> DataFrame:
@@ -265,29 +278,29 @@ def find_leaks(
     clusters = materialize(_hits(docs.filter("doc_id IS NOT NULL"), table, masks, used), "spaced-seed-hits")
     hits = clusters.select("cluster", F.explode(F.arrays_zip("at", "mask", "hash")).alias("w"))
     hits = hits.select("cluster", F.col("w.at").alias("at"), F.col("w.mask").alias("mask"), F.col("w.hash").alias("hash"))
-    pairs = hits.join(windows, ["mask", "hash"]).select("cluster", "item_id", (F.col("at") - F.col("pos")).alias("diagonal"))
-    pairs = pairs.distinct()
-    compared = (
-        pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id")
-        .join(clusters.select("cluster", "doc_id", "first", "tokens"), "cluster")
-        .select("doc_id", "item_id", "diagonal", "first", "tokens", "item")
+    compared = _questions(hits.join(windows, ["mask", "hash"]), items).join(
+        clusters.select("cluster", "doc_id", "first", "tokens"), "cluster"
     )
+    names = ["doc_id", "item_id", "start", "n_tokens", "n_equal"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        names = ["doc_id", "item_id", "start", "n_tokens", "n_equal"]
         for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                if len(known) > 4096:
-                    known.clear()
-                item = known.get(r["item_id"])
-                if item is None:
-                    item = known[r["item_id"]] = token_hashes(r["item"])
-                stretch = np.frombuffer(r["tokens"], np.uint64)
-                found = best_overlap(stretch, item, r["diagonal"] - r["first"], min(min_overlap, len(item)), min_equal_percent)
-                if found[1]:
-                    rows.append((r["doc_id"], r["item_id"], r["first"] + found[0], found[1], found[2]))
+            columns = (batch.column(c) for c in ("doc_id", "first", "tokens", "asked"))
+            for doc, first, tokens, asked in zip(*columns, strict=True):
+                stretch, low = np.frombuffer(tokens.as_buffer(), np.uint64), first.as_py()
+                for question in asked:
+                    name = question["item_id"].as_py()
+                    if name not in known:
+                        if len(known) > 4096:
+                            known.clear()
+                        known[name] = token_hashes(question["item"].as_py())
+                    item, least = known[name], min(min_overlap, len(known[name]))
+                    found = [best_overlap(stretch, item, d - low, least, min_equal_percent) for d in question["diagonals"].values.to_numpy().tolist()]
+                    start, size, equal = max(found, key=lambda x: (x[1], x[2], -x[0]))
+                    if size:
+                        rows.append((doc.as_py(), name, low + start, size, equal))
             if rows:
                 yield pa.record_batch([pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)], names)
 

@@ -251,3 +251,24 @@ def filter_audit(docs, labels):
     for (part, o, s), row in out.items():
         shapley[part, o[s - 1]] += row[1]
     return sorted((*key, *row, shapley[key[0], key[1][key[2] - 1]]) for key, row in out.items())
+
+
+def leaks(docs, items, tokens, least=13, percent=80, short=8):
+    """(doc_id, item_id, tokens) of the longest alike stretch of every pair, over all diagonals."""
+    out = {}
+    for d, text in docs:
+        doc = tokens(text)
+        for i, item_text in items:
+            item = tokens(item_text)
+            wanted, share = min(least, len(item)), percent if len(item) >= short else 100
+            best = 0
+            for shift in range(-len(item), len(doc) + 1) if item else ():
+                same = [0 <= shift + j < len(doc) and doc[shift + j] == item[j] for j in range(len(item))]
+                for a in range(len(item)):
+                    for b in range(len(item), a + max(wanted, best + 1) - 1, -1):
+                        if same[a] and same[b - 1] and 0 <= shift + a and shift + b <= len(doc) and 100 * sum(same[a:b]) >= share * (b - a):
+                            best = b - a
+                            break
+            if best:
+                out[d, i] = best
+    return out
