@@ -22,18 +22,18 @@ WITH docs AS (
 ), dup AS (
     SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM full_lines GROUP BY doc_id
 ), hosts AS (
-    SELECT source, count(DISTINCT doc_id) AS n FROM docs GROUP BY source
+    SELECT source, count(DISTINCT doc_id) AS n FROM full_lines GROUP BY source
 ), common AS (
     SELECT f.source, f.tidy, min(f.doc_id) AS first_doc
     FROM full_lines f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
     GROUP BY f.source, f.tidy, h.n
-    HAVING count(DISTINCT f.doc_id) > 100 AND 100 * count(DISTINCT f.doc_id) > 1 * h.n
+    HAVING count(DISTINCT f.doc_id) >= 5 AND (100 * count(DISTINCT f.doc_id) > 1 * h.n OR count(DISTINCT f.doc_id) > 1000)
 ), depleted AS (
     SELECT f.doc_id
     FROM full_lines f LEFT JOIN common c ON f.source IS NOT DISTINCT FROM c.source AND f.tidy = c.tidy
     GROUP BY f.doc_id
     HAVING 100 * sum(CASE WHEN c.first_doc IS NULL OR c.first_doc = f.doc_id THEN len(string_split(f.tidy, ' ')) ELSE 0 END)
-        < 30 * sum(len(string_split(f.tidy, ' ')))
+        < 75 * sum(len(string_split(f.tidy, ' ')))
 ), based AS (
     SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
         CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,

@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import SPACE_CHARS, SPACES, let, lower_ascii, words
+from panelspark.session import materialize
 
 SYMBOLS = "#*$%&|<>"
-#: A line is boilerplate of a host if it is in over so many of its documents ...
-MAX_DOCS = 100
-#: ... and in over this share of them, in percent.
-MAX_PERCENT = 1
+#: A line is boilerplate of a host if it is in at least so many of its documents ...
+MIN_DOCS = 5
+#: ... and in over this share of them, in percent, or in over so many at all.
+MAX_PERCENT, MAX_DOCS = 1, 1000
 #: A document is depleted if fewer than this share of its words is left, in percent.
-MIN_LEFT_PERCENT = 30
+MIN_LEFT_PERCENT = 75
 
 
 def _repeated_words(ws: Column) -> Column:
@@ -87,33 +88,37 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "host", F.col("l.h").alias("h"), F.col("l.n").cast("long").alias("n"))
 
 
-def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT) -> DataFrame:
-    """(host, h, first_doc) of the lines above both limits on (doc_id, host, text).
+def frequent_lines(
+    lines: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, max_docs: int = MAX_DOCS
+) -> DataFrame:
+    """(host, h, first_doc) of the lines of ``document_lines`` that are boilerplate of their host.
 
-    A line stays in the smallest doc_id of its host; rows with one doc_id are one document
-    and rows without one are not counted.  A null host is a host of its own.
+    The limit is a share of the host's documents, at least ``min_docs`` and at most
+    ``max_docs`` of them, so it neither vanishes in small hosts nor grows without end in
+    large ones.  Documents without a line with a word don't count.  A line stays in the
+    smallest doc_id of its host; rows with one doc_id are one document.  A null host is a
+    host of its own.
     """
-    named = docs.filter("doc_id IS NOT NULL")
-    lines = document_lines(named).select("host", "h", "doc_id").distinct()
-    counts = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    sizes = named.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
+    held = lines.select("host", "h", "doc_id").distinct()
+    counts = held.groupBy("host", "h").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    sizes = lines.select("host", "doc_id").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     sizes = sizes.withColumnRenamed("host", "__host")
-    above = counts.filter(F.col("n_docs") > max_docs).join(sizes, F.col("host").eqNullSafe(F.col("__host")))
-    return above.filter(100 * F.col("n_docs") > max_percent * F.col("n_host")).select("host", "h", "first_doc")
+    above = counts.filter(F.col("n_docs") >= min_docs).join(sizes, F.col("host").eqNullSafe(F.col("__host")))
+    many = (100 * F.col("n_docs") > max_percent * F.col("n_host")) | (F.col("n_docs") > max_docs)
+    return above.filter(many).select("host", "h", "first_doc")
 
 
-def line_losses(
-    docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: int = MAX_PERCENT, min_left_percent: int = MIN_LEFT_PERCENT
-) -> DataFrame:
+def line_losses(docs: DataFrame, min_left_percent: int = MIN_LEFT_PERCENT, **limits: int) -> DataFrame:
     """(doc_id, depleted, gone) of (doc_id, host, text) rows with a line with a word.
 
     ``gone`` has (host, h) of the document's lines that are frequent in its host and stay in
     another document; ``depleted`` tells that too few of its words are left without them.
+    Rows without a doc_id are left out.  ``limits`` are those of ``frequent_lines``.
     """
-    above = frequent_lines(docs, max_docs, max_percent).select(
+    lines = materialize(document_lines(docs.filter("doc_id IS NOT NULL")), "lines")
+    above = frequent_lines(lines, **limits).select(
         F.col("host").alias("__host"), F.col("h").alias("__h"), "first_doc"
     )
-    lines = document_lines(docs.filter("doc_id IS NOT NULL"))
     lost = (F.col("__h").isNotNull()) & (F.col("first_doc") != F.col("doc_id"))
     marked = lines.join(above, F.col("host").eqNullSafe(F.col("__host")) & (F.col("h") == F.col("__h")), "left")
     sums = marked.groupBy("doc_id").agg(
