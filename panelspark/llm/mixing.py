@@ -16,11 +16,32 @@ from panelspark.session import materialize
 WEIGHTS = (5, 2, 1)
 #: How often the gap below a target is filled again with what fits.
 ROUNDS = 4
+#: Sources up to which a table of them is broadcast.
+MAX_SENT = 100_000
 
 
-def draw_order(seed: int, doc_id: Column) -> Column:
-    """A seeded order of the documents: the hex MD5 of ``seed:doc_id``, null as empty."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw_order(seed: int, doc_id: Column, key: Column) -> Column:
+    """A seeded order of the documents: the hex MD5 of ``seed:doc_id``; without an id, of the row key."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("#"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+
+def row_key(doc_id: Column, source: Column, text: Column) -> Column:
+    """A hash that rows share only if they agree in all three, nulls told from empty texts."""
+    missing = F.concat_ws("", *[c.isNull().cast("string") for c in (doc_id, source, text)])
+    return F.xxhash64(missing, doc_id, source, text)
+
+
+def sized_rows(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, source, size) of every row, stored."""
+    doc_id = F.col("doc_id").cast("long")
+    key = row_key(doc_id, F.col("source"), F.col("text"))
+    return materialize(docs.select(key.alias("key"), doc_id.alias("doc_id"), "source", count_words(F.col("text")).alias("size")), "sizes")
+
+
+def _per_source(rows: DataFrame) -> DataFrame:
+    """A stored table of a row a source: broadcast unless there are very many of them."""
+    return F.broadcast(rows) if rows.count() <= MAX_SENT else rows
 
 
 def source_targets(
@@ -70,7 +91,7 @@ def _fill(rows: DataFrame, goals: DataFrame) -> DataFrame:
     gaps = goals.join(used, F.col("__source").eqNullSafe(F.col("__used_source"))).select(
         "__source", (F.col("rest") - F.col("used")).alias("gap")
     )
-    gaps = materialize(gaps, "mix-gaps")
+    gaps = _per_source(materialize(gaps, "mix-gaps"))
     fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))
     same = F.col("source").eqNullSafe(F.col("__source"))
     slots = rows.join(gaps, same).filter(fits).groupBy("source", "gap", "slot").agg(F.sum("size").alias("s"))
@@ -80,9 +101,10 @@ def _fill(rows: DataFrame, goals: DataFrame) -> DataFrame:
     )
     cuts = cuts.select(F.col("source").alias("__cut_source"), F.col("c.slot").alias("cut"), F.col("c.before").alias("before"))
     gaps = gaps.join(cuts, F.col("__source").eqNullSafe(F.col("__cut_source")), "left").drop("__cut_source")
+    gaps = _per_source(materialize(gaps, "mix-cuts"))
     placed = rows.join(gaps, same)
     at_cut = fits & F.coalesce(F.col("slot") == F.col("cut"), F.lit(False))
-    in_order = Window.partitionBy("source").orderBy("order", "doc_id", "size")
+    in_order = Window.partitionBy("source").orderBy("order", "doc_id", "size", "key")
     in_order = in_order.rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("before") + F.sum("size").over(in_order)
     edge = placed.filter(at_cut).withColumn("extra", (upto <= F.col("gap")).cast("int"))
@@ -92,13 +114,13 @@ def _fill(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def repetitions(sized: DataFrame, targets: DataFrame, seed: int = 7, rounds: int = ROUNDS) -> DataFrame:
-    """Adds source_size, target and ``times``, how often the mix takes a row, to (doc_id, source, size).
+    """Adds source_size, target and ``times``, how often the mix takes a row, to the sized rows.
 
     A source takes all its rows floor(target / size) times.  What is left of the target
     is filled with whole documents in a seeded order; ``rounds`` times what still fits in
     the gap that a too large document leaves is filled in the same way.
     """
-    order = draw_order(seed, F.col("doc_id"))
+    order = draw_order(seed, F.col("doc_id"), F.col("key"))
     rows = sized.withColumn("order", order).withColumn("extra", F.lit(0))
     rows = rows.withColumn("slot", F.conv(F.substring("order", 1, 4), 16, 10).cast("int"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
@@ -106,12 +128,12 @@ def repetitions(sized: DataFrame, targets: DataFrame, seed: int = 7, rounds: int
         F.col("source").alias("__source"), "source_size", "target", "whole",
         F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long").alias("rest"),
     )
-    goals = materialize(goals, "mix-goals")
+    goals = _per_source(materialize(goals, "mix-goals"))
     for _ in range(rounds):
         rows = _fill(rows, goals)
     counted = rows.join(goals, F.col("source").eqNullSafe(F.col("__source")))
     times = (F.col("whole") + F.col("extra")).cast("long")
-    return counted.select("doc_id", "source", "size", "source_size", "target", times.alias("times"))
+    return counted.select("key", "doc_id", "source", "size", "source_size", "target", times.alias("times"))
 
 
 def mix(
@@ -122,9 +144,7 @@ def mix(
     Null or wordless texts have size 0 and are taken as often as their source says, which
     adds nothing.  Repeated rows count each on its own.  No rows give none.
     """
-    sized = materialize(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words(F.col("text")).alias("size")), "sizes"
-    )
+    sized = sized_rows(docs)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, share_percent, max_epochs)
     counted = repetitions(sized, targets, seed)
@@ -136,14 +156,19 @@ def mixed_rows(
 ) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it; rows taken 0 times go.
 
-    Repeated rows with one doc_id and source share the most that one of them is taken.
+    Rows that agree in doc_id, source and text, such as repeated ones, share evenly what
+    the mix takes of them together; rows without a doc_id are told apart by their texts.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", count_words(F.col("text")).alias("size"))
-    sized = materialize(sized, "sizes")
+    sized = sized_rows(docs)
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     counted = repetitions(sized, source_targets(sizes, weights, share_percent, max_epochs), seed)
-    times = counted.groupBy("doc_id", "source").agg(F.max("times").alias("__times")).filter("__times > 0")
-    times = times.withColumnsRenamed({"doc_id": "__doc", "source": "__source"})
-    same = docs["doc_id"].eqNullSafe(times["__doc"]) & docs["source"].eqNullSafe(times["__source"])
-    copies = F.explode(F.sequence(F.lit(1), times["__times"])).alias("__copy")
-    return docs.join(times, same).select(*[docs[c] for c in docs.columns], copies).drop("__copy")
+    taken = counted.groupBy(F.col("key").alias("__key")).agg(F.sum("times").alias("__times"), F.count("*").alias("__rows"))
+    key = row_key(F.col("doc_id").cast("long"), F.col("source"), F.col("text"))
+    met = docs.withColumn("__row", key).join(taken.filter("__times > 0"), F.col("__row") == F.col("__key"))
+    # several rows of one key: the first ones take what does not divide evenly
+    place = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
+    more = F.when(F.col("__rows") > 1, (place <= F.col("__times") % F.col("__rows")).cast("int")).otherwise(0)
+    times = F.floor(F.col("__times") / F.col("__rows")) + more
+    found = met.withColumn("__times", times.cast("int")).filter("__times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")
+    return found.select(*docs.columns, copies).drop("__copy")
