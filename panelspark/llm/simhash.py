@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 
 from panelspark.llm.common import arrow_schema, record, sorted_runs, text_batches
 from panelspark.llm.components import component_roots
+from panelspark.llm.counted import Counted, count_values
+from panelspark.llm.hashing import pieces, shingles, word_hashes
 from panelspark.session import materialize
 
 #: A-Z to a-z and every white space to a space.
 _FOLD = {c: c + 32 for c in range(65, 91)} | {c: 32 for c in range(9, 14)}
 #: Fingerprints of one block value are compared in chunks of about so many.
 CHUNK = 2048
-#: Texts of the sample that tells frequent shingles, and how many of them are told.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Text bytes per shard of shingle counts.
+SHARD_BYTES = 16_000_000
+#: Partners of other groups that a text is compared with in the first round, at most.
+FIRST_PARTNERS = 32
 PARITIES = [f"b{i}" for i in range(8)]
 
 
@@ -177,39 +181,39 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, blocks: in
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def frequent_shingles(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, counts) of the shingles that a bounded sample of texts repeats most.
+def shingle_sets(raw: np.ndarray, cuts: np.ndarray, size: int) -> list[np.ndarray]:
+    """The distinct shingle hashes of each of the texts, ascending."""
+    hashes, per_text = shingles(*word_hashes(raw, cuts), size)
+    ends = np.cumsum(per_text)
+    return [np.unique(hashes[a:b]) for a, b in zip((ends - per_text).tolist(), ends.tolist(), strict=True)]
 
-    They only order the shingles of all texts, so no result depends on the sample.
+
+def shingle_counts(rows: DataFrame, shingle: int) -> Counted:
+    """How often each shingle occurs in all texts, for those that occur twice or more.
+
+    Counted on as many bits as keep chance agreements rare; these only make a shingle look
+    more frequent, which changes the order of shingles, not a result.
     """
-    step = max(1, rows.count() // SAMPLE)
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(64, 11 + max(1, size).bit_length())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in text_batches(batches):
-            found = [np.unique(shingle_hashes(t, shingle)) for t in texts]
-            yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64))], ["h"])
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, raw, cuts in pieces(batches):
+            yield shingles(*word_hashes(raw, cuts), shingle)[0]
 
-    part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).select("text")
-    counts = part.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    hashes, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    order = np.argsort(hashes)
-    return hashes[order], n[order]
+    return count_values(rows.select("text"), found, max(1, -(-size // SHARD_BYTES)), bits, 2, "shingle-counts")
 
 
-def prefix(hashes: np.ndarray, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def prefix(hashes: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first of a set's hashes in an order that is one for all sets, rare ones first.
 
     Two sets that are ``percent`` alike have at least ``percent`` of each in common, so the
     first of their common hashes is behind at most the rest in either: both prefixes hold it.
+    A hash that occurs once in all texts (count 0) is in no other set and is left out.
     """
-    known, counts = frequent
-    often = np.zeros(len(hashes), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        often = np.where(known[at] == hashes, counts[at], 0)
     n = len(hashes)
-    return hashes[np.lexsort((hashes, often))[: n - (percent * n + 99) // 100 + 1]]
+    first = np.lexsort((hashes, counts))[: n - (percent * n + 99) // 100 + 1]
+    return hashes[first[counts[first] > 0]]
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
@@ -259,8 +263,9 @@ def _proposals(shared: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _crossing(shared: DataFrame, percent: int) -> DataFrame:
-    """(u, v) with u > v: all pairs of a group that may be alike and have different labels."""
+def _crossing(shared: DataFrame, percent: int, most: int) -> DataFrame:
+    """(u, v, more) with u > v: for each id of a group its ``most`` closest smaller partners
+    that may be alike and have another label, and whether there are more of them."""
     dealt, names = _dealt(shared, ["key"], ["id", "label", "size", *PARITIES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +274,19 @@ def _crossing(shared: DataFrame, percent: int) -> DataFrame:
                 continue
             step = max(1, 1_000_000 // len(ids))
             for i in range(0, len(ids), step):
-                row, column, _ = _possible(sizes, bits, i, i + step, percent)
-                apart = (labels[row] != labels[column]) & (ids[row] > ids[column])
-                if apart.any():
-                    yield pa.record_batch([pa.array(ids[row[apart]]), pa.array(ids[column[apart]])], ["u", "v"])
+                row, column, far = _possible(sizes, bits, i, i + step, percent)
+                apart = np.flatnonzero((labels[row] != labels[column]) & (ids[row] > ids[column]))
+                apart = apart[np.lexsort((ids[column[apart]], far[apart], row[apart]))]
+                row, column = row[apart], column[apart]
+                begins = np.searchsorted(row, row)
+                place, total = np.arange(len(row)) - begins, np.searchsorted(row, row, "right") - begins
+                kept = place < most
+                if kept.any():
+                    columns = [pa.array(ids[row[kept]]), pa.array(ids[column[kept]]), pa.array(total[kept] > most)]
+                    yield pa.record_batch(columns, ["u", "v", "more"])
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    found = dealt.mapInArrow(run, "u long, v long, more boolean")
+    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -284,8 +296,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     """
 
     def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found in text_batches(batches):
-            sets = [np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype("<u4")).tobytes() for t in found]
+        for batch, raw, cuts in pieces(batches):
+            sets = [np.unique((x >> np.uint64(32)).astype("<u4")).tobytes() for x in shingle_sets(raw, cuts, shingle)]
             yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,24 +321,30 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """(doc_id, component_id): groups of texts whose shingle sets are ``percent`` alike.
 
     Candidates share a shingle of their prefixes, which all alike pairs do, and are verified
-    on the whole sets.  Equal texts are one.  First each text is compared with its smallest
-    and its closest smaller candidate, then all candidates that are not in one group by
-    then, so that every link counts and no list of all pairs of a group is made.  Rows
-    without a doc_id are left out; null text is empty.
+    on the whole sets.  Prefixes follow the shingles' numbers of uses in all texts, so a
+    text that shares too few of its shingles with any other has no key at all.  Equal texts
+    are one.  First each text is compared with its smallest and its closest smaller
+    candidate.  Then, round by round, texts are compared with their closest candidates of
+    other groups, more of them each time, until a round has left out none: every link counts,
+    and pairs within a group that is connected by then are never made.  Rows without a
+    doc_id are left out; null text is empty.
     """
     rows = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    frequent = frequent_shingles(rows, shingle)
+    counts = shingle_counts(rows, shingle)
     ddl = "doc_id long, same binary, keys array<long>, size long, " + ", ".join(f"{b} long" for b in PARITIES)
     schema = arrow_schema(ddl)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_batches(batches):
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                hashes = np.unique(shingle_hashes(text, shingle))
+        for batch, raw, cuts in pieces(batches):
+            sets = shingle_sets(raw, cuts, shingle)
+            uses = counts.look_up(np.concatenate(sets))[1]
+            ends = np.cumsum([len(s) for s in sets])
+            out, view = [], memoryview(raw)
+            for i, (doc, hashes) in enumerate(zip(batch.column("doc_id").to_pylist(), sets, strict=True)):
                 # texts without words meet under a key of their own
-                keys = prefix(hashes, percent, frequent) if len(hashes) else np.zeros(1, np.uint64)
-                out.append((doc, xxhash.xxh3_128_digest(text.encode()), keys.view(np.int64), len(hashes), *parities(hashes).tolist()))
+                keys = prefix(hashes, uses[ends[i] - len(hashes) : ends[i]], percent) if len(hashes) else np.zeros(1, np.uint64)
+                same = xxhash.xxh3_128_digest(view[cuts[i] : cuts[i + 1]])
+                out.append((doc, same, keys.view(np.int64), len(hashes), *parities(hashes).tolist()))
             yield record(out, schema)
 
     marked = rows.mapInArrow(mark, ddl).withColumn("row", F.monotonically_increasing_id())
@@ -340,11 +358,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     texts = rows.select(F.col("doc_id").alias("id"), "text")
     tried = materialize(_proposals(shared, percent), "candidates")
     found = materialize(_verified(tried, texts, shingle, percent), "links")
-    roots = component_roots(found)
-    labelled = shared.join(roots, shared["id"] == roots["u"], "left").withColumn("label", F.coalesce("root", "id"))
-    rest = materialize(_crossing(labelled, percent).join(tried, ["u", "v"], "left_anti"), "candidates")
-    more = materialize(_verified(rest, texts, shingle, percent), "links")
-    roots = component_roots(found.union(more))
+    most, roots = FIRST_PARTNERS, component_roots(found)
+    while True:
+        labelled = shared.join(roots, shared["id"] == roots["u"], "left").withColumn("label", F.coalesce("root", "id"))
+        crossing = materialize(_crossing(labelled, percent, most), "crossing")
+        rest = materialize(crossing.select("u", "v").join(tried, ["u", "v"], "left_anti"), "candidates")
+        if not rest.isEmpty():
+            tried = tried.union(rest)
+            more = materialize(_verified(rest, texts, shingle, percent), "links")
+            if not more.isEmpty():
+                found = found.union(more)
+                roots = component_roots(found)
+        if crossing.filter("more").isEmpty():
+            break
+        most *= 32
     named = firsts.join(roots, firsts["id"] == roots["u"], "left").select("same", F.coalesce("root", "id").alias("component_id"))
     return marked.join(named, "same").select("doc_id", "component_id")
 
