@@ -1,5 +1,6 @@
 """The helpers on hand-made cases and against plain versions."""
 
+import json
 import os
 import random
 
@@ -28,8 +29,57 @@ def test_escapes_round_trip(text):
 @settings(max_examples=30, deadline=None)
 def test_windows_render_like_the_whole(turns):
     found = list(chat.format_stream(chat.marked_turns, iter(turns)))
-    assert "".join(s for _, _, s in found) == chat.marked_turns(turns)
-    assert [chat.read_turn(s) for _, _, s in found] == turns
+    assert "".join(f[2] for f in found) == chat.marked_turns(turns)
+    assert [chat.read_turn(*f[2:]) for f in found] == turns
+    assert [chat.unescape(s[a:b]) for _, _, s, a, b in found] == [t for _, t in turns]
+
+
+def bracketed(turns):
+    """Local, with the content in the middle of a line and JSON escapes."""
+    return "<s>" + "".join(f"[{role}] {json.dumps(text)[1:-1]} [/{role}]" for role, text in turns)
+
+
+def numbered(turns):
+    return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), TEXT), max_size=70))
+@settings(max_examples=30, deadline=None)
+def test_foreign_templates_are_black_boxes(turns):
+    for template, local, inverse in ((bracketed, True, lambda x: json.loads(f'"{x}"')), (bracketed, False, lambda x: json.loads(f'"{x}"')), (numbered, False, str)):
+        found = list(chat.format_stream(template, iter(turns), local))
+        assert "".join(f[2] for f in found) == (template(turns) if turns else "")
+        assert [inverse(s[a:b]) for _, _, s, a, b in found] == [t for _, t in turns]
+
+
+@pytest.mark.parametrize("whole", [10**9, 0])
+def test_templates_that_are_not_local_are_reported(monkeypatch, whole):
+    monkeypatch.setattr(chat, "WHOLE_CHARS", whole)
+    turns = [("user", f"text {i}") for i in range(100)]
+
+    def last_forty(turns):
+        return chat.marked_turns(turns[-40:])
+
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.format_stream(numbered, iter(turns), True))
+    if whole:
+        with pytest.raises(chat.RewritesHistory):
+            list(chat.format_stream(last_forty, iter(turns), True))
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.format_stream(last_forty, iter(turns), False))
+
+
+def test_content_that_changes_its_frame_is_reported():
+    def sized(turns):
+        return "".join(f"{len(t)}:{t}\n" for _, t in turns)
+
+    def dropped(turns):
+        return "".join(f"<{t}>" for _, t in turns if t)
+
+    with pytest.raises(ValueError):
+        list(chat.format_stream(sized, iter([("user", "some text")]), False))
+    found = list(chat.format_stream(dropped, iter([("user", ""), ("user", "a"), ("user", "")]), False))
+    assert [(s, a, b) for _, _, s, a, b in found] == [("", 0, 0), ("<a>", 1, 2), ("", 0, 0)]
 
 
 def test_rewriting_template_is_detected():
@@ -41,12 +91,9 @@ def test_rewriting_template_is_detected():
 
 
 def test_template_that_needs_the_start_is_rendered_from_there():
-    def numbered(turns):
-        return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
-
     turns = [("user", str(i)) for i in range(100)]
     found = list(chat.format_stream(numbered, iter(turns)))
-    assert "".join(s for _, _, s in found) == numbered(turns)
+    assert "".join(f[2] for f in found) == numbered(turns)
 
 
 def test_transform_and_shared_windows():
@@ -113,16 +160,43 @@ def test_bitmaps_round_trip():
     assert linededup.unpack(None, 3).all()
 
 
-@given(st.text(max_size=80))
-@settings(max_examples=150, deadline=None)
-def test_piecewise_encoding_equals_the_library(text):
+SPACED = st.text(alphabet=st.sampled_from("ab'sZ9 \n\t\u00a0\u3000\u00e9\u4e2d.,-<|>\x1c"), max_size=40)
+
+
+@given(st.lists(st.one_of(st.text(max_size=60), SPACED), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_encoding_by_words_equals_the_library(texts):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    if not CACHE:
+        CACHE.update(coder=tokenbin.Encoder(path), lib=Tokenizer.from_file(path))
+    texts = [*texts, *[t + "  \n " + t for t in texts], *[f"It's {t} <|endoftext|> {t}" for t in texts], " ".join(texts)]
+    found = [e.ids for e in CACHE["lib"].encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in CACHE["coder"].encode(texts)] == found
+
+
+@pytest.mark.parametrize("held", [0, 5000])
+def test_encoding_starts_anew_when_its_memory_is_full(monkeypatch, held):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokenbin, "CACHE_BYTES", held)
+    monkeypatch.setattr(tokenbin, "_STEP", 50)
+    monkeypatch.setattr(tokenbin, "_CALL", 20)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    if "encode" not in CACHE:
-        CACHE["encode"], CACHE["lib"] = tokenbin.load_encoder(path), Tokenizer.from_file(path)
-    for t in (text, text + "  \n " + text, f"It's {text} <|endoftext|>"):
-        assert CACHE["encode"](t).tolist() == CACHE["lib"].encode(t, add_special_tokens=False).ids
+    texts = [" ".join(f"w{i * j % 97}, zebra" for i in range(60)) for j in range(5)] + ["", " ", "one"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokenbin.Encoder(path).encode(texts)] == want
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json"])
+def test_other_tokenizers_encode_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["Some words, 12 of them.", "", "\u00e9t\u00e9  x\n"]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in tokenbin.Encoder(path).encode(texts)] == want
 
 
 CACHE: dict = {}
@@ -198,12 +272,9 @@ def test_late_rewriting_is_detected():
         with pytest.raises(chat.RewritesHistory):
             list(chat.format_stream(template, iter([("user", str(i)) for i in range(100)])))
 
-    def numbered(turns):
-        return "".join(f"{i}:{t}\n" for i, (_, t) in enumerate(turns))
-
     # windows that end by their characters with few turns
     turns = [("user", "x" * 150_000 + str(i)) for i in range(6)]
-    assert "".join(s for _, _, s in chat.format_stream(numbered, iter(turns))) == numbered(turns)
+    assert "".join(f[2] for f in chat.format_stream(numbered, iter(turns))) == numbered(turns)
 
 
 def test_extraction_keeps_split_and_wrapped_articles():
@@ -220,3 +291,28 @@ def test_extraction_keeps_split_and_wrapped_articles():
     # more comments than text stay out
     page = f'<body><div><h1>Title</h1>{"".join(f"<p>{t}</p>" for t in long[:3])}</div><div id="comments">{body}{body}</div></body>'
     assert extract.main_blocks(page) == ["Title", *long[:3]]
+
+
+def test_extraction_keeps_what_only_looks_like_boilerplate():
+    rows = "".join(f"<p>Paragraph {i}, with commas, and text that is long enough to count, it is.</p>" for i in range(5))
+    more = """<section id="social-history"><h2>Social history</h2><p>Some words, and more, in the article.</p></section>
+<div class="header-image-caption">A caption of the picture</div>
+<ul><li>Ann said nothing, and left</li><li>an item of the text</li></ul>"""
+    gone = """<ul class="c-list"><li><b>Ann</b> says: nice one, really</li><li><b>Bob</b> wrote: not at all, friend</li></ul>
+<div><div>Cy 3 hours ago I agree, with all of it</div><div>Di 2 days ago So do I</div></div>
+<div class="share-buttons"><a>Share</a></div><div class="social-links">Follow</div><div id="related-posts">Other</div>
+<section><h3>12 comments</h3><p>First, of all, I was here, before you.</p></section>"""
+    want = ["Title", *[f"Paragraph {i}, with commas, and text that is long enough to count, it is." for i in range(5)]]
+    want += ["Social history", "Some words, and more, in the article.", "A caption of the picture", "Ann said nothing, and left", "an item of the text"]
+    assert extract.main_blocks(f"<html><body><article><h1>Title</h1>{rows}{more}{gone}</article></body></html>") == want
+
+
+def test_extraction_takes_time_in_proportion_to_depth():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        began = time.perf_counter()
+        assert len(extract.main_blocks("<div>text, here" * n + "</div>" * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] and took[1] < 5
