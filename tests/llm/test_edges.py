@@ -294,16 +294,29 @@ def test_extraction(spark):
 
 def test_pipeline(spark, docs, none, items, tmp_path):
     items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    # the ids that each stage leaves, null ones as -1: base rules, copies of 1 and 3, the passage in 9
+    want = {
+        "quality_rules": [-1, 1, 2, 3, 3, 8, 9, 10, 11, 14],
+        "near_duplicates": [-1, 1, 3, 8, 9, 10, 11],
+        "decontamination": [-1, 1, 3, 8, 10, 11],
+    }
     for name, first in (("docs", docs), ("none", none)):
         rows = first
         for stage, function in corpus_pipeline.STAGES:
             path = str(tmp_path / f"{name}-{stage}")
             function(spark, rows, str(tmp_path)).write.parquet(path)
             rows, before = spark.read.parquet(path), rows
-            if function is not corpus_pipeline.token_ids:
+            found = sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in rows.collect())
+            if stage in want:
+                assert found == (want[stage] if name == "docs" else [])
+            if stage == "source_mixing":
+                sizes = {r["doc_id"]: r["taken"] // max(1, r["size"]) for r in mixing.mix(before).collect()}
+                assert found == sorted(i for d, n in sizes.items() for i in [-1 if d is None else d] * n)
+                mixed = found
+            if stage == "token_ids":
+                assert found == mixed
+            else:
                 assert rows.columns == before.columns
-        ids = {r["doc_id"] for r in rows.collect()}
-        assert ids <= {None, 1, 3, 8, 10, 11} and (name == "none") == (not ids)
 
 
 def test_near_copies_with_contiguous_edits(spark):
