@@ -4,8 +4,9 @@ Fingerprints are cut into blocks; two that differ in at most ``bits`` positions
 at least ``blocks - bits`` whole blocks, so each choice of that many blocks is a join
 key, and every candidate pair under a key is verified by its Hamming distance.
 
-Near copies by their shingle sets (the pipeline's stage) need no fingerprint: alike sets
-share one of their rarest shingles, which is the join key.
+Near copies by their shingle sets need no fingerprint: alike sets share one of their rarest
+shingles, which is the join key.  The pipeline's stage links texts by fingerprints and then,
+between the groups that these leave, by sets.
 """
 
 from __future__ import annotations
@@ -33,6 +34,10 @@ CHUNK = 2048
 SHARD_BYTES = 16_000_000
 #: Partners of other groups that a text is compared with in the first round, at most.
 FIRST_PARTNERS = 32
+#: Rows of keys with the same smallest text that one task compares, about.
+PART_ROWS = 20_000
+#: Pairs that a task holds to send each of them on once.
+HELD_PAIRS = 500_000
 PARITIES = [f"b{i}" for i in range(8)]
 
 
@@ -116,11 +121,14 @@ def _shared(keyed: DataFrame, keys: list[str]) -> DataFrame:
     return keyed.join(shared, keys)
 
 
-def _dealt(shared: DataFrame, keys: list[str], columns: list[str]) -> tuple[DataFrame, list[str]]:
+def _dealt(
+    shared: DataFrame, keys: list[str], columns: list[str], together: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
     """The rows of ``_shared`` sorted into groups, and the columns that name a group.
 
     A group of more than ``CHUNK`` rows is dealt into chunks and each pair of chunks is a
-    group of its own, so no task gets an unbounded group.
+    group of its own, so no task gets an unbounded group.  Groups that agree in the keys
+    ``together`` (all of them by default) and in their chunks go to one task.
     """
     dealt = (
         shared.withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
@@ -129,7 +137,7 @@ def _dealt(shared: DataFrame, keys: list[str], columns: list[str]) -> tuple[Data
         .select(*keys, F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), *columns)
     )
     names = [*keys, "a", "b"]
-    return dealt.repartition(*names).sortWithinPartitions(*names), names
+    return dealt.repartition(*(together or keys), "a", "b").sortWithinPartitions(*names), names
 
 
 def _blocks(rows: DataFrame, bits: int, blocks: int) -> tuple[DataFrame, list[str]]:
@@ -239,18 +247,61 @@ def _possible(sizes: np.ndarray, bits: list[np.ndarray], i: int, j: int, percent
     return row + i, column, far[row, column]
 
 
-def _proposals(shared: DataFrame, percent: int) -> DataFrame:
-    """(u, v) with u > v: for each id of a group its smallest and its closest smaller partner."""
-    dealt, names = _dealt(shared, ["key"], ["id", "size", *PARITIES])
+def _by_least(keyed: DataFrame) -> DataFrame:
+    """The rows (id, key) whose key another row has too, with n, the key's smallest id and a part.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for values in sorted_runs(batches, names, ["id", "size", *PARITIES]):
+    Texts that share many keys share most of their keys' smallest ids, so the groups in which
+    a pair meets come to one task, or to one for each part of about ``PART_ROWS`` rows.
+    """
+    keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
+    loads = keys.groupBy("least").agg(F.ceil(F.sum("n") / PART_ROWS).alias("parts"))
+    parted = keys.join(loads, "least").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")
+    return keyed.join(parted, "key")
+
+
+def _once(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """(u, v, more) once for each pair among those held; more if any of its rows has it."""
+    held, n = [], 0
+
+    def merged() -> list[np.ndarray]:
+        u, v, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((more, v, u))
+        u, v, more = u[order], v[order], more[order]
+        last = np.append((u[1:] != u[:-1]) | (v[1:] != v[:-1]), True)
+        return [u[last], v[last], more[last]]
+
+    for part in found:
+        held.append(part)
+        n += len(part[0])
+        if n > HELD_PAIRS:
+            held = [merged()]
+            n = len(held[0][0])
+            if n > HELD_PAIRS // 2:
+                yield pa.record_batch([pa.array(x) for x in held[0]], ["u", "v", "more"])
+                held, n = [], 0
+    if n:
+        yield pa.record_batch([pa.array(x) for x in merged()], ["u", "v", "more"])
+
+
+_MEETING = ["least", "part", "key"]
+
+
+def _proposals(shared: DataFrame, percent: int) -> DataFrame:
+    """(u, v) with u > v: for each id of a group its smallest and its closest smaller partner
+    that may be alike and have another label."""
+    columns = ["id", "label", "size", *PARITIES]
+    dealt, names = _dealt(shared, _MEETING, columns, ["least", "part"])
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for values in sorted_runs(batches, names, columns):
+            if (values[1] == values[1][0]).all():
+                continue
             order = np.argsort(values[0])
-            ids, sizes, *bits = (v[order] for v in values)
+            ids, labels, sizes, *bits = (v[order] for v in values)
             step = max(1, 1_000_000 // len(ids))
             for i in range(0, len(ids), step):
                 row, column, far = _possible(sizes, bits, i, i + step, percent)
-                below = ids[column] < ids[row]
+                below = (ids[column] < ids[row]) & (labels[column] != labels[row])
                 row, column, far = row[below], column[below], far[below]
                 if not len(row):
                     continue
@@ -258,18 +309,23 @@ def _proposals(shared: DataFrame, percent: int) -> DataFrame:
                 nearest = np.minimum.reduceat(far * len(ids) + column, heads) % len(ids)
                 u = np.repeat(ids[row[heads]], 2)
                 v = ids[np.stack((column[heads], nearest), axis=1).ravel()]
-                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+                yield u, v, np.zeros(len(u), bool)
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    found = dealt.mapInArrow(lambda batches: _once(propose(batches)), "u long, v long, more boolean")
+    return found.select("u", "v").distinct()
 
 
 def _crossing(shared: DataFrame, percent: int, most: int) -> DataFrame:
     """(u, v, more) with u > v: for each id of a group its ``most`` closest smaller partners
-    that may be alike and have another label, and whether there are more of them."""
-    dealt, names = _dealt(shared, ["key"], ["id", "label", "size", *PARITIES])
+    that may be alike and have another label, and whether there are more of them.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, labels, sizes, *bits in sorted_runs(batches, names, ["id", "label", "size", *PARITIES]):
+    A pair comes once for each smallest id and part of the keys that it shares.
+    """
+    columns = ["id", "label", "size", *PARITIES]
+    dealt, names = _dealt(shared, _MEETING, columns, ["least", "part"])
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for ids, labels, sizes, *bits in sorted_runs(batches, names, columns):
             if (labels == labels[0]).all():
                 continue
             step = max(1, 1_000_000 // len(ids))
@@ -282,11 +338,9 @@ def _crossing(shared: DataFrame, percent: int, most: int) -> DataFrame:
                 place, total = np.arange(len(row)) - begins, np.searchsorted(row, row, "right") - begins
                 kept = place < most
                 if kept.any():
-                    columns = [pa.array(ids[row[kept]]), pa.array(ids[column[kept]]), pa.array(total[kept] > most)]
-                    yield pa.record_batch(columns, ["u", "v", "more"])
+                    yield ids[row[kept]], ids[column[kept]], total[kept] > most
 
-    found = dealt.mapInArrow(run, "u long, v long, more boolean")
-    return found.groupBy("u", "v").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(lambda batches: _once(cross(batches)), "u long, v long, more boolean")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -317,14 +371,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, linked: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id): groups of texts whose shingle sets are ``percent`` alike.
 
     Candidates share a shingle of their prefixes, which all alike pairs do, and are verified
     on the whole sets.  Prefixes follow the shingles' numbers of uses in all texts, so a
     text that shares too few of its shingles with any other has no key at all.  Equal texts
-    are one.  First each text is compared with its smallest and its closest smaller
-    candidate.  Then, round by round, texts are compared with their closest candidates of
+    are one.  ``linked`` has pairs (u, v) of doc_ids that belong together whatever their sets.
+    First each text is compared with its smallest and its closest smaller candidate of
+    another group.  Then, round by round, texts are compared with their closest candidates of
     other groups, more of them each time, until a round has left out none: every link counts,
     and pairs within a group that is connected by then are never made.  Rows without a
     doc_id are left out; null text is empty.
@@ -354,14 +409,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     one = marked.join(firsts.select("row", "id"), "row")
     keyed = one.select("id", F.explode("keys").alias("key"))
     sized = one.select("id", "size", *PARITIES)
-    shared = materialize(_shared(keyed, ["key"]).join(sized, "id"), "shared-shingles")
+    shared = materialize(_by_least(keyed).join(sized, "id"), "shared-shingles")
     texts = rows.select(F.col("doc_id").alias("id"), "text")
-    tried = materialize(_proposals(shared, percent), "candidates")
-    found = materialize(_verified(tried, texts, shingle, percent), "links")
+
+    def labelled(roots: DataFrame) -> DataFrame:
+        return shared.join(roots, shared["id"] == roots["u"], "left").withColumn("label", F.coalesce("root", "id"))
+
+    first = rows.selectExpr("doc_id AS u", "doc_id AS v").limit(0) if linked is None else linked.select("u", "v")
+    tried = materialize(_proposals(labelled(component_roots(first)), percent), "candidates")
+    found = materialize(first.union(_verified(tried, texts, shingle, percent)), "links")
     most, roots = FIRST_PARTNERS, component_roots(found)
     while True:
-        labelled = shared.join(roots, shared["id"] == roots["u"], "left").withColumn("label", F.coalesce("root", "id"))
-        crossing = materialize(_crossing(labelled, percent, most), "crossing")
+        met = _crossing(labelled(roots), percent, most).groupBy("u", "v").agg(F.max("more").alias("more"))
+        crossing = materialize(met, "crossing")
         rest = materialize(crossing.select("u", "v").join(tried, ["u", "v"], "left_anti"), "candidates")
         if not rest.isEmpty():
             tried = tried.union(rest)
@@ -379,10 +439,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near copies: all columns of the row with the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays; rows without a doc_id stay as they are.
+    Groups are those of ``near_duplicates``, whose fingerprints link, joined and completed by
+    the links of ``near_copies``, which finds every pair of alike shingle sets.  Of repeated rows with that doc_id one stays; rows without a doc_id stay as they are.
     """
-    groups = near_copies(docs, shingle, percent)
-    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     named = docs.filter("doc_id IS NOT NULL")
+    linked = near_duplicates(named).filter("doc_id != component_id").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v"))
+    groups = near_copies(docs, shingle, percent, materialize(linked, "fingerprint-links"))
+    gone = groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     kept = named.join(gone, named["doc_id"] == gone["__gone"], "left_anti")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL"))

@@ -333,6 +333,39 @@ def test_near_copies_with_contiguous_edits(spark):
     assert len(alike) > 150 and got == brute.components(sorted(marks), alike)
 
 
+def test_fingerprints_link_in_the_stage(spark):
+    """Texts that differ in what they repeat least: fingerprints link them, shingle sets do not."""
+    pairs = []
+    for g in range(40):
+        body = prose(100 + g, 60) + " "
+        a, b = body * 9 + prose(1100 + g, 40), body * 9 + prose(2100 + g, 40)
+        far = simhash.fingerprint(simhash.shingle_hashes(a, 3)) ^ simhash.fingerprint(simhash.shingle_hashes(b, 3))
+        if (far & (1 << 64) - 1).bit_count() <= 3:
+            pairs.append((a, b))
+    assert len(pairs) > 3
+    rows = [(2 * g + k, text, "en", "a") for g, pair in enumerate(pairs) for k, text in enumerate(pair)]
+    docs = table(spark, rows)
+    assert simhash.near_copies(docs).filter("doc_id != component_id").count() == 0
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == [2 * g for g in range(len(pairs))]
+
+
+def test_links_of_both_kinds_make_one_group(spark):
+    """1 and 2 are linked from outside, 2 and 3 by their sets: the smallest of all stays."""
+    base = prose(77, 200)
+    rows = [(1, prose(78, 200), "en", "a"), (2, base, "en", "a"), (3, base + " more", "en", "a"), (4, prose(79, 200), "en", "a")]
+    linked = spark.createDataFrame([(2, 1)], "u long, v long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(table(spark, rows), linked=linked).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_a_pair_with_many_common_shingles_is_met_once(spark):
+    """A row for each pair, not one for each of the 500 keys that its texts share."""
+    keyed = spark.range(500).selectExpr("explode(array(1L, 2L, 3L)) AS id", "id AS key")
+    attributes = {"label": F.col("id"), "size": F.lit(500).cast("long")} | {b: F.lit(0).cast("long") for b in simhash.PARITIES}
+    found = simhash._crossing(simhash._by_least(keyed).withColumns(attributes), 80, 1)
+    assert sorted(map(tuple, found.collect())) == [(2, 1, False), (3, 1, True)]
+
+
 def test_quality_takes_frequent_lines_out(spark):
     banner = "All  rights of THIS banner\tare reserved"
     rows = [(i, f"{prose(3000 + i, 60)}\n\n{banner}\n tail {i} ", "en", "host" if i % 2 else None) for i in range(260)]
