@@ -290,12 +290,20 @@ def neighbour_graph(
     return edges
 
 
-def _windows(batches: Iterator[pa.RecordBatch], keys: Sequence[str], half: int) -> Iterator[pa.Table]:
-    """Of each run of equal keys in a sorted stream, windows of two halves that overlap by one.
+def _windows(batches: Iterator[pa.RecordBatch], keys: Sequence[str], half: int) -> Iterator[tuple[pa.Table, int, int]]:
+    """(rows, start, stop) of each run of equal keys in a sorted stream: each row is once in a
+    start to stop, among all rows of the windows of two halves, overlapping by one, that hold it.
 
     Rows at most ``half`` places apart share a window; two windows are held at a time.
     """
-    held, name = None, None
+    held, name, before = None, None, 0  # before: rows held for the next ones only
+
+    def last() -> Iterator[tuple[pa.Table, int, int]]:
+        first = min(before + half, held.num_rows)
+        yield held, before, first
+        if first < held.num_rows:
+            yield held.slice(before), first - before, held.num_rows - before
+
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -310,15 +318,15 @@ def _windows(batches: Iterator[pa.RecordBatch], keys: Sequence[str], half: int)
             part = pa.Table.from_batches([batch.slice(a, b - a)])
             if run != name:
                 if held is not None:
-                    yield held
-                held, name = part, run
+                    yield from last()
+                held, name, before = part, run, 0
             else:
                 held = pa.concat_tables([held, part])
-            while held.num_rows > 3 * half:
-                yield held.slice(0, 2 * half)
-                held = held.slice(half)
+            while held.num_rows - before > 3 * half:
+                yield held.slice(0, before + 2 * half), before, before + half
+                held, before = held.slice(before), half
     if held is not None:
-        yield held
+        yield from last()
 
 
 def approximate_graph(
@@ -363,8 +371,12 @@ def approximate_graph(
                 yield pa.record_batch([*[batch.column(c) for c in ("id", "x", "m")], *numbers], ["id", "x", "m", "t", "cell", "place"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _windows(batches, ["t", "cell"], bucket_rows):
-            yield from _search_leaf(k)(table).to_batches()
+        for table, start, stop in _windows(batches, ["t", "cell"], bucket_rows):
+            asks, table = table.slice(start, stop - start), _by_id(table)
+            ids, (pid, m) = _columns(asks, "id")[0], _columns(table, "id", "m")
+            blocks = list(_nearest(_points(asks), ids, _points(table), pid, m, k))
+            row, col, dist, w = (np.concatenate(part) for part in zip(*blocks))
+            yield from _edges(ids, len(ids), row, pid[col], dist, w).to_batches()
 
     ddl = "id long, x array<double>, m long, t int, cell long, place double"
     projected = points.select("id", "x", F.col("m").cast("bigint").alias("m")).mapInArrow(project, ddl)

@@ -1,10 +1,12 @@
 """Neighbours and outlier factors against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators.neighbours import (
+    _windows,
     approximate_graph,
     cut_cells,
     distinct_points,
@@ -147,6 +149,24 @@ def test_asks_grow_far_slower_than_leaves(spark):
     assert many < 2 * few
 
 
+@pytest.mark.parametrize("n", [1, 5, 11, 30, 31, 47, 100])
+def test_windows_ask_for_each_row_once(n):
+    """Each row is asked for once, among the rows of all windows that hold it."""
+    half = 10
+    rows = pa.record_batch([pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int64())], ["t", "id"])
+    starts = [s for s in range(0, n, half) if n - s > 3 * half]
+    tail = starts[-1] + half if starts else 0
+    spans = [(s, s + 2 * half) for s in starts] + [(tail, n)]
+    for size in (1, 7, 100):
+        asked: dict = {}
+        for table, start, stop in _windows(iter([rows.slice(i, size) for i in range(0, n, size)]), ["t"], half):
+            held = table["id"].to_pylist()
+            for i in held[start:stop]:
+                assert i not in asked
+                asked[i] = set(held)
+        assert asked == {i: {j for a, b in spans if a <= i < b for j in range(a, b)} for i in range(n)}
+
+
 @pytest.mark.parametrize("kind", ["tails", "copies"])
 def test_random_projections_find_most_neighbours(spark, kind):
     points = _stored(spark, _data(kind, 4000))
