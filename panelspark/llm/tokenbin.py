@@ -27,9 +27,10 @@ from panelspark.session import new_path
 #: How a null doc_id is stored.
 NULL_ID = -(1 << 63)
 #: Memory of a worker for the ids of words it has met; then it starts anew.
-CACHE_BYTES = 64_000_000
-#: Bytes of text that are looked up at once, and characters the library encodes in one call.
-_STEP, _CALL = 1_000_000, 30_000
+CACHE_BYTES = 48_000_000
+#: Bytes of text that are looked up at once, and characters the library encodes in one call:
+#: of words, and of whole texts.
+_STEP, _CALL, _TEXTS = 1_000_000, 30_000, 250_000
 
 _MANIFEST = "shard long, path string, width int, n_docs long, n_tokens long"
 #: White space beyond ASCII that touches ASCII white space: there a run is no cut.
@@ -45,7 +46,7 @@ def _piece_hashes(raw: np.ndarray, starts: np.ndarray, head: np.ndarray) -> np.n
     stops = np.append(starts[1:], len(raw))
     begin = 0
     while begin < len(starts):
-        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + _STEP)))
+        end = max(begin + 1, int(np.searchsorted(starts, starts[begin] + _STEP // 4)))
         low, high = starts[begin], stops[end - 1]
         sizes = stops[begin:end] - starts[begin:end]
         part = starts[begin:end] - low
@@ -58,12 +59,24 @@ def _piece_hashes(raw: np.ndarray, starts: np.ndarray, head: np.ndarray) -> np.n
     return out
 
 
+def _merged(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns in the order of the first one, which ascends in both; ``a`` is used up, a column at a time."""
+    at = np.searchsorted(a[0], b[0], "right") + np.arange(len(b[0]))
+    old = np.ones(len(a[0]) + len(b[0]), bool)
+    old[at] = False
+    for i, new in enumerate(b):
+        column = np.empty(len(old), new.dtype)
+        column[old], column[at] = a[i], new
+        a[i] = column
+    return a
+
+
 class _Known:
     """Ids of pieces by their hash, as sorted arrays: a large set and the latest additions."""
 
     def __init__(self, kind: np.dtype) -> None:
         self.ids, self.used = np.empty(1 << 16, kind), 0
-        self.sets = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
+        self.sets = [[np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)] for _ in range(2)]
 
     @property
     def held(self) -> int:
@@ -80,21 +93,16 @@ class _Known:
         return at, size
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Adds pieces in ascending order of their hashes."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.empty_like(self.ids)))
         self.ids[self.used : self.used + len(ids)] = ids
         places = self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-
-        def merged(a: tuple, b: tuple) -> tuple:
-            both = [np.concatenate(x) for x in zip(a, b, strict=True)]
-            order = np.argsort(both[0], kind="stable")
-            return tuple(x[order] for x in both)
-
         large, late = self.sets
-        late = merged(late, (hashes, places, sizes))
+        late = _merged(late, [hashes, places.astype(np.uint32), sizes.astype(np.uint32)])
         if len(late[0]) > 20_000 + len(large[0]) // 4:
-            large, late = merged(large, late), tuple(x[:0] for x in late)
+            large, late = _merged(large, late), [x[:0].copy() for x in late]
         self.sets = [large, late]
 
 
@@ -202,19 +210,30 @@ class Encoder:
                 out[i] = ids
             group.clear()
 
+        def encode_rest() -> None:
+            for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+                out[i] = ids
+            rest.clear()
+
+        held = whole = 0  # bytes of the group, characters of the rest
         for i, text in enumerate(texts):
             if not self.by_word or any(a in text for a in self.added) or _ODD.search(text):
+                if rest and whole + len(text) > _TEXTS:
+                    encode_rest()
+                    whole = 0
                 rest.append(i)
+                whole += len(text)
                 continue
-            group.append((i, text.encode()))
-            if sum(len(t) for _, t in group[-64:]) > _STEP or len(group) >= 4096:
+            raw = text.encode()
+            if group and held + len(raw) > _STEP:
                 look_up()
+                held = 0
+            group.append((i, raw))
+            held += len(raw)
         if group:
             look_up()
-        for j in range(0, len(rest), 64):
-            part = rest[j : j + 64]
-            for i, ids in zip(part, self._whole([texts[i] for i in part]), strict=True):
-                out[i] = ids
+        if rest:
+            encode_rest()
         return out
 
 
@@ -247,7 +266,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2) ->
         base = f"shard-{shard:06d}-{uuid.uuid4().hex}"
         coder, docs_n, total, width = None, 0, 0, 0
         streams = []
+        pool = pa.default_memory_pool()
         for batch, texts in text_batches(batches):
+            pool.release_unused()  # what the worker's earlier tasks and batches needed
             if coder is None:
                 coder = encoder(tokenizer_path)
                 streams = [fs.open_output_stream(f"{root}/{base}.{x}") for x in ("ids", "off", "doc")]

@@ -199,6 +199,43 @@ def test_other_tokenizers_encode_whole_texts(name):
     assert [x.tolist() for x in tokenbin.Encoder(path).encode(texts)] == want
 
 
+def test_encoder_holds_a_step_of_text_at_once(monkeypatch):
+    """Also of many short texts; whole texts go to the library a bounded number of characters a call."""
+    monkeypatch.setattr(tokenbin, "_STEP", 4000)
+    monkeypatch.setattr(tokenbin, "_TEXTS", 900, raising=False)
+    texts = [f"short text {i}" if i % 3 else f"odd\u00a0 text {i}" for i in range(900)]
+    coder = tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    steps, calls, by_words, whole = [], [], coder._by_words, coder._whole
+
+    def looked_up(group):
+        steps.append(sum(map(len, group)))
+        with monkeypatch.context() as m:
+            m.setattr(coder, "_whole", whole)
+            return by_words(group)
+
+    def encoded(group):
+        calls.append(sum(map(len, group)))
+        return whole(group)
+
+    monkeypatch.setattr(coder, "_by_words", looked_up)
+    monkeypatch.setattr(coder, "_whole", encoded)
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    assert max(steps) <= 4000 and max(calls) <= 900
+
+
+def test_known_pieces_are_found_after_merges():
+    known, rng = tokenbin._Known(np.dtype("<u2")), np.random.default_rng(1)
+    hashes = rng.permutation(np.arange(1, 120_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for part in np.split(hashes, 8):
+        part = np.sort(part)
+        known.add(part, (part % np.uint64(60_000)).astype("<u2"), np.ones(len(part), np.int64))
+    at, size = known.find(hashes)
+    assert (size == 1).all() and (known.ids[at] == hashes % np.uint64(60_000)).all()
+    assert (known.find(hashes + np.uint64(1))[0] == -1).all()
+    assert sum(x.nbytes for s in known.sets for x in s) <= 16 * len(hashes)
+
+
 CACHE: dict = {}
 
 
