@@ -9,7 +9,9 @@ are a table; nothing of the size of the points reaches the driver.
 A leaf finds neighbours among its own points, which bounds the distance to the true ones.
 Points whose ball meets the bounding box of other leaves first ask the nearest of these,
 which shrinks the ball, and then all that it still meets.  No pair of rows is formed
-outside a leaf.
+outside a leaf.  Leaves that are close together share a block, of ``LEAF_ROWS`` points at
+most, which one task cuts, searches and asks; the way from a ball to its leaves goes down
+the tree of cells a few levels at a time.
 """
 
 from collections.abc import Iterator, Sequence
@@ -26,6 +28,8 @@ LEAF_ROWS = 4096
 _BLOCK = 200_000  # distances held at once in a task; they stay in the cache
 _ACCURACY = 200  # of the medians: they only decide where cells are cut
 _TOP_LEVELS = 12  # of the tree of cells, whose boxes travel with a function
+_STEP_LEVELS = 3  # of the tree below them that a ball goes down in one join
+_ASKS = 65_536  # of a block that one task answers
 _FIRST = 2  # leaves asked in the first round
 
 _EDGE = "nbr bigint, d double, w bigint"
@@ -86,14 +90,24 @@ def _edges(ids: np.ndarray, n: int, row: np.ndarray, nbr: np.ndarray, d: np.ndar
     return pa.table({"id": pa.array(ids), "nbrs": pa.ListArray.from_arrays(_offsets(row, n), edges)})
 
 
-def _search_leaf(k: int):
-    """(id, nbrs) within one leaf."""
+def _leaf_runs(leaf: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(leaf, start, stop) of the runs of an ascending column."""
+    cuts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(leaf)]
+    yield from ((int(leaf[a]), a, b) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
+def _search_leaves(k: int):
+    """(id, nbrs) within each leaf of a block."""
 
     def search(table: pa.Table) -> pa.Table:
-        table = _by_id(table)
-        ids, m = _columns(table, "id", "m")
+        table = table.sort_by([("leaf", "ascending"), ("id", "ascending")])
+        ids, m, leaf = _columns(table, "id", "m", "leaf")
         x = _points(table)
-        row, col, dist, w = (np.concatenate(part) for part in zip(*_nearest(x, ids, x, ids, m, k)))
+        found = []
+        for _, a, b in _leaf_runs(leaf):
+            for row, col, dist, w in _nearest(x[a:b], ids[a:b], x[a:b], ids[a:b], m[a:b], k):
+                found.append((row + a, col + a, dist, w))
+        row, col, dist, w = (np.concatenate(part) for part in zip(*found))
         return _edges(ids, len(ids), row, ids[col], dist, w)
 
     return search
@@ -105,22 +119,24 @@ def _offsets(row: np.ndarray, n: int) -> pa.Array:
 
 
 def _answer_asks(k: int):
-    """(id, nbr, d, w) for points that ask a leaf, within their radius."""
+    """(id, nbr, d, w) for points that ask leaves of a block, within their radius."""
 
     def answer(asks: pa.Table, points: pa.Table) -> pa.Table:
         names = ["id", "nbr", "d", "w"]
+        empty = [np.empty(0, t) for t in ("int64", "int64", "float64", "int64")]
         if not asks.num_rows or not points.num_rows:
-            empty = [pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            return pa.table([pa.array([], t) for t in empty], names=names)
-        points = _by_id(points)
-        ids, r = _columns(asks, "ask", "r")
-        pid, m = _columns(points, "id", "m")
-        blocks = list(_nearest(_points(asks, "at"), ids, _points(points), pid, m, k))
-        row, col, dist, w = (np.concatenate(part) for part in zip(*blocks))
-        near = dist <= r[row]
-        row, col = row[near], col[near]
-        found = [ids[row], pid[col], dist[near], w[near].astype("int64")]
-        return pa.table([pa.array(c) for c in found], names=names)
+            return pa.table([pa.array(c) for c in empty], names=names)
+        asks, points = asks.sort_by("leaf"), points.sort_by([("leaf", "ascending"), ("id", "ascending")])
+        ids, r, wanted = _columns(asks, "ask", "r", "leaf")
+        pid, m, leaf = _columns(points, "id", "m", "leaf")
+        at, x = _points(asks, "at"), _points(points)
+        found = [empty]
+        for cell, a, b in _leaf_runs(wanted):
+            p, q = np.searchsorted(leaf, [cell, cell + 1])
+            for row, col, dist, w in _nearest(at[a:b], ids[a:b], x[p:q], pid[p:q], m[p:q], k):
+                near = dist <= r[a + row]
+                found.append((ids[a + row[near]], pid[p + col[near]], dist[near], w[near].astype("int64")))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], names=names)
 
     return answer
 
@@ -136,12 +152,61 @@ def distinct_points(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return materialize(in_order.withColumn("id", F.monotonically_increasing_id()), "points")
 
 
+def _cut_block(leaf_rows: int):
+    """The points of a cell with their leaves below it, by exact medians."""
+
+    def cut(table: pa.Table) -> pa.Table:
+        x = _points(table)
+        leaf = np.empty(len(x), "int64")
+        todo = [(table["leaf"][0].as_py(), np.arange(len(x)))]
+        while todo:
+            cell, rows = todo.pop()
+            leaf[rows] = cell
+            if len(rows) <= leaf_rows:
+                continue
+            part = x[rows]
+            with np.errstate(invalid="ignore"):
+                width = part.max(axis=0) - part.min(axis=0)
+            side = np.where(width > 0, width, 0.0)  # a width that is no number has no cut
+            at = part[:, int(side.argmax())]
+            if side.max() > 0:
+                middle = np.partition(at, len(at) // 2)[len(at) // 2]
+                upper = at > middle if middle == at.min() else at >= middle
+                todo += [(2 * cell, rows[~upper]), (2 * cell + 1, rows[upper])]
+        return pa.table([*[table[c] for c in ("id", "x", "m")], pa.array(leaf), table["leaf"]], names=["id", "x", "m", "leaf", "block"])
+
+    return cut
+
+
+def _boxes(placed: DataFrame, dims: int) -> DataFrame:
+    at = [F.col("x")[j] for j in range(dims)]
+    return placed.groupBy("leaf").agg(
+        F.first("block").alias("block"),
+        F.count("*").alias("size"),
+        F.array(*[F.min(v) for v in at]).alias("low"),
+        F.array(*[F.max(v) for v in at]).alias("high"),
+    )
+
+
 def cut_cells(points: DataFrame, dims: int, leaf_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Points with their leaf, and the leaves (leaf, size, low, high) with their bounding boxes.
+    """Points with their leaf and block, and the leaves (leaf, block, size, low, high) with their boxes.
 
-    Cells are numbered like a heap: the halves of cell c are 2c and 2c + 1.
+    Cells are numbered like a heap: the halves of cell c are 2c and 2c + 1.  Passes over all
+    points cut them into blocks of ``LEAF_ROWS`` (or ``leaf_rows``, if more), tasks these into leaves.
     """
-    placed = points.withColumn("leaf", F.lit(1).cast("bigint"))
+    block_rows = max(leaf_rows, LEAF_ROWS)
+    placed = _cut_blocks(points, dims, block_rows)
+    if leaf_rows < block_rows:
+        ddl = "id bigint, x array<double>, m bigint, leaf bigint, block bigint"
+        placed = materialize(placed.groupBy("leaf").applyInArrow(_cut_block(leaf_rows), ddl), "placed")
+    else:
+        placed = placed.withColumn("block", F.col("leaf"))
+    return placed, materialize(_boxes(placed, dims), "leaves")
+
+
+def _cut_blocks(points: DataFrame, dims: int, leaf_rows: int) -> DataFrame:
+    """(id, x, m, leaf): the points in cells of at most ``leaf_rows``."""
+    placed = points.select("id", "x", "m", F.lit(1).cast("bigint").alias("leaf"))
     at = [F.col("x")[j] for j in range(dims)]
     while True:
         found = placed.groupBy("leaf").agg(
@@ -161,7 +226,7 @@ def cut_cells(points: DataFrame, dims: int, leaf_rows: int) -> tuple[DataFrame,
             (F.get("middle", -F.col("side.j")) == F.get("low", -F.col("side.j"))).alias("lowest"),
         )
         if cuts.isEmpty():
-            return placed, cells.drop("middle")
+            return placed
         value = F.get("x", F.col("dim"))
         # a median at the lower end goes to the lower half, else to the upper
         upper = F.when(F.col("lowest"), value > F.col("cut")).otherwise(value >= F.col("cut"))
@@ -182,59 +247,80 @@ def _gap(low: Column, high: Column, dims: int) -> Column:
     return F.sqrt(total)
 
 
-def _tops(leaves: DataFrame, dims: int) -> tuple[list[tuple], DataFrame]:
-    """At most 2^_TOP_LEVELS cells (cell, low, high) that hold all leaves, and the leaves with theirs."""
-    above = f"greatest(length(bin(leaf)) - 1 - {_TOP_LEVELS}, 0)"
-    named = leaves.withColumn("top", F.expr(f"shiftright(leaf, {above})"))
-    boxes = named.groupBy("top").agg(
+def _upper(cell: str, levels: int) -> Column:
+    """The cell above, at most ``levels`` below the root."""
+    return F.expr(f"shiftright({cell}, greatest(length(bin({cell})) - 1 - {levels}, 0))")
+
+
+def _around(cells: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
+    return cells.groupBy(*keys).agg(
         F.array(*[F.min(F.col("low")[j]) for j in range(dims)]).alias("low"),
         F.array(*[F.max(F.col("high")[j]) for j in range(dims)]).alias("high"),
     )
-    return [tuple(r) for r in boxes.collect()], named
+
+
+def _box_gaps(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return _norm(np.maximum(np.maximum(low[None, :, j] - x[:, None, j], x[:, None, j] - high[None, :, j]), 0.0) for j in range(x.shape[1]))
 
 
 def reached(found: DataFrame, leaves: DataFrame, dims: int) -> DataFrame:
-    """(id, x, r, leaf, gap): the other leaves whose box the ball of radius r around a point meets.
+    """(id, x, r, leaf, block, gap): the other leaves whose box the ball of radius r around a point meets.
 
-    The boxes of a bounded number of upper cells travel with the function; the leaves below
-    those that a ball meets are joined.
+    The boxes of a bounded number of upper cells travel with the function.  Below those that a
+    ball meets it goes down the tree by joins, ``_STEP_LEVELS`` levels each, and keeps the cells it
+    meets; so its rows follow the cells met, not all leaves below an upper cell.
     """
-    tops, named = _tops(leaves, dims)
-    cells = np.array([t[0] for t in tops], "int64")
+    named = leaves.withColumn("top", _upper("leaf", _TOP_LEVELS))
+    tops = _around(named, ["top"], dims).collect()
+    cells = np.array([t.top for t in tops], "int64")
     low, high = (np.array([t[i] for t in tops], "float64").reshape(-1, dims) for i in (1, 2))
+    # the upper cells in groups of about the square root of their number
+    above = [c >> max(c.bit_length() - 1 - _TOP_LEVELS // 2, 0) for c in cells.tolist()]
+    groups = [np.flatnonzero(np.array(above) == g) for g in sorted(set(above))]
+    lows, highs = np.array([low[g].min(axis=0) for g in groups]), np.array([high[g].max(axis=0) for g in groups])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = max(1, 4_000_000 // len(cells))
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
+            for start in range(0, batch.num_rows, 10_000):
+                part = batch.slice(start, 10_000)
                 x, r = _points(part), part.column("r").to_numpy()
-                gap = _norm(np.maximum(np.maximum(low[None, :, j] - x[:, None, j], x[:, None, j] - high[None, :, j]), 0.0) for j in range(dims))
-                row, col = np.nonzero(gap <= r[:, None])
-                taken = part.take(pa.array(row))
-                yield pa.record_batch([*[taken.column(c) for c in ("id", "own", "x", "r")], pa.array(cells[col])], ["id", "own", "x", "r", "top"])
+                near = _box_gaps(x, lows, highs) <= r[:, None]
+                rows, tops = [], []
+                for i, group in enumerate(groups):
+                    at = np.flatnonzero(near[:, i])
+                    row, col = np.nonzero(_box_gaps(x[at], low[group], high[group]) <= r[at, None])
+                    rows.append(at[row])
+                    tops.append(cells[group[col]])
+                taken = part.take(pa.array(np.concatenate(rows)))
+                yield pa.record_batch([*[taken.column(c) for c in ("id", "own", "x", "r")], pa.array(np.concatenate(tops))], ["id", "own", "x", "r", "top"])
 
     met = found.select("id", F.col("leaf").alias("own"), "x", "r").mapInArrow(meet, "id long, own long, x array<double>, r double, top long")
-    below = met.join(named.select("top", "leaf", "low", "high"), "top").where("leaf != own")
+    deepest = leaves.agg(F.max(F.expr("length(bin(leaf))")) - 1).first()[0]
     gap = _gap(F.col("low"), F.col("high"), dims)
-    return below.select("id", "x", "r", "leaf", gap.alias("gap")).where("gap <= r")
+    for level in range(_TOP_LEVELS + _STEP_LEVELS, deepest, _STEP_LEVELS):
+        named = leaves.withColumn("top", _upper("leaf", level - _STEP_LEVELS)).withColumn("next", _upper("leaf", level))
+        met = met.join(_around(named, ["top", "next"], dims), "top").where(gap <= F.col("r"))
+        met = met.select("id", "own", "x", "r", F.col("next").alias("top"))
+        named = leaves.withColumn("top", _upper("leaf", level))
+    below = met.join(named.select("top", "leaf", "block", "low", "high"), "top").where("leaf != own")
+    return below.select("id", "x", "r", "leaf", "block", gap.alias("gap")).where("gap <= r")
 
 
-def _answers(asks: DataFrame, placed: DataFrame, k: int, leaf_rows: int) -> DataFrame:
+def _answers(asks: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     """(id, nbr, d, w): what the asked leaves know.
 
-    Many points may ask the same leaf: its asks are split into parts of at most
-    about ``leaf_rows``, and each part meets a copy of the leaf.
+    Many points may ask the same block: its asks are split into parts of at most
+    about ``_ASKS``, and each part meets a copy of the block.
     """
-    parts = F.ceil(F.count("*") / F.lit(leaf_rows)).cast("int")
-    loads = asks.groupBy("leaf").agg(parts.alias("parts"))
+    parts = F.ceil(F.count("*") / F.lit(_ASKS)).cast("int")
+    loads = asks.groupBy("block").agg(parts.alias("parts"))
     chosen = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
-    asks = asks.join(loads, "leaf").select("leaf", chosen, F.col("id").alias("ask"), F.col("x").alias("at"), "r")
+    asks = asks.join(loads, "block").select("block", chosen, "leaf", F.col("id").alias("ask"), F.col("x").alias("at"), "r")
     each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    copies = placed.join(loads, "leaf").select("leaf", each, "id", "x", "m")
+    copies = placed.join(loads, "block").select("block", each, "leaf", "id", "x", "m")
     return (
-        asks.groupBy("leaf", "part")
-        .cogroup(copies.groupBy("leaf", "part"))
+        asks.groupBy("block", "part")
+        .cogroup(copies.groupBy("block", "part"))
         .applyInArrow(_answer_asks(k), f"id bigint, {_EDGE}")
     )
 
@@ -264,7 +350,7 @@ def neighbour_graph(
         return points.select("id", F.col("id").alias("nbr"), F.lit(0.0).alias("d"), F.col("m").alias("w"))
     dims = len(first.x)
     placed, leaves = cut_cells(points, dims, leaf_rows)
-    inside = placed.groupBy("leaf").applyInArrow(_search_leaf(k), f"id bigint, nbrs {_NBRS}")
+    inside = placed.groupBy("block").applyInArrow(_search_leaves(k), f"id bigint, nbrs {_NBRS}")
     edges = materialize(inside.select("id", F.inline("nbrs")), "inside")
     n_leaves = leaves.count()
     if report is not None:
@@ -285,7 +371,7 @@ def neighbour_graph(
         if report is not None:
             report["asks"] += asks.count()
         asked = asks.select("id", "leaf")
-        pooled = edges.unionByName(_answers(asks, placed, k, leaf_rows))
+        pooled = edges.unionByName(_answers(asks, placed, k))
         edges = materialize(_nearest_of(pooled, k), "edges")
     return edges
 

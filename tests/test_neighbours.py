@@ -136,6 +136,39 @@ def test_balls_reach_the_leaves_of_all_points_inside(spark, monkeypatch, levels)
         assert {(r.id, v) for v in near} <= got
 
 
+def test_rows_of_a_join_follow_the_cells_met(spark, monkeypatch):
+    """Below an upper cell a ball goes down the tree; it is not joined with all leaves there."""
+    from panelspark.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "_TOP_LEVELS", 1)
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", 200)
+    placed, leaves = cut_cells(_stored(spark, _data("normal", 3000)), 4, 10)
+    assert placed.groupBy("block").count().agg(F.max("count")).first()[0] <= 200
+    found = placed.withColumn("r", F.lit(0.05))
+    asks = reached(found, leaves, 4)
+    asks.collect()
+    made = max(_join_rows(asks))
+    assert leaves.count() > 300 and made < 3000 * 60
+
+
+def _join_rows(df):
+    """Rows that each join of an executed plan made, before any later filter."""
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+        if "Join" in name:
+            out.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
 def test_asks_grow_far_slower_than_leaves(spark):
     """Four times the points and leaves: measured 14.7 and 22.1 asks a point, not yet flat."""
     asks = {}
