@@ -13,6 +13,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,18 @@ _MANIFEST = "shard long, path string, width int, n_docs long, n_tokens long"
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \t-\r]")
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, *range(9, 14)]] = True
+_IS_LETTER, _IS_DIGIT, _IS_MARK = np.zeros((3, 256), bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_IS_DIGIT[48:58] = True
+_IS_MARK[33:127] = ~(_IS_LETTER | _IS_DIGIT)[33:127]
+#: The character for which each byte stands in a byte-level vocabulary: itself if it can be seen, else one from 256 on.
+_AS_CHARACTER = np.arange(256, dtype="<u4")
+_UNSEEN = [*range(33), *range(127, 161), 173]
+_AS_CHARACTER[_UNSEEN] = 256 + np.arange(len(_UNSEEN))
 _BYTES, _PLACES = mix(np.arange(1 << 13, (1 << 13) + 256)), mix(np.arange(1 << 14, (1 << 14) + 256)) | np.uint64(1)
 
 
-def _piece_hashes(raw: np.ndarray, starts: np.ndarray, head: np.ndarray) -> np.ndarray:
+def _piece_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Hashes of the pieces of ``raw`` that begin at ``starts``, a bounded number of bytes at a time."""
     out = np.empty(len(starts), np.uint64)
     stops = np.append(starts[1:], len(raw))
@@ -54,7 +63,7 @@ def _piece_hashes(raw: np.ndarray, starts: np.ndarray, head: np.ndarray) -> np.n
         longest = int(sizes.max())
         factors = _PLACES if longest <= len(_PLACES) else mix(np.arange(1 << 14, (1 << 14) + longest)) | np.uint64(1)
         sums = np.add.reduceat(_BYTES[raw[low:high]] * factors[place], part)
-        out[begin:end] = mix(sums + sizes.astype(np.uint64) * np.uint64(2) + head[begin:end])
+        out[begin:end] = mix(sums + sizes.astype(np.uint64) * np.uint64(2))
         begin = end
     return out
 
@@ -109,10 +118,12 @@ class _Known:
 class Encoder:
     """Ids of texts as the tokenizers library gives them, with the ids of words kept.
 
-    Byte-level BPE splits a text into pieces first, and the first of a run of white space
-    always begins one.  So a text is cut there, the library encodes each distinct part (a
-    word with the white space before it) once, many in one call, and the ids of a text are
-    those of its parts.  Parts are told apart by 64 bits of hash.  Texts with an added token
+    Byte-level BPE splits a text into pieces first.  One always begins at the first of a run
+    of white space, at an ASCII mark after a letter or digit, and at a letter after a lone
+    white space other than the space.  So a text is cut there, the library encodes each
+    distinct part once, and the ids of a text are those of its parts.  A part of letters, with
+    a space before them or without, is one piece: the library's model gets it at once, without
+    the splitting.  Parts are told apart by 64 bits of hash.  Texts with an added token
     or with white space beyond ASCII next to other white space are encoded by the library as
     a whole, as are all texts of another tokenizer.
     """
@@ -123,6 +134,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
@@ -139,12 +151,44 @@ class Encoder:
         mark = self._whole(["\n"])[0] if self.by_word else np.empty(0)
         # a line feed before a space is a piece of its own, which parts words in one call
         self.mark = int(mark[0]) if len(mark) == 1 else None
+        self.letters = self._letters() if self.by_word else np.zeros(1 << 11, bool)
         self.known = _Known(self.kind)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind) for e in found]
 
+    def _letters(self) -> np.ndarray:
+        """Which of the characters of two bytes are letters, as the library's splitting takes them."""
+        asked = [f"a{chr(c)}a" for c in range(1 << 7, 1 << 11)]
+        text, at = "\n".join(asked), np.arange(len(asked)) * 4
+        found = {tuple(span) for _, span in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)}
+        return np.append(np.zeros(1 << 7, bool), [(a, a + 3) in found for a in at.tolist()])
+
+    def _is_letter(self, raw: np.ndarray) -> np.ndarray:
+        """The bytes of letters, ASCII ones and those of two bytes."""
+        out = _IS_LETTER[raw]
+        first = np.flatnonzero((raw >= 0xC2) & (raw < 0xE0))
+        code = (raw[first] & 31).astype(np.int64) << 6 | raw[first + 1] & 63
+        first = first[self.letters[code]]
+        out[first] = out[first + 1] = True
+        return out
+
+    def _single(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each) of words that are one piece, without line feeds."""
+        ids, sizes = [], []
+
+        def found(piece: str) -> list[int]:
+            out = [t.id for t in self.model.tokenize(piece)]
+            sizes.append(len(out))
+            return out
+
+        for i in range(0, len(words), 4096):
+            raw = np.frombuffer(b"\n".join(words[i : i + 4096]), np.uint8)
+            pieces = _AS_CHARACTER[raw].tobytes().decode("utf-32-le").split(chr(_AS_CHARACTER[10]))
+            ids.append(np.fromiter(chain.from_iterable(map(found, pieces)), self.kind))
+        return np.concatenate(ids), np.array(sizes)
+
     def _spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number for each) of words of one space and no other white space."""
         lines, line, size = [], [], 0
@@ -160,9 +204,11 @@ class Encoder:
         marks = np.flatnonzero(ids == self.mark)
         return np.delete(ids, marks), np.diff(np.append(marks, len(ids))) - 1
 
-    def _learn(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
-        """Adds new words; ``plain`` ones have one space, in front."""
-        easy, other = np.flatnonzero(plain), np.flatnonzero(~plain)
+    def _learn(self, hashes: np.ndarray, words: list[bytes], single: np.ndarray, plain: np.ndarray) -> None:
+        """Adds new words; ``single`` ones are one piece, ``plain`` ones have one space, in front."""
+        alone, easy, other = np.flatnonzero(single), np.flatnonzero(plain & ~single), np.flatnonzero(~(plain | single))
+        if len(alone):
+            self.known.add(hashes[alone], *self._single([words[i] for i in alone]))
         if len(easy):
             self.known.add(hashes[easy], *self._spaced([words[i].decode() for i in easy]))
         for i in range(0, len(other), 1024):
@@ -173,25 +219,32 @@ class Encoder:
     def _by_words(self, texts: list[bytes]) -> list[np.ndarray]:
         raw = np.frombuffer(b"".join(texts), np.uint8)
         cuts = np.cumsum([0, *map(len, texts)])
-        space = _IS_SPACE[raw]
+        space, letter = _IS_SPACE[raw], self._is_letter(raw)
         first = space.copy()
         first[1:] &= ~space[:-1]
+        lone = first & (raw != 32)
+        first[1:] |= _IS_MARK[raw[1:]] & (letter | _IS_DIGIT[raw])[:-1] | lone[:-1] & letter[1:]
         begins = cuts[:-1][cuts[:-1] < cuts[1:]]
         first[begins] = True
         starts = np.flatnonzero(first)
-        head = np.zeros(len(starts), bool)
-        head[np.searchsorted(starts, begins)] = ~space[begins]
-        hashes, which, inverse = np.unique(_piece_hashes(raw, starts, head), return_index=True, return_inverse=True)
+        hashes, which, inverse = np.unique(_piece_hashes(raw, starts), return_index=True, return_inverse=True)
         at, size = self.known.find(hashes)
         new = np.flatnonzero(at < 0)
         if len(new):
             if self.known.held > CACHE_BYTES:
                 self.known, new = _Known(self.kind), np.arange(len(hashes))
             rows = which[new]
+            begin, end = starts[rows], np.append(starts[1:], len(raw))[rows]
+
+            def count(kind: np.ndarray) -> np.ndarray:
+                before = np.append(0, np.cumsum(kind))
+                return before[end] - before[begin]
+
             view = raw.tobytes()
-            words = [view[a:b] for a, b in zip(starts[rows].tolist(), np.append(starts[1:], len(raw))[rows].tolist(), strict=True)]
-            spaces = np.add.reduceat(space, starts, dtype=np.int64)[rows]
-            self._learn(hashes[new], words, (spaces == 1) & (raw[starts[rows]] == 32) & ~head[rows] & (self.mark is not None))
+            words = [view[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            spaced = (raw[begin] == 32) & (end - begin > 1)
+            plain = spaced & (count(space) == 1) & (self.mark is not None)
+            self._learn(hashes[new], words, count(~letter) == spaced, plain)
             at, size = self.known.find(hashes)
         at, size = at[inverse], size[inverse]
         ends = np.cumsum(size)

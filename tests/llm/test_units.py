@@ -224,6 +224,29 @@ def test_encoder_holds_a_step_of_text_at_once(monkeypatch):
     assert max(steps) <= 4000 and max(calls) <= 900
 
 
+def test_words_are_learnt_once_whatever_marks_follow(monkeypatch):
+    """Marks are parts of their own, and the library's model gets letters without the splitting."""
+    words = ["zebra", "\u00e9t\u00e9", "Stra\u00dfe", "\u043c\u0438\u0440", "\u03bb\u03cc\u03b3\u03bf\u03c2"]
+    texts = [" ".join(f"{w}{m}" for w in words for m in ["", ",", ".", "!!", "***", "'s", "-"]) + "\n" + "\n".join(words)]
+    coder = tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    split, whole = [], coder._whole
+    monkeypatch.setattr(coder, "_whole", lambda group: split.extend(group) or whole(group))
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    # each word with a space and, after a line feed, without
+    assert sum(len(s[0]) for s in coder.known.sets) == 2 * len(words) + len([",", ".", "!!", "***", "'s", "-", "\n"])
+    assert not any(w in text for w in words for text in split)
+
+
+def test_cuts_beside_letters_equal_the_library():
+    """Every character of two bytes, and some of more, next to letters, marks, digits and white space."""
+    coder = tokenbin.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    kinds = [*map(chr, range(128, 1 << 11)), "\u4e2d", "\u2026", "\u200d", "\U0001f600", "\U00010400", "'", "_", "7"]
+    texts = [t.format(c) for c in kinds for t in ("a{0}, {0}.{0}a\n{0}b {0}'sx", "{0}\n\na\t{0} \n{0}!a{0}{0}-1{0}.5", " {0}{0} a{0}a{0}7! ")]
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+
+
 def test_known_pieces_are_found_after_merges():
     known, rng = tokenbin._Known(np.dtype("<u2")), np.random.default_rng(1)
     hashes = rng.permutation(np.arange(1, 120_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
