@@ -7,29 +7,35 @@ live in files that a round reads and writes once, in order.
 
 from __future__ import annotations
 
-import os
 import tempfile
+from typing import BinaryIO
 
 import numpy as np
 
 
 class _Column:
-    """An array kept in a file: read as a whole in order, replaced as a whole."""
+    """An array kept in an open file: read as a whole in order, replaced as a whole.
 
-    def __init__(self, folder: str, name: str, values: np.ndarray) -> None:
-        self.path, self.kind = os.path.join(folder, name), values.dtype
+    It only grows, so it is written over in place.  A file that is emptied and written
+    again is sent to the disk each time it is closed, which a round would wait for.
+    """
+
+    def __init__(self, file: BinaryIO, values: np.ndarray) -> None:
+        self.file, self.kind = file, values.dtype
         self.write(values)
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, dtype=self.kind)
+        self.file.seek(0)
+        return np.fromfile(self.file, dtype=self.kind)
 
     def write(self, values: np.ndarray) -> None:
-        values.tofile(self.path)
+        self.file.seek(0)
+        values.tofile(self.file)
 
 
 def _range_min(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """min(values[start:stop]) of each non-empty range."""
-    order = np.argsort(-starts, kind="stable")  # falling starts: the gaps between ranges cost nothing
+    order = np.argsort(-starts)  # falling starts: the gaps between ranges cost nothing
     at = np.empty(2 * len(starts), np.int64)
     at[::2], at[1::2] = starts[order], stops[order]
     padded = np.append(values, values.dtype.type(0))
@@ -38,13 +44,11 @@ def _range_min(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.
     return out
 
 
-def _merge(old: np.ndarray, at: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``old`` in its order with ``new`` at the places ``at`` of the result; and where old went."""
-    out = np.empty(len(old) + len(new), old.dtype)
-    stays = np.ones(len(out), dtype=bool)
-    stays[at] = False
-    out[at], out[stays] = new, old
-    return out, stays
+def _merge(old: np.ndarray, stays: np.ndarray, at: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """``old`` in its order at the places ``stays`` of the result, ``new`` at the places ``at``."""
+    out = np.empty(len(stays), old.dtype)
+    out[stays], out[at] = old, new
+    return out
 
 
 def build(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +59,9 @@ def build(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[n
     """
     n = len(ends)
     kind = np.uint8 if int(symbols.max()) < 255 else np.uint16
-    with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        bwt = _Column(folder, "bwt", symbols[ends - 1].astype(kind) + kind(1))
-        lcp = _Column(folder, "lcp", np.zeros(n, np.uint8))
+    with tempfile.TemporaryFile(prefix="bwt-", buffering=0) as first, tempfile.TemporaryFile(prefix="lcp-", buffering=0) as second:
+        bwt = _Column(first, symbols[ends - 1].astype(kind) + kind(1))
+        lcp = _Column(second, np.zeros(n, np.uint8))
         place = np.arange(n)
         for j in range(1, int(lengths.max()) + 1):
             active = np.flatnonzero(lengths >= j)
@@ -70,17 +74,20 @@ def build(symbols: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> tuple[n
             r, c = rank[p].astype(np.int64), b[p]
             before, after = order[np.maximum(r - 1, 0)], order[np.minimum(r + 1, len(b) - 1)]
             has_before, has_after = (r > 0) & (b[before] == c), (r + 1 < len(b)) & (b[after] == c)
-            own, nxt = np.zeros(len(p), np.uint8), np.zeros(len(p), np.uint8)
-            if has_before.any():
-                own[has_before] = 1 + _range_min(common, before[has_before] + 1, p[has_before] + 1)
-            if has_after.any():
-                nxt[has_after] = 1 + _range_min(common, p[has_after] + 1, after[has_after] + 1)
+            near = np.zeros(2 * len(p), np.uint8)  # the common prefixes with what is before, and what is after
+            has = np.concatenate((has_before, has_after))
+            if has.any():
+                starts, stops = np.concatenate((before, p))[has] + 1, np.concatenate((p, after))[has] + 1
+                near[has] = 1 + _range_min(common, starts, stops)
+            own, nxt = near[: len(p)], near[len(p) :]
             at = r - done + n
             more = lengths[active] > j
             symbol = np.zeros(len(p), kind)
             symbol[more] = symbols[ends[active[more]] - j - 1].astype(kind) + kind(1)
-            merged, _ = _merge(b, at, symbol)
-            prefixes, _ = _merge(common, at, own)
+            stays = np.ones(len(b) + len(at), dtype=bool)
+            stays[at] = False
+            merged = _merge(b, stays, at, symbol)
+            prefixes = _merge(common, stays, at, own)
             follows = at + 1 < len(prefixes)
             prefixes[at[follows] + 1] = nxt[follows]
             prefixes[at] = own

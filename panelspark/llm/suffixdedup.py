@@ -25,40 +25,54 @@ from panelspark.session import materialize
 
 WIDTH = 50
 SEED = 8
-#: Bytes of text that are cut together in a map task.
-CUT_BYTES = 2_500_000
-#: Bytes of text for which there is a bucket.
-BUCKET_BYTES = 1_500_000
+#: Bytes of text that are cut, or whose strings are hashed, at once.
+CUT_BYTES = 250_000
+#: Bytes of text whose strings go to the buckets together.
+PORTION_BYTES = 16_000_000
+#: Bytes of text for which there is a bucket, at least.
+BUCKET_BYTES = 2_000_000
 #: Strings of one collection, unless a single seed has more.
-COLLECTION = 30_000
+COLLECTION = 4_000
+#: Bytes of packed strings in a record batch.
+BATCH_BYTES = 4_000_000
 _SHORT = 24  # low bits of a window's key: its place
+_LENGTH = 26  # low bits of a span: its length
+_REST = WIDTH - SEED
+_HALF = (_REST + 1) // 2
+_STEP = 7  # by so many bytes the two sides of a seed are shifted to tell partners
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_SPREAD = np.uint64(0x94D049BB133111EB)
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _MIX
-    return x ^ (x >> np.uint64(29))
+    x = x ^ (x >> np.uint64(32))
+    x *= _MIX
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _words(data: np.ndarray) -> np.ndarray:
+    """The ``SEED`` bytes from each place on, as one number."""
+    return np.ndarray(max(0, len(data) - SEED + 1), "<u8", data, strides=(1,)).astype(np.uint64)
 
 
-class _Hasher:
-    """64-bit hashes of any stretches of a buffer, from prefix sums."""
+def _stretch_keys(words: np.ndarray, start: np.ndarray, length: np.ndarray | int, salt: np.ndarray | int = 0) -> np.ndarray:
+    """64-bit hashes of stretches of ``SEED`` bytes or more; the last word of one ends with it.
 
-    def __init__(self, data: np.ndarray) -> None:
-        terms = (data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data))
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        self.back = _powers(_INVERSE, len(data) + 1)
-
-    def __call__(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return _scramble((self.prefix[stop] - self.prefix[start]) * self.back[start] + (stop - start).astype(np.uint64))
+    Each word is mixed before it joins the hash.  Else two words that differ in their last
+    bytes only could make up for each other, as in a text that repeats a few letters.
+    """
+    key = np.zeros(len(start), np.uint64) + np.asarray(length).astype(np.uint64)
+    key = _scramble(key + (np.asarray(salt).astype(np.uint64) << np.uint64(8)) + _ODD)
+    for at in range(0, int(np.max(length, initial=0)), SEED):
+        word = words[start + np.minimum(at, length - SEED)]
+        word += _ODD
+        key ^= _scramble(word)
+        key *= _SPREAD
+        key ^= key >> np.uint64(32)
+    return _scramble(key)
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -68,18 +82,17 @@ def _gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nda
     return data[at + np.repeat(starts - (stops - lengths), lengths)]
 
 
-def cut(data: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, _Hasher]:
-    """(start, length, anchor, seed hash) of the strings of a buffer of texts laid end to end.
+def cut(data: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, anchor, seed hash) of the strings of a buffer of texts laid end to end; and its words.
 
     Every window inside a text lies in exactly one string; ``anchor`` is the place of its
     seed in the string.  Windows with equal bytes have equal seeds at equal places.
     """
-    hasher = _Hasher(data)
+    words = _words(data)
     n = len(data) - WIDTH + 1
-    at = np.arange(len(data) - SEED + 1)
-    seeds = hasher(at, at + SEED)
-    low = (seeds & ~np.uint64((1 << _SHORT) - 1)) | at.view(np.uint64)
-    del at
+    low = _scramble(words)
+    low &= ~np.uint64((1 << _SHORT) - 1)
+    low |= np.arange(len(low), dtype=np.uint64)
     span, covered = WIDTH - SEED + 1, 1
     while 2 * covered <= span:
         low = np.minimum(low[:-covered], low[covered:])
@@ -95,12 +108,12 @@ def cut(data: np.ndarray, unit_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = valid.copy()
     end[:-1] &= first[1:] | ~valid[1:]
     a, b = np.flatnonzero(first), np.flatnonzero(end)
-    return a, b - a + WIDTH, place[a] - a, seeds[place[a]] >> np.uint64(_SHORT), hasher
+    return a, b - a + WIDTH, place[a] - a, _scramble(words[place[a]]) >> np.uint64(_SHORT), words
 
 
 def _smallest_owner(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each row, first row of each class, smallest owner of each class)."""
-    order = np.argsort(keys, kind="stable")
+    """(class of each row, a row of each class, smallest owner of each class)."""
+    order = np.argsort(keys)
     new = np.ones(len(keys), dtype=bool)
     new[1:] = keys[order[1:]] != keys[order[:-1]]
     heads = np.flatnonzero(new)
@@ -109,10 +122,6 @@ def _smallest_owner(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, n
     return classes, order[heads], np.minimum.reduceat(owners[order], heads)
 
 
-def _string_keys(hasher: _Hasher, start: np.ndarray, length: np.ndarray, anchor: np.ndarray) -> np.ndarray:
-    return hasher(start, start + length) ^ (anchor.astype(np.uint64) << np.uint64(8))
-
-
 def _planes(values: np.ndarray) -> bytes:
     """Differences of 64-bit integers, their first bytes first: what is zero packs to nothing."""
     gaps = np.diff(values, prepend=0).astype("<i8")
@@ -125,7 +134,16 @@ def _from_planes(raw: bytes, n: int, at: int) -> np.ndarray:
 
 
 def _spans(docs: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(docs, pa.int64()), pa.array(start * 128 + length, pa.int64())], ["doc_id", "span"])
+    return pa.record_batch([pa.array(docs, pa.int64()), pa.array((start << _LENGTH) + length, pa.int64())], ["doc_id", "span"])
+
+
+def _runs(docs: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the stretches that meet or overlap in rows one after the other."""
+    stop = start + length
+    new = np.ones(len(docs), dtype=bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (start[1:] < start[:-1]) | (start[1:] > stop[:-1])
+    heads = np.flatnonzero(new)
+    return docs[heads], start[heads], np.maximum.reduceat(stop, heads) - start[heads]
 
 
 _PIECES = "bucket int, doc_id long, span long, packed binary"
@@ -139,59 +157,79 @@ def _pieces(docs: DataFrame, buckets: int) -> DataFrame:
     others fall in any case.  So a passage of a third of all documents travels once a portion.
     """
 
-    def portion(units: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        data = np.frombuffer(b"".join(u[2] for u in units), np.uint8)
+    def strings(units: list[tuple[int, int, bytes]]) -> tuple:
+        """(text, start, length, anchor, seed hash, key, document, place in it) of the strings of texts."""
+        raw = b"".join(u[2] for u in units)
         sizes = np.array([len(u[2]) for u in units])
         ends = np.cumsum(sizes)
-        start, length, anchor, seed, hasher = cut(data, ends)
+        start, length, anchor, seed, words = cut(np.frombuffer(raw, np.uint8), ends)
+        key = _stretch_keys(words, start, length, anchor)
         unit = np.searchsorted(ends, start, "right")
-        owner = np.array([u[0] for u in units])[unit]
         at = start - (ends - sizes)[unit] + np.array([u[1] for u in units])[unit]
-        classes, _, least = _smallest_owner(_string_keys(hasher, start, length, anchor), owner)
+        return raw, start, length.astype(np.uint8), anchor.astype(np.uint8), seed, key, np.array([u[0] for u in units])[unit], at
+
+    def portion(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        raw = b"".join(h[0] for h in held)
+        base = np.cumsum([0, *(len(h[0]) for h in held)])
+        start = np.concatenate([h[1] + b for h, b in zip(held, base[:-1], strict=True)])
+        length, anchor, seed, key, owner, at = (np.concatenate([h[i] for h in held]) for i in range(2, 8))
+        held.clear()
+        classes, _, least = _smallest_owner(key, owner)
         falls = owner > least[classes]
         bucket = (_scramble(seed) % np.uint64(buckets)).astype(np.int32)
+        del seed, key, classes
         if falls.any():
-            m = int(falls.sum())
+            docs, *known = _spans(*_runs(owner[falls], at[falls], length[falls].astype(np.int64)))
             # these need no bucket of their own; by document they spread evenly
-            spread = (_scramble(owner[falls].astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(spread), pa.array(owner[falls]), pa.array(at[falls] * 128 + length[falls]), pa.nulls(m, pa.binary())], schema=_PIECE_SCHEMA
-            )
+            spread = (_scramble(docs.to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(spread), docs, *known, pa.nulls(len(docs), pa.binary())], schema=_PIECE_SCHEMA)
         stays = np.flatnonzero(~falls)
         stays = stays[np.argsort(bucket[stays], kind="stable")]
         cuts = np.flatnonzero(np.diff(bucket[stays])) + 1
-        press = zstandard.ZstdCompressor(level=6)
-        named, packed = [], []
+        press = zstandard.ZstdCompressor(level=3)
+        named, packed, size = [], [], 0
+
+        def batch() -> pa.RecordBatch:
+            m = len(named)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(named, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(packed, pa.binary())], schema=_PIECE_SCHEMA
+            )
+
         for rows in np.split(stays, cuts):
             if not len(rows):
                 continue
             head = np.array([len(rows)], "<i8").tobytes()
-            meta = b"".join(
-                (_planes(owner[rows]), _planes(at[rows]), length[rows].astype(np.uint8).tobytes(), anchor[rows].astype(np.uint8).tobytes())
-            )
+            meta = (_planes(owner[rows]), _planes(at[rows]), length[rows].tobytes(), anchor[rows].tobytes())
+            texts = map(raw.__getitem__, map(slice, start[rows].tolist(), (start[rows] + length[rows]).tolist()))
             named.append(int(bucket[rows[0]]))
-            packed.append(press.compress(head + meta + _gather(data, start[rows], length[rows]).tobytes()))
-        m = len(named)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(named, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(packed, pa.binary())], schema=_PIECE_SCHEMA
-        )
+            packed.append(press.compress(b"".join((head, *meta, *texts))))
+            size += len(packed[-1])
+            if size >= BATCH_BYTES:
+                yield batch()
+                named, packed, size = [], [], 0
+        yield batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, held = [], 0
+        units, held, size, total = [], [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 raw = text.as_buffer()
-                size = len(raw) if raw is not None and doc is not None else 0
-                for a in range(0, max(1, size - WIDTH + 1), CUT_BYTES):
-                    part = bytes(raw[a : a + CUT_BYTES + WIDTH - 1]) if size >= WIDTH else b""
-                    if part:
-                        units.append((doc, a, part))
-                        held += len(part)
-                    if held >= CUT_BYTES:
-                        yield from portion(units)
-                        units, held = [], 0
+                whole = len(raw) if raw is not None and doc is not None else 0
+                for a in range(0, whole - WIDTH + 1, CUT_BYTES):
+                    part = bytes(raw[a : a + CUT_BYTES + WIDTH - 1])
+                    units.append((doc, a, part))
+                    size += len(part)
+                    if size >= CUT_BYTES:
+                        held.append(strings(units))
+                        total += size
+                        units, size = [], 0
+                    if total >= PORTION_BYTES:
+                        yield from portion(held)
+                        held, total = [], 0
         if units:
-            yield from portion(units)
+            held.append(strings(units))
+        if held:
+            yield from portion(held)
 
     # rows without an id or a text are passed over in the task: a filter here would keep
     # Spark from using the shuffle of the texts again
@@ -217,26 +255,68 @@ def _unpack(packed: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
 
 
-def _partners(hasher: _Hasher, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
+def _keys(data: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, key of the seed and half the rest to its left, to its right, seed), a part of the strings at a time.
+
+    The halves of strings that have none are of no use.
+    """
+    heads = np.searchsorted(start, np.arange(0, len(data) + CUT_BYTES, CUT_BYTES))
+    for a, b in zip(heads[:-1], heads[1:], strict=True):
+        if a == b:
+            continue
+        base = start[a]
+        words = _words(data[base : start[b - 1] + length[b - 1]])
+        at, size, seed = start[a:b] - base, length[a:b], anchor[a:b]
+        left, right = np.maximum(seed - _HALF, 0), np.minimum(seed, size - SEED - _HALF)
+        yield (
+            _stretch_keys(words, at, size, seed),
+            _stretch_keys(words, at + left, SEED + _HALF),
+            _stretch_keys(words, at + right, SEED + _HALF),
+            words[at + seed],
+        )
+
+
+def _with_others(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which rows have the key of a row of another owner."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    heads = np.flatnonzero(new)
+    mixed = np.minimum.reduceat(owners[order], heads) < np.maximum.reduceat(owners[order], heads)
+    found = np.empty(len(keys), dtype=bool)
+    found[order] = np.repeat(mixed, np.diff(np.append(heads, len(keys))))
+    return found
+
+
+def _partners(length: np.ndarray, anchor: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which strings may share a window with one of another document.
 
     A shared window holds the seed and, on one side of it, at least half of the rest, so
     two such strings agree on the seed with that half to the left or to the right.
     """
-    half = (WIDTH - SEED + 1) // 2
-    found = np.zeros(len(start), dtype=bool)
-    left = np.flatnonzero(anchor >= half)
-    right = np.flatnonzero(length - anchor >= SEED + half)
-    for rows, shift, stop in ((left, -half, SEED), (right, 0, SEED + half)):
-        if not len(rows):
-            continue
-        base = start[rows] + anchor[rows]
-        classes, _, least = _smallest_owner(hasher(base + shift, base + stop), owner[rows])
-        found[rows[owner[rows] > least[classes]]] = True
-        # the smallest owner's strings are needed too, to be found as the smaller document
-        other = np.zeros(len(least), dtype=bool)
-        other[classes[owner[rows] > least[classes]]] = True
-        found[rows[other[classes]]] = True
+    found = np.zeros(len(length), dtype=bool)
+    for has, keys in ((anchor >= _HALF, left), (length - anchor >= SEED + _HALF, right)):
+        rows = np.flatnonzero(has)
+        if len(rows):
+            found[rows[_with_others(keys[rows], owner[rows])]] = True
+    return found
+
+
+def _close_partners(data: np.ndarray, length: np.ndarray, anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The same more closely, with what is missing from a window on one side of the seed on the other.
+
+    The bytes of a shared window to the left of its seed, at most ``_REST``, are taken in
+    steps; two such strings agree on a step to the left and on what a window with less than
+    one step more has at least to the right.
+    """
+    words, start = _words(data), np.cumsum(length) - length
+    found = np.zeros(len(length), dtype=bool)
+    for left in range(0, _REST + 1, _STEP):
+        right = max(0, _REST - left - _STEP + 1)
+        rows = np.flatnonzero((anchor >= left) & (length - anchor >= SEED + right))
+        if len(rows):
+            keys = _stretch_keys(words, start[rows] + anchor[rows] - left, left + SEED + right)
+            found[rows[_with_others(keys, owner[rows])]] = True
     return found
 
 
@@ -249,32 +329,34 @@ def _judge(table: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     owner, at, length, anchor, data = _unpack(table.column("packed"))
     start = np.cumsum(length) - length
-    hasher = _Hasher(data)
-    classes, first, least = _smallest_owner(_string_keys(hasher, start, length, anchor), owner)
+    key, left, right, seeds = (np.concatenate(k) for k in zip(*_keys(data, start, length, anchor), strict=True))
+    classes, first, least = _smallest_owner(key, owner)
     falls = owner > least[classes]
     if falls.any():
         yield _spans(owner[falls], at[falls], length[falls])
-    chosen = np.flatnonzero(_partners(hasher, start[first], length[first], anchor[first], least))
+    chosen = np.flatnonzero(_partners(length[first], anchor[first], left[first], right[first], least))
     if not len(chosen):
         return
+    chosen = chosen[np.argsort(seeds[first[chosen]], kind="stable")]
     rows = first[chosen]
-    seeds = hasher(start[rows] + anchor[rows], start[rows] + anchor[rows] + SEED)
-    order = np.argsort(seeds, kind="stable")
-    chosen, rows, seeds = chosen[order], rows[order], seeds[order]
+    seeds = seeds[rows]
     # collections of whole seeds
     heads = np.concatenate(([0], np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, [len(rows)]))
     a, string, offset = 0, [], []
     while a < len(rows):
         b = max(int(heads[np.searchsorted(heads, a + COLLECTION, "right") - 1]), int(heads[np.searchsorted(heads, a, "right")]))
-        part = rows[a:b]
-        text = _gather(data, start[part], length[part])
-        s, o = shared_windows(text, np.cumsum(length[part]), length[part], least[chosen[a:b]], WIDTH)
-        string.append(chosen[a:b][s])
-        offset.append(o)
+        part, owners = rows[a:b], least[chosen[a:b]]
+        close = np.flatnonzero(_close_partners(_gather(data, start[part], length[part]), length[part], anchor[part], owners))
+        if len(close):
+            part = part[close]
+            text = _gather(data, start[part], length[part])
+            s, o = shared_windows(text, np.cumsum(length[part]), length[part], owners[close], WIDTH)
+            string.append(chosen[a:b][close[s]])
+            offset.append(o)
         a = b
-    string, offset = np.concatenate(string), np.concatenate(offset)
-    if not len(string):
+    if not sum(map(len, string)):
         return
+    string, offset = np.concatenate(string), np.concatenate(offset)
     # runs of neighbouring windows of a string, then all its places in its smallest document
     order = np.lexsort((offset, string))
     string, offset = string[order], offset[order]
@@ -299,13 +381,23 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     return materialize(copies.distinct(), "copies")
 
 
+def bucket_count(total_bytes: int) -> int:
+    """Buckets for so much text, 256 from 128 MB on.
+
+    A portion sends a piece to each bucket, so their size grows with the root of the text:
+    with a size that stays, the pieces would grow with its square and each become tiny.
+    """
+    size = max(BUCKET_BYTES, (2_000 * total_bytes) ** 0.5)
+    return max(8, min(256, total_bytes // 500_000), int(total_bytes // size))
+
+
 def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """(doc_id, span): stretches, start * 128 + length, covered by windows of smaller documents.
+    """(doc_id, span): stretches, start * 2**26 + length, covered by windows of smaller documents.
 
     They overlap and come in no order; together they cover exactly the bytes that lie in a
     ``WIDTH``-byte window which also starts in a document with a smaller doc_id.
     """
-    buckets = max(8, int(total_bytes // BUCKET_BYTES))
+    buckets = bucket_count(total_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in sorted_groups(batches, ["bucket"]):
@@ -317,7 +409,7 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
 
 def covered(spans: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(starts, stops) of the maximal runs that the spans cover."""
-    start, length = spans >> 7, spans & 127
+    start, length = spans >> _LENGTH, spans & ((1 << _LENGTH) - 1)
     order = np.argsort(start, kind="stable")
     start, stop = start[order], np.maximum.accumulate((start + length)[order])
     new = np.ones(len(start), dtype=bool)
